@@ -1,0 +1,70 @@
+"""Input tables of the registered queries, derived row by row from the given tables."""
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from ..sources.text import text_lines
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, spread over the cores where it was written as one small file.
+
+    Lines cost far more to scan than to ship, but a table that already has enough splits
+    is never shuffled.
+    """
+    df = table(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def doc_path() -> Column:
+    return F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".md")))
+
+
+def documents(spark, sf) -> DataFrame:
+    return texts(spark, sf, "documents")
+
+
+def doc_lines(spark, sf) -> DataFrame:
+    return text_lines(documents(spark, sf), "doc_id", "text", doc_path())
+
+
+# Paths of the derived diffs: in and out of every scope the demo rules use.
+CHANGE_PATHS = "array('src/app', 'docs/guide', 'lib/core', 'dist/out', 'src/x.min')"
+CHANGE_DIFF = f"""
+concat('diff --git a/README.md b/README.md', chr(10), 'index 1..2 100644', chr(10),
+ array_join(transform(split(text, chr(10), -1), (l, i) -> concat(
+   if(i % 12 = 0, concat(
+     'diff --git a/', get({CHANGE_PATHS}, int((doc_id + i div 12) % 5)), i div 12, '.ts b/', get({CHANGE_PATHS}, int((doc_id + i div 12) % 5)), i div 12, '.ts', chr(10),
+     '--- a/', get({CHANGE_PATHS}, int((doc_id + i div 12) % 5)), i div 12, '.ts', chr(10),
+     '+++ b/', get({CHANGE_PATHS}, int((doc_id + i div 12) % 5)), i div 12, '.ts', chr(10)), ''),
+   if(i % 4 = 0, concat('@@ -', 10 * i + 1, ',4 +', 10 * i + 3, ',4 @@', chr(10)), ''),
+   get(array('-', '+', '+', ' ', '-'), int((doc_id + i) % 5)), l)), chr(10)))
+"""
+
+
+def changes(spark, sf) -> DataFrame:
+    """One change per document: its whole text as the lines of a diff, its last line as description."""
+    return documents(spark, sf).select(
+        F.col("doc_id").alias("change_id"), F.concat(F.lit("org/"), "source").alias("repo"),
+        F.lit("github").alias("provider"), (F.col("doc_id") + 1).alias("pr_number"),
+        F.sha1(F.col("doc_id").cast("string")).alias("commit_sha"),
+        F.expr(CHANGE_DIFF).alias("diff"), F.element_at(F.split("text", "\n", -1), -1).alias("description"))
+
+
+def contexts(spark, sf) -> DataFrame:
+    """Registry context per change from the labels: typed booleans, and for some rows text instead."""
+    return table(spark, sf, "labels").select(F.col("doc_id").alias("change_id"), F.parse_json(F.concat(
+        F.lit('{"quality": '), (F.col("quality") == 1).cast("string"), F.lit(', "toxic": '),
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit('"'), (F.col("toxic") == 1).cast("string"), F.lit('"')))
+        .otherwise((F.col("toxic") == 1).cast("string")), F.lit("}"))).alias("registry"))
+
+
+def turns(spark, sf) -> DataFrame:
+    """Every conversation turn as the description of a change."""
+    t = texts(spark, sf, "conversations")
+    return t.select(F.concat_ws("-", "conv_id", "turn").alias("change_id"), F.col("text").alias("description"))
