@@ -13,7 +13,7 @@ def rule(id_, action, tier, **detect):
 DATA_RULES = {
     "framework": "Data Compliance", "ruleset_version": 7, "ruleset_hash": "demo-data-7",
     "rules": [
-        rule("card", "block", 1, method="checksum", validator=["credit_card"], mask="card-number",
+        rule("card", "block", 1, method="checksum", pattern=r"\b[0-9]{13,19}\b", validator=["credit_card"], mask="card-number",
              diff_side="either", allowlist="synthetic", gdpr_article=["Art. 5", "Art. 32"]),
         rule("iban", "block", 1, method="checksum", validator=["iban"], mask="IBAN-pattern",
              allowlist="synthetic", gdpr_article=["Art. 32"]),
@@ -59,6 +59,10 @@ AI_RULES = {
 
 RULESETS = [DATA_RULES, AI_RULES]
 
+# The same rules without those whose mistakes floor every verdict.
+_FLAWED = ("tier1-gated", "bad-pattern", "blanket-scope")
+SOUND_RULESETS = [{**d, "rules": [r for r in d["rules"] if r["id"] not in _FLAWED]} for d in RULESETS]
+
 INVENTORY_RULES = [
     rule("eaa-ci-ai-sdk-manifest", "review", 2, pattern=r'"(@ai-sdk/)?(openai|anthropic|cohere|mistral)[a-z/-]*"',
          mask="manifest", baseline=True, articles=[], file_scope=["package.json$", "manifest-*.json$"]),

@@ -68,3 +68,31 @@ def turns(spark, sf) -> DataFrame:
     """Every conversation turn as the description of a change."""
     t = texts(spark, sf, "conversations")
     return t.select(F.concat_ws("-", "conv_id", "turn").alias("change_id"), F.col("text").alias("description"))
+
+
+def pages_lines(spark, sf) -> DataFrame:
+    return text_lines(texts(spark, sf, "pages"), "page_id", "html", page_path())
+
+
+def page_path() -> Column:
+    """Spread pages over folders and kinds of file, some always excluded."""
+    return F.expr("""concat(get(array('src/', 'docs/', 'web/', 'dist/', 'lib/'), int(page_id % 5)), page_id,
+                     get(array('.html', '.ts', '.min.js', '.md'), int(page_id div 5 % 4)))""")
+
+
+IMPORTS = """concat('import x from "', get(array('@ai-sdk/openai', 'langchain/openai', 'openai', 'cohere', 'llama-index'), int(page_id % 5)), '"',
+ chr(10), 'call("https://', get(array('api.mistral.ai', 'x.openai.azure.com', 'api.anthropic.com', 'api.openai.com'), int(page_id % 4)), '");')"""
+
+
+def tree(spark, sf, content=lambda html: html) -> DataFrame:
+    """Pages as files of seven repositories, each with an import and an endpoint line added."""
+    body = content(F.col("html"))
+    return texts(spark, sf, "pages").select(
+        F.expr("concat('org/site', page_id % 7)").alias("repo"), F.lit("c0ffee").alias("commit_sha"), page_path().alias("path"),
+        body.cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
+
+
+def source_tree(spark, sf) -> DataFrame:
+    added = F.expr(IMPORTS)
+    return tree(spark, sf, lambda html: F.when(
+        F.col("page_id") % 11 == 4, F.concat(F.lit(chr(0)), html)).otherwise(F.concat(html, F.lit("\n"), added)))
