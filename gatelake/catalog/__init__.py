@@ -1,5 +1,5 @@
 """Registered queries."""
-from . import basic, scans  # noqa: F401
+from . import basic, documents, outputs, scans  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

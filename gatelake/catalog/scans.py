@@ -215,6 +215,7 @@ notes AS (
   UNION ALL SELECT doc_id, 1, 2, 'unusable_pattern', true, 'Rule "bad-pattern" declares pattern that could not be compiled; that part of the rule did not run. Verdict floored to needs_review.' FROM documents
   UNION ALL SELECT DISTINCT change_id, 1, 1, 'unreadable_applies_when', false, 'Rule "odd-context" declares an applies_when this Action cannot read; its findings keep their declared action.' FROM hits WHERE rule_id = 'odd-context'
   UNION ALL SELECT doc_id, 1, 3, 'blanket_glob', true, '1 path glob(s) match EVERY path (`_`) and were REFUSED: as an exclusion they would suppress the whole rule, as a scope they would select nothing. Verdict floored to needs_review.' FROM documents
+  UNION ALL SELECT change_id, 0, 3, 'long_description', true, 'The PR description is longer than 8192 characters; only the first 8192 were scanned. Verdict floored to needs_review.' FROM changes WHERE length(description) > 8192
   UNION ALL SELECT change_id, f, 4, 'long_lines', true, n || ' file(s) contain lines longer than 8192 characters (' || files || '); only the first 8192 characters of each such line were scanned. Verdict floored to needs_review.' FROM longs, (VALUES (0), (1)) x(f)
   UNION ALL SELECT change_id, 0, ro, 'suppressed', false, 'Rule "' || rule_id || '" suppressed ' || n || ' candidate line(s) via its exclude_pattern/require_pattern gating.' FROM sup)
 """
