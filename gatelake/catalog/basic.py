@@ -225,9 +225,8 @@ SELECT c_custkey, (bank || acct || '1314' || chk)::HUGEINT % 97 = 1 AND len(iban
        CASE WHEN (bank || acct || '1314' || chk)::HUGEINT % 97 = 1 AND len(iban) = 22 THEN md5(iban) END AS digest FROM i""")
 def iban_scan(spark, sf):
     rows = views.table(spark, sf, "customer").select("c_custkey", F.expr(IBAN_TEXT).alias("text"))
-    found = F.get(F.filter(F.transform(cand.matches_with_cut(F.col("text"), CANDIDATE_SQL), lambda m: cand.first_passing(
-        ["iban"], m["value"], m["cut"])), lambda v: v.isNotNull()), F.lit(0))
-    rows = rows.select("c_custkey", found.alias("found"))
+    passing = f"transform({cand.matches_with_cut_sql('text', CANDIDATE_SQL)}, m -> {cand.first_passing_sql(['iban'], 'm.value', 'm.cut')})"
+    rows = rows.select("c_custkey", F.expr(f"get(filter({passing}, v -> v is not null), 0)").alias("found"))
     return rows.select("c_custkey", F.col("found").isNotNull().alias("valid"), F.md5(checksums.compact(F.col("found"))).alias("digest"))
 
 

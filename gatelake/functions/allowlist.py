@@ -4,7 +4,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..constants import SYNTHETIC_VALUES
-from .patterns import SPACE, js_trim
+from .patterns import SPACE, TRIM, js_trim
+from .text import any_of, found, once, quoted, replaced
+
+
+_SYNTHETIC = "|".join(f"(?:{p})" for p in SYNTHETIC_VALUES)
+_SEPARATORS = f"[{SPACE}-]"
 
 
 def normalized(value: Column) -> Column:
@@ -12,11 +17,11 @@ def normalized(value: Column) -> Column:
 
 
 def ungrouped(value: Column) -> Column:
-    return F.regexp_replace(normalized(value), f"[{SPACE}-]", "")
+    return F.regexp_replace(normalized(value), _SEPARATORS, "")
 
 
 def is_synthetic(value: Column) -> Column:
-    return normalized(value).rlike("|".join(f"(?:{p})" for p in SYNTHETIC_VALUES))
+    return normalized(value).rlike(_SYNTHETIC)
 
 
 def domain_of(value: Column) -> Column:
@@ -28,21 +33,23 @@ def _strip(entry: str) -> str:
     return "".join(ch for ch in entry.replace(chr(0xFEFF), "") if ch != "-" and not ch.isspace()).lower()
 
 
-def is_listed(value: Column, allowlist: dict | None) -> Column:
-    """Membership in the rule author's lists (small literals of the compiled ruleset)."""
+def is_allowlisted_sql(value: str, allowlist: dict | None) -> str:
+    """Synthetic, or in the rule author's lists (small literals of the compiled ruleset)."""
     lists = allowlist or {}
-    exact = sorted({e.lower() for k in ("emails", "names") for e in lists.get(k) or ()})
-    grouped = sorted({_strip(e) for k in ("ibans", "cards") for e in lists.get(k) or ()})
-    domains = sorted({e.lower() for e in lists.get("domains") or ()})
-    hit = F.lit(False)
-    for key, entries in ((normalized(value), exact), (ungrouped(value), grouped), (domain_of(value), domains)):
+    trimmed = replaced(value, TRIM)
+    exact = {e.lower() for k in ("emails", "names") for e in lists.get(k) or ()}
+    grouped = {_strip(e) for k in ("ibans", "cards") for e in lists.get(k) or ()}
+    domains = {e.lower() for e in lists.get("domains") or ()}
+    tests = [found("norm", _SYNTHETIC)]
+    for key, entries in (("norm", exact), (replaced("norm", _SEPARATORS), grouped),
+                         ("element_at(split(norm, '@'), -1)", domains)):
         if entries:
-            hit = hit | key.isin(*entries)
-    return hit
+            tests.append(f"{key} in ({', '.join(quoted(e) for e in sorted(entries))})")
+    return f"exists(array(lower({trimmed})), norm -> {any_of(tests)})"
 
 
 def is_allowlisted(value: Column, allowlist: dict | None) -> Column:
-    return is_synthetic(value) | is_listed(value, allowlist)
+    return once(value, "v", is_allowlisted_sql("v", allowlist))
 
 
 def allow_entries(rulesets):

@@ -1,33 +1,23 @@
-"""Checksum identifiers as Column expressions, and the registry of validator names."""
-from __future__ import annotations
+"""Checksum identifiers, and the registry of validator names.
 
-from collections.abc import Callable
-from functools import reduce
+Each validator is a SQL condition on a value; the functions below offer them as Columns.
+"""
+from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
 from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, DAYS_IN_MONTH, IBAN_BBAN, SVNR_WEIGHTS
 from .patterns import SPACE
+from .text import all_of, any_of, applied, found, once, replaced
 
-Validator = Callable[[Column], Column]
 
+def digits_sql(value: str) -> str:
+    return replaced(value, "[^0-9]")
 
-def digits_only(value: Column) -> Column:
-    return F.regexp_replace(value, "[^0-9]", "")
 
-
-def compact(value: Column) -> Column:
+def compact_sql(value: str) -> str:
     """Without the separators identifiers are grouped by."""
-    return F.regexp_replace(value, f"[{SPACE}-]", "")
-
-
-def _once(value: Column, test) -> Column:
-    """Evaluate ``value`` once and test it (a test that repeats its argument would repeat its cost)."""
-    return F.exists(F.array(value), test)
-
-
-def _digit(digits: Column, i: int) -> Column:
-    return F.substring(digits, i + 1, 1).try_cast("int")
+    return replaced(value, f"[{SPACE}-]")
 
 
 def _bban_regex(structure: str) -> str:
@@ -44,112 +34,122 @@ def _bban_regex(structure: str) -> str:
 
 IBAN_REGEX = r"\A(?:" + "|".join(f"{cc}[0-9]{{2}}{_bban_regex(s)}" for cc, s in IBAN_BBAN.items()) + r")\z"
 
+# The issuer table as one constant, longest prefix first (ties: table order).
+_ISSUERS = "array(" + ", ".join(
+    f"named_struct('network', '{network}', 'digits', {len(low)}, 'low', '{low}', 'high', '{high}', "
+    f"'lengths', array({', '.join(map(str, CARD_LENGTHS[network]))}), 'no_luhn', {str(network in CARD_NO_LUHN).lower()})"
+    for network, low, high in sorted(CARD_RANGES, key=lambda r: -len(r[1]))) + ")"
+_DAYS = "array(" + ", ".join(map(str, DAYS_IN_MONTH)) + ")"
 
-def iban(value: Column) -> Column:
-    """Registry country, length and BBAN structure, then ISO 7064 mod 97."""
-    def sound(norm):
-        moved = F.concat(F.substr(norm, F.lit(5)), F.substring(norm, 1, 4))
-        remainder = F.aggregate(
-            F.split(moved, ""), F.lit(0),
-            lambda acc, ch: F.when(ch == "", acc).otherwise(
-                (acc * F.when(ch.between("0", "9"), 10).otherwise(100) + F.conv(ch, 36, 10).cast("int")) % 97))
-        return F.when(norm.rlike(IBAN_REGEX), remainder == 1).otherwise(F.lit(False))
-
-    return _once(F.upper(compact(value)), sound)
 
+def _issuer(digits: str) -> str:
+    """The longest matching issuer range of a digit string, as an array of at most one row."""
+    return f"slice(filter({_ISSUERS}, issuer -> substr({digits}, 1, issuer.digits) between issuer.low and issuer.high), 1, 1)"
 
-def _issuers() -> Column:
-    """The issuer table as one constant, longest prefix first (ties: table order)."""
-    ranked = sorted(CARD_RANGES, key=lambda r: -len(r[1]))
-    rows = ", ".join(
-        f"named_struct('network', '{network}', 'digits', {len(low)}, 'low', '{low}', 'high', '{high}', "
-        f"'lengths', array({', '.join(map(str, CARD_LENGTHS[network]))}), 'no_luhn', {network in CARD_NO_LUHN})"
-        for network, low, high in ranked)
-    return F.expr(f"array({rows})")
 
+def _over_digits(value: str, length: str, test: str) -> str:
+    """A test on the digits of a value, evaluated only where their number fits."""
+    return f"exists(array({digits_sql(value)}), digits -> length(digits) {length} and coalesce({test}, false))"
 
-def _best_issuer(digits: Column) -> Column:
-    hits = F.filter(_issuers(), lambda r: F.substr(digits, F.lit(1), r["digits"]).between(r["low"], r["high"]))
-    return F.slice(hits, 1, 1)
 
-
-def card_network(digits: Column) -> Column:
-    """The network of the longest matching issuer range."""
-    return F.get(F.transform(_best_issuer(digits), lambda r: r["network"]), F.lit(0))
+def iban_sql(value: str) -> str:
+    """Registry country, length and BBAN structure, then ISO 7064 mod 97."""
+    remainder = ("aggregate(split(concat(substr(norm, 5), substr(norm, 1, 4)), ''), 0, (acc, ch) -> if(ch = '', acc, "
+                 "(acc * if(ch between '0' and '9', 10, 100) + int(conv(ch, 36, 10))) % 97))")
+    return f"exists(array(upper({compact_sql(value)})), norm -> {found('norm', IBAN_REGEX)} and {remainder} = 1)"
 
 
-def credit_card(value: Column) -> Column:
+def credit_card_sql(value: str) -> str:
     """12-19 digits, a known issuer with that length, and Luhn (not asked of UnionPay)."""
-    return _once(digits_only(value), lambda digits: F.when(
-        F.length(digits).between(12, 19),
-        F.exists(_best_issuer(digits), lambda r: F.array_contains(r["lengths"], F.length(digits))
-                 & (r["no_luhn"] | F.call_function("luhn_check", digits)))).otherwise(F.lit(False)))
-
+    return _over_digits(value, "between 12 and 19", f"exists({_issuer('digits')}, best -> "
+                        "array_contains(best.lengths, length(digits)) and (best.no_luhn or luhn_check(digits)))")
 
-def _month_days(month: Column) -> Column:
-    return F.try_element_at(F.array(*[F.lit(d) for d in DAYS_IN_MONTH]), month)
 
+def svnr_sql(value: str) -> str:
+    """Austrian social insurance number: weighted mod 11 and a real DDMMYY.
 
-def svnr(value: Column) -> Column:
-    """Austrian social insurance number: weighted mod 11 and a real DDMMYY."""
-    def sound(digits):
-        total = reduce(lambda a, b: a + b, [_digit(digits, i) * w for i, w in enumerate(SVNR_WEIGHTS) if w])
-        day, month, year = (F.substring(digits, p, 2).try_cast("int") for p in (5, 7, 9))
-        # Two-digit years are read in both centuries, so only a year divisible by four has a leap day.
-        leap = (month == 2) & (day == 29) & (year % 4 == 0)
-        real = month.between(1, 12) & day.between(1, 31) & (
-            leap | (day <= _month_days(F.when(month.between(1, 12), month).otherwise(1))))
-        return F.when(F.length(digits) == 10, F.coalesce((total % 11 == _digit(digits, 3)) & real, F.lit(False))) \
-            .otherwise(F.lit(False))
+    Two-digit years are read in both centuries, so only a year divisible by four has a leap day.
+    """
+    total = " + ".join(f"int(substr(digits, {i + 1}, 1)) * {w}" for i, w in enumerate(SVNR_WEIGHTS) if w)
+    day, month, year = (f"int(substr(digits, {p}, 2))" for p in (5, 7, 9))
+    real = (f"{month} between 1 and 12 and {day} >= 1 and ({day} <= get({_DAYS}, {month} - 1) "
+            f"or ({month} = 2 and {day} = 29 and {year} % 4 = 0))")
+    return _over_digits(value, "= 10", f"({total}) % 11 = int(substr(digits, 4, 1)) and {real}")
 
-    return _once(digits_only(value), sound)
 
-
-def steuer_id(value: Column) -> Column:
+def steuer_id_sql(value: str) -> str:
     """German tax id: 11 digits, no leading zero, ISO 7064 mod 11,10."""
-    def step(product, ch):
-        total = (ch.cast("int") + product) % 10
-        return (F.when(total == 0, 10).otherwise(total) * 2) % 11
-
-    def sound(digits):
-        product = F.aggregate(F.filter(F.split(F.substring(digits, 1, 10), ""), lambda c: c != ""), F.lit(10), step)
-        ok = ((11 - product) % 10 == _digit(digits, 10)) & ~digits.startswith("0")
-        return F.when(F.length(digits) == 11, F.coalesce(ok, F.lit(False))).otherwise(F.lit(False))
+    step = "if((int(d) + product) % 10 = 0, 10, (int(d) + product) % 10) * 2 % 11"
+    product = f"aggregate(filter(split(substr(digits, 1, 10), ''), d -> d <> ''), 10, (product, d) -> {step})"
+    return _over_digits(value, "= 11", f"not startswith(digits, '0') and (11 - {product}) % 10 = int(substr(digits, 11, 1))")
 
-    return _once(digits_only(value), sound)
 
-
-# Necessary conditions per validator: every text that contains a valid identifier matches them all.
-_REGISTRY: dict[str, tuple[Validator, tuple[str, ...]]] = {
-    "iban": (iban, (f"[0-9][{SPACE}-]*[0-9]", f"[A-Za-z][{SPACE}-]*[A-Za-z][{SPACE}-]*[0-9][{SPACE}-]*[0-9]")),
-    "credit_card": (credit_card, ("[0-9](?:[^0-9]*[0-9]){11}",)),
-    "svnr": (svnr, ("[0-9](?:[^0-9]*[0-9]){9}",)),
-    "steuer_id": (steuer_id, ("[0-9](?:[^0-9]*[0-9]){10}",)),
+# Name -> (condition, necessary patterns); a text that contains a valid identifier matches all of them.
+_REGISTRY: dict = {
+    "iban": (iban_sql, (f"[0-9][{SPACE}-]*[0-9]", f"[A-Za-z][{SPACE}-]*[A-Za-z][{SPACE}-]*[0-9][{SPACE}-]*[0-9]")),
+    "credit_card": (credit_card_sql, ("[0-9](?:[^0-9]*[0-9]){11}",)),
+    "svnr": (svnr_sql, ("[0-9](?:[^0-9]*[0-9]){9}",)),
+    "steuer_id": (steuer_id_sql, ("[0-9](?:[^0-9]*[0-9]){10}",)),
 }
 
 
-def register_validator(name: str, validator: Validator, necessary: tuple[str, ...] = ()) -> None:
-    """Add a named validator; ``necessary`` are patterns found in every text that holds a hit."""
-    _REGISTRY[name] = (validator, necessary)
+def register_validator(name: str, condition, necessary: tuple[str, ...] = ()) -> None:
+    """Add a named validator.
+
+    ``condition`` maps a SQL value to a SQL condition, e.g. ``lambda v: f"luhn_check({v})"``;
+    ``necessary`` are patterns found in every text that holds a hit.
+    """
+    _REGISTRY[name] = (condition, tuple(necessary))
 
 
 def known(names) -> list[str]:
     return [n for n in names or () if n in _REGISTRY]
 
 
-def any_valid(names, value: Column) -> Column:
-    """True when one of the named validators passes; unknown names are ignored."""
-    checks = [_REGISTRY[n][0](value) for n in known(names)]
-    return reduce(lambda a, b: a | b, checks) if checks else F.lit(False)
+def any_valid_sql(names, value: str) -> str:
+    """One of the named validators passes; unknown names are ignored."""
+    return any_of(_REGISTRY[n][0](value) for n in known(names))
+
+
+def could_be_valid_sql(names, text: str) -> str:
+    """False only where no named validator can pass on the text or any part of it."""
+    return any_of(all_of(found(text, p) for p in _REGISTRY[n][1]) for n in known(names))
+
+
+def is_valid(name: str, value: Column) -> Column:
+    return once(value, "v", _REGISTRY[name][0]("v"))
 
 
 def first_valid(names, value: Column) -> Column:
     """Name of the first validator, in rule order, that passes."""
-    hits = [F.when(_REGISTRY[n][0](value), F.lit(n)) for n in known(names)]
+    hits = [F.when(is_valid(n, value), F.lit(n)) for n in known(names)]
     return F.coalesce(*hits) if hits else F.lit(None).cast("string")
 
 
-def could_be_valid(names, text: Column) -> Column:
-    """False only where no named validator can pass on the text or any part of it."""
-    checks = [reduce(lambda a, b: a & b, [text.rlike(p) for p in _REGISTRY[n][1]], F.lit(True)) for n in known(names)]
-    return reduce(lambda a, b: a | b, checks) if checks else F.lit(False)
+def iban(value: Column) -> Column:
+    return is_valid("iban", value)
+
+
+def credit_card(value: Column) -> Column:
+    return is_valid("credit_card", value)
+
+
+def svnr(value: Column) -> Column:
+    return is_valid("svnr", value)
+
+
+def steuer_id(value: Column) -> Column:
+    return is_valid("steuer_id", value)
+
+
+def card_network(digits: Column) -> Column:
+    """The network of the longest matching issuer range."""
+    return applied(digits, "d", f"get(transform({_issuer('d')}, best -> best.network), 0)")
+
+
+def digits_only(value: Column) -> Column:
+    return F.regexp_replace(value, "[^0-9]", "")
+
+
+def compact(value: Column) -> Column:
+    return F.regexp_replace(value, f"[{SPACE}-]", "")

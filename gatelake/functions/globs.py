@@ -6,6 +6,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from ..constants import ALWAYS_EXCLUDED, MAX_GLOB_WILDCARDS
+from .text import all_of, found
 
 _TOKEN = re.compile(r"\*\*|\*|\?|[^*?]+")
 _WILD = {"**": ".*", "*": "[^/]*", "?": "."}
@@ -32,28 +33,41 @@ def to_regex(glob: str) -> str | None:
     return (r"\A" if glob.startswith("^") else "") + inner + (r"\z" if glob.endswith("$") else "")
 
 
-def any_glob(path: Column, globs) -> Column:
-    """One literal alternation for a whole list, so a path is tested once per list."""
+def any_glob_regex(globs) -> str | None:
+    """One alternation for a whole list, so a path is tested once per list."""
     parts = [r for r in (to_regex(g) for g in globs or ()) if r]
-    return path.rlike("|".join(f"(?:{p})" for p in parts)) if parts else F.lit(False)
+    return "|".join(f"(?:{p})" for p in parts) or None
 
 
-def in_file_scope(path: Column, file_scope) -> Column:
-    return any_glob(path, file_scope) if file_scope else F.lit(True)
+def any_glob_sql(path: str, globs) -> str:
+    regex = any_glob_regex(globs)
+    return found(path, regex) if regex else "false"
 
 
-def is_built_in_exclusion(path: Column) -> Column:
-    return path.rlike(ALWAYS_EXCLUDED)
+def in_scope_sql(path: str, file_scope=None, exclude_paths=None, built_in: str | None = None) -> str:
+    """Not excluded, and in the file scope; ``built_in`` is the shared exclusion where already evaluated."""
+    tests = [f"not {built_in or found(path, ALWAYS_EXCLUDED)}"]
+    if exclude_paths:
+        tests.append(f"not {any_glob_sql(path, exclude_paths)}")
+    if file_scope:
+        tests.append(any_glob_sql(path, file_scope))
+    return all_of(tests)
+
+
+def any_glob(path: Column, globs) -> Column:
+    regex = any_glob_regex(globs)
+    return path.rlike(regex) if regex else F.lit(False)
 
 
-def is_excluded(path: Column, exclude_paths=None, built_in: Column | None = None) -> Column:
-    """``built_in`` is the shared part where the caller has already evaluated it."""
-    base = is_built_in_exclusion(path) if built_in is None else built_in
-    return base | any_glob(path, exclude_paths) if exclude_paths else base
+def is_built_in_exclusion(path: Column) -> Column:
+    return path.rlike(ALWAYS_EXCLUDED)
 
 
-def in_scope(path: Column, file_scope=None, exclude_paths=None, built_in: Column | None = None) -> Column:
-    return ~is_excluded(path, exclude_paths, built_in) & in_file_scope(path, file_scope)
+def in_scope(path: Column, file_scope=None, exclude_paths=None) -> Column:
+    ok = ~is_built_in_exclusion(path)
+    if exclude_paths:
+        ok = ok & ~any_glob(path, exclude_paths)
+    return ok & any_glob(path, file_scope) if file_scope else ok
 
 
 def refusal_column(glob: Column) -> Column:

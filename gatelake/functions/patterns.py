@@ -19,6 +19,7 @@ SPACE = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x
 LINE_END = r"\n\r\x{2028}\x{2029}"
 
 _BOUNDARY = (r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))")
+TRIM = rf"\A[{SPACE}]+|[{SPACE}]+\z"
 _NOT_BOUNDARY = (r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))")
 # A boundary next to a known word character needs only one look-around.
 _WORD_AHEAD = re.compile(r"[0-9A-Za-z_]|\\[dw]|\[(?:[0-9A-Za-z_]-[0-9A-Za-z_]|[0-9A-Za-z_])+\]|\((?:\?:)?\w+(?:\|\w+)*\)", re.ASCII)
@@ -235,4 +236,4 @@ def usable(pattern: Column) -> Column:
 
 
 def js_trim(value: Column) -> Column:
-    return F.regexp_replace(value, rf"\A[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(value, TRIM, "")

@@ -5,37 +5,58 @@ from pyspark.sql import Column, functions as F
 
 from ..constants import CANDIDATE_MAX_GROUPS, CANDIDATE_MAX_LEN, CANDIDATE_MIN_LEN, DAYS_IN_MONTH
 from ..functions import checksums
-from ..functions.checksums import compact, digits_only
+from ..functions.checksums import compact_sql, digits_sql
 from ..functions.patterns import SPACE, count_groups
+from ..functions.text import applied, once, quoted
 
 # --- fixed value: a date with an optional hour ----------------------------------------------
 DATE = rf"([0-9]{{4}})[-/.]([0-9]{{1,2}})[-/.]([0-9]{{1,2}})(?:[T{SPACE}-]+([0-9]{{1,2}}))?"
 
+_NONE = "cast(array() as array<string>)"
 
-def is_date(value: Column) -> Column:
+
+def is_date_sql(value: str) -> str:
     """All digits of the value form one real calendar date with an optional hour."""
-    year_month_day_hour = [F.regexp_extract(value, DATE, i) for i in range(5)]
-    whole, _, month, day, hour = year_month_day_hour
-    month, day = month.try_cast("int"), day.try_cast("int")
-    longest = F.when(month == 2, 29).otherwise(
-        F.try_element_at(F.array(*[F.lit(d) for d in DAYS_IN_MONTH]), F.when(month.between(1, 12), month).otherwise(1)))
-    real = month.between(1, 12) & (day >= 1) & (day <= longest) & ((hour == "") | (hour.try_cast("int") <= 23))
-    return (whole != "") & (digits_only(whole) == digits_only(value)) & F.coalesce(real, F.lit(False))
+    days = "array(" + ", ".join(str(29 if m == 1 else d) for m, d in enumerate(DAYS_IN_MONTH)) + ")"
+    whole, _, month, day, hour = (f"regexp_extract({value}, {quoted(DATE)}, {i})" for i in range(5))
+    real = (f"try_cast({day} as int) between 1 and get({days}, try_cast({month} as int) - 1) "
+            f"and ({hour} = '' or try_cast({hour} as int) <= 23)")
+    return f"({whole} <> '' and {digits_sql(whole)} = {digits_sql(value)} and coalesce({real}, false))"
 
 
-def token_runs(value: Column) -> Column:
+def token_runs_sql(value: str) -> str:
     """Runs of 1-9 tokens joined by one space, in (start, length) order, that could hold an identifier."""
-    def runs(tokens):
-        size = F.size(tokens)
-        return F.when(size >= 2, F.flatten(F.transform(F.sequence(F.lit(1), size), lambda s: F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(CANDIDATE_MAX_GROUPS), size - s + 1)),
-            lambda n: F.array_join(F.slice(tokens, s, n), " "))))).otherwise(F.array().cast("array<string>"))
+    tokens = (f"if(length({digits_sql(value)}) >= 2, filter(split({value}, {quoted(f'[{SPACE}]+')}), tok -> tok <> ''), {_NONE})")
+    runs = (f"if(size(toks) >= 2, flatten(transform(sequence(1, size(toks)), s -> "
+            f"transform(sequence(1, least({CANDIDATE_MAX_GROUPS}, size(toks) - s + 1)), n -> array_join(slice(toks, s, n), ' ')))), {_NONE})")
+    return (f"filter(flatten(transform(array({tokens}), toks -> {runs})), run -> "
+            f"length({compact_sql('run')}) between {CANDIDATE_MIN_LEN} and {CANDIDATE_MAX_LEN} and length({digits_sql('run')}) >= 2)")
+
+
+def first_passing_sql(validators, value: str, cut: str) -> str:
+    """The first candidate that validates; dates cut short by a time are skipped."""
+    return (f"get(filter(concat(array({value}), {token_runs_sql(value)}), cand -> "
+            f"{checksums.any_valid_sql(validators, 'cand')} and not ({cut} and {is_date_sql('cand')})), 0)")
 
-    tokens = F.filter(F.split(value, f"[{SPACE}]+"), lambda t: t != "")
-    tokens = F.when(F.length(digits_only(value)) >= 2, tokens).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.flatten(F.transform(F.array(tokens), runs)),
-                    lambda r: F.length(compact(r)).between(CANDIDATE_MIN_LEN, CANDIDATE_MAX_LEN)
-                    & (F.length(digits_only(r)) >= 2))
+
+def matches_sql(text: str, pattern: str) -> str:
+    return f"regexp_extract_all({text}, {quoted(pattern)}, 0)"
+
+
+def matches_with_cut_sql(text: str, pattern: str) -> str:
+    """Matches with whether a ``:digit`` follows each: ARRAY<STRUCT<value, ord, cut>>.
+
+    The look-ahead captures what follows without moving the match, and its group comes
+    after the pattern's own groups, so back-references keep their numbers.
+    """
+    followed = f"regexp_extract_all({text}, {quoted(f'(?:{pattern})(?=(:[0-9])?)')}, {count_groups(pattern) + 1})"
+    cuts = f"if({text} rlike ':[0-9]', {followed}, {_NONE})"
+    return (f"transform(arrays_zip({matches_sql(text, pattern)}, {cuts}), (z, i) -> named_struct("
+            "'value', z.`0`, 'ord', bigint(i), 'cut', coalesce(z.`1`, '') <> ''))")
+
+
+def token_runs(value: Column) -> Column:
+    return applied(value, "v", token_runs_sql("v"))
 
 
 def candidates(value: Column) -> Column:
@@ -44,12 +65,12 @@ def candidates(value: Column) -> Column:
 
 
 def first_passing(validators, value: Column, cut: Column | None = None) -> Column:
-    """The first candidate that validates; dates cut short by a time are skipped."""
-    def passes(c):
-        ok = checksums.any_valid(validators, c)
-        return ok if cut is None else ok & ~(cut & is_date(c))
+    pair = F.struct(value.alias("value"), (F.lit(False) if cut is None else cut).alias("cut"))
+    return applied(pair, "p", first_passing_sql(validators, "p.value", "p.cut"))
 
-    return F.get(F.filter(F.concat(F.array(value), token_runs(value)), passes), F.lit(0))
+
+def is_date(value: Column) -> Column:
+    return once(value, "v", is_date_sql("v"))
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -57,13 +78,4 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def matches_with_cut(text: Column, pattern: str) -> Column:
-    """Matches zipped with whether a ``:digit`` follows each.
-
-    The look-ahead captures what follows without moving the match, and its group comes
-    after the pattern's own groups, so back-references keep their numbers.
-    """
-    followed = F.regexp_extract_all(text, F.lit(rf"(?:{pattern})(?=(:[0-9])?)"), F.lit(count_groups(pattern) + 1))
-    cuts = F.when(text.rlike(":[0-9]"), followed)
-    values = matches(text, pattern)
-    return F.transform(F.arrays_zip(values.alias("v"), F.coalesce(cuts, F.array().cast("array<string>")).alias("c")),
-                       lambda z: F.struct(z["v"].alias("value"), (F.coalesce(z["c"], F.lit("")) != "").alias("cut")))
+    return applied(text, "t", matches_with_cut_sql("t", pattern))

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import MAX_LINE_CHARS, PAIR_CEILING, WARNING_TEXT
 from ..functions import masking
-from .detect import applies, clamped, runnable, with_scope
+from ..functions.text import all_of, found
+from .detect import applies_sql, runnable, with_scope
 from .pairs import paired_rules
 from .rules import Rule, Ruleset
 
@@ -28,14 +29,13 @@ def _gated_pairs(rulesets):
 
 def _pair_gate_counts(fw: Ruleset, rule: Rule) -> list[Column]:
     """Per bucket: matched halves, halves the gate admits, and admitted halves that do not meet the precondition."""
-    text, scope = F.col("clamped"), rule.in_scope(F.col("file"), F.col("excluded"))
-    excluded = text.rlike(rule.exclude) if rule.exclude else F.lit(False)
-    met = text.rlike(rule.require) if rule.require else F.lit(True)
+    excluded = found("clamped", rule.exclude) if rule.exclude else "false"
+    met = found("clamped", rule.require) if rule.require else "true"
     out = []
     for half, side, pattern in (("m", "removed", rule.minus), ("p", "added", rule.plus)):
-        hit = (F.col("side") == side) & scope & text.rlike(pattern)
-        for what, cond in (("all", hit), ("ok", hit & ~excluded), ("unmet", hit & ~excluded & ~met)):
-            out.append(F.count_if(F.coalesce(cond, F.lit(False))).alias(f"{half}_{what}_{_name(fw, rule)}"))
+        hit = all_of([f"side = '{side}'", rule.scope_sql(), found("clamped", pattern)])
+        for what, cond in (("all", hit), ("ok", f"{hit} and not {excluded}"), ("unmet", f"{hit} and not {excluded} and not {met}")):
+            out.append(F.expr(f"count_if({cond})").alias(f"{half}_{what}_{_name(fw, rule)}"))
     return out
 
 
@@ -54,8 +54,8 @@ def line_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> Da
         return F.min(F.when(cond & long, F.col("pos")))
 
     counters = [
-        F.count_if(F.coalesce(applies(r) & F.col("side").isin("added", "removed") & ~r.gate_passes(F.col("clamped")),
-                              F.lit(False))).alias(f"sup_{_name(fw, r)}")
+        F.expr(f"count_if(side in ('added', 'removed') and {applies_sql(r)} and not {r.gate_sql('clamped')})").alias(
+            f"sup_{_name(fw, r)}")
         for fw, r in _gated_lines(rulesets)]
     for fw, r in _gated_pairs(rulesets):
         counters += _pair_gate_counts(fw, r)
@@ -110,7 +110,7 @@ def _long_file(fw: Ruleset) -> Column:
             pos = F.col("hunk_long" if r.same_hunk_only else "file_long").cast("bigint")
         else:
             continue
-        marks.append(F.when(r.in_scope(F.col("file")), pos + F.lit(r.ord << 41)))
+        marks.append(F.when(F.expr(r.scope_sql("file", None)), pos + F.lit(r.ord << 41)))
     if not marks:
         return F.lit(None).cast("struct<first:bigint,file:string>")
     first = F.least(*marks, marks[0])
@@ -188,8 +188,7 @@ def warnings_of(fw: Ruleset, has_description: bool, has_pairs: bool) -> Column:
 
 def description_columns(rulesets: list[Ruleset]) -> list[Column]:
     """Length of the description and, per gated description rule, whether its gate dropped it."""
-    text = clamped("description")
-    dropped = [(F.coalesce(F.length("description") > 0, F.lit(False)) & ~F.coalesce(r.gate_passes(text), F.lit(True)))
-               .cast("bigint").alias(f"dsup_{_name(fw, r)}")
+    body = f"substr(description, 1, {MAX_LINE_CHARS})"
+    dropped = [F.expr(f"bigint(coalesce(description <> '' and not {r.gate_sql(body)}, false))").alias(f"dsup_{_name(fw, r)}")
                for fw in rulesets for r in fw.of_kind("description") if r.pattern and r.gated]
     return [F.coalesce(F.length("description"), F.lit(0)).alias("description_chars"), *dropped]

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import DESCRIPTION_LOCATION, MAX_LINE_CHARS, SEVERITY
 from ..functions import checksums, globs, masking
-from ..functions.allowlist import is_allowlisted
-from .candidates import first_passing, matches, matches_with_cut
+from ..functions.allowlist import is_allowlisted_sql
+from ..functions.text import all_of, applied, found, quoted
+from .candidates import first_passing_sql, matches_sql, matches_with_cut_sql
 from .rules import Rule, Ruleset
 
 # Rules evaluated by one projection; more are unioned in batches to keep generated code small.
@@ -22,32 +23,28 @@ def clamped(text) -> Column:
     return F.substring(text, 1, MAX_LINE_CHARS)
 
 
-def _lower(severity: Column | int) -> Column:
+def lower_sql(severity: str) -> str:
     """One step down: block, review, advise, advise."""
-    return F.least(severity + 1, F.lit(SEVERITY["advise"]))
+    return f"least({severity} + 1, {SEVERITY['advise']})"
 
 
-def graded(rule: Rule, context_present: Column) -> Column:
+def graded_sql(rule: Rule, text: str) -> str:
     """Severity of a line hit given whether the rule's context occurs on its line."""
-    declared = F.lit(rule.severity)
     if not rule.context:
-        return declared
-    missing = _lower(declared) if (rule.checksum or rule.validators) else declared
-    missing = F.when(missing == SEVERITY["block"], SEVERITY["review"]).otherwise(missing)
-    return F.when(context_present, declared).otherwise(missing)
+        return str(rule.severity)
+    missing = min(rule.severity + 1, SEVERITY["advise"]) if (rule.checksum or rule.validators) else rule.severity
+    missing = max(missing, SEVERITY["review"])
+    return f"if({found(text, rule.context)}, {rule.severity}, {missing})"
 
 
-def lowered(rule: Rule, severity: Column, context: Column | None) -> Column:
+def lowered_sql(rule: Rule, severity: str, has_context: bool) -> str:
     """Context grading: the first entry whose booleans all hold, and only downwards."""
-    if not rule.lowering or context is None:
-        return severity
-
-    def holds(conditions):
-        checks = [F.coalesce(F.try_element_at(context, F.lit(k)) == F.lit(v), F.lit(False)) for k, v in conditions]
-        return reduce(lambda a, b: a & b, checks)
-
-    first = F.coalesce(*[F.when(holds(conditions), SEVERITY[action]) for conditions, action in rule.lowering])
-    return F.greatest(severity, F.coalesce(first, severity))
+    if not rule.lowering or not has_context:
+        return f"int({severity})"
+    arms = " ".join(
+        "when " + all_of(f"coalesce(try_element_at(context, {quoted(k)}) = {str(v).lower()}, false)" for k, v in conditions)
+        + f" then {SEVERITY[action]}" for conditions, action in rule.lowering)
+    return f"int(greatest({severity}, case {arms} else 0 end))"
 
 
 def with_scope(lines: DataFrame) -> DataFrame:
@@ -55,88 +52,81 @@ def with_scope(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"clamped": clamped("text"), "excluded": globs.is_built_in_exclusion(F.col("file"))})
 
 
-def applies(rule: Rule) -> Column:
+def applies_sql(rule: Rule) -> str:
     """Side and path of a line; cheap tests, before any text is looked at."""
-    side = F.lit(True) if len(rule.sides) == 2 else F.col("side") == rule.sides[0]
-    return side & rule.in_scope(F.col("file"), F.col("excluded"))
-
-
-def found_values(rule: Rule, text: Column, allowlist) -> Column:
-    """ARRAY<STRUCT<value, ord>> of the matches that survive allowlist and checksum."""
-    if rule.validators:
-        found = F.transform(matches_with_cut(text, rule.pattern), lambda m, i: F.struct(
-            m["value"].alias("value"), i.cast("bigint").alias("ord"), m["cut"].alias("cut")))
-        found = F.filter(found, lambda m: checksums.could_be_valid(rule.validators, m["value"]))
-    else:
-        found = F.transform(matches(text, rule.pattern), lambda v, i: F.struct(
-            v.alias("value"), i.cast("bigint").alias("ord")))
-    if rule.synthetic:
-        found = F.filter(found, lambda m: ~is_allowlisted(m["value"], allowlist))
-    if rule.validators:
-        found = F.transform(found, lambda m: F.struct(
-            m["value"].alias("value"), m["ord"].alias("ord"),
-            first_passing(rule.validators, m["value"], m["cut"]).alias("matched")))
-        found = F.filter(found, lambda m: m["matched"].isNotNull())
-        if rule.synthetic:
-            found = F.filter(found, lambda m: ~is_allowlisted(m["matched"], allowlist))
-    return found
-
-
-def worth_matching(rule: Rule, text: Column) -> Column:
-    """Cheap tests that hold on every text with a hit, so most lines never see the pattern."""
-    ok = F.contains(text, F.lit(rule.hint)) if rule.hint else F.lit(True)
-    return ok & checksums.could_be_valid(rule.validators, text) if rule.validators else ok
+    side = [] if len(rule.sides) == 2 else [f"side = '{rule.sides[0]}'"]
+    return all_of([*side, rule.scope_sql()])
 
 
-def _hit(fw: Ruleset, rule: Rule, ord_: Column, severity: Column, value: Column) -> Column:
-    return F.struct(F.lit(fw.fw_ord).alias("fw_ord"), F.lit(rule.ord).alias("rule_ord"), ord_.alias("match_ord"),
-                    severity.cast("int").alias("severity"), F.lit(rule.mask).alias("mask"), value.alias("value"),
-                    F.lit(rule.kind == "signature").alias("is_token"))
+def found_values_sql(rule: Rule, text: str, allowlist) -> str:
+    """ARRAY<STRUCT<value, ord, ..>> of the matches that survive allowlist and checksum."""
+    if not rule.validators:
+        values = (f"transform({matches_sql(text, rule.pattern)}, (v, i) -> named_struct('value', v, 'ord', bigint(i)))")
+        return f"filter({values}, m -> not {is_allowlisted_sql('m.value', allowlist)})" if rule.synthetic else values
+    tests = [checksums.could_be_valid_sql(rule.validators, "m.value")]
+    if rule.synthetic:
+        tests.append(f"not {is_allowlisted_sql('m.value', allowlist)}")
+    values = f"filter({matches_with_cut_sql(text, rule.pattern)}, m -> {all_of(tests)})"
+    passed = (f"transform({values}, m -> named_struct('value', m.value, 'ord', m.ord, 'matched', "
+              f"{first_passing_sql(rule.validators, 'm.value', 'm.cut')}))")
+    tests = ["m.matched is not null"] + ([f"not {is_allowlisted_sql('m.matched', allowlist)}"] if rule.synthetic else [])
+    return f"filter({passed}, m -> {all_of(tests)})"
 
 
-def _line_hits(fw: Ruleset, rule: Rule, context) -> Column:
-    text = F.col("clamped")
-    on_line = text.rlike(rule.context) if rule.context else F.lit(True)
-    severity = lowered(rule, graded(rule, on_line), context)
-    hits = F.transform(found_values(rule, text, fw.allowlist), lambda m: _hit(fw, rule, m["ord"], severity, m["value"]))
-    return F.when(applies(rule) & worth_matching(rule, text) & rule.gate_passes(text), hits).otherwise(F.array().cast(_NONE))
+def worth_matching_sql(rule: Rule, text: str) -> str:
+    """Cheap tests that hold on every text with a hit, so most lines never see the pattern."""
+    tests = [f"contains({text}, {quoted(rule.hint)})"] if rule.hint else []
+    return all_of(tests + ([checksums.could_be_valid_sql(rule.validators, text)] if rule.validators else []))
 
 
-def _signature_hits(fw: Ruleset, rule: Rule, context) -> Column:
-    text = F.col("clamped")
-    severity = lowered(rule, F.lit(rule.severity), context)
-    tokens = F.filter(F.array(first_token(text, rule.tokens)), lambda t: t.isNotNull())
-    hits = F.transform(tokens, lambda t: _hit(fw, rule, F.lit(0).cast("bigint"), severity, t))
-    return F.when(applies(rule) & rule.gate_passes(text), hits).otherwise(F.array().cast(_NONE))
+def first_token_sql(text: str, tokens) -> str:
+    """The first listed token the text contains."""
+    arms = " ".join(f"when contains({text}, {quoted(t)}) then {quoted(t)}" for t in tokens)
+    return f"case {arms} end" if tokens else "cast(null as string)"
 
 
 def first_token(text: Column, tokens) -> Column:
-    """The first listed token the text contains."""
-    if not tokens:
-        return F.lit(None).cast("string")
-    return F.coalesce(*[F.when(F.contains(text, F.lit(t)), F.lit(t)) for t in tokens])
+    return applied(text, "t", first_token_sql("t", tokens))
 
 
 def runnable(rule: Rule) -> bool:
     return (rule.kind == "line" and rule.pattern is not None) or (rule.kind == "signature" and bool(rule.tokens))
 
 
+def _hits_sql(fw: Ruleset, rule: Rule, conditions, values: str, severity: str) -> str:
+    """The hits of one rule on one row, or an empty array."""
+    hit = (f"named_struct('fw_ord', {fw.fw_ord}, 'rule_ord', {rule.ord}, 'match_ord', m.ord, 'severity', {severity}, "
+           f"'mask', {quoted(rule.mask)}, 'value', m.value, 'is_token', {str(rule.kind == 'signature').lower()})")
+    return f"if({all_of(conditions)}, transform({values}, m -> {hit}), cast(array() as {_NONE}))"
+
+
+def _line_sql(fw: Ruleset, rule: Rule, has_context: bool) -> str:
+    text = "clamped"
+    if rule.kind == "signature":
+        token = first_token_sql(text, rule.tokens)
+        values = f"filter(array(named_struct('value', {token}, 'ord', bigint(0))), m -> m.value is not null)"
+        return _hits_sql(fw, rule, [applies_sql(rule), rule.gate_sql(text)], values,
+                         lowered_sql(rule, str(rule.severity), has_context))
+    return _hits_sql(fw, rule, [applies_sql(rule), worth_matching_sql(rule, text), rule.gate_sql(text)],
+                     found_values_sql(rule, text, fw.allowlist), lowered_sql(rule, graded_sql(rule, text), has_context))
+
+
 def line_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """Every hit of every line and signature rule, masked at the spot.
 
     ``lines`` carries side, side_ord, pos, file, line_no, text and optionally ``context``
     (MAP<STRING, BOOLEAN>).  Raw text stays inside the expression.
     """
-    context = F.col("context") if "context" in lines.columns else None
+    has_context = "context" in lines.columns
     work = [(fw, r) for fw in rulesets for r in fw.rules if runnable(r)]
     lines = with_scope(lines)
     order = F.shiftleft(F.col("side_ord").cast("bigint"), 60) + F.shiftleft(F.col("pos").cast("bigint"), 20)
     shown_line = F.when(F.col("side") != "removed", F.col("line_no"))
 
     def batch(part):
-        arrays = [(_line_hits if r.kind == "line" else _signature_hits)(fw, r, context) for fw, r in part]
+        arrays = ", ".join(_line_sql(fw, r, has_context) for fw, r in part)
         hits = lines.select(key, "file", "line_no", shown_line.alias("line"), order.alias("base"),
-                            F.inline_outer(F.flatten(F.array(*arrays))))
+                            F.inline_outer(F.expr(f"flatten(array({arrays}))")))
         # The outer form keeps Spark from testing the whole array once more in a filter.
         hits = hits.where(F.col("rule_ord").isNotNull())
         return masking.with_evidence(hits).select(key, "fw_ord", "rule_ord", (F.col("base") + F.col("match_ord")).alias("ord"),
@@ -155,22 +145,16 @@ def _no_hits(df: DataFrame, key: str) -> DataFrame:
 
 def description_hits(changes: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """Rules on the description, taken as one unit: gated once, no file and no line."""
-    context = F.col("context") if "context" in changes.columns else None
+    has_context = "context" in changes.columns
     work = [(fw, r) for fw in rulesets for r in fw.of_kind("description") if r.pattern]
     if not work:
         return _no_hits(changes, key)
-    keep = [key, clamped("description").alias("text")] + (["context"] if context is not None else [])
-    body = changes.select(*keep).where(F.coalesce(F.col("text"), F.lit("")) != "")
-    text = F.col("text")
-
-    def hits(fw, rule):
-        severity = lowered(rule, F.lit(rule.severity), context)
-        found = F.transform(found_values(rule, text, fw.allowlist), lambda m: _hit(
-            fw, rule, m["ord"], severity, m["value"]))
-        return F.when(worth_matching(rule, text) & rule.gate_passes(text), found).otherwise(F.array().cast(_NONE))
-
-    out = body.select(key, F.lit(None).cast("bigint").alias("line_no"),
-                      F.inline_outer(F.flatten(F.array(*[hits(fw, r) for fw, r in work]))))
+    body = changes.select(key, clamped("description").alias("body"), *(["context"] if has_context else []))
+    arrays = ", ".join(
+        _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body"), r.gate_sql("body")],
+                  found_values_sql(r, "body", fw.allowlist), lowered_sql(r, str(r.severity), has_context)) for fw, r in work)
+    out = body.select(key, F.lit(None).cast("bigint").alias("line_no"), F.inline_outer(F.expr(f"flatten(array({arrays}))")))
     out = out.where(F.col("rule_ord").isNotNull())
-    return masking.with_evidence(out, DESCRIPTION_LOCATION).select(key, "fw_ord", "rule_ord", F.col("match_ord").alias("ord"), "severity", "evidence",
-                      F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("line"))
+    return masking.with_evidence(out, DESCRIPTION_LOCATION).select(
+        key, "fw_ord", "rule_ord", F.col("match_ord").alias("ord"), "severity", "evidence",
+        F.lit(None).cast("string").alias("file"), F.lit(None).cast("bigint").alias("line"))

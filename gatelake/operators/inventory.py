@@ -34,7 +34,7 @@ def family(rule_id: Column, match: Column) -> Column:
 def scoped_files(tree: DataFrame, rules: list[Rule]) -> DataFrame:
     """Files with the positions of the rules whose scope covers them, before any content is touched."""
     covering = F.array_compact(F.array(*[
-        F.when(r.in_scope(F.col("path"), F.col("excluded")), F.lit(i)) for i, r in enumerate(_running(rules))]))
+        F.when(F.expr(r.scope_sql("path")), F.lit(i)) for i, r in enumerate(_running(rules))]))
     return tree.withColumn("excluded", globs.is_built_in_exclusion(F.col("path"))) \
         .withColumn("covering", covering).drop("excluded")
 
@@ -91,7 +91,7 @@ def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int = TREE_M
              .select(*REPO, "path", "covering", F.substring("line", 1, MAX_LINE_CHARS).alias("text")))
 
     def found(i: int, r: Rule) -> Column:
-        cond = F.array_contains("covering", i) & r.gate_passes(text)
+        cond = F.array_contains("covering", i) & F.expr(r.gate_sql("text"))
         if r.hint:
             cond = cond & F.contains(text, F.lit(r.hint))
         values = F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))

@@ -11,10 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import masking
-from ..functions.allowlist import is_allowlisted
+from ..functions.allowlist import is_allowlisted_sql
 from ..functions.globs import is_built_in_exclusion
 from ..functions.patterns import js_trim
-from .detect import _lower, clamped, lowered
+from ..functions.text import all_of, found, quoted
+from .detect import clamped, lower_sql, lowered_sql
 from .rules import Rule, Ruleset
 
 SAME, CROSS = " (same-hunk)", " (cross-hunk)"
@@ -40,16 +41,16 @@ def _may_show(rule: Rule) -> Column:
 
 def _halves(fw: Ruleset, rule: Rule, index: int) -> Column:
     """The role of a line in a rule, or null: matched its half, in scope, not excluded."""
-    text, removed = F.col("clamped"), F.col("side") == "removed"
-    ok = rule.in_scope(F.col("file"), F.col("excluded")) & F.when(removed, text.rlike(rule.minus)).otherwise(text.rlike(rule.plus))
+    tests = [rule.scope_sql(), f"if(side = 'removed', {found('clamped', rule.minus)}, {found('clamped', rule.plus)})"]
     if rule.exclude:
-        ok = ok & ~text.rlike(rule.exclude)
+        tests.append(f"not {found('clamped', rule.exclude)}")
     if rule.synthetic:
-        ok = ok & (~removed | ~is_allowlisted(F.regexp_extract(text, rule.minus, 0), fw.allowlist))
-    required = text.rlike(rule.require) if rule.require else F.lit(True)
-    return F.when(ok, F.struct(
-        F.lit(index).alias("rule"), required.alias("met"),
-        F.when(removed & _may_show(rule), F.col("trimmed")).alias("needle"),
+        value = f"regexp_extract(clamped, {quoted(rule.minus)}, 0)"
+        tests.append(f"(side <> 'removed' or not {is_allowlisted_sql(value, fw.allowlist)})")
+    required = found("clamped", rule.require) if rule.require else "true"
+    return F.when(F.expr(all_of(tests)), F.struct(
+        F.lit(index).alias("rule"), F.expr(required).alias("met"),
+        F.when((F.col("side") == "removed") & _may_show(rule), F.col("trimmed")).alias("needle"),
         (F.col("hunk_index") if rule.same_hunk_only else F.lit(-1).cast("bigint")).alias("bucket")))
 
 
@@ -122,7 +123,7 @@ def paired_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> D
     """Hits of the before/after rules: same hunk keeps the action, elsewhere one step down."""
     rules = paired_rules(rulesets)
     partners = paired_partners(lines, rulesets, key)
-    context = F.col("context") if "context" in lines.columns else None
+    has_context = "context" in lines.columns
 
     def per_rule(make):
         return F.coalesce(*[F.when(F.col("rule") == i, make(fw, r)) for i, (fw, r) in enumerate(rules)])
@@ -131,8 +132,8 @@ def paired_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> D
         return F.when(F.col("same_hunk"), _stem(rule, SAME)).otherwise(_stem(rule, CROSS))
 
     def severity(fw, rule):
-        base = F.when(F.col("same_hunk"), F.lit(rule.severity)).otherwise(_lower(F.lit(rule.severity)))
-        return lowered(rule, base, context).cast("int")
+        base = f"if(same_hunk, {rule.severity}, {lower_sql(str(rule.severity))})"
+        return F.expr(lowered_sql(rule, base, has_context))
 
     number = F.coalesce(F.concat(F.lit(":"), F.col("line_no").cast("string")), F.lit(""))
     partners = partners.withColumn("text", F.concat(per_rule(stem), number))

@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from ..constants import CANDIDATE_PATTERN, SEVERITY
 from ..functions import globs, patterns
+from ..functions.text import all_of, found
 
 MAX_RULES = 2000
 
@@ -62,16 +63,13 @@ class Rule:
     def globs(self) -> tuple:
         return self.file_scope + self.exclude_paths
 
-    def in_scope(self, path, built_in=None):
-        return globs.in_scope(path, self.file_scope, self.exclude_paths, built_in)
+    def scope_sql(self, path: str = "file", built_in: str = "excluded") -> str:
+        return globs.in_scope_sql(path, self.file_scope, self.exclude_paths, built_in)
 
-    def gate_passes(self, text):
-        ok = F.lit(True)
-        if self.exclude:
-            ok = ok & ~text.rlike(self.exclude)
-        if self.require:
-            ok = ok & text.rlike(self.require)
-        return ok
+    def gate_sql(self, text: str) -> str:
+        """Neither suppressed nor short of its precondition."""
+        tests = [f"not {found(text, self.exclude)}"] if self.exclude else []
+        return all_of(tests + ([found(text, self.require)] if self.require else []))
 
 
 @dataclass(frozen=True)
