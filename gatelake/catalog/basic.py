@@ -149,9 +149,9 @@ m AS (SELECT change_id, line_no, 'email' AS rule_id, regexp_extract_all(left(tex
 SELECT change_id, line_no, rule_id, generate_subscripts(vs, 1) - 1 AS match_ord, md5(unnest(vs)) AS digest FROM m""")
 def pattern_matches(spark, sf):
     lines = views.doc_lines(spark, sf).withColumn("clamped", detect.clamped("text"))
-    from ..functions.patterns import required_literal, to_java
+    from ..functions.patterns import requirements, to_java
     found = F.array(*[F.struct(F.lit(n).alias("rule_id"), F.when(
-        F.contains("clamped", F.lit(required_literal(p))), cand.matches(F.col("clamped"), to_java(p))).alias("vs"))
+        F.contains("clamped", F.lit(requirements(p)[0])), cand.matches(F.col("clamped"), to_java(p))).alias("vs"))
         for n, p in (("email", EMAIL), ("ipv4", IPV4))])
     rows = lines.select("change_id", "line_no", F.inline(found))
     return rows.where(F.size("vs") > 0).select("change_id", "line_no", "rule_id", F.posexplode("vs").alias("o", "v")).select(

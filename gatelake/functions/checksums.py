@@ -84,22 +84,23 @@ def steuer_id_sql(value: str) -> str:
     return _over_digits(value, "= 11", f"not startswith(digits, '0') and (11 - {product}) % 10 = int(substr(digits, 11, 1))")
 
 
-# Name -> (condition, necessary patterns); a text that contains a valid identifier matches all of them.
+# Name -> (condition, least number of digits, pattern); a text that contains a valid
+# identifier has the digits and matches the pattern.
 _REGISTRY: dict = {
-    "iban": (iban_sql, (f"[0-9][{SPACE}-]*[0-9]", f"[A-Za-z][{SPACE}-]*[A-Za-z][{SPACE}-]*[0-9][{SPACE}-]*[0-9]")),
-    "credit_card": (credit_card_sql, ("[0-9](?:[^0-9]*[0-9]){11}",)),
-    "svnr": (svnr_sql, ("[0-9](?:[^0-9]*[0-9]){9}",)),
-    "steuer_id": (steuer_id_sql, ("[0-9](?:[^0-9]*[0-9]){10}",)),
+    "iban": (iban_sql, 2, f"[A-Za-z][{SPACE}-]*[A-Za-z][{SPACE}-]*[0-9][{SPACE}-]*[0-9]"),
+    "credit_card": (credit_card_sql, 12, None),
+    "svnr": (svnr_sql, 10, None),
+    "steuer_id": (steuer_id_sql, 11, None),
 }
 
 
-def register_validator(name: str, condition, necessary: tuple[str, ...] = ()) -> None:
+def register_validator(name: str, condition, min_digits: int = 0, necessary: str | None = None) -> None:
     """Add a named validator.
 
     ``condition`` maps a SQL value to a SQL condition, e.g. ``lambda v: f"luhn_check({v})"``;
-    ``necessary`` are patterns found in every text that holds a hit.
+    ``min_digits`` and ``necessary`` (a pattern) hold for every text that contains a hit.
     """
-    _REGISTRY[name] = (condition, tuple(necessary))
+    _REGISTRY[name] = (condition, min_digits, necessary)
 
 
 def known(names) -> list[str]:
@@ -111,9 +112,13 @@ def any_valid_sql(names, value: str) -> str:
     return any_of(_REGISTRY[n][0](value) for n in known(names))
 
 
-def could_be_valid_sql(names, text: str) -> str:
+def could_be_valid_sql(names, text: str, digit_count: str) -> str:
     """False only where no named validator can pass on the text or any part of it."""
-    return any_of(all_of(found(text, p) for p in _REGISTRY[n][1]) for n in known(names))
+    rows = [_REGISTRY[n][1:] for n in known(names)]
+    plain = [digits for digits, pattern in rows if pattern is None]
+    tests = [f"{digit_count} >= {min(plain)}"] if plain else []
+    tests += [f"({digit_count} >= {digits} and {found(text, pattern)})" for digits, pattern in rows if pattern]
+    return any_of(tests)
 
 
 def is_valid(name: str, value: Column) -> Column:

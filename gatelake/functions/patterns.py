@@ -30,13 +30,19 @@ _WORD_BEHIND = re.compile(
 _PREFIX = re.compile(r"\(\?([a-z]+)\)")
 _QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
 _GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<[A-Za-z][A-Za-z0-9]*>)")
+_CLASS = re.compile(r"\[\^?(?:\\.|[^\]\\])*\]")
+_REPEAT = re.compile(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})\??")
 _KEPT_ESCAPES = set("dDwW0tnrfcxuk123456789")
 
 
 def _boundary(before: str, after: str) -> str:
     ahead = _WORD_AHEAD.match(after)
     if ahead and not re.match(r"[*?]|\{0", after[ahead.end():]):
-        return r"(?<![0-9A-Za-z_])"
+        # Looking at the next character first fails most positions at once.
+        token = ahead.group(0)
+        if token.startswith("("):
+            token = "[" + "".join(sorted({w[0] for w in re.findall(r"\w+", token, re.ASCII)})) + "]"
+        return rf"(?={token})(?<![0-9A-Za-z_])"
     return r"(?![0-9A-Za-z_])" if _WORD_BEHIND.search(before) else _BOUNDARY
 
 
@@ -146,57 +152,53 @@ def to_java(pattern: str | None, extra: str = "", sticky: bool = True) -> str |
     return java
 
 
-def required_literal(pattern: str | None) -> str | None:
-    """A text every match must contain, or None.
+def requirements(pattern: str | None) -> tuple[str | None, int]:
+    """A text every match must contain (or None), and how many ASCII digits it must hold.
 
-    Testing for it first spares most lines the regular expression.  Only characters outside
-    groups, classes and alternations count; letters do not under the ``i`` flag.
+    Testing for these first spares most lines the regular expression.  Only what stands
+    outside groups and alternations counts; letters do not under the ``i`` flag.
     """
     parts = split_flags(pattern) if pattern else None
     if parts is None:
-        return None
+        return None, 0
     flags, body = parts
-    runs, run, depth, i = [], "", 0, 0
+    runs, run, digits, depth, i = [], "", 0, 0, 0
     while i < len(body):
-        ch, step = body[i], 1
-        literal = None
+        ch, step, literal, is_digit = body[i], 1, None, False
         if ch == "\\":
             step = 2
-            if not body[i + 1:i + 2].isalnum():
-                literal = body[i + 1:i + 2]
-            elif body[i + 1] not in "dDwWsSbB":
-                return None
+            escaped = body[i + 1:i + 2]
+            if not escaped.isalnum():
+                literal = escaped
+            elif escaped not in "dDwWsSbB":
+                return None, 0
+            is_digit = escaped == "d"
         elif ch == "[":
-            end = re.compile(r"\[\^?(?:\\.|[^\]\\])*\]").match(body, i)
+            end = _CLASS.match(body, i)
             if not end:
-                return None
+                return None, 0
             step = end.end() - i
-        elif ch == "(":
-            depth += 1
-        elif ch == ")":
-            depth -= 1
+            is_digit = end.group(0) == "[0-9]"
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
         elif ch == "|" and depth == 0:
-            return None
+            return None, 0
         elif ch not in ".^$*+?{|":
             literal = ch
-        if literal and depth == 0 and not ("i" in flags and (literal.isalpha() or not literal.isascii())):
-            run += literal
-            rest = body[i + step:i + step + 1]
-            if rest and rest in "*?{":
-                runs.append(run[:-1])
-                run = ""
-            elif rest == "+":
-                runs.append(run)
-                run = ""
-        else:
+            is_digit = ch in "0123456789"
+        i += step
+        repeat = _REPEAT.match(body, i)
+        least = 1 if not repeat else {"*": 0, "?": 0, "+": 1}.get(repeat.group(0)[0], int(repeat.group(1) or 0))
+        i = repeat.end() if repeat else i
+        if depth == 0 and is_digit:
+            digits += least
+        usable = literal and depth == 0 and least and not (
+            "i" in flags and (literal.isalpha() or not literal.isascii()))
+        run += literal if usable else ""
+        if repeat or not usable:
             runs.append(run)
             run = ""
-        i += step
-        if ch == "{":
-            close = body.find("}", i)
-            i = close + 1 if close >= 0 else i
-    best = max([*runs, run], key=len)
-    return best or None
+    return max([*runs, run], key=len) or None, digits
 
 
 def count_groups(java_pattern: str) -> int:

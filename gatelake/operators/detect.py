@@ -49,7 +49,13 @@ def lowered_sql(rule: Rule, severity: str, has_context: bool) -> str:
 
 def with_scope(lines: DataFrame) -> DataFrame:
     """Add what every rule asks of a line: its clamped text and the built-in path exclusion."""
-    return lines.withColumns({"clamped": clamped("text"), "excluded": globs.is_built_in_exclusion(F.col("file"))})
+    lines = lines.withColumns({"clamped": clamped("text"), "excluded": globs.is_built_in_exclusion(F.col("file"))})
+    return lines.withColumn("digit_count", F.expr(digit_count_sql("clamped")))
+
+
+def digit_count_sql(text: str) -> str:
+    """ASCII digits in a text; most texts have none, which is quicker to see than to count."""
+    return f"if({found(text, '[0-9]')}, length({checksums.digits_sql(text)}), 0)"
 
 
 def applies_sql(rule: Rule) -> str:
@@ -63,7 +69,7 @@ def found_values_sql(rule: Rule, text: str, allowlist) -> str:
     if not rule.validators:
         values = (f"transform({matches_sql(text, rule.pattern)}, (v, i) -> named_struct('value', v, 'ord', bigint(i)))")
         return f"filter({values}, m -> not {is_allowlisted_sql('m.value', allowlist)})" if rule.synthetic else values
-    tests = [checksums.could_be_valid_sql(rule.validators, "m.value")]
+    tests = [checksums.could_be_valid_sql(rule.validators, "m.value", f"length({checksums.digits_sql('m.value')})")]
     if rule.synthetic:
         tests.append(f"not {is_allowlisted_sql('m.value', allowlist)}")
     values = f"filter({matches_with_cut_sql(text, rule.pattern)}, m -> {all_of(tests)})"
@@ -73,10 +79,14 @@ def found_values_sql(rule: Rule, text: str, allowlist) -> str:
     return f"filter({passed}, m -> {all_of(tests)})"
 
 
-def worth_matching_sql(rule: Rule, text: str) -> str:
-    """Cheap tests that hold on every text with a hit, so most lines never see the pattern."""
-    tests = [f"contains({text}, {quoted(rule.hint)})"] if rule.hint else []
-    return all_of(tests + ([checksums.could_be_valid_sql(rule.validators, text)] if rule.validators else []))
+def worth_matching_sql(rule: Rule, text: str, digit_count: str = "digit_count") -> str:
+    """Cheap tests that hold on every text with a hit, so most lines never see the pattern or the gate."""
+    tests = [f"{digit_count} >= {rule.min_digits}"] if rule.min_digits else []
+    if rule.hint:
+        tests.append(f"contains({text}, {quoted(rule.hint)})")
+    if rule.validators:
+        tests.append(checksums.could_be_valid_sql(rule.validators, text, digit_count))
+    return all_of(tests + ([found(text, rule.pattern)] if rule.gated else []))
 
 
 def first_token_sql(text: str, tokens) -> str:
@@ -151,7 +161,7 @@ def description_hits(changes: DataFrame, rulesets: list[Ruleset], key="change_id
         return _no_hits(changes, key)
     body = changes.select(key, clamped("description").alias("body"), *(["context"] if has_context else []))
     arrays = ", ".join(
-        _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body"), r.gate_sql("body")],
+        _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body", digit_count_sql("body")), r.gate_sql("body")],
                   found_values_sql(r, "body", fw.allowlist), lowered_sql(r, str(r.severity), has_context)) for fw, r in work)
     out = body.select(key, F.lit(None).cast("bigint").alias("line_no"), F.inline_outer(F.expr(f"flatten(array({arrays}))")))
     out = out.where(F.col("rule_ord").isNotNull())

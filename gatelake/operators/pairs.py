@@ -50,7 +50,6 @@ def _halves(fw: Ruleset, rule: Rule, index: int) -> Column:
     required = found("clamped", rule.require) if rule.require else "true"
     return F.when(F.expr(all_of(tests)), F.struct(
         F.lit(index).alias("rule"), F.expr(required).alias("met"),
-        F.when((F.col("side") == "removed") & _may_show(rule), F.col("trimmed")).alias("needle"),
         (F.col("hunk_index") if rule.same_hunk_only else F.lit(-1).cast("bigint")).alias("bucket")))
 
 
@@ -84,13 +83,16 @@ def paired_partners(lines: DataFrame, rulesets: list[Ruleset], key="change_id")
     if "context" in lines.columns:
         keep.append("context")
     halves = (lines.where(F.col("side").isin("added", "removed")).select(*keep)
-              .withColumns({"clamped": clamped("text"), "excluded": is_built_in_exclusion(F.col("file")), "safe_file": masking.safe_label(F.col("file")),
-                            "trimmed": js_trim(F.col("text"))})
-              .withColumn("tail", F.regexp_extract("trimmed", r"(?s)\A(.*:)[0-9]+\z", 1))
+              .withColumns({"clamped": clamped("text"), "excluded": is_built_in_exclusion(F.col("file"))})
               .withColumn("half", F.explode_outer(F.array_compact(F.array(
                   *[_halves(fw, r, i) for i, (fw, r) in enumerate(rules)]))))
-              .where(F.col("half").isNotNull()))
-    halves = _roles(halves.select(*[c for c in keep if c != "text"], "safe_file", "half.*"), key)
+              .where(F.col("half").isNotNull()).select(*keep, "half.*"))
+    # Only the few lines that matched a half are shaped any further.
+    halves = halves.withColumns({"safe_file": masking.safe_label(F.col("file")), "trimmed": js_trim(F.col("text"))})
+    halves = halves.withColumn("tail", F.regexp_extract("trimmed", r"(?s)\A(.*:)[0-9]+\z", 1))
+    shows = F.coalesce(*[F.when(F.col("rule") == i, _may_show(r)) for i, (_, r) in enumerate(rules)])
+    halves = halves.withColumn("needle", F.when((F.col("side") == "removed") & shows, F.col("trimmed")))
+    halves = _roles(halves.drop("text", "trimmed", "tail"), key)
 
     removed, plain = F.col("side") == "removed", F.col("needle").isNull()
     file = Window.partitionBy(key, "rule", "file", "bucket", "role")

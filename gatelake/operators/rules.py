@@ -31,6 +31,7 @@ class Rule:
     sides: tuple = ("added", "removed")
     pattern: str | None = None
     hint: str | None = None
+    min_digits: int = 0
     checksum: bool = False
     validators: tuple = ()
     context: str | None = None
@@ -147,7 +148,7 @@ def _rule(ord_: int, raw: dict, signatures: dict, accepted: set[str]) -> Rule:
     pattern = java(detect.get("pattern"))
     if pattern is None and validators and kind == "line":
         pattern = CANDIDATE_PATTERN
-    hint = patterns.required_literal(detect.get("pattern")) if java(detect.get("pattern")) else None
+    hint, digits = patterns.requirements(detect.get("pattern")) if java(detect.get("pattern")) else (None, 0)
     key = detect.get("signature")
     tokens = signatures.get(key, [key]) if key else []
     lowering, unreadable = _lowering(detect.get("applies_when"))
@@ -155,7 +156,7 @@ def _rule(ord_: int, raw: dict, signatures: dict, accepted: set[str]) -> Rule:
         ord=ord_, id=raw["id"], action=raw.get("action"), kind=kind, tier=raw.get("tier"),
         articles=raw.get("articles"), gdpr_article=raw.get("gdpr_article"), mask=detect.get("mask") or "",
         sides={"added": ("added",), "removed": ("removed",)}.get(detect.get("diff_side"), ("added", "removed")),
-        pattern=pattern, hint=hint, checksum=detect.get("method") == "checksum", validators=validators,
+        pattern=pattern, hint=hint, min_digits=digits, checksum=detect.get("method") == "checksum", validators=validators,
         context=java(detect.get("require_context"), "i", False),
         wants_context=bool(detect.get("require_context")),
         exclude=None if refused else java(detect.get("exclude_pattern"), "", False),

@@ -1,6 +1,7 @@
 """Scan a table of changes, or any table of lines, with compiled rulesets."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -15,7 +16,7 @@ class Scan:
     """Lazy results of one scan; nothing runs until a table is written or read."""
     rulesets: list
     hits: DataFrame
-    stats: DataFrame
+    coverage: Callable[[], DataFrame]
     key: str = "change_id"
     has_description: bool = False
     has_pairs: bool = False
@@ -38,7 +39,7 @@ class Scan:
             F.lit(fw.fw_ord).alias("fw_ord"), F.lit(fw.framework).alias("framework"),
             F.lit(fw.version).cast("bigint").alias("ruleset_version"), F.lit(fw.hash).alias("ruleset_hash"))
             for fw in self.rulesets])
-        base = self.stats.withColumn("_fw", F.explode(frameworks)).select("*", "_fw.*").drop("_fw")
+        base = self.coverage().withColumn("_fw", F.explode(frameworks)).select("*", "_fw.*").drop("_fw")
         counts = self._counts()
         joined = base.join(counts, [self.key, "fw_ord"], "left")
         per_fw = F.coalesce(*[
@@ -66,9 +67,9 @@ class Scan:
 
 def scan_lines(lines: DataFrame, rulesets: list[Ruleset], sources: DataFrame, key="change_id") -> Scan:
     """Scan line rows of any table; ``sources`` lists every key, so quiet ones get a verdict too."""
-    stats = coverage.line_stats(lines, rulesets, key)
     base = sources.select(key, F.lit(False).alias("truncated"), F.lit(False).alias("unreadable"))
-    return Scan(rulesets, detect.line_hits(lines, rulesets, key), base.join(stats, key, "left"), key)
+    return Scan(rulesets, detect.line_hits(lines, rulesets, key),
+                lambda: base.join(coverage.line_stats(lines, rulesets, key), key, "left"), key)
 
 
 def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", keep=()) -> Scan:
@@ -87,8 +88,8 @@ def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", k
         hits = hits.unionByName(detect.description_hits(changes.where(F.col("diff").isNotNull()), rulesets, key))
     notes = coverage.description_columns(rulesets) if described else []
     base = changes.select(key, "truncated", F.col("diff").isNull().alias("unreadable"), *keep, *notes)
-    stats = base.join(coverage.line_stats(lines, rulesets, key), key, "left")
-    return Scan(rulesets, hits, stats, key, described, has_pairs, tuple(keep))
+    return Scan(rulesets, hits, lambda: base.join(coverage.line_stats(lines, rulesets, key), key, "left"), key,
+                described, has_pairs, tuple(keep))
 
 
 def context_booleans(context: Column, rulesets: list[Ruleset]) -> Column:
