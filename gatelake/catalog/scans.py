@@ -239,3 +239,22 @@ def backfill(spark, sf):
     scan = change_scan(spark, sf, keep=("repo", "pr_number", "commit_sha"))
     return scan.verdicts.select("change_id", "repo", "pr_number", "commit_sha", "framework", "ruleset_hash", "verdict",
                                 *COUNTS, "incomplete", F.lit(False).alias("published"))
+
+
+@query("stream_scan", r"""
+SELECT conv_id || '-' || turn AS change_id, CASE WHEN regexp_matches(left(text, 8192), '(?i)\b(the|und|los)\b') THEN 'needs_review' ELSE 'pass' END AS verdict,
+       regexp_matches(left(text, 8192), '(?i)\b(the|und|los)\b')::BIGINT AS n_review FROM conversations""")
+def stream_scan_query(spark, sf):
+    """Conversation turns as a stream of changes, scanned batch by batch."""
+    from ..plans.workspace import shared_folder
+    from ..streaming.changes import stream_scan
+    folder = shared_folder(spark, "stream")
+    rules = [{**d, "rules": [{**r, "detect": {**r["detect"], "exclude_pattern": None}} for r in d["rules"] if r["id"] == "mentions"]}
+             for d in SOUND_RULESETS[:1]]
+    schema = views.table(spark, sf, "conversations").schema
+    turns = spark.readStream.schema(schema).parquet(f"{sf}/conversations.parquet*")
+    changes = turns.select(
+        F.concat_ws("-", "conv_id", "turn").alias("change_id"), F.col("conv_id").cast("string").alias("repo"), F.lit("github").alias("provider"),
+        F.lit(1).alias("pr_number"), F.lit("c0ffee").alias("commit_sha"), F.lit("").alias("diff"), F.col("text").alias("description"))
+    stream_scan(changes, compile_rulesets(spark, rules), folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/verdicts").select("change_id", "verdict", "n_review")
