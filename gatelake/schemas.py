@@ -1,30 +1,17 @@
-"""Fixed table schemas; nothing is inferred."""
-from pyspark.sql import types as T
+"""Fixed table schemas as DDL; nothing is inferred."""
 
-CHANGES = T.StructType.fromDDL(
-    "change_id STRING, repo STRING, provider STRING, pr_number INT, commit_sha STRING, "
-    "diff STRING, description STRING")
-LINES = T.StructType.fromDDL(
-    "change_id STRING, pos INT, side STRING, file STRING, line_no BIGINT, text STRING, hunk_index BIGINT")
-TREE = T.StructType.fromDDL(
-    "repo STRING, commit_sha STRING, path STRING, length BIGINT, content BINARY")
+CHANGES = ("change_id STRING, repo STRING, provider STRING, pr_number INT, commit_sha STRING, "
+           "diff STRING, description STRING")
+LINES = "change_id STRING, pos INT, side STRING, file STRING, line_no BIGINT, text STRING, hunk_index BIGINT"
+TREE = "repo STRING, commit_sha STRING, path STRING, length BIGINT, content BINARY"
 
-DETECT = T.StructType.fromDDL(
-    "method STRING, target STRING, diff_side STRING, pattern STRING, "
-    "paired STRUCT<minus: STRING, plus: STRING, window: STRING>, validator ARRAY<STRING>, "
-    "require_context STRING, exclude_pattern STRING, require_pattern STRING, signature STRING, "
-    "file_scope ARRAY<STRING>, exclude_paths ARRAY<STRING>, allowlist STRING, "
-    "applies_when VARIANT, mask STRING")
-RULE = T.StructType([
-    T.StructField("id", T.StringType()), T.StructField("name", T.StringType()),
-    T.StructField("gdpr_article", T.ArrayType(T.StringType())),
-    T.StructField("articles", T.ArrayType(T.StringType())),
-    T.StructField("relevance", T.ArrayType(T.StringType())),
-    T.StructField("action", T.StringType()), T.StructField("tier", T.IntegerType()),
-    T.StructField("baseline", T.BooleanType()), T.StructField("detect", DETECT),
-])
-ALLOWLIST = T.StructType.fromDDL(
-    "emails ARRAY<STRING>, names ARRAY<STRING>, domains ARRAY<STRING>, ip_ranges ARRAY<STRING>, "
-    "ibans ARRAY<STRING>, cards ARRAY<STRING>")
-SIGNATURES = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
-DROPPED = T.ArrayType(T.VariantType())
+DETECT = ("method: STRING, target: STRING, diff_side: STRING, pattern: STRING, "
+          "paired: STRUCT<minus: STRING, plus: STRING, window: STRING>, validator: ARRAY<STRING>, "
+          "require_context: STRING, exclude_pattern: STRING, require_pattern: STRING, signature: STRING, "
+          "file_scope: ARRAY<STRING>, exclude_paths: ARRAY<STRING>, allowlist: STRING, "
+          "applies_when: VARIANT, mask: STRING")
+RULE = ("id STRING, name STRING, gdpr_article ARRAY<STRING>, articles ARRAY<STRING>, relevance ARRAY<STRING>, "
+        f"action STRING, tier INT, baseline BOOLEAN, detect STRUCT<{DETECT}>")
+ALLOWLIST = ("emails ARRAY<STRING>, names ARRAY<STRING>, domains ARRAY<STRING>, ip_ranges ARRAY<STRING>, "
+             "ibans ARRAY<STRING>, cards ARRAY<STRING>")
+SIGNATURES = "MAP<STRING, ARRAY<STRING>>"
