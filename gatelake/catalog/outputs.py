@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import reports
+from ..plans.workspace import shared_folder
 from . import sql, views
 from .registry import query
 from .scans import _CARD, CHANGES, change_scan, document_scan
@@ -67,7 +68,7 @@ SELECT v.change_id, v.framework, '**Verdict: ' || verdict || '** — ' || n_bloc
 FROM verdicts v LEFT JOIN rows USING (change_id, fw) LEFT JOIN sizes USING (change_id, fw)""")
 def summary_markdown(spark, sf):
     """The summary up to its warnings, which have a query of their own."""
-    scan = document_scan(spark, sf)
+    scan = document_scan(spark, sf).stored(shared_folder(spark, "scan"))
     rows = reports.summaries(scan.verdicts, scan.findings, footer="-- end")
     return rows.select("change_id", "framework", F.regexp_replace("summary", r"(?s)(\n\n\*\*Warnings:\*\*.*)?\n\n-- end\z", "").alias("summary"))
 
@@ -85,12 +86,12 @@ parts AS (SELECT v.change_id, v.fw, '**' || CASE v.fw WHEN 0 THEN 'Data Complian
 SELECT change_id, '<!-- compliance-gate -->' || chr(10) || '### Compliance gate' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY fw) || chr(10) || '_Updated on every pipeline._' AS note
 FROM parts GROUP BY change_id""")
 def note_markdown(spark, sf):
-    scan = change_scan(spark, sf)
+    scan = change_scan(spark, sf).stored(shared_folder(spark, "scan"))
     return reports.notes(scan.verdicts, scan.findings)
 
 
 def _payload_inputs(spark, sf):
-    scan = change_scan(spark, sf)
+    scan = change_scan(spark, sf).stored(shared_folder(spark, "scan"))
     changes = views.changes(spark, sf).select("change_id", "repo", "provider", "pr_number", "commit_sha")
     return changes, scan.verdicts, scan.findings
 

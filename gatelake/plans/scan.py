@@ -2,7 +2,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -22,6 +22,18 @@ class Scan:
     has_pairs: bool = False
     keep: tuple = ()
 
+    def stored(self, folder: str) -> Scan:
+        """The same scan over its written hits and coverage, so several reports read the lines once.
+
+        ``folder`` must be shared by all executors; a lost executor then costs a re-read, not a rescan.
+        """
+        def kept(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{folder}/{name}")
+            return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+        hits, stats = kept(self.hits, "hits"), kept(self.coverage(), "coverage")
+        return replace(self, hits=hits, coverage=lambda: stats)
+
     @property
     def findings(self) -> DataFrame:
         return fnd.findings(self.hits, self.rulesets, self.key)
