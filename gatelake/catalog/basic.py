@@ -206,7 +206,7 @@ WITH t AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') || (['T', ' ', '
 SELECT o_orderkey, md5(CASE WHEN cut THEN 'at ' || stamp ELSE 'at ' || stamp || ' end' END) AS digest, cut,
        cut AND real_hour AS stamp_skipped FROM t""")
 def timestamp_guard(spark, sf):
-    rows = views.table(spark, sf, "orders").select("o_orderkey", F.expr(STAMP).alias("text"))
+    rows = views.spread(spark, sf, "orders").select("o_orderkey", F.expr(STAMP).alias("text"))
     rows = rows.select("o_orderkey", F.explode(cand.matches_with_cut(F.col("text"), CANDIDATE_SQL)).alias("m"))
     return rows.select("o_orderkey", F.md5("m.value").alias("digest"), F.col("m.cut").alias("cut"),
                        (F.col("m.cut") & cand.is_date(F.regexp_replace("m.value", "^at ", ""))).alias("stamp_skipped"))
@@ -224,7 +224,7 @@ i AS (SELECT *, 'DE' || chk || bank || acct AS iban FROM k)
 SELECT c_custkey, (bank || acct || '1314' || chk)::HUGEINT % 97 = 1 AND len(iban) = 22 AS valid,
        CASE WHEN (bank || acct || '1314' || chk)::HUGEINT % 97 = 1 AND len(iban) = 22 THEN md5(iban) END AS digest FROM i""")
 def iban_scan(spark, sf):
-    rows = views.table(spark, sf, "customer").select("c_custkey", F.expr(IBAN_TEXT).alias("text"))
+    rows = views.spread(spark, sf, "customer").select("c_custkey", F.expr(IBAN_TEXT).alias("text"))
     passing = f"transform({cand.matches_with_cut_sql('text', CANDIDATE_SQL)}, m -> {cand.first_passing_sql(['iban'], 'm.value', 'm.cut')})"
     rows = rows.select("c_custkey", F.expr(f"get(filter({passing}, v -> v is not null), 0)").alias("found"))
     return rows.select("c_custkey", F.col("found").isNotNull().alias("valid"), F.md5(checksums.compact(F.col("found"))).alias("digest"))
@@ -271,7 +271,7 @@ v AS (SELECT *, r % 10 AS chk, r <= 9 AND mm BETWEEN 1 AND 12 AND dd BETWEEN 1 A
   CASE WHEN mm = 2 THEN CASE WHEN yy % 4 = 0 THEN 29 ELSE 28 END WHEN mm IN (4, 6, 9, 11) THEN 30 ELSE 31 END AS valid FROM s)
 SELECT l_orderkey, l_linenumber, md5(run || chk || dmy) AS digest, valid, count(*) AS n FROM v GROUP BY ALL""")
 def svnr_scan(spark, sf):
-    rows = views.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("""named_struct(
+    rows = views.spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("""named_struct(
         'run', lpad(string(l_orderkey % 1000), 3, '0'), 'dmy', concat(lpad(string(l_partkey % 32), 2, '0'),
         lpad(string(l_suppkey % 14), 2, '0'), lpad(string(l_orderkey % 100), 2, '0')))""").alias("p"))
     total = sum((F.substring(F.concat("p.run", "p.dmy"), i + 1, 1).cast("int") * w
@@ -289,7 +289,7 @@ p AS (SELECT *, list_reduce(list_prepend(10, list_transform(string_split(ten, ''
 SELECT o_orderkey, md5(ten || ((11 - prod) % 10 + CASE WHEN o_orderkey % 6 = 0 AND (11 - prod) % 10 < 9 THEN 1 ELSE 0 END)) AS digest,
        NOT (o_orderkey % 6 = 0 AND (11 - prod) % 10 < 9) AS valid FROM p""")
 def steuer_id_scan(spark, sf):
-    rows = views.table(spark, sf, "orders").select(
+    rows = views.spread(spark, sf, "orders").select(
         "o_orderkey", (F.col("o_orderkey") * 104729 % 8999999999 + 1000000000).cast("string").alias("ten"))
     # The one check digit that validates, found by offering all ten to the validator.
     digit = F.get(F.filter(F.sequence(F.lit(0), F.lit(9)), lambda d: checksums.steuer_id(
@@ -323,7 +323,7 @@ WITH v AS (SELECT o_orderkey, (['Mail', 'IT', 'ops'])[o_orderkey % 3 + 1] || (o_
 a AS (SELECT DISTINCT 'mail' || (c_custkey % 20) || '@low.org' AS e FROM customer), d AS (SELECT DISTINCT lower(n) || '.org' AS e FROM (VALUES ('HIGH'), ('URGENT')) x(n))
 SELECT o_orderkey, md5(v) AS digest FROM v WHERE lower(v) NOT IN (SELECT e FROM a) AND split_part(lower(v), '@', 2) NOT IN (SELECT e FROM d)""")
 def allowlist_anti(spark, sf):
-    hits = views.table(spark, sf, "orders").select("o_orderkey", F.expr(ALLOW_VALUE).alias("value"))
+    hits = views.spread(spark, sf, "orders").select("o_orderkey", F.expr(ALLOW_VALUE).alias("value"))
     mails = views.table(spark, sf, "customer").select(F.lit("emails").alias("kind"), F.expr(
         "concat('mail', string(c_custkey % 20), '@low.org')").alias("entry"))
     domains = views.table(spark, sf, "customer").select(F.lit("domains").alias("kind"), F.explode(F.array(

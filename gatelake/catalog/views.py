@@ -10,11 +10,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    """A table of long texts, spread over the cores where it was written as one small file.
+def spread(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table whose rows are costly to check, spread over the cores where it was written as one small file.
 
-    Lines cost far more to scan than to ship, but a table that already has enough splits
-    is never shuffled.
+    Such rows cost far more to check than to ship, but a table that already has enough
+    splits is never shuffled.
     """
     df = table(spark, sf, name)
     cores = spark.sparkContext.defaultParallelism
@@ -26,7 +26,7 @@ def doc_path() -> Column:
 
 
 def documents(spark, sf) -> DataFrame:
-    return texts(spark, sf, "documents")
+    return spread(spark, sf, "documents")
 
 
 def doc_lines(spark, sf) -> DataFrame:
@@ -66,12 +66,12 @@ def contexts(spark, sf) -> DataFrame:
 
 def turns(spark, sf) -> DataFrame:
     """Every conversation turn as the description of a change."""
-    t = texts(spark, sf, "conversations")
+    t = spread(spark, sf, "conversations")
     return t.select(F.concat_ws("-", "conv_id", "turn").alias("change_id"), F.col("text").alias("description"))
 
 
 def pages_lines(spark, sf) -> DataFrame:
-    return text_lines(texts(spark, sf, "pages"), "page_id", "html", page_path())
+    return text_lines(spread(spark, sf, "pages"), "page_id", "html", page_path())
 
 
 def page_path() -> Column:
@@ -87,7 +87,7 @@ IMPORTS = """concat('import x from "', get(array('@ai-sdk/openai', 'langchain/op
 def tree(spark, sf, content=lambda html: html) -> DataFrame:
     """Pages as files of seven repositories, each with an import and an endpoint line added."""
     body = content(F.col("html"))
-    return texts(spark, sf, "pages").select(
+    return spread(spark, sf, "pages").select(
         F.expr("concat('org/site', page_id % 7)").alias("repo"), F.lit("c0ffee").alias("commit_sha"), page_path().alias("path"),
         body.cast("binary").alias("content")).withColumn("length", F.octet_length("content").cast("bigint"))
 

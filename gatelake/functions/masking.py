@@ -7,9 +7,11 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import EXPORT_MAX_CHARS, EXPORT_MAX_ITEMS, MAX_LABEL_CHARS
-from .patterns import SPACE, js_trim
+from .patterns import SPACE, TRIM, js_trim
+from .text import quoted, replaced
 
 ELLIPSIS = "…"
+TLD = r"\.([^.]+)\z"
 
 
 def clip(value: Column, limit: int, mark: str = ELLIPSIS, keep: int | None = None) -> Column:
@@ -25,7 +27,7 @@ def mask_generic(value: Column) -> Column:
 
 def mask_email(value: Column) -> Column:
     at = F.locate("@", value)
-    tld = F.regexp_extract(F.substr(value, at + 1), r"\.([^.]+)\z", 1)
+    tld = F.regexp_extract(F.substr(value, at + 1), TLD, 1)
     masked = F.concat(F.substring(value, 1, 1), F.lit("***@***"),
                       F.when(tld != "", F.concat(F.lit("."), tld)).otherwise(""))
     return F.when((at > 1) & (at < F.length(value)), masked).otherwise(mask_generic(value))
@@ -79,26 +81,33 @@ def evidence(label: Column, raw: Column, file: Column, line: Column | None = Non
     return hide(F.concat(safe_label(label), F.lit(" @ "), location(file, line)), raw)
 
 
+def _flat_sql(value: str) -> str:
+    return replaced(replaced(replaced(value, r"[\r\n\t]+", " "), r"[|`]", " "), TRIM)
+
+
+def _bounded_sql(flat: str) -> str:
+    return (f"case when coalesce({flat}, '') = '' then '***' when length({flat}) > {MAX_LABEL_CHARS} "
+            f"then concat(substr({flat}, 1, {MAX_LABEL_CHARS}), '{ELLIPSIS}') else {flat} end")
+
+
 def with_evidence(hits: DataFrame, fixed_file: str | None = None) -> DataFrame:
     """Replace (mask, value, is_token) by the masked evidence string.
 
     Built column by column, so no intermediate is evaluated twice.
     """
-    value, mask = F.col("value"), F.col("mask")
-    emailish = value.contains("@") & value.contains(".")
-    label = (F.when(F.col("is_token"), F.concat(mask, F.lit(":"), clip(value, 60)))
-             .when(emailish, F.concat(mask, F.lit(" ("), mask_email(value), F.lit(")")))
-             .otherwise(mask))
-    if fixed_file is not None:
-        label = mask
-    hits = hits.withColumns({"_label": _flat(label), "_needle": js_trim(value),
-                             "_file": F.lit(fixed_file) if fixed_file else _flat(F.col("file"))})
-    hits = hits.withColumns({"_label": _bounded(F.col("_label")), "_file": _bounded(F.col("_file"))})
-    hits = hits.withColumn("_text", F.concat("_label", F.lit(" @ "), "_file", F.coalesce(
-        F.concat(F.lit(":"), F.col("line_no").cast("string")), F.lit(""))))
-    shown = F.when(F.col("_needle") != "", F.replace("_text", F.col("_needle"), F.lit("***"))).otherwise(F.col("_text"))
-    return hits.withColumn("evidence", shown).drop(
-        "_label", "_needle", "_file", "_text", "value", "mask", "is_token", "line_no")
+    kept = [c for c in hits.columns if c not in ("value", "mask", "is_token", "line_no")]
+    tld = f"nullif(regexp_extract(substr(value, instr(value, '@') + 1), {quoted(TLD)}, 1), '')"
+    mail = f"concat(substr(value, 1, 1), '***@***', coalesce(concat('.', {tld}), ''))"
+    masked = (f"case when instr(value, '@') between 2 and length(value) - 1 then {mail} "
+              f"when length({replaced('value', TRIM)}) > 1 then concat(substr({replaced('value', TRIM)}, 1, 1), '***') else '***' end")
+    label = (f"case when is_token then concat(mask, ':', if(length(value) > 60, concat(substr(value, 1, 60), '{ELLIPSIS}'), value)) "
+             f"when contains(value, '@') and contains(value, '.') then concat(mask, ' (', {masked}, ')') else mask end")
+    label = "mask" if fixed_file is not None else label
+    file = quoted(fixed_file) if fixed_file else _flat_sql("file")
+    hits = hits.selectExpr(*kept, "line_no", f"{_flat_sql(label)} as _label", f"{replaced('value', TRIM)} as _needle", f"{file} as _file")
+    hits = hits.selectExpr(*kept, "_needle", f"concat({_bounded_sql('_label')}, ' @ ', {_bounded_sql('_file')}, "
+                           "coalesce(concat(':', string(line_no)), '')) as _text")
+    return hits.selectExpr(*kept, "if(_needle <> '', replace(_text, _needle, '***'), _text) as evidence")
 
 
 def group_digits(value: Column) -> Column:

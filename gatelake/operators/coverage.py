@@ -39,6 +39,21 @@ def _pair_gate_counts(fw: Ruleset, rule: Rule) -> list[Column]:
     return out
 
 
+def text_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
+    """``line_stats`` of plain text lines, which have no hunks and no removed side: file, then key."""
+    files = with_scope(lines).groupBy(key, "file").agg(
+        F.min(F.when(F.length("text") > MAX_LINE_CHARS, F.col("pos"))).alias("long_plus"),
+        *[_suppressed_lines(fw, r) for fw, r in _gated_lines(rulesets)])
+    files = files.withColumns({c: F.lit(None).cast("int") for c in ("long_minus", "hunk_long", "file_long")})
+    named = [F.array_sort(F.collect_list(_long_file(fw))).alias(f"long_{fw.fw_ord}") for fw in rulesets]
+    return files.groupBy(key).agg(*[F.sum(c).alias(c) for c in files.columns if c.startswith("sup_")], *named)
+
+
+def _suppressed_lines(fw: Ruleset, rule: Rule) -> Column:
+    return F.expr(f"count_if(side in ('added', 'removed') and {applies_sql(rule)} and not {rule.gate_sql('clamped')})").alias(
+        f"sup_{_name(fw, rule)}")
+
+
 def line_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """One row per change: pair counts, suppressed lines per rule and files with clamped lines.
 
@@ -53,10 +68,7 @@ def line_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> Da
     def over(cond):
         return F.min(F.when(cond & long, F.col("pos")))
 
-    counters = [
-        F.expr(f"count_if(side in ('added', 'removed') and {applies_sql(r)} and not {r.gate_sql('clamped')})").alias(
-            f"sup_{_name(fw, r)}")
-        for fw, r in _gated_lines(rulesets)]
+    counters = [_suppressed_lines(fw, r) for fw, r in _gated_lines(rulesets)]
     for fw, r in _gated_pairs(rulesets):
         counters += _pair_gate_counts(fw, r)
     hunks = rows.groupBy(key, "file", "hunk_index").agg(

@@ -1,10 +1,11 @@
 """Unified diffs to line tables."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..constants import DIFF_METADATA_PREFIXES
 from ..functions.patterns import to_java
+from ..functions.text import any_of, found, quoted
 
 # --- fixed values: header forms ---------------------------------------------------------------
 GIT_HEADER = to_java(r"^diff --git a\/(.+?) b\/(.+)$")
@@ -13,13 +14,6 @@ OLD_FILE = to_java(r"^--- a\/(.+)$")
 HUNK = to_java(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
-def _any_prefix(raw: Column) -> Column:
-    cond = F.lit(False)
-    for p in DIFF_METADATA_PREFIXES:
-        cond = cond | raw.startswith(p)
-    return cond
-
-
 def raw_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
     """One row per physical diff line.
 
@@ -33,14 +27,18 @@ def raw_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
     return lines.where(F.col("pos").isNotNull())
 
 
-def classify(raw: Column) -> Column:
+def _kind_sql() -> str:
     """git header / new path / old path / hunk / metadata / content; the first that fits."""
-    return (F.when(raw.startswith("diff --git a/") & raw.rlike(GIT_HEADER), F.lit("git"))
-            .when(raw.startswith("+++ b/") & raw.rlike(NEW_FILE), "new")
-            .when(raw.startswith("--- a/") & raw.rlike(OLD_FILE), "old")
-            .when(raw.startswith("@@ -") & raw.rlike(HUNK), "hunk")
-            .when(_any_prefix(raw), "meta")
-            .otherwise("content"))
+    meta = any_of(f"startswith(raw, {quoted(p)})" for p in DIFF_METADATA_PREFIXES)
+    return (f"case when startswith(raw, 'diff --git a/') and {found('raw', GIT_HEADER)} then 'git' "
+            f"when startswith(raw, '+++ b/') and {found('raw', NEW_FILE)} then 'new' "
+            f"when startswith(raw, '--- a/') and {found('raw', OLD_FILE)} then 'old' "
+            f"when startswith(raw, '@@ -') and {found('raw', HUNK)} then 'hunk' "
+            f"when {meta} then 'meta' else 'content' end")
+
+
+def _part(pattern: str, group: int) -> str:
+    return f"regexp_extract(raw, {quoted(pattern)}, {group})"
 
 
 def all_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
@@ -48,43 +46,30 @@ def all_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
 
     One sort per change: all windows share (change, position), in two levels.
     """
-    lines = raw_lines(changes, key, keep)
-    raw, kind = F.col("raw"), F.col("kind")
-    lines = lines.withColumn("kind", classify(raw))
-    path = (F.when(kind == "git", F.regexp_extract(raw, GIT_HEADER, 2))
-            .when((kind == "new") & (raw != "+++ b//dev/null"), F.regexp_extract(raw, NEW_FILE, 1)))
-    old_path = F.when((kind == "old") & (raw != "--- a//dev/null"), F.regexp_extract(raw, OLD_FILE, 1))
-    mark = raw.substr(1, 1)
-    lines = lines.select(
-        key, *keep, "pos", "raw", "kind", path.alias("path"), old_path.alias("old_path"),
-        F.when(kind == "content", F.when(mark == "+", "added").when(mark == "-", "removed")
-               .otherwise("context")).alias("mark"),
-        F.when(kind == "hunk", F.regexp_extract(raw, HUNK, 1).try_cast("bigint")).alias("old_start"),
-        F.when(kind == "hunk", F.regexp_extract(raw, HUNK, 3).try_cast("bigint")).alias("new_start"))
-    w = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-    def run(cond):
-        return F.sum(F.when(cond, 1).otherwise(0).cast("bigint")).over(w)
-
-    def last(col):
-        return F.last(col, ignorenulls=True).over(w)
-
-    first = lines.select(
-        "*",
-        F.coalesce(last(F.col("path")), F.first("old_path", ignorenulls=True).over(w), F.lit("")).alias("file"),
-        last(F.when(kind.isin("git", "hunk"), kind)).alias("scope"),
-        run(kind == "hunk").alias("hunks"),
-        run(F.col("mark").isin("removed", "context")).alias("olds"),
-        run(F.col("mark").isin("added", "context")).alias("news"))
-    old_no = last(F.col("old_start") - F.col("olds")) + F.col("olds") - 1
-    new_no = last(F.col("new_start") - F.col("news")) + F.col("news") - 1
-    hunk_index = F.col("hunks") - F.coalesce(last(F.when(kind == "git", F.col("hunks"))), F.lit(0)) - 1
-    side = F.when((kind == "content") & (F.col("scope") == "hunk"), F.col("mark"))
-    return first.select(
-        key, *keep, "pos", side.alias("side"), "file",
-        F.when(side == "removed", old_no).otherwise(new_no).alias("line_no"),
-        F.when(raw.substr(1, 1).isin("+", "-", " "), F.substr(raw, F.lit(2))).otherwise(raw).alias("text"),
-        hunk_index.alias("hunk_index"))
+    carried = [key, *keep, "pos", "raw", "kind"]
+    lines = raw_lines(changes, key, keep).selectExpr("*", f"{_kind_sql()} as kind").selectExpr(
+        *carried,
+        f"case when kind = 'git' then {_part(GIT_HEADER, 2)} when kind = 'new' and raw <> '+++ b//dev/null' then {_part(NEW_FILE, 1)} end as path",
+        f"case when kind = 'old' and raw <> '--- a//dev/null' then {_part(OLD_FILE, 1)} end as old_path",
+        "case when kind = 'content' then case substr(raw, 1, 1) when '+' then 'added' when '-' then 'removed' else 'context' end end as mark",
+        f"case when kind = 'hunk' then try_cast({_part(HUNK, 1)} as bigint) end as old_start",
+        f"case when kind = 'hunk' then try_cast({_part(HUNK, 3)} as bigint) end as new_start")
+    w = f"over (partition by {key} order by pos rows between unbounded preceding and current row)"
+    first = lines.selectExpr(
+        *carried, "mark", "old_start", "new_start",
+        f"coalesce(last(path, true) {w}, first(old_path, true) {w}, '') as file",
+        f"last(if(kind in ('git', 'hunk'), kind, null), true) {w} as scope",
+        f"sum(if(kind = 'hunk', 1L, 0L)) {w} as hunks",
+        f"sum(if(mark in ('removed', 'context'), 1L, 0L)) {w} as olds",
+        f"sum(if(mark in ('added', 'context'), 1L, 0L)) {w} as news")
+    second = first.selectExpr(
+        *carried, "file", "if(kind = 'content' and scope = 'hunk', mark, null) as side", "hunks", "olds", "news",
+        f"last(old_start - olds, true) {w} as old_base", f"last(new_start - news, true) {w} as new_base",
+        f"last(if(kind = 'git', hunks, null), true) {w} as hunk_base")
+    return second.selectExpr(
+        key, *keep, "pos", "side", "file", "if(side = 'removed', old_base + olds, new_base + news) - 1 as line_no",
+        "if(substr(raw, 1, 1) in ('+', '-', ' '), substr(raw, 2), raw) as text",
+        "hunks - coalesce(hunk_base, 0) - 1 as hunk_index")
 
 
 def diff_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:

@@ -81,7 +81,7 @@ def scan_lines(lines: DataFrame, rulesets: list[Ruleset], sources: DataFrame, ke
     """Scan line rows of any table; ``sources`` lists every key, so quiet ones get a verdict too."""
     base = sources.select(key, F.lit(False).alias("truncated"), F.lit(False).alias("unreadable"))
     return Scan(rulesets, detect.line_hits(lines, rulesets, key),
-                lambda: base.join(coverage.line_stats(lines, rulesets, key), key, "left"), key)
+                lambda: base.join(coverage.text_stats(lines, rulesets, key), key, "left"), key)
 
 
 def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", keep=()) -> Scan:
