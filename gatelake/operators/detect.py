@@ -37,14 +37,26 @@ def graded_sql(rule: Rule, text: str) -> str:
     return f"if({found(text, rule.context)}, {rule.severity}, {missing})"
 
 
-def lowered_sql(rule: Rule, severity: str, has_context: bool) -> str:
+def _lowered_sql(rule: Rule) -> str:
     """Context grading: the first entry whose booleans all hold, and only downwards."""
-    if not rule.lowering or not has_context:
-        return f"int({severity})"
     arms = " ".join(
         "when " + all_of(f"coalesce(try_element_at(context, {quoted(k)}) = {str(v).lower()}, false)" for k, v in conditions)
         + f" then {SEVERITY[action]}" for conditions, action in rule.lowering)
-    return f"int(greatest({severity}, case {arms} else 0 end))"
+    return f"int(greatest(severity, case {arms} else 0 end))"
+
+
+def graded_by_context(hits: DataFrame, contexts: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
+    """Lower hits by their change's context, a MAP<STRING, BOOLEAN> in ``contexts``.
+
+    Joined to the few hits and not carried on the lines, so that every branch of a scan
+    reads the same shuffled diffs.
+    """
+    arms = " ".join(f"when fw_ord = {fw.fw_ord} and rule_ord = {r.ord} then {_lowered_sql(r)}"
+                    for fw in rulesets for r in fw.rules if r.lowering)
+    if not arms:
+        return hits
+    columns = [f"case {arms} else severity end as severity" if c == "severity" else c for c in hits.columns]
+    return hits.join(contexts.select(key, "context"), key, "left").selectExpr(*columns)
 
 
 def with_scope(lines: DataFrame) -> DataFrame:
@@ -110,31 +122,28 @@ def _hits_sql(fw: Ruleset, rule: Rule, conditions, values: str, severity: str) -
     return f"if({all_of(conditions)}, transform({values}, m -> {hit}), cast(array() as {_NONE}))"
 
 
-def _line_sql(fw: Ruleset, rule: Rule, has_context: bool) -> str:
+def _line_sql(fw: Ruleset, rule: Rule) -> str:
     text = "clamped"
     if rule.kind == "signature":
         token = first_token_sql(text, rule.tokens)
         values = f"filter(array(named_struct('value', {token}, 'ord', bigint(0))), m -> m.value is not null)"
-        return _hits_sql(fw, rule, [applies_sql(rule), rule.gate_sql(text)], values,
-                         lowered_sql(rule, str(rule.severity), has_context))
+        return _hits_sql(fw, rule, [applies_sql(rule), rule.gate_sql(text)], values, str(rule.severity))
     return _hits_sql(fw, rule, [applies_sql(rule), worth_matching_sql(rule, text), rule.gate_sql(text)],
-                     found_values_sql(rule, text, fw.allowlist), lowered_sql(rule, graded_sql(rule, text), has_context))
+                     found_values_sql(rule, text, fw.allowlist), graded_sql(rule, text))
 
 
 def line_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """Every hit of every line and signature rule, masked at the spot.
 
-    ``lines`` carries side, side_ord, pos, file, line_no, text and optionally ``context``
-    (MAP<STRING, BOOLEAN>).  Raw text stays inside the expression.
+    ``lines`` carries side, side_ord, pos, file, line_no and text.
     """
-    has_context = "context" in lines.columns
     work = [(fw, r) for fw in rulesets for r in fw.rules if runnable(r)]
     lines = with_scope(lines)
     order = F.shiftleft(F.col("side_ord").cast("bigint"), 60) + F.shiftleft(F.col("pos").cast("bigint"), 20)
     shown_line = F.when(F.col("side") != "removed", F.col("line_no"))
 
     def batch(part):
-        arrays = ", ".join(_line_sql(fw, r, has_context) for fw, r in part)
+        arrays = ", ".join(_line_sql(fw, r) for fw, r in part)
         hits = lines.select(key, "file", "line_no", shown_line.alias("line"), order.alias("base"),
                             F.inline_outer(F.expr(f"flatten(array({arrays}))")))
         # The outer form keeps Spark from testing the whole array once more in a filter.
@@ -155,14 +164,13 @@ def _no_hits(df: DataFrame, key: str) -> DataFrame:
 
 def description_hits(changes: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """Rules on the description, taken as one unit: gated once, no file and no line."""
-    has_context = "context" in changes.columns
     work = [(fw, r) for fw in rulesets for r in fw.of_kind("description") if r.pattern]
     if not work:
         return _no_hits(changes, key)
-    body = changes.select(key, clamped("description").alias("body"), *(["context"] if has_context else []))
+    body = changes.select(key, clamped("description").alias("body"))
     arrays = ", ".join(
         _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body", digit_count_sql("body")), r.gate_sql("body")],
-                  found_values_sql(r, "body", fw.allowlist), lowered_sql(r, str(r.severity), has_context)) for fw, r in work)
+                  found_values_sql(r, "body", fw.allowlist), str(r.severity)) for fw, r in work)
     out = body.select(key, F.lit(None).cast("bigint").alias("line_no"), F.inline_outer(F.expr(f"flatten(array({arrays}))")))
     out = out.where(F.col("rule_ord").isNotNull())
     return masking.with_evidence(out, DESCRIPTION_LOCATION).select(

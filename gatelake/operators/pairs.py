@@ -15,7 +15,7 @@ from ..functions.allowlist import is_allowlisted_sql
 from ..functions.globs import is_built_in_exclusion
 from ..functions.patterns import js_trim
 from ..functions.text import all_of, found, quoted
-from .detect import clamped, lower_sql, lowered_sql
+from .detect import clamped, lower_sql
 from .rules import Rule, Ruleset
 
 SAME, CROSS = " (same-hunk)", " (cross-hunk)"
@@ -80,8 +80,6 @@ def paired_partners(lines: DataFrame, rulesets: list[Ruleset], key="change_id")
     """Added lines that have a partner: (rule, plus line, same_hunk, minus_pos, needle)."""
     rules = paired_rules(rulesets)
     keep = [key, "pos", "side", "file", "line_no", "text", "hunk_index"]
-    if "context" in lines.columns:
-        keep.append("context")
     halves = (lines.where(F.col("side").isin("added", "removed")).select(*keep)
               .withColumns({"clamped": clamped("text"), "excluded": is_built_in_exclusion(F.col("file"))})
               .withColumn("half", F.explode_outer(F.array_compact(F.array(
@@ -125,7 +123,6 @@ def paired_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> D
     """Hits of the before/after rules: same hunk keeps the action, elsewhere one step down."""
     rules = paired_rules(rulesets)
     partners = paired_partners(lines, rulesets, key)
-    has_context = "context" in lines.columns
 
     def per_rule(make):
         return F.coalesce(*[F.when(F.col("rule") == i, make(fw, r)) for i, (fw, r) in enumerate(rules)])
@@ -134,8 +131,7 @@ def paired_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> D
         return F.when(F.col("same_hunk"), _stem(rule, SAME)).otherwise(_stem(rule, CROSS))
 
     def severity(fw, rule):
-        base = f"if(same_hunk, {rule.severity}, {lower_sql(str(rule.severity))})"
-        return F.expr(lowered_sql(rule, base, has_context))
+        return F.expr(f"if(same_hunk, {rule.severity}, {lower_sql(str(rule.severity))})")
 
     number = F.coalesce(F.concat(F.lit(":"), F.col("line_no").cast("string")), F.lit(""))
     partners = partners.withColumn("text", F.concat(per_rule(stem), number))

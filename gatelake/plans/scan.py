@@ -88,8 +88,7 @@ def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", k
     """Scan changes (diff, description, optional truncated and context MAP<STRING, BOOLEAN>)."""
     if "truncated" not in changes.columns:
         changes = changes.withColumn("truncated", F.lit(False))
-    carried = ["context"] if "context" in changes.columns else []
-    lines = all_lines(changes, key, carried)
+    lines = all_lines(changes, key)
     sided = side_lines(lines)
     hits = detect.line_hits(sided, rulesets, key)
     has_pairs = bool(pairs.paired_rules(rulesets))
@@ -98,6 +97,8 @@ def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", k
     described = any(r.pattern for fw in rulesets for r in fw.of_kind("description"))
     if described:
         hits = hits.unionByName(detect.description_hits(changes.where(F.col("diff").isNotNull()), rulesets, key))
+    if "context" in changes.columns:
+        hits = detect.graded_by_context(hits, changes, rulesets, key)
     notes = coverage.description_columns(rulesets) if described else []
     base = changes.select(key, "truncated", F.col("diff").isNull().alias("unreadable"), *keep, *notes)
     return Scan(rulesets, hits, lambda: base.join(coverage.line_stats(lines, rulesets, key), key, "left"), key,
