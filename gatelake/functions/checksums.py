@@ -8,7 +8,7 @@ from pyspark.sql import Column, functions as F
 
 from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, DAYS_IN_MONTH, IBAN_BBAN, SVNR_WEIGHTS
 from .patterns import SPACE
-from .text import all_of, any_of, applied, found, once, replaced
+from .text import any_of, applied, found, once, replaced
 
 
 def digits_sql(value: str) -> str:

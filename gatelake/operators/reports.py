@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..constants import (DEFAULT_FRAMEWORK, DEFAULT_PROVIDER, DESCRIPTION_PATH, EXPORT_MAX_FINDINGS, FRAMEWORK_ARTICLE_LABELS,
                          FRAMEWORK_SLUGS, FRAMEWORK_TITLES, NOTE_MAX_ROWS, SUMMARY_MAX_ROWS)
 from ..functions import masking
-from .findings import severity_rank, top_by_severity
+from .findings import top_by_severity
 
 KEYS = ("change_id", "framework")
 
