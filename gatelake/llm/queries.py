@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, simhash, token_counts, token_files
+from . import exact_dedup, mixing, packing, pii, quality_rules, simhash, token_counts, token_files
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op2_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.draws(table(spark, sf_dir, "documents"))
 
@@ -23,6 +27,10 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,5 +39,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op6_simhash, op8_packing, op10_token_files)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op6_simhash, op7_pii, op8_packing, op10_token_files)}
 ORACLES = {"op4_exact_dedup": exact_dedup.QUERY_SQL}

@@ -8,7 +8,6 @@ proven by encoding each of them, before any text is read.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +30,7 @@ def model(name: str = MODEL) -> sentencepiece.SentencePieceProcessor:
 
 
 def whole_tokens(name: str = MODEL) -> frozenset[str]:
-    """Vocabulary strings that start with a space and encode alone as one token.
+    """Vocabulary strings that start with a space and encode alone as one token, without that space.
 
     Raises if a piece holds a space after another character, or if the model changes text before it merges: the
     counts by pre-token would then be wrong.
@@ -44,13 +43,18 @@ def whole_tokens(name: str = MODEL) -> frozenset[str]:
     if crossing or sp.normalize(probe) != SPACE + probe.replace(" ", SPACE):
         raise ValueError(f"{name} does not split at spaces: {crossing[:3]}")
     own = [(i, p) for i, p in pieces if p.startswith(SPACE)]
-    return frozenset(p for (i, p), ids in zip(own, sp.encode([p[1:].replace(SPACE, " ") for _, p in own], num_threads=1), strict=True)
-                     if ids == [i])
+    bare = [p[1:].replace(SPACE, " ") for _, p in own]
+    return frozenset(b for b, (i, _), ids in zip(bare, own, sp.encode(bare, num_threads=1), strict=True) if ids == [i])
 
 
 def pre_tokens(text: str) -> list[str]:
-    """The pre-tokens of a text as the model sees it: one space in front, each space as its visible sign."""
-    return _PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    """The pre-tokens of a text, each without its first space: encoding one of these puts that space in front again."""
+    if not text:
+        return []
+    found = text.split(" ")
+    if "" in found or SPACE in text:  # runs of spaces, spaces at an end, or the visible sign itself
+        found = [p[1:].replace(SPACE, " ") for p in _PRE_TOKEN.findall(SPACE + text.replace(" ", SPACE))]
+    return found
 
 
 class Counts:
@@ -61,19 +65,15 @@ class Counts:
 
     def tokens(self, texts: list[str]) -> list[int]:
         """Tokens of every text. Pre-tokens outside the shortcut and not yet known are merged in one call."""
-        found = [Counter(pre_tokens(t)) for t in texts]
-        if len(self.memory) > REMEMBERED:
-            self.memory = {}
-        new = list({p for one in found for p in one if p not in self.shortcut and p not in self.memory})
+        if not 0 < len(self.memory) < REMEMBERED:
+            self.memory = dict.fromkeys(self.shortcut, 1)
+            # A lone space comes back from the empty string as no token at all.
+            self.memory[""] = len(self.sp.encode("a ")) - len(self.sp.encode("a"))
+        found = [pre_tokens(t) for t in texts]
+        new = list(set().union(*found).difference(self.memory))
         if new:
-            ids = self.sp.encode([p[1:].replace(SPACE, " ") for p in new], num_threads=1)
-            # A lone space is the one pre-token that comes back from an empty string, as no token at all.
-            self.memory.update((p, len(i) if len(p) > 1 else self._lone()) for p, i in zip(new, ids, strict=True))
-        shortcut, memory = self.shortcut, self.memory
-        return [sum(n if p in shortcut else n * memory[p] for p, n in one.items()) for one in found]
-
-    def _lone(self) -> int:
-        return len(self.sp.encode("a ")) - len(self.sp.encode("a"))
+            self.memory.update(zip(new, map(len, self.sp.encode(new, num_threads=1)), strict=True))
+        return [sum(map(self.memory.__getitem__, one)) for one in found]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, name: str = MODEL) -> DataFrame:
