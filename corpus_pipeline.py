@@ -6,10 +6,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatelake.llm import exact_dedup, mixing, packing, simhash
+from gatelake.llm import exact_dedup, language_id, mixing, packing, simhash
 from gatelake.llm.common import stored, table
 
 
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text has a language stay; text in no learned language, or without a letter, goes."""
+    return language_id.keep_identified(docs)
+
+
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays, that with the largest doc_id."""
     return exact_dedup.drop_copies(docs)
@@ -30,7 +35,7 @@ def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack_documents(docs)
 
 
-STAGES = [("exact dedup", distinct_texts), ("simhash near-dedup", distinct_fingerprints),
+STAGES = [("language id", identified), ("exact dedup", distinct_texts), ("simhash near-dedup", distinct_fingerprints),
           ("source mixing", mixed_sources), ("best-fit packing", packed_sequences)]
 #: Token ids, fingerprints and a trained model are beyond SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, pii, quality_rules, simhash, token_counts, token_files
+from . import exact_dedup, language_id, mixing, packing, pii, quality_rules, simhash, token_counts, token_files
 from .common import table
 
 
@@ -35,10 +35,15 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op6_simhash, op7_pii, op8_packing, op10_token_files)}
+    op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op6_simhash, op7_pii, op8_packing,
+    op9_language_id, op10_token_files)}
 ORACLES = {"op4_exact_dedup": exact_dedup.QUERY_SQL}
