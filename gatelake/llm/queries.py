@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, pii, quality_rules, simhash, token_counts, token_files
+from . import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash, token_counts, token_files
 from .common import table
 
 
@@ -23,6 +23,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
@@ -44,6 +48,6 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op6_simhash, op7_pii, op8_packing,
-    op9_language_id, op10_token_files)}
+    op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op5_quality_classifier, op6_simhash, op7_pii,
+    op8_packing, op9_language_id, op10_token_files)}
 ORACLES = {"op4_exact_dedup": exact_dedup.QUERY_SQL}
