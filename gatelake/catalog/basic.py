@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES
+from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, LONG_LINE_CHARS
 from ..functions import allowlist, checksums, globs, masking
 from ..operators import candidates as cand, detect
 from ..operators.diff import diff_lines, diff_stats, pair_counts, side_lines
@@ -133,25 +133,25 @@ def glob_audit(spark, sf):
 @query("oversized_lines", """
 WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t FROM pages)
 SELECT page_id, count_if(length(t) > 8192)::BIGINT AS long_lines, max(length(t)) AS longest,
-       sum(length(left(t, 8192)))::BIGINT AS scanned_chars FROM l GROUP BY page_id""")
+       sum(length(t))::BIGINT AS scanned_chars FROM l GROUP BY page_id""")
 def oversized_lines(spark, sf):
     lines = views.pages_lines(spark, sf)
     return lines.groupBy(F.col("change_id").alias("page_id")).agg(
-        F.count_if(F.length("text") > detect.MAX_LINE_CHARS).alias("long_lines"),
+        F.count_if(F.length("text") > LONG_LINE_CHARS).alias("long_lines"),
         F.max(F.length("text")).cast("bigint").alias("longest"),
-        F.sum(F.length(detect.clamped("text"))).alias("scanned_chars"))
+        F.sum(F.length(F.col("text"))).alias("scanned_chars"))
 
 
 @query("pattern_matches", f"""
 WITH {sql.DOC_LINES},
-m AS (SELECT change_id, line_no, 'email' AS rule_id, regexp_extract_all(left(text, 8192), '{EMAIL}') AS vs FROM lines
-      UNION ALL SELECT change_id, line_no, 'ipv4', regexp_extract_all(left(text, 8192), '{IP_SQL}') FROM lines)
+m AS (SELECT change_id, line_no, 'email' AS rule_id, regexp_extract_all(text, '{EMAIL}') AS vs FROM lines
+      UNION ALL SELECT change_id, line_no, 'ipv4', regexp_extract_all(text, '{IP_SQL}') FROM lines)
 SELECT change_id, line_no, rule_id, generate_subscripts(vs, 1) - 1 AS match_ord, md5(unnest(vs)) AS digest FROM m""")
 def pattern_matches(spark, sf):
-    lines = views.doc_lines(spark, sf).withColumn("clamped", detect.clamped("text"))
+    lines = views.doc_lines(spark, sf)
     from ..functions.patterns import requirements, to_java
     found = F.array(*[F.struct(F.lit(n).alias("rule_id"), F.when(
-        F.contains("clamped", F.lit(requirements(p)[0])), cand.matches(F.col("clamped"), to_java(p))).alias("vs"))
+        F.contains("text", F.lit(requirements(p)[0])), cand.matches(F.col("text"), to_java(p))).alias("vs"))
         for n, p in (("email", EMAIL), ("ipv4", IPV4))])
     rows = lines.select("change_id", "line_no", F.inline(found))
     return rows.where(F.size("vs") > 0).select("change_id", "line_no", "rule_id", F.posexplode("vs").alias("o", "v")).select(
@@ -160,13 +160,13 @@ def pattern_matches(spark, sf):
 
 @query("checksum_candidates", rf"""
 WITH {sql.DOC_LINES},
-m AS (SELECT change_id, line_no, regexp_extract_all(left(text, 8192), '{CANDIDATE_SQL}') AS vs FROM lines),
+m AS (SELECT change_id, line_no, regexp_extract_all(text, '{CANDIDATE_SQL}') AS vs FROM lines),
 c AS (SELECT change_id, line_no, generate_subscripts(vs, 1) - 1 AS match_ord, unnest(vs) AS v FROM m)
 SELECT change_id, line_no, match_ord, md5(v) AS digest, len(regexp_replace(v, '[^0-9]', '', 'g')) AS digits
 FROM c WHERE regexp_matches(v, '[0-9]')""")
 def checksum_candidates(spark, sf):
     lines = views.doc_lines(spark, sf).select("change_id", "line_no", F.posexplode_outer(
-        cand.matches(detect.clamped("text"), CANDIDATE_SQL)).alias("o", "v"))
+        cand.matches(F.col("text"), CANDIDATE_SQL)).alias("o", "v"))
     return lines.where(F.col("v").rlike("[0-9]")).select(
         "change_id", "line_no", F.col("o").cast("bigint").alias("match_ord"), F.md5("v").alias("digest"),
         F.length(checksums.digits_only(F.col("v"))).cast("bigint").alias("digits"))
@@ -175,7 +175,7 @@ def checksum_candidates(spark, sf):
 SUB_RUNS = r"""
 toks AS (SELECT *, list_filter(regexp_split_to_array(v, '\s+'), lambda t: t <> '') AS ts FROM c),
 starts AS (SELECT *, unnest(range(1, len(ts) + 1)) AS s FROM toks WHERE len(ts) >= 2 AND len(regexp_replace(v, '[^0-9]', '', 'g')) >= 2),
-runs AS (SELECT *, unnest(range(1, least(9, len(ts) - s + 1) + 1)) AS n FROM starts),
+runs AS (SELECT *, unnest(range(1, least(34 + len(list_filter(ts, lambda t: replace(t, '-', '') = '')), len(ts) - s + 1) + 1)) AS n FROM starts),
 texts AS (SELECT *, array_to_string(ts[s:s + n - 1], ' ') AS run FROM runs),
 subs AS (SELECT * FROM texts WHERE len(regexp_replace(run, '[\s-]', '', 'g')) BETWEEN 10 AND 34
          AND len(regexp_replace(run, '[^0-9]', '', 'g')) >= 2)
@@ -184,12 +184,12 @@ subs AS (SELECT * FROM texts WHERE len(regexp_replace(run, '[\s-]', '', 'g')) BE
 
 @query("sub_candidates", rf"""
 WITH {sql.DOC_LINES},
-m AS (SELECT change_id, line_no, regexp_extract_all(left(text, 8192), '{CANDIDATE_SQL}') AS vs FROM lines),
+m AS (SELECT change_id, line_no, regexp_extract_all(text, '{CANDIDATE_SQL}') AS vs FROM lines),
 c AS (SELECT change_id, line_no, generate_subscripts(vs, 1) - 1 AS match_ord, unnest(vs) AS v FROM m), {SUB_RUNS}
 SELECT DISTINCT change_id, line_no, match_ord, md5(run) AS digest FROM subs""")
 def sub_candidates(spark, sf):
     lines = views.doc_lines(spark, sf).select("change_id", "line_no", F.posexplode_outer(
-        cand.matches(detect.clamped("text"), CANDIDATE_SQL)).alias("o", "v"))
+        cand.matches(F.col("text"), CANDIDATE_SQL)).alias("o", "v"))
     lines = lines.where(F.col("v").rlike("[0-9].*[0-9]"))
     return lines.select("change_id", "line_no", F.col("o").cast("bigint").alias("match_ord"),
                         F.explode_outer(F.array_distinct(cand.token_runs(F.col("v")))).alias("run")).where(
@@ -232,7 +232,7 @@ def iban_scan(spark, sf):
 
 @query("card_scan", rf"""
 WITH {sql.DOC_LINES},
-m AS (SELECT change_id, file, line_no, regexp_extract_all(left(text, 8192), '{CANDIDATE_SQL}') AS vs FROM lines),
+m AS (SELECT change_id, file, line_no, regexp_extract_all(text, '{CANDIDATE_SQL}') AS vs FROM lines),
 c AS (SELECT change_id, file, line_no, generate_subscripts(vs, 1) - 1 AS match_ord, unnest(vs) AS v FROM m), {SUB_RUNS},
 every AS (SELECT change_id, file, line_no, match_ord, 0 AS s, 0 AS n, v AS run FROM c UNION ALL
           SELECT change_id, file, line_no, match_ord, s, n, run FROM subs),
@@ -267,7 +267,7 @@ s AS (SELECT *, (substr(run,1,1)::INT*3 + substr(run,2,1)::INT*7 + substr(run,3,
   + substr(dmy,3,1)::INT*4 + substr(dmy,4,1)::INT*2 + substr(dmy,5,1)::INT*1 + substr(dmy,6,1)::INT*6) % 11 AS r FROM t),
 v AS (SELECT *, r % 10 AS chk, r <= 9 AND mm BETWEEN 1 AND 12 AND dd BETWEEN 1 AND
   CASE WHEN mm = 2 THEN CASE WHEN yy % 4 = 0 THEN 29 ELSE 28 END WHEN mm IN (4, 6, 9, 11) THEN 30 ELSE 31 END AS valid FROM s)
-SELECT l_orderkey, l_linenumber, md5(run || chk || dmy) AS digest, valid, count(*) AS n FROM v GROUP BY ALL""")
+SELECT l_orderkey, l_linenumber, md5(run || chk || dmy) AS digest, valid FROM v""")
 def svnr_scan(spark, sf):
     rows = views.spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("""named_struct(
         'run', lpad(string(l_orderkey % 1000), 3, '0'), 'dmy', concat(lpad(string(l_partkey % 32), 2, '0'),
@@ -275,9 +275,8 @@ def svnr_scan(spark, sf):
     total = sum((F.substring(F.concat("p.run", "p.dmy"), i + 1, 1).cast("int") * w
                  for i, w in enumerate((3, 7, 9, 5, 8, 4, 2, 1, 6))), F.lit(0))
     rows = rows.withColumn("value", F.concat("p.run", (total % 11 % 10).cast("string"), "p.dmy"))
-    return rows.withColumn("valid", checksums.svnr(F.col("value"))).groupBy(
-        "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.md5("value").alias("digest"), "valid").agg(
-        F.count("*").alias("n"))
+    return rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.md5("value").alias("digest"),
+                       checksums.svnr(F.col("value")).alias("valid"))
 
 
 @query("steuer_id_scan", r"""
@@ -300,12 +299,12 @@ def steuer_id_scan(spark, sf):
 
 @query("synthetic_suppressed", f"""
 WITH {sql.DOC_LINES},
-m AS (SELECT change_id, line_no, unnest(regexp_extract_all(left(text, 8192), '{EMAIL}')) AS v FROM lines
+m AS (SELECT change_id, line_no, unnest(regexp_extract_all(text, '{EMAIL}')) AS v FROM lines
       UNION ALL SELECT c_custkey, 0, lower(c_mktsegment) || (['@example.com', '@test.io', '.localhost', '@mail.net', '@sub.example.org'])[c_custkey % 5 + 1] FROM customer)
 SELECT change_id, line_no, md5(v) AS digest, {sql._SYNTHETIC} AS synthetic FROM m""")
 def synthetic_suppressed(spark, sf):
     mails = views.doc_lines(spark, sf).where(F.contains("text", F.lit("@"))).select(
-        "change_id", "line_no", F.explode(cand.matches(detect.clamped("text"), EMAIL)).alias("v"))
+        "change_id", "line_no", F.explode(cand.matches(F.col("text"), EMAIL)).alias("v"))
     made = views.table(spark, sf, "customer").select(
         F.col("c_custkey").alias("change_id"), F.lit(0).cast("bigint").alias("line_no"), F.expr(
             "concat(lower(c_mktsegment), get(array('@example.com', '@test.io', '.localhost', '@mail.net', '@sub.example.org'), int(c_custkey % 5)))").alias("v"))
@@ -361,7 +360,7 @@ WITH v AS (SELECT page_id, 'page|' || (page_id % 3) || chr(10) || '`x`' AS label
                   CASE WHEN page_id % 5 = 0 THEN NULL ELSE page_id % 100 END AS line FROM pages),
 s AS (SELECT *, trim(regexp_replace(regexp_replace(label, '[\r\n\t]+', ' ', 'g'), '[|`]', ' ', 'g')) AS l,
                 trim(regexp_replace(regexp_replace(repeat(file || '/', 6), '[\r\n\t]+', ' ', 'g'), '[|`]', ' ', 'g')) AS f FROM v),
-e AS (SELECT *, l || ' @ ' || CASE WHEN len(f) > 200 THEN left(f, 200) || '…' ELSE f END || coalesce(':' || line, '') AS t FROM s)
+e AS (SELECT *, l || ' @ ' || f || coalesce(':' || line, '') AS t FROM s)
 SELECT page_id, CASE WHEN raw <> '' THEN replace(t, raw, '***') ELSE t END AS evidence FROM e""")
 def evidence(spark, sf):
     rows = views.table(spark, sf, "pages").select("page_id", "url", F.expr("""named_struct(
@@ -373,24 +372,22 @@ def evidence(spark, sf):
 @query("group_digits", r"""
 WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey * 1000003 + l_partkey)::VARCHAR || repeat(l_suppkey::VARCHAR, l_linenumber % 4) AS run FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_partkey, '12345678 m @ db/' || CASE WHEN len(run) >= 8 THEN
-  array_to_string(list_transform(range(0, ((len(run) + 3) // 4)::BIGINT), lambda i: substr(run, i * 4 + 1, 4)), '·') ELSE run END || '_x.sql' AS grouped, count(*) AS n
-FROM v GROUP BY ALL""")
+  array_to_string(list_transform(range(0, ((len(run) + 3) // 4)::BIGINT), lambda i: substr(run, i * 4 + 1, 4)), '·') ELSE run END || '_x.sql' AS grouped
+FROM v""")
 def group_digits(spark, sf):
     rows = views.table(spark, sf, "lineitem").select(
         "l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey",
         F.expr("concat(string(l_orderkey * 1000003 + l_partkey), repeat(string(l_suppkey), l_linenumber % 4))").alias("run"))
     text = F.concat(F.lit("12345678 m @ db/"), "run", F.lit("_x.sql"))
-    return rows.groupBy("l_orderkey", "l_linenumber", "l_partkey", masking.group_digits(text).alias("grouped")).agg(F.count("*").alias("n"))
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", masking.group_digits(text).alias("grouped"))
 
 
 @query("safe_labels", r"""
-WITH v AS (SELECT doc_id, lang || '/' || left(text, (doc_id % 200)::INT) AS v FROM documents)
-SELECT doc_id, '`' || CASE WHEN len(v) > 120 THEN left(regexp_replace(v, '[^\p{L}\p{N}._/@+-]', '_', 'g'), 120) || '…'
-                     ELSE regexp_replace(v, '[^\p{L}\p{N}._/@+-]', '_', 'g') END || '`' AS path_label,
-  CASE WHEN len(v) > 120 THEN left(regexp_replace(v, '[^A-Za-z0-9._:/@+-]', '_', 'g'), 120) || '…'
-       ELSE regexp_replace(v, '[^A-Za-z0-9._:/@+-]', '_', 'g') END AS rule_label FROM v""")
+WITH v AS (SELECT doc_id, lang || '/' || text AS v FROM documents)
+SELECT doc_id, '`' || regexp_replace(v, '[^\p{L}\p{N}._/@+-]', '_', 'g') || '`' AS path_label,
+       regexp_replace(v, '[^A-Za-z0-9._:/@+-]', '_', 'g') AS rule_label FROM v""")
 def safe_labels(spark, sf):
-    rows = views.table(spark, sf, "documents").select("doc_id", F.expr("concat(lang, '/', left(text, int(doc_id % 200)))").alias("v"))
+    rows = views.table(spark, sf, "documents").select("doc_id", F.concat("lang", F.lit("/"), "text").alias("v"))
     return rows.select("doc_id", masking.safe_path(F.col("v")).alias("path_label"), masking.safe_rule_id(F.col("v")).alias("rule_label"))
 
 
@@ -398,8 +395,7 @@ def safe_labels(spark, sf):
 WITH v AS (SELECT page_id, 'a|b\|' || html AS v FROM pages),
 c AS (SELECT page_id, trim(replace(replace(regexp_replace(v, '[\r\n]+', ' ', 'g'), '\', '\\'), '|', '\|')) AS cell,
              replace(trim(regexp_replace(regexp_replace(v, '[`\r\n]+', ' ', 'g'), '\s+', ' ', 'g')), '|', '\|') AS span FROM v)
-SELECT page_id, CASE WHEN len(cell) > 300 THEN left(cell, 300) || '…' ELSE cell END AS cell,
-       '`' || CASE WHEN len(span) > 200 THEN left(span, 199) || '…' ELSE span END || '`' AS span FROM c""")
+SELECT page_id, cell, '`' || span || '`' AS span FROM c""")
 def markdown_cells(spark, sf):
     rows = views.table(spark, sf, "pages").select("page_id", F.concat(F.lit("a|b\\|"), "html").alias("v"))
     return rows.select("page_id", masking.markdown_cell(F.col("v")).alias("cell"), masking.code_span(F.col("v")).alias("span"))
@@ -408,7 +404,7 @@ def markdown_cells(spark, sf):
 @query("scrub_urls", r"""
 WITH v AS (SELECT page_id, 'fetch ' || replace(url, '://', '://user' || page_id || ':pw@') || ' failed; ' || repeat('retry ', (page_id % 120)::INT) AS v FROM pages),
 c AS (SELECT page_id, regexp_replace(v, '(?i)(\b[a-z][a-z0-9+.-]*://)[^\s/@''"]+@', '\1', 'g') AS s FROM v)
-SELECT page_id, CASE WHEN len(s) > 600 THEN left(s, 599) || '…' ELSE s END AS message FROM c""")
+SELECT page_id, s AS message FROM c""")
 def scrub_urls(spark, sf):
     rows = views.table(spark, sf, "pages").select("page_id", F.expr(
         "concat('fetch ', replace(url, '://', concat('://user', page_id, ':pw@')), ' failed; ', repeat('retry ', int(page_id % 120)))").alias("v"))

@@ -112,7 +112,7 @@ files AS (
     strlen(html) > 524000 AS big FROM pages),
 kept AS (SELECT *, NOT regexp_matches(path, '(^|/)dist/|[.]min[.][^/]*$') AS open_, NOT regexp_matches(path, '(^|/)dist/|[.]min[.][^/]*$') AND NOT regexp_matches(path, '^docs/') AS in_import,
          NOT regexp_matches(path, '(^|/)dist/|[.]min[.][^/]*$') AND regexp_matches(path, '[.]html$|[.]ts$') AS in_endpoint FROM files),
-tlines AS (SELECT repo, path, in_import, in_endpoint, open_, left(unnest(string_split(content, chr(10))), 8192) AS t FROM kept WHERE open_ AND content IS NOT NULL),
+tlines AS (SELECT repo, path, in_import, in_endpoint, open_, unnest(string_split(content, chr(10))) AS t FROM kept WHERE open_ AND content IS NOT NULL),
 found AS (
   SELECT repo, path, t, 'eaa-ci-ai-import' AS rule_id, unnest(regexp_extract_all(t, '(?i)(import|from|require)\s*\(?["''][a-z@/._-]+["'']')) AS m, row_number() OVER () AS rn FROM tlines WHERE in_import AND NOT regexp_matches(t, '(?i)doctype')
   UNION ALL SELECT repo, path, t, 'eaa-ci-ai-endpoint', unnest(regexp_extract_all(t, '[a-z]+\.openai\.(azure\.)?com|api\.[a-z]+\.(com|ai)|track\([0-9]+\)')), row_number() OVER () FROM tlines WHERE in_endpoint
@@ -141,7 +141,7 @@ paths AS (SELECT repo, rule_id, signature_key, string_agg(path, ',' ORDER BY pat
 SELECT repo, rule_id, signature_key, "count", sample_paths FROM totals JOIN paths USING (repo, rule_id, signature_key)""")
 def inventory(spark, sf):
     rules, _, opened = _inventory(spark, sf)
-    rows = inv.observations(inv.matching_lines(opened, rules), sample_paths=True)
+    rows = inv.observations(inv.matching_lines(opened, rules), sample_paths=3)
     return rows.select("repo", "rule_id", "signature_key", "count", F.array_join("sample_paths", ",").alias("sample_paths"))
 
 
@@ -149,7 +149,7 @@ def inventory(spark, sf):
 WITH {TREE}
 SELECT repo, count(*) AS listed, count_if(NOT open_)::BIGINT AS out_of_scope, 0 AS skipped_size, count_if(open_ AND content IS NULL)::BIGINT AS skipped_binary,
   0 AS skipped_unreadable, count_if(open_ AND content IS NOT NULL)::BIGINT AS files_scanned,
-  sum(CASE WHEN open_ AND content IS NOT NULL THEN len(list_filter(string_split(content, chr(10)), lambda l: length(l) > 8192)) ELSE 0 END)::BIGINT AS clamped_lines
+  sum(CASE WHEN open_ AND content IS NOT NULL THEN len(list_filter(string_split(content, chr(10)), lambda l: length(l) > 8192)) ELSE 0 END)::BIGINT AS long_lines
 FROM kept GROUP BY repo""")
 def inventory_stats(spark, sf):
     rules, files, opened = _inventory(spark, sf)

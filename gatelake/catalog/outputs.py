@@ -35,7 +35,7 @@ issues AS (SELECT change_id, framework, fw, row_number() OVER (PARTITION BY chan
 
 @query("code_quality", f"""
 WITH {CHANGES}, {ISSUES}
-SELECT change_id, framework, severity_pos, description, check_name, severity, path, begin_line, fingerprint FROM issues WHERE severity_pos <= 200""")
+SELECT change_id, framework, severity_pos, description, check_name, severity, path, begin_line, fingerprint FROM issues""")
 def code_quality(spark, sf):
     rows = reports.code_quality(change_scan(spark, sf).findings)
     return rows.select("change_id", "framework", F.col("severity_pos").cast("bigint").alias("severity_pos"), "description", "check_name",
@@ -44,7 +44,7 @@ def code_quality(spark, sf):
 
 @query("code_quality_json", f"""
 WITH {CHANGES}, {ISSUES},
-p AS (SELECT change_id, count(*) AS n, string_agg(fingerprint, ',' ORDER BY fw, severity_pos) AS prints FROM issues WHERE severity_pos <= 200 GROUP BY ALL)
+p AS (SELECT change_id, count(*) AS n, string_agg(fingerprint, ',' ORDER BY fw, severity_pos) AS prints FROM issues GROUP BY ALL)
 SELECT doc_id AS change_id, coalesce(n, 0) AS n, coalesce(prints, '') AS prints FROM documents LEFT JOIN p ON p.change_id = doc_id""")
 def code_quality_json(spark, sf):
     docs = views.table(spark, sf, "documents").select(F.col("doc_id").alias("change_id"))
@@ -55,7 +55,7 @@ def code_quality_json(spark, sf):
 
 SUMMARY = f"""
 rows AS (SELECT change_id, fw, string_agg('| ' || action || ' | ' || rule_id || ' | ' || {_ARTICLES} || ' | ' || masked_evidence || ' |', chr(10) ORDER BY finding_ord) AS t
-         FROM findings WHERE finding_ord <= 100 GROUP BY ALL),
+         FROM findings GROUP BY ALL),
 sizes AS (SELECT change_id, fw, count(*) AS n FROM findings GROUP BY ALL)
 """
 
@@ -63,8 +63,7 @@ sizes AS (SELECT change_id, fw, count(*) AS n FROM findings GROUP BY ALL)
 @query("summary_markdown", f"""
 WITH {sql.scan("docs", _CARD)}, {sql.VERDICTS}, {SUMMARY}
 SELECT v.change_id, v.framework, '**Verdict: ' || verdict || '** — ' || n_block || ' blocking, ' || n_review || ' need review, ' || n_advise || ' advisory.' || chr(10) || chr(10) ||
-  CASE WHEN n IS NULL THEN 'No findings.' ELSE '| Action | Rule | ' || CASE v.fw WHEN 0 THEN 'GDPR' ELSE 'May be relevant to' END || ' | Evidence (masked) |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || t END ||
-  CASE WHEN n > 100 THEN chr(10) || chr(10) || '_…and ' || (n - 100) || ' more findings (truncated for display)._' ELSE '' END AS summary
+  CASE WHEN n IS NULL THEN 'No findings.' ELSE '| Action | Rule | ' || CASE v.fw WHEN 0 THEN 'GDPR' ELSE 'May be relevant to' END || ' | Evidence (masked) |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || t END AS summary
 FROM verdicts v LEFT JOIN rows USING (change_id, fw) LEFT JOIN sizes USING (change_id, fw)""")
 def summary_markdown(spark, sf):
     """The summary up to its warnings, which have a query of their own."""
@@ -76,12 +75,11 @@ def summary_markdown(spark, sf):
 @query("note_markdown", f"""
 WITH {CHANGES}, {sql.VERDICTS},
 top AS (SELECT *, row_number() OVER (PARTITION BY change_id, fw ORDER BY {_RANK}, finding_ord) AS k FROM findings),
-rows AS (SELECT change_id, fw, string_agg('| ' || action || ' | `' || rule_id || '` | `' || masked_evidence || '` |', chr(10) ORDER BY k) AS t FROM top WHERE k <= 25 GROUP BY ALL),
-sizes AS (SELECT change_id, fw, least(count(*), 200) AS n FROM findings GROUP BY ALL),
+rows AS (SELECT change_id, fw, string_agg('| ' || action || ' | `' || rule_id || '` | `' || masked_evidence || '` |', chr(10) ORDER BY k) AS t FROM top GROUP BY ALL),
+sizes AS (SELECT change_id, fw, count(*) AS n FROM findings GROUP BY ALL),
 parts AS (SELECT v.change_id, v.fw, '**' || CASE v.fw WHEN 0 THEN 'Data Compliance' ELSE 'AI change control' END || ':** ' ||
    CASE verdict WHEN 'pass' THEN '✅ passed' WHEN 'fail' THEN '❌ failed' ELSE '⚠️ needs review' END || chr(10) ||
-   CASE WHEN n IS NULL THEN '' ELSE chr(10) || '| Action | Rule | Evidence (masked) |' || chr(10) || '| --- | --- | --- |' || chr(10) || t ||
-     CASE WHEN n > 25 THEN chr(10) || chr(10) || '…and ' || (n - 25) || ' more finding(s).' ELSE '' END || chr(10) END AS part
+   CASE WHEN n IS NULL THEN '' ELSE chr(10) || '| Action | Rule | Evidence (masked) |' || chr(10) || '| --- | --- | --- |' || chr(10) || t || chr(10) END AS part
   FROM verdicts v LEFT JOIN rows USING (change_id, fw) LEFT JOIN sizes USING (change_id, fw))
 SELECT change_id, '<!-- compliance-gate -->' || chr(10) || '### Compliance gate' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY fw) || chr(10) || '_Updated on every pipeline._' AS note
 FROM parts GROUP BY change_id""")

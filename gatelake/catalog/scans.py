@@ -22,7 +22,7 @@ def _only(documents, *ids):
 
 
 def document_scan(spark, sf, rules=SOUND_RULESETS):
-    sources = views.table(spark, sf, "documents").select(F.col("doc_id").alias("change_id"))
+    sources = views.table(spark, sf, "documents").select(F.col("doc_id").alias("change_id"), F.col("text").isNull().alias("unreadable"))
     return scan_lines(views.doc_lines(spark, sf), compile_rulesets(spark, rules), sources)
 
 
@@ -91,7 +91,7 @@ def validated_matches(spark, sf):
 
 
 @query("description_hits", r"""
-WITH t AS (SELECT conv_id || '-' || turn AS change_id, left(text, 8192) AS t FROM conversations),
+WITH t AS (SELECT conv_id || '-' || turn AS change_id, text AS t FROM conversations),
 m AS (SELECT change_id, unnest(regexp_extract_all(t, '(?i)\b(the|und|los)\b')) AS v FROM t WHERE NOT regexp_matches(t, '(?i)tion\b'))
 SELECT change_id, 'review' AS action, replace('mention @ PR description', v, '***') AS masked_evidence, count(*) AS hits FROM m GROUP BY ALL""")
 def description_hits(spark, sf):
@@ -127,7 +127,7 @@ sup AS (
   WHERE m.side = 'removed' AND p.side = 'added' AND NOT m.ex AND regexp_matches(m.t, '\bthe\b') AND regexp_matches(p.t, '\bof\b.*\b(and|in)\b')
     AND NOT (regexp_matches(m.t, '[0-9]') OR regexp_matches(p.t, '[0-9]')) GROUP BY ALL
   UNION ALL
-  SELECT change_id, 'mentions', 12, 1 FROM changes WHERE regexp_matches(left(description, 8192), '(?i)tion\b'))
+  SELECT change_id, 'mentions', 12, 1 FROM changes WHERE regexp_matches(description, '(?i)tion\b'))
 """
 
 
@@ -208,15 +208,14 @@ def top_findings(spark, sf):
 
 WARNED = SUPPRESSED + r""",
 long AS (SELECT change_id, file, min(pos) AS pos FROM sl WHERE length(text) > 8192 AND NOT ex GROUP BY ALL),
-longs AS (SELECT change_id, count(*) AS n, string_agg('`' || file || '`', ', ' ORDER BY pos) AS files FROM long GROUP BY ALL),
+longs AS (SELECT change_id, count(*) AS n, '`' || arg_min(file, pos) || '`' AS first_file FROM long GROUP BY ALL),
 notes AS (
   SELECT doc_id AS change_id, 0 AS fw, 1 AS o, 'tier1_gate' AS code, true AS floors,
     'Tier-1 rule(s) tier1-gated declare exclude_pattern/require_pattern; a tier-1 control cannot be gated, so those fields were IGNORED. Verdict floored to needs_review.' AS detail FROM documents
   UNION ALL SELECT doc_id, 1, 2, 'unusable_pattern', true, 'Rule "bad-pattern" declares pattern that could not be compiled; that part of the rule did not run. Verdict floored to needs_review.' FROM documents
-  UNION ALL SELECT DISTINCT change_id, 1, 1, 'unreadable_applies_when', false, 'Rule "odd-context" declares an applies_when this Action cannot read; its findings keep their declared action.' FROM hits WHERE rule_id = 'odd-context'
+  UNION ALL SELECT DISTINCT change_id, 1, 1, 'unreadable_applies_when', false, 'Rule "odd-context" declares an applies_when that cannot be read; its findings keep their declared action.' FROM hits WHERE rule_id = 'odd-context'
   UNION ALL SELECT doc_id, 1, 3, 'blanket_glob', true, '1 path glob(s) match EVERY path (`_`) and were REFUSED: as an exclusion they would suppress the whole rule, as a scope they would select nothing. Verdict floored to needs_review.' FROM documents
-  UNION ALL SELECT change_id, 0, 3, 'long_description', true, 'The PR description is longer than 8192 characters; only the first 8192 were scanned. Verdict floored to needs_review.' FROM changes WHERE length(description) > 8192
-  UNION ALL SELECT change_id, f, 4, 'long_lines', true, n || ' file(s) contain lines longer than 8192 characters (' || files || '); only the first 8192 characters of each such line were scanned. Verdict floored to needs_review.' FROM longs, (VALUES (0), (1)) x(f)
+  UNION ALL SELECT change_id, f, 4, 'long_lines', false, n || ' file(s) contain lines longer than 8192 characters, the first is ' || first_file || '; they were scanned whole.' FROM longs, (VALUES (0), (1)) x(f)
   UNION ALL SELECT change_id, 0, ro, 'suppressed', false, 'Rule "' || rule_id || '" suppressed ' || n || ' candidate line(s) via its exclude_pattern/require_pattern gating.' FROM sup)
 """
 
@@ -242,8 +241,8 @@ def backfill(spark, sf):
 
 
 @query("stream_scan", r"""
-SELECT conv_id || '-' || turn AS change_id, CASE WHEN regexp_matches(left(text, 8192), '(?i)\b(the|und|los)\b') THEN 'needs_review' ELSE 'pass' END AS verdict,
-       regexp_matches(left(text, 8192), '(?i)\b(the|und|los)\b')::BIGINT AS n_review FROM conversations""")
+SELECT conv_id || '-' || turn AS change_id, CASE WHEN regexp_matches(text, '(?i)\b(the|und|los)\b') THEN 'needs_review' ELSE 'pass' END AS verdict,
+       regexp_matches(text, '(?i)\b(the|und|los)\b')::BIGINT AS n_review FROM conversations""")
 def stream_scan_query(spark, sf):
     """Conversation turns as a stream of changes, scanned batch by batch."""
     from ..plans.workspace import shared_folder

@@ -144,18 +144,18 @@ _PAIRS = r"""
 
 _DESCRIBED = r"""
   SELECT change_id, 0, 12, 'mentions', 0, 0, 0, 'review', 'mention', v, 'PR description', NULL, NULL
-  FROM (SELECT change_id, unnest(regexp_extract_all(left(description, 8192), '(?i)\b(the|und|los)\b')) AS v FROM changes
-        WHERE NOT regexp_matches(left(description, 8192), '(?i)tion\b'))"""
+  FROM (SELECT change_id, unnest(regexp_extract_all(description, '(?i)\b(the|und|los)\b')) AS v FROM changes
+        WHERE NOT regexp_matches(description, '(?i)tion\b'))"""
 
 
 def scan(kind: str, card: str, sound: bool = True) -> str:
     """CTEs ``findings`` (and ``sl``, ``hits``) of the demo rules over ``docs`` or ``changes``."""
     if kind == "docs":
-        base = DOC_LINES + f", sl AS (SELECT *, 0 AS hunk_index, left(text, 8192) AS t, 0 AS so, {_EXCLUDED} AS ex FROM lines)"
+        base = DOC_LINES + f", sl AS (SELECT *, 0 AS hunk_index, text AS t, 0 AS so, {_EXCLUDED} AS ex FROM lines)"
         rules = _rules(card, sound, False)
     else:
         base = PARSED + "," + CONTEXTS + f""",
-sl AS (SELECT d.*, quality, toxic, left(text, 8192) AS t, (side = 'removed')::INT AS so, {_EXCLUDED} AS ex
+sl AS (SELECT d.*, quality, toxic, text AS t, (side = 'removed')::INT AS so, {_EXCLUDED} AS ex
        FROM diff_lines d LEFT JOIN ctx USING (change_id) WHERE side <> 'context')"""
         rules = [*_rules(card, sound, True), _PAIRS, _DESCRIBED]
     return base + f""",
@@ -175,10 +175,9 @@ VERDICTS = """
 fws AS (SELECT * FROM (VALUES (0, 'Data Compliance', 7, 'demo-data-7'), (1, 'EU AI Act', 3, 'demo-ai-3')) f(fw, framework, ruleset_version, ruleset_hash)),
 counts AS (SELECT change_id, fw, count_if(action = 'block') AS n_block, count_if(action = 'review') AS n_review, count_if(action = 'advise') AS n_advise
            FROM findings GROUP BY ALL),
-floors AS (SELECT DISTINCT change_id FROM sl WHERE length(text) > 8192 AND NOT ex),
 verdicts AS (
   SELECT d.doc_id AS change_id, f.fw, f.framework, f.ruleset_version, f.ruleset_hash, coalesce(n_block, 0)::BIGINT AS n_block,
-         coalesce(n_review, 0)::BIGINT AS n_review, coalesce(n_advise, 0)::BIGINT AS n_advise, x.change_id IS NOT NULL AS incomplete,
-         CASE WHEN n_block > 0 THEN 'fail' WHEN n_review > 0 OR x.change_id IS NOT NULL THEN 'needs_review' ELSE 'pass' END AS verdict
-  FROM documents d CROSS JOIN fws f LEFT JOIN counts c ON c.change_id = d.doc_id AND c.fw = f.fw LEFT JOIN floors x ON x.change_id = d.doc_id)
+         coalesce(n_review, 0)::BIGINT AS n_review, coalesce(n_advise, 0)::BIGINT AS n_advise, d.text IS NULL AS incomplete,
+         CASE WHEN n_block > 0 THEN 'fail' WHEN n_review > 0 OR d.text IS NULL THEN 'needs_review' ELSE 'pass' END AS verdict
+  FROM documents d CROSS JOIN fws f LEFT JOIN counts c ON c.change_id = d.doc_id AND c.fw = f.fw)
 """

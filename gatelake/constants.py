@@ -1,32 +1,16 @@
 """Vocabularies, limits and tables that results depend on."""
 
 # --- fixed values: limits -------------------------------------------------------------------
-MAX_LINE_CHARS = 8192
-DIFF_CAP_CHARS = 5_000_000
-PAIR_CEILING = 200_000
+LONG_LINE_CHARS = 8192
 MAX_GLOB_WILDCARDS = 4
-MAX_LABEL_CHARS = 200
-EXPORT_MAX_FINDINGS = 200
-EXPORT_MAX_CHARS = 500
-EXPORT_MAX_ITEMS = 20
-SUMMARY_MAX_ROWS = 100
-NOTE_MAX_ROWS = 25
-MAX_UNAVAILABLE = 8
 INT32_MAX = 2_147_483_647
-TREE_MAX_FILES = 5000
-TREE_MAX_FILE_BYTES = 512 * 1024
 TREE_SNIFF_BYTES = 8192
-INVENTORY_MAX_ROWS = 49
-INVENTORY_MAX_COUNT = 1_000_000
-INVENTORY_MAX_PATHS = 3
-INVENTORY_MAX_PATH_CHARS = 300
 INVENTORY_KEEP_RUNS = 10
 
 # --- fixed values: checksum candidates --------------------------------------------------------
 CANDIDATE_PATTERN = r"[A-Za-z0-9][A-Za-z0-9 \-]{7,}[A-Za-z0-9]"
 CANDIDATE_MIN_LEN = 10
 CANDIDATE_MAX_LEN = 34
-CANDIDATE_MAX_GROUPS = 9
 
 # --- fixed values: vocabularies ---------------------------------------------------------------
 DEFAULT_FRAMEWORK = "Data Compliance"
@@ -166,7 +150,7 @@ WARNING_TEXT = {
     "unusable_pattern": 'Rule "{rule}" declares {fields} that could not be compiled; that part of the rule did not run. '
                         + FLOORED,
     "rule_failed": 'Rule "{rule}" failed to evaluate and was skipped. ' + FLOORED,
-    "unreadable_applies_when": 'Rule "{rule}" declares an applies_when this Action cannot read; '
+    "unreadable_applies_when": 'Rule "{rule}" declares an applies_when that cannot be read; '
                                "its findings keep their declared action.",
     "tier1_gate": "Tier-1 rule(s) {rules} declare exclude_pattern/require_pattern; a tier-1 control cannot be gated, "
                   "so those fields were IGNORED. " + FLOORED,
@@ -174,11 +158,7 @@ WARNING_TEXT = {
                     "the whole rule, as a scope they would select nothing. " + FLOORED,
     "complex_glob": "{n} path glob(s) declare more than 4 wildcards ({globs}) and were REFUSED as a backtracking risk; "
                     "they matched nothing. " + FLOORED,
-    "pair_ceiling": "Rule(s) {rules} compare removed/added line pairs, and this diff exceeded the 200000 pair ceiling; "
-                    "the comparison was truncated. " + FLOORED,
-    "long_description": "The PR description is longer than 8192 characters; only the first 8192 were scanned. " + FLOORED,
-    "long_lines": "{n} file(s) contain lines longer than 8192 characters ({files}{more}); only the first 8192 characters "
-                  "of each such line were scanned. " + FLOORED,
+    "long_lines": "{n} file(s) contain lines longer than 8192 characters, the first is {file}; they were scanned whole.",
     "truncated_diff": "Diff exceeded the configured size cap and was truncated; verdict floored to needs_review.",
     "suppressed": 'Rule "{rule}" suppressed {n} candidate line(s) via its exclude_pattern/require_pattern gating.',
     "no_diff": "Diff unavailable: {reason}",

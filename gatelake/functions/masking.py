@@ -6,7 +6,6 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import EXPORT_MAX_CHARS, EXPORT_MAX_ITEMS, MAX_LABEL_CHARS
 from .patterns import SPACE, TRIM, js_trim
 from .text import quoted, replaced
 
@@ -38,30 +37,29 @@ def _flat(value: Column) -> Column:
 
 
 def _bounded(flat: Column) -> Column:
-    return F.when(F.coalesce(flat, F.lit("")) == "", "***").otherwise(clip(flat, MAX_LABEL_CHARS))
+    return F.when(F.coalesce(flat, F.lit("")) == "", "***").otherwise(flat)
 
 
 def safe_label(value: Column) -> Column:
-    """One bounded line with no table or code-span delimiters."""
+    """One line with no table or code-span delimiters, never empty."""
     return _bounded(_flat(value))
 
 
 def literal_label(text: str) -> str:
     """``safe_label`` of a rule's own text, settled before the query is built."""
     flat = re.sub(r"[|`]", " ", re.sub(r"[\r\n\t]+", " ", text)).strip()
-    return "***" if not flat else flat if len(flat) <= MAX_LABEL_CHARS else flat[:MAX_LABEL_CHARS] + ELLIPSIS
+    return flat or "***"
 
 
 def literal_path(path: str) -> str:
     """``safe_path`` of a rule's own glob."""
     kept = "".join(c if unicodedata.category(c)[0] in "LN" or c in "._/@+-" else "_" for c in path)
-    return f"`{kept if len(kept) <= 120 else kept[:120] + ELLIPSIS}`"
+    return f"`{kept}`"
 
 
 def literal_rule_id(rule_id: str) -> str:
     """``safe_rule_id`` of a rule's own id."""
-    kept = re.sub(r"[^A-Za-z0-9._:/@+-]", "_", rule_id)
-    return kept if len(kept) <= 120 else kept[:120] + ELLIPSIS
+    return re.sub(r"[^A-Za-z0-9._:/@+-]", "_", rule_id)
 
 
 def location(file: Column, line: Column | None = None) -> Column:
@@ -86,8 +84,7 @@ def _flat_sql(value: str) -> str:
 
 
 def _bounded_sql(flat: str) -> str:
-    return (f"case when coalesce({flat}, '') = '' then '***' when length({flat}) > {MAX_LABEL_CHARS} "
-            f"then concat(substr({flat}, 1, {MAX_LABEL_CHARS}), '{ELLIPSIS}') else {flat} end")
+    return f"if(coalesce({flat}, '') = '', '***', {flat})"
 
 
 def with_evidence(hits: DataFrame, fixed_file: str | None = None) -> DataFrame:
@@ -100,7 +97,7 @@ def with_evidence(hits: DataFrame, fixed_file: str | None = None) -> DataFrame:
     mail = f"concat(substr(value, 1, 1), '***@***', coalesce(concat('.', {tld}), ''))"
     masked = (f"case when instr(value, '@') between 2 and length(value) - 1 then {mail} "
               f"when length({replaced('value', TRIM)}) > 1 then concat(substr({replaced('value', TRIM)}, 1, 1), '***') else '***' end")
-    label = (f"case when is_token then concat(mask, ':', if(length(value) > 60, concat(substr(value, 1, 60), '{ELLIPSIS}'), value)) "
+    label = ("case when is_token then concat(mask, ':', value) "
              f"when contains(value, '@') and contains(value, '.') then concat(mask, ' (', {masked}, ')') else mask end")
     label = "mask" if fixed_file is not None else label
     file = quoted(fixed_file) if fixed_file else _flat_sql("file")
@@ -120,39 +117,40 @@ def group_digits(value: Column) -> Column:
 
 def safe_path(path: Column) -> Column:
     """A path as a code span with nothing markdown gives meaning to."""
-    cleaned = clip(F.regexp_replace(path, r"[^\p{L}\p{N}._/@+-]", "_"), 120)
-    return F.concat(F.lit("`"), cleaned, F.lit("`"))
+    return F.concat(F.lit("`"), F.regexp_replace(path, r"[^\p{L}\p{N}._/@+-]", "_"), F.lit("`"))
 
 
 def safe_rule_id(rule_id: Column) -> Column:
-    return clip(F.regexp_replace(rule_id, r"[^A-Za-z0-9._:/@+-]", "_"), 120)
+    return F.regexp_replace(rule_id, r"[^A-Za-z0-9._:/@+-]", "_")
 
 
 def markdown_cell(value: Column) -> Column:
     flat = F.regexp_replace(F.coalesce(value, F.lit("")), r"[\r\n]+", " ")
     escaped = F.replace(F.replace(flat, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
-    return clip(js_trim(escaped), 300)
+    return js_trim(escaped)
 
 
-def code_span(value: Column, limit: int = 200) -> Column:
+def code_span(value: Column) -> Column:
     flat = js_trim(F.regexp_replace(F.regexp_replace(value, r"[`\r\n]+", " "), f"[{SPACE}]+", " "))
-    cut = clip(F.replace(flat, F.lit("|"), F.lit("\\|")), limit, keep=limit - 1)
-    return F.concat(F.lit("`"), F.when(cut == "", " ").otherwise(cut), F.lit("`"))
+    shown = F.replace(flat, F.lit("|"), F.lit("\\|"))
+    return F.concat(F.lit("`"), F.when(shown == "", " ").otherwise(shown), F.lit("`"))
 
 
 def scrub_urls(message: Column) -> Column:
-    """Drop credentials from URLs and bound the message."""
+    """Drop credentials from URLs."""
     pattern = rf"(?i)((?<![0-9A-Za-z_])[a-z][a-z0-9+.-]*://)[^{SPACE}/@'\"]+@"
-    return clip(F.regexp_replace(message, pattern, "$1"), 600, keep=599)
+    return F.regexp_replace(message, pattern, "$1")
 
 
 def relative_path(path: Column) -> Column:
     return F.regexp_replace(path, r"\A(?:\./+|/+)+", "")
 
 
-def clamp_text(value: Column) -> Column:
-    return F.substring(value, 1, EXPORT_MAX_CHARS)
+def clamp_text(value: Column, chars: int | None = None) -> Column:
+    """The first ``chars`` characters where the caller names a limit."""
+    return value if chars is None else F.substring(value, 1, chars)
 
 
-def clamp_list(values: Column) -> Column:
-    return F.transform(F.slice(values, 1, EXPORT_MAX_ITEMS), clamp_text)
+def clamp_list(values: Column, items: int | None = None, chars: int | None = None) -> Column:
+    kept = values if items is None else F.slice(values, 1, items)
+    return kept if chars is None else F.transform(kept, lambda v: clamp_text(v, chars))

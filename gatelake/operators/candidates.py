@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..constants import CANDIDATE_MAX_GROUPS, CANDIDATE_MAX_LEN, CANDIDATE_MIN_LEN, DAYS_IN_MONTH
+from ..constants import CANDIDATE_MAX_LEN, CANDIDATE_MIN_LEN, DAYS_IN_MONTH
 from ..functions import checksums
 from ..functions.checksums import compact_sql, digits_sql
 from ..functions.patterns import SPACE, count_groups
@@ -25,10 +25,14 @@ def is_date_sql(value: str) -> str:
 
 
 def token_runs_sql(value: str) -> str:
-    """Runs of 1-9 tokens joined by one space, in (start, length) order, that could hold an identifier."""
+    """Runs of tokens joined by one space, in (start, length) order, that could hold an identifier.
+
+    A token adds a character to the identifier unless it is hyphens alone, which bounds the tokens of a run.
+    """
     tokens = (f"if(length({digits_sql(value)}) >= 2, filter(split({value}, {quoted(f'[{SPACE}]+')}), tok -> tok <> ''), {_NONE})")
+    most = f"{CANDIDATE_MAX_LEN} + size(filter(toks, t -> replace(t, '-', '') = ''))"
     runs = (f"if(size(toks) >= 2, flatten(transform(sequence(1, size(toks)), s -> "
-            f"transform(sequence(1, least({CANDIDATE_MAX_GROUPS}, size(toks) - s + 1)), n -> array_join(slice(toks, s, n), ' ')))), {_NONE})")
+            f"transform(sequence(1, least({most}, size(toks) - s + 1)), n -> array_join(slice(toks, s, n), ' ')))), {_NONE})")
     return (f"filter(flatten(transform(array({tokens}), toks -> {runs})), run -> "
             f"length({compact_sql('run')}) between {CANDIDATE_MIN_LEN} and {CANDIDATE_MAX_LEN} and length({digits_sql('run')}) >= 2)")
 

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import MAX_LINE_CHARS, PAIR_CEILING, WARNING_TEXT
+from ..constants import LONG_LINE_CHARS, WARNING_TEXT
 from ..functions import masking
 from ..functions.text import all_of, found
 from .detect import applies_sql, runnable, with_scope
@@ -29,11 +29,11 @@ def _gated_pairs(rulesets):
 
 def _pair_gate_counts(fw: Ruleset, rule: Rule) -> list[Column]:
     """Per bucket: matched halves, halves the gate admits, and admitted halves that do not meet the precondition."""
-    excluded = found("clamped", rule.exclude) if rule.exclude else "false"
-    met = found("clamped", rule.require) if rule.require else "true"
+    excluded = found("text", rule.exclude) if rule.exclude else "false"
+    met = found("text", rule.require) if rule.require else "true"
     out = []
     for half, side, pattern in (("m", "removed", rule.minus), ("p", "added", rule.plus)):
-        hit = all_of([f"side = '{side}'", rule.scope_sql(), found("clamped", pattern)])
+        hit = all_of([f"side = '{side}'", rule.scope_sql(), found("text", pattern)])
         for what, cond in (("all", hit), ("ok", f"{hit} and not {excluded}"), ("unmet", f"{hit} and not {excluded} and not {met}")):
             out.append(F.expr(f"count_if({cond})").alias(f"{half}_{what}_{_name(fw, rule)}"))
     return out
@@ -42,26 +42,26 @@ def _pair_gate_counts(fw: Ruleset, rule: Rule) -> list[Column]:
 def text_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """``line_stats`` of plain text lines, which have no hunks and no removed side: file, then key."""
     files = with_scope(lines).groupBy(key, "file").agg(
-        F.min(F.when(F.length("text") > MAX_LINE_CHARS, F.col("pos"))).alias("long_plus"),
+        F.min(F.when(F.length("text") > LONG_LINE_CHARS, F.col("pos"))).alias("long_plus"),
         *[_suppressed_lines(fw, r) for fw, r in _gated_lines(rulesets)])
     files = files.withColumns({c: F.lit(None).cast("int") for c in ("long_minus", "hunk_long", "file_long")})
-    named = [F.array_sort(F.collect_list(_long_file(fw))).alias(f"long_{fw.fw_ord}") for fw in rulesets]
+    named = _long_files(rulesets)
     return files.groupBy(key).agg(*[F.sum(c).alias(c) for c in files.columns if c.startswith("sup_")], *named)
 
 
 def _suppressed_lines(fw: Ruleset, rule: Rule) -> Column:
-    return F.expr(f"count_if(side in ('added', 'removed') and {applies_sql(rule)} and not {rule.gate_sql('clamped')})").alias(
+    return F.expr(f"count_if(side in ('added', 'removed') and {applies_sql(rule)} and not {rule.gate_sql('text')})").alias(
         f"sup_{_name(fw, rule)}")
 
 
 def line_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
-    """One row per change: pair counts, suppressed lines per rule and files with clamped lines.
+    """One row per change: pair counts, suppressed lines per rule and files with long lines.
 
     ``lines`` may hold context lines and lines outside hunks (side null), so every change
     that has a diff gets a row.  Three aggregations, hunk then file then change, all on the
     partitioning by change that the diff already has.
     """
-    long = F.length("text") > MAX_LINE_CHARS
+    long = F.length("text") > LONG_LINE_CHARS
     added, removed = F.col("side") == "added", F.col("side") == "removed"
     rows = with_scope(lines)
 
@@ -90,8 +90,7 @@ def line_stats(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> Da
     files = files.withColumn("file_long", _first_long_pair())
     wide = [(fw, r) for fw, r in _gated_pairs(rulesets) if not r.same_hunk_only]
     files = files.select("*", *[_suppressed_pairs(fw, r).alias(f"pairsup_{_name(fw, r)}") for fw, r in wide])
-    # A file never holds more long lines than the cap allows, so these lists stay small.
-    named = [F.array_sort(F.collect_list(_long_file(fw))).alias(f"long_{fw.fw_ord}") for fw in rulesets]
+    named = _long_files(rulesets)
     totals = [F.sum(c).alias(c) for c in files.columns if re.match(r"(sup|pairsup)_", c)]
     return files.groupBy(key).agg(
         F.sum("hunk_pairs").alias("same_hunk_pairs"), F.sum(F.col("n_minus") * F.col("n_plus")).alias("same_file_pairs"),
@@ -105,13 +104,18 @@ def _suppressed_pairs(fw: Ruleset, rule: Rule) -> Column:
 
 
 def _first_long_pair() -> Column:
-    """Position of the first removed line whose pairing touches a clamped line, or null."""
+    """Position of the first removed line whose pairing touches a long line, or null."""
     paired = (F.col("n_minus") > 0) & (F.col("n_plus") > 0)
     return F.when(paired, F.when(F.col("long_plus").isNotNull(), F.col("first_minus")).otherwise(F.col("long_minus")))
 
 
+def _long_files(rulesets: list[Ruleset]) -> list[Column]:
+    """Per framework how many files hold long lines that its rules met, and the first of them."""
+    return [x for fw in rulesets for x in (F.count(_long_file(fw)).alias(f"longs_{fw.fw_ord}"), F.min(_long_file(fw)).alias(f"long_{fw.fw_ord}"))]
+
+
 def _long_file(fw: Ruleset) -> Column:
-    """(order of discovery, file) if any rule of the framework meets a clamped line of the file."""
+    """(order of discovery, file) if any rule of the framework meets a long line of the file."""
     marks = []
     for r in fw.rules:
         if runnable(r):
@@ -151,7 +155,7 @@ def _names(rules) -> str:
 
 
 def _glob_list(names) -> str:
-    return ", ".join(masking.literal_path(g) for g in names[:5])
+    return ", ".join(masking.literal_path(g) for g in names)
 
 
 def warnings_of(fw: Ruleset, has_description: bool, has_pairs: bool) -> Column:
@@ -177,17 +181,8 @@ def warnings_of(fw: Ruleset, has_description: bool, has_pairs: bool) -> Column:
         if names:
             out.append(_warning(code, True, n=len(names), globs=_glob_list(names)))
     pair_rules = [r for r in fw.of_kind("paired") if r.minus and r.plus] if has_pairs else []
-    if pair_rules:
-        over = [F.when(F.col("same_hunk_pairs" if r.same_hunk_only else "same_file_pairs") >= PAIR_CEILING, F.lit(safe[r.ord]))
-                for r in pair_rules]
-        ids = F.array_compact(F.array(*over))
-        out.append(_warning("pair_ceiling", True, F.size(ids) > 0, rules=F.array_join(F.array_distinct(ids), ", ")))
-    if has_description and any(r.pattern for r in fw.of_kind("description")):
-        out.append(_warning("long_description", True, F.col("description_chars") > MAX_LINE_CHARS))
-    files = F.coalesce(F.col(f"long_{fw.fw_ord}"), F.array().cast("array<struct<first:bigint,file:string>>"))
-    more = F.when(F.size(files) > 5, F.concat(F.lit(" and "), (F.size(files) - 5).cast("string"), F.lit(" more"))).otherwise("")
-    shown = F.array_join(F.transform(F.slice(files, 1, 5), lambda f: masking.safe_path(f["file"])), ", ")
-    out.append(_warning("long_lines", True, F.size(files) > 0, n=F.size(files), files=shown, more=more))
+    files = F.coalesce(F.col(f"longs_{fw.fw_ord}"), F.lit(0))
+    out.append(_warning("long_lines", False, files > 0, n=files, file=masking.safe_path(F.col(f"long_{fw.fw_ord}.file"))))
     out.append(_warning("truncated_diff", True, F.col("truncated")))
     by_rule = [(r, F.col(f"sup_{_name(fw, r)}")) for r in fw.rules if runnable(r) and r.gated]
     by_rule += [(r, F.col(f"pairsup_{_name(fw, r)}")) for r in pair_rules if r.gated]
@@ -199,8 +194,6 @@ def warnings_of(fw: Ruleset, has_description: bool, has_pairs: bool) -> Column:
 
 
 def description_columns(rulesets: list[Ruleset]) -> list[Column]:
-    """Length of the description and, per gated description rule, whether its gate dropped it."""
-    body = f"substr(description, 1, {MAX_LINE_CHARS})"
-    dropped = [F.expr(f"bigint(coalesce(description <> '' and not {r.gate_sql(body)}, false))").alias(f"dsup_{_name(fw, r)}")
-               for fw in rulesets for r in fw.of_kind("description") if r.pattern and r.gated]
-    return [F.coalesce(F.length("description"), F.lit(0)).alias("description_chars"), *dropped]
+    """Per gated description rule, whether its gate dropped the description."""
+    return [F.expr(f"bigint(coalesce(description <> '' and not {r.gate_sql('description')}, false))").alias(f"dsup_{_name(fw, r)}")
+            for fw in rulesets for r in fw.of_kind("description") if r.pattern and r.gated]

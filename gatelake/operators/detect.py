@@ -1,28 +1,19 @@
 """All rules over all lines in one pass: one literal expression per rule, no join, no shuffle."""
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import DESCRIPTION_LOCATION, MAX_LINE_CHARS, SEVERITY
+from ..constants import DESCRIPTION_LOCATION, SEVERITY
 from ..functions import checksums, globs, masking
 from ..functions.allowlist import is_allowlisted_sql
 from ..functions.text import all_of, applied, found, quoted
 from .candidates import first_passing_sql, matches_sql, matches_with_cut_sql
 from .rules import Rule, Ruleset
 
-# Rules evaluated by one projection; more are unioned in batches to keep generated code small.
-RULE_BATCH = 32
-
 HIT = "struct<fw_ord:int,rule_ord:int,match_ord:bigint,severity:int,mask:string,value:string,is_token:boolean>"
 _NONE = f"array<{HIT}>"
 
 
-def clamped(text) -> Column:
-    return F.substring(text, 1, MAX_LINE_CHARS)
-
-
 def lower_sql(severity: str) -> str:
     """One step down: block, review, advise, advise."""
     return f"least({severity} + 1, {SEVERITY['advise']})"
@@ -60,9 +51,8 @@ def graded_by_context(hits: DataFrame, contexts: DataFrame, rulesets: list[Rules
 
 
 def with_scope(lines: DataFrame) -> DataFrame:
-    """Add what every rule asks of a line: its clamped text and the built-in path exclusion."""
-    lines = lines.withColumns({"clamped": clamped("text"), "excluded": globs.is_built_in_exclusion(F.col("file"))})
-    return lines.withColumn("digit_count", F.expr(digit_count_sql("clamped")))
+    """Add what every rule asks of a line: its number of digits and the built-in path exclusion."""
+    return lines.withColumns({"excluded": globs.is_built_in_exclusion(F.col("file")), "digit_count": F.expr(digit_count_sql("text"))})
 
 
 def digit_count_sql(text: str) -> str:
@@ -123,7 +113,7 @@ def _hits_sql(fw: Ruleset, rule: Rule, conditions, values: str, severity: str) -
 
 
 def _line_sql(fw: Ruleset, rule: Rule) -> str:
-    text = "clamped"
+    text = "text"
     if rule.kind == "signature":
         token = first_token_sql(text, rule.tokens)
         values = f"filter(array(named_struct('value', {token}, 'ord', bigint(0))), m -> m.value is not null)"
@@ -139,20 +129,19 @@ def line_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> Dat
     """
     work = [(fw, r) for fw in rulesets for r in fw.rules if runnable(r)]
     lines = with_scope(lines)
-    order = F.shiftleft(F.col("side_ord").cast("bigint"), 60) + F.shiftleft(F.col("pos").cast("bigint"), 20)
+    # A text holds at most 2**31 bytes, so neither its lines nor the matches of a line pass 2**30.
+    order = F.shiftleft(F.col("side_ord").cast("bigint"), 60) + F.shiftleft(F.col("pos").cast("bigint"), 30)
     shown_line = F.when(F.col("side") != "removed", F.col("line_no"))
 
-    def batch(part):
-        arrays = ", ".join(_line_sql(fw, r) for fw, r in part)
-        hits = lines.select(key, "file", "line_no", shown_line.alias("line"), order.alias("base"),
-                            F.inline_outer(F.expr(f"flatten(array({arrays}))")))
-        # The outer form keeps Spark from testing the whole array once more in a filter.
-        hits = hits.where(F.col("rule_ord").isNotNull())
-        return masking.with_evidence(hits).select(key, "fw_ord", "rule_ord", (F.col("base") + F.col("match_ord")).alias("ord"),
-                           "severity", "evidence", "file", "line")
-
-    parts = [batch(work[i:i + RULE_BATCH]) for i in range(0, len(work), RULE_BATCH)]
-    return reduce(DataFrame.unionByName, parts) if parts else _no_hits(lines, key)
+    if not work:
+        return _no_hits(lines, key)
+    arrays = ", ".join(_line_sql(fw, r) for fw, r in work)
+    hits = lines.select(key, "file", "line_no", shown_line.alias("line"), order.alias("base"),
+                        F.inline_outer(F.expr(f"flatten(array({arrays}))")))
+    # The outer form keeps Spark from testing the whole array once more in a filter.
+    hits = hits.where(F.col("rule_ord").isNotNull())
+    return masking.with_evidence(hits).select(key, "fw_ord", "rule_ord", (F.col("base") + F.col("match_ord")).alias("ord"),
+                                              "severity", "evidence", "file", "line")
 
 
 def _no_hits(df: DataFrame, key: str) -> DataFrame:
@@ -167,7 +156,7 @@ def description_hits(changes: DataFrame, rulesets: list[Ruleset], key="change_id
     work = [(fw, r) for fw in rulesets for r in fw.of_kind("description") if r.pattern]
     if not work:
         return _no_hits(changes, key)
-    body = changes.select(key, clamped("description").alias("body"))
+    body = changes.select(key, F.col("description").alias("body"))
     arrays = ", ".join(
         _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body", digit_count_sql("body")), r.gate_sql("body")],
                   found_values_sql(r, "body", fw.allowlist), str(r.severity)) for fw, r in work)

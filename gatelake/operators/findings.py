@@ -8,7 +8,7 @@ from .rules import Ruleset
 
 
 def action_name(severity: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(a) for a in SEVERITY]), severity + 1)
+    return F.get(F.array(*[F.lit(a) for a in SEVERITY]), severity)
 
 
 def severity_rank(action: Column) -> Column:
@@ -18,6 +18,8 @@ def severity_rank(action: Column) -> Column:
 
 def _per_rule(rulesets: list[Ruleset], make, cast: str) -> Column:
     """A literal lookup by (framework, rule) position."""
+    if not rulesets:
+        return F.lit(None).cast(cast)
     rows = [F.array(*[make(r).cast(cast) for r in fw.rules]) if fw.rules else F.array().cast(f"array<{cast}>")
             for fw in rulesets]
     return F.get(F.get(F.array(*rows), F.col("fw_ord")), F.col("rule_ord"))
@@ -41,7 +43,7 @@ def findings(hits: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataF
     """The findings table; ``finding_ord`` is the order of discovery within its change and framework."""
     unique = deduplicated(hits, rulesets, key)
     order = Window.partitionBy(key, "fw_ord").orderBy("rule_ord", "ord")
-    framework = F.element_at(F.array(*[F.lit(fw.framework) for fw in rulesets]), F.col("fw_ord") + 1)
+    framework = F.get(F.array(*[F.lit(fw.framework) for fw in rulesets]).cast("array<string>"), F.col("fw_ord"))
     empty = F.array().cast("array<string>")
     articles = _per_rule(rulesets, lambda r: _strings(r.articles), "array<string>")
     gdpr = _per_rule(rulesets, lambda r: _strings(r.gdpr_article), "array<string>")

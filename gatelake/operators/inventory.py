@@ -3,16 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..constants import (EMOTION_KEY, EMOTION_RULE_ID, INVENTORY_KEEP_RUNS, INVENTORY_MAX_COUNT, INVENTORY_MAX_PATH_CHARS,
-                         INVENTORY_MAX_PATHS, INVENTORY_MAX_ROWS, INVENTORY_RULE_IDS, MAX_LINE_CHARS, OTHER_FAMILY,
-                         SIGNATURE_FAMILIES, SIGNATURE_KEYS, TREE_MAX_FILE_BYTES, TREE_MAX_FILES)
+from ..constants import (EMOTION_KEY, EMOTION_RULE_ID, INVENTORY_KEEP_RUNS, INVENTORY_RULE_IDS, LONG_LINE_CHARS, OTHER_FAMILY,
+                         SIGNATURE_FAMILIES, SIGNATURE_KEYS)
 from ..functions import globs
 from ..sources.tree import decoded, is_binary
 from .rules import Rule, Ruleset
 
 REPO = ("repo", "commit_sha")
-# Largest table of per-repository limits that is shipped to every executor.
-BROADCAST_ROWS = 100_000
 SALT = 64
 
 
@@ -39,7 +36,7 @@ def scoped_files(tree: DataFrame, rules: list[Rule]) -> DataFrame:
         .withColumn("covering", covering).drop("excluded")
 
 
-def cap_paths(files: DataFrame, max_files: int = TREE_MAX_FILES) -> DataFrame:
+def cap_paths(files: DataFrame, max_files: int) -> DataFrame:
     """For repositories with more than ``max_files`` covered files, the last path that is still read.
 
     Only (repo, path) is shuffled.  Ranking first inside hashed slices keeps a repository
@@ -56,23 +53,19 @@ def cap_paths(files: DataFrame, max_files: int = TREE_MAX_FILES) -> DataFrame:
     return over.where(F.col("n") > max_files).drop("n")
 
 
-def opened_files(files: DataFrame, max_files: int = TREE_MAX_FILES) -> DataFrame:
-    """Covered files within the cap; ``capped`` marks repositories that lost some."""
-    limits = cap_paths(files, max_files)
+def opened_files(files: DataFrame, max_files: int | None = None) -> DataFrame:
+    """Covered files, or of each repository the first ``max_files`` by path where the caller names a cap."""
     covered = files.where(F.size("covering") > 0)
-    if limits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        joined = covered.join(F.broadcast(limits), list(REPO), "left")
-    else:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
-        salted = limits.withColumn("salt", salts.cast("bigint"))
-        joined = covered.withColumn("salt", F.pmod(F.xxhash64("path"), F.lit(SALT))) \
-            .join(salted, [*REPO, "salt"], "left").drop("salt")
+    if max_files is None:
+        return covered
+    joined = covered.join(cap_paths(files, max_files), list(REPO), "left")
     return joined.where(F.col("last_path").isNull() | (F.col("path") <= F.col("last_path"))).drop("last_path")
 
 
-def _with_content(opened: DataFrame, max_bytes: int) -> DataFrame:
+def _with_content(opened: DataFrame, max_bytes: int | None) -> DataFrame:
     """What became of each opened file: unreadable, too large, binary, or its lines."""
-    state = (F.when(F.col("length").isNull(), "unreadable").when(F.col("length") > max_bytes, "size")
+    too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    state = (F.when(F.col("length").isNull(), "unreadable").when(too_large, "size")
              .when(F.col("content").isNull(), "unreadable").when(is_binary(F.col("content")), "binary").otherwise("scanned"))
     return opened.withColumn("state", state)
 
@@ -81,14 +74,14 @@ def _lines_of(content: Column) -> Column:
     return F.split(decoded(content), r"\r?\n", -1)
 
 
-def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int = TREE_MAX_FILE_BYTES) -> DataFrame:
+def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int | None = None) -> DataFrame:
     """(repo, commit, path, rule, family, count of matching lines), counted per file before any shuffle."""
     running = _running(rules)
     text = F.col("text")
     lines = (_with_content(opened, max_bytes).where(F.col("state") == "scanned")
              .select(*REPO, "path", "covering", F.explode_outer(_lines_of(F.col("content"))).alias("line"))
              .where(F.length("line") > 0)
-             .select(*REPO, "path", "covering", F.substring("line", 1, MAX_LINE_CHARS).alias("text")))
+             .select(*REPO, "path", "covering", F.col("line").alias("text")))
 
     def found(i: int, r: Rule) -> Column:
         cond = F.array_contains("covering", i) & F.expr(r.gate_sql("text"))
@@ -107,24 +100,19 @@ def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int = TREE_M
         .agg(F.count("*").alias("lines"))
 
 
-def observations(counted: DataFrame, sample_paths: bool = False) -> DataFrame:
-    """Counts per (repo, rule, family), clamped, at most 49 rows per repository, with up to three example paths."""
+def observations(counted: DataFrame, sample_paths: int = 0) -> DataFrame:
+    """Counts per (repo, rule, family), with up to ``sample_paths`` example paths where the caller asks for some."""
     keys = [*REPO, "rule_id", "signature_key"]
-    totals = counted.groupBy(*keys).agg(F.sum("lines").alias("total"))
-    place = Window.partitionBy(*REPO).orderBy("rule_id", "signature_key")
-    rows = totals.withColumn("n", F.row_number().over(place)).where(F.col("n") <= INVENTORY_MAX_ROWS) \
-        .select(*keys, F.least("total", F.lit(INVENTORY_MAX_COUNT)).alias("count"))
+    totals = counted.groupBy(*keys).agg(F.sum("lines").alias("count"))
     if not sample_paths:
-        return rows
+        return totals
     order = Window.partitionBy(*keys).orderBy("path")
-    short = counted.where(F.length("path") <= INVENTORY_MAX_PATH_CHARS).select(*keys, "path")
-    first = short.withColumn("n", F.row_number().over(order)).where(F.col("n") <= INVENTORY_MAX_PATHS)
+    first = counted.select(*keys, "path").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample_paths)
     paths = first.groupBy(*keys).agg(F.array_sort(F.collect_list("path")).alias("sample_paths"))
-    return rows.join(paths, keys, "left").withColumn(
-        "sample_paths", F.coalesce("sample_paths", F.array().cast("array<string>")))
+    return totals.join(paths, keys, "left")
 
 
-def run_stats(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes: int = TREE_MAX_FILE_BYTES) -> DataFrame:
+def run_stats(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes: int | None = None) -> DataFrame:
     """Counters and completeness per (repo, commit)."""
     running = _running(rules)
     listed = files.groupBy(*REPO).agg(
@@ -132,7 +120,7 @@ def run_stats(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes:
     seen = _with_content(opened, max_bytes)
     state = F.col("state")
     long_lines = F.when(state == "scanned", F.size(F.filter(
-        _lines_of(F.col("content")), lambda t: F.length(t) > MAX_LINE_CHARS))).otherwise(0)
+        _lines_of(F.col("content")), lambda t: F.length(t) > LONG_LINE_CHARS))).otherwise(0)
     seen = seen.select(*REPO, "covering", "state", long_lines.alias("long_lines"))
     read = state.isin("scanned", "binary")
     blind = []
@@ -147,10 +135,10 @@ def run_stats(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes:
         *[F.count_if(state == s).alias(n) for s, n in (
             ("size", "skipped_size"), ("binary", "skipped_binary"), ("unreadable", "skipped_unreadable"),
             ("scanned", "files_scanned"))],
-        F.sum("long_lines").alias("clamped_lines"), any_blind.alias("blind"))
+        F.sum("long_lines").alias("long_lines"), any_blind.alias("blind"))
     static = len(running) < len(rules) or any(globs.refusal(g) for r in running for g in r.file_scope)
     zero = F.lit(0).cast("bigint")
-    counters = ["skipped_size", "skipped_binary", "skipped_unreadable", "clamped_lines", "files_scanned"]
+    counters = ["skipped_size", "skipped_binary", "skipped_unreadable", "long_lines", "files_scanned"]
     in_scope = F.col("listed") - F.col("out_of_scope")
     return listed.join(states, list(REPO), "left").select(
         *REPO, "listed", "out_of_scope", *[F.coalesce(c, zero).alias(c) for c in counters],

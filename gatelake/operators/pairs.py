@@ -15,7 +15,7 @@ from ..functions.allowlist import is_allowlisted_sql
 from ..functions.globs import is_built_in_exclusion
 from ..functions.patterns import js_trim
 from ..functions.text import all_of, found, quoted
-from .detect import clamped, lower_sql
+from .detect import lower_sql
 from .rules import Rule, Ruleset
 
 SAME, CROSS = " (same-hunk)", " (cross-hunk)"
@@ -41,13 +41,13 @@ def _may_show(rule: Rule) -> Column:
 
 def _halves(fw: Ruleset, rule: Rule, index: int) -> Column:
     """The role of a line in a rule, or null: matched its half, in scope, not excluded."""
-    tests = [rule.scope_sql(), f"if(side = 'removed', {found('clamped', rule.minus)}, {found('clamped', rule.plus)})"]
+    tests = [rule.scope_sql(), f"if(side = 'removed', {found('text', rule.minus)}, {found('text', rule.plus)})"]
     if rule.exclude:
-        tests.append(f"not {found('clamped', rule.exclude)}")
+        tests.append(f"not {found('text', rule.exclude)}")
     if rule.synthetic:
-        value = f"regexp_extract(clamped, {quoted(rule.minus)}, 0)"
+        value = f"regexp_extract(text, {quoted(rule.minus)}, 0)"
         tests.append(f"(side <> 'removed' or not {is_allowlisted_sql(value, fw.allowlist)})")
-    required = found("clamped", rule.require) if rule.require else "true"
+    required = found("text", rule.require) if rule.require else "true"
     return F.when(F.expr(all_of(tests)), F.struct(
         F.lit(index).alias("rule"), F.expr(required).alias("met"),
         (F.col("hunk_index") if rule.same_hunk_only else F.lit(-1).cast("bigint")).alias("bucket")))
@@ -81,7 +81,7 @@ def paired_partners(lines: DataFrame, rulesets: list[Ruleset], key="change_id")
     rules = paired_rules(rulesets)
     keep = [key, "pos", "side", "file", "line_no", "text", "hunk_index"]
     halves = (lines.where(F.col("side").isin("added", "removed")).select(*keep)
-              .withColumns({"clamped": clamped("text"), "excluded": is_built_in_exclusion(F.col("file"))})
+              .withColumn("excluded", is_built_in_exclusion(F.col("file")))
               .withColumn("half", F.explode_outer(F.array_compact(F.array(
                   *[_halves(fw, r, i) for i, (fw, r) in enumerate(rules)]))))
               .where(F.col("half").isNotNull()).select(*keep, "half.*"))
@@ -136,8 +136,7 @@ def paired_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> D
     number = F.coalesce(F.concat(F.lit(":"), F.col("line_no").cast("string")), F.lit(""))
     partners = partners.withColumn("text", F.concat(per_rule(stem), number))
     shown = F.when(F.col("needle").isNull(), F.col("text")).otherwise(F.replace("text", F.col("needle"), F.lit("***")))
-    # Line positions stay far below 2**24: the diff cap bounds them.
-    order = F.shiftleft(F.col("minus_pos").cast("bigint"), 24) + F.col("pos")
+    order = F.shiftleft(F.col("minus_pos").cast("bigint"), 31) + F.col("pos")  # positions are below 2**31
     return partners.select(
         key, per_rule(lambda fw, r: F.lit(fw.fw_ord)).alias("fw_ord"), per_rule(lambda fw, r: F.lit(r.ord)).alias("rule_ord"),
         order.alias("ord"), per_rule(severity).alias("severity"), shown.alias("evidence"),

@@ -3,10 +3,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..constants import (DEFAULT_FRAMEWORK, DEFAULT_PROVIDER, DESCRIPTION_PATH, EXPORT_MAX_FINDINGS, FRAMEWORK_ARTICLE_LABELS,
-                         FRAMEWORK_SLUGS, FRAMEWORK_TITLES, NOTE_MAX_ROWS, SUMMARY_MAX_ROWS)
+from ..constants import (DEFAULT_FRAMEWORK, DEFAULT_PROVIDER, DESCRIPTION_PATH, FRAMEWORK_ARTICLE_LABELS, FRAMEWORK_SLUGS,
+                         FRAMEWORK_TITLES)
 from ..functions import masking
-from .findings import top_by_severity
+from .findings import severity_rank, top_by_severity
 
 KEYS = ("change_id", "framework")
 
@@ -15,32 +15,46 @@ def _lookup(column: str, values: dict) -> Column:
     return F.coalesce(*[F.when(F.col(column) == k, F.lit(v)) for k, v in values.items()], F.col(column))
 
 
-def export_findings(found: DataFrame) -> DataFrame:
-    """What leaves the gate: the 200 most severe, digits grouped, then fields clamped.
+def _most_severe(found: DataFrame, limit: int | None) -> DataFrame:
+    """Findings with their place by severity; all of them unless the caller names how many."""
+    if limit is not None:
+        return top_by_severity(found, limit, *KEYS)
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy(severity_rank(F.col("action")), "finding_ord"))
+    return found.withColumn("severity_pos", place)
 
-    Up to 200 findings keep their order of discovery; above that they are sorted by severity.
+
+def export_findings(found: DataFrame, limit: int | None = None, chars: int | None = None, items: int | None = None) -> DataFrame:
+    """What leaves the gate: findings in order of discovery, digits grouped.
+
+    With a limit, a change and framework with more findings keeps its most severe ones, sorted by severity; ``chars``
+    and ``items`` bound the fields where named.
     """
-    top = top_by_severity(found, EXPORT_MAX_FINDINGS + 1, *KEYS)
-    sizes = F.max("severity_pos").over(Window.partitionBy(*KEYS))
-    place = F.when(sizes > EXPORT_MAX_FINDINGS, F.col("severity_pos")).otherwise(F.col("finding_ord"))
-    kept = top.withColumn("export_ord", place.cast("bigint")).where(F.col("severity_pos") <= EXPORT_MAX_FINDINGS)
+    if limit is None:
+        kept = found.withColumn("export_ord", F.col("finding_ord"))
+    else:
+        top = top_by_severity(found, limit + 1, *KEYS)
+        sizes = F.max("severity_pos").over(Window.partitionBy(*KEYS))
+        place = F.when(sizes > limit, F.col("severity_pos")).otherwise(F.col("finding_ord"))
+        kept = top.withColumn("export_ord", place.cast("bigint")).where(F.col("severity_pos") <= limit)
     return kept.select(
-        *KEYS, "fw_ord", "export_ord", masking.clamp_text(F.col("rule_id")).alias("rule_id"),
-        masking.clamp_list(F.col("articles")).alias("articles"), masking.clamp_list(F.col("gdpr_article")).alias("gdpr_article"),
-        "action", masking.clamp_text(masking.group_digits(F.col("masked_evidence"))).alias("masked_evidence"))
+        *KEYS, "fw_ord", "export_ord", masking.clamp_text(F.col("rule_id"), chars).alias("rule_id"),
+        masking.clamp_list(F.col("articles"), items, chars).alias("articles"),
+        masking.clamp_list(F.col("gdpr_article"), items, chars).alias("gdpr_article"),
+        "action", masking.clamp_text(masking.group_digits(F.col("masked_evidence")), chars).alias("masked_evidence"))
 
 
-def _finding_lists(found: DataFrame) -> DataFrame:
-    """At most 200 exported findings per (change, framework) as one ordered array."""
+def _finding_lists(found: DataFrame, limit: int | None) -> DataFrame:
+    """The exported findings of a (change, framework) as one ordered array, which the payload needs in one piece."""
     row = F.struct("export_ord", F.struct("rule_id", "gdpr_article", "articles", "action", "masked_evidence").alias("f"))
-    lists = export_findings(found).groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lists = export_findings(found, limit).groupBy(*KEYS).agg(F.array_sort(F.collect_list(row)).alias("rows"))
     return lists.select(*KEYS, F.transform("rows", lambda r: r["f"]).alias("findings"))
 
 
-def payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
+def payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, contexts: DataFrame | None = None,
+             limit: int | None = None) -> DataFrame:
     """One multi-framework body per change; ``contexts`` is (change_id, framework, context, context_hash)."""
     rows = verdicts.select(*KEYS, "fw_ord", "ruleset_version", "ruleset_hash", "verdict") \
-        .join(_finding_lists(found), list(KEYS), "left")
+        .join(_finding_lists(found, limit), list(KEYS), "left")
     if contexts is not None:
         both = F.col("context").isNotNull() & F.col("context_hash").isNotNull()
         rows = rows.join(contexts.where(both), list(KEYS), "left")
@@ -58,11 +72,12 @@ def payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, contexts
             ordered.alias("results"))).alias("payload"))
 
 
-def single_payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, framework=DEFAULT_FRAMEWORK) -> DataFrame:
+def single_payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, framework=DEFAULT_FRAMEWORK,
+                    limit: int | None = None) -> DataFrame:
     """The one-verdict body of the default framework."""
     mine = F.col("framework") == framework
     rows = verdicts.where(mine).select(*KEYS, "ruleset_version", "ruleset_hash", "verdict") \
-        .join(_finding_lists(found.where(mine)), list(KEYS), "left")
+        .join(_finding_lists(found.where(mine), limit), list(KEYS), "left")
     empty = F.array().cast("array<struct<rule_id:string,gdpr_article:array<string>,articles:array<string>,"
                            "action:string,masked_evidence:string>>")
     return changes.join(rows, "change_id").select("change_id", F.to_json(F.struct(
@@ -70,14 +85,14 @@ def single_payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, f
         F.coalesce("findings", empty).alias("findings"))).alias("payload"))
 
 
-def code_quality(found: DataFrame, tool: str = "gate") -> DataFrame:
-    """Code Quality issues, the 200 most severe per (change, framework), always by severity."""
+def code_quality(found: DataFrame, tool: str = "gate", limit: int | None = None) -> DataFrame:
+    """Code Quality issues of every (change, framework) by severity, or the ``limit`` most severe of each."""
     relative = masking.relative_path(F.col("file"))
     path = F.when(F.coalesce(relative, F.lit("")) == "", DESCRIPTION_PATH).otherwise(relative)
     begin = F.when(F.coalesce(F.col("file"), F.lit("")) == "", 1).when(F.col("line") >= 1, F.col("line")).otherwise(1)
     severity = (F.when(F.col("action") == "block", "critical").when(F.col("action") == "review", "major")
                 .when(F.col("action") == "advise", "minor").otherwise("info"))
-    top = top_by_severity(found, EXPORT_MAX_FINDINGS, *KEYS).withColumns({"path": path, "begin": begin.cast("bigint")})
+    top = _most_severe(found, limit).withColumns({"path": path, "begin": begin.cast("bigint")})
     identity = F.concat_ws(chr(0), "framework", "rule_id", "path", F.col("begin").cast("string"), "masked_evidence")
     return top.select(
         *KEYS, "fw_ord", "severity_pos",
@@ -97,9 +112,9 @@ def code_quality_json(changes: DataFrame, issues: DataFrame) -> DataFrame:
         "change_id", F.concat(F.coalesce(body, F.lit("[]")), F.lit("\n")).alias("report"))
 
 
-def _shown_rows(found: DataFrame, limit: int, position: str, line: Column) -> DataFrame:
-    """The first ``limit`` rendered rows per (change, framework), joined by newlines."""
-    rows = found.where(F.col(position) <= limit).select(*KEYS, F.col(position).alias("p"), line.alias("line"))
+def _shown_rows(found: DataFrame, limit: int | None, position: str, line: Column) -> DataFrame:
+    """The rendered rows per (change, framework), or the first ``limit``, joined by newlines."""
+    rows = (found if limit is None else found.where(F.col(position) <= limit)).select(*KEYS, F.col(position).alias("p"), line.alias("line"))
     lists = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("p", "line"))).alias("rows"))
     return lists.select(*KEYS, F.array_join(F.transform("rows", lambda r: r["line"]), "\n").alias("table"))
 
@@ -111,19 +126,26 @@ def _cells(*cells: Column) -> Column:
     return F.concat(*parts, F.lit(" |"))
 
 
-def summaries(verdicts: DataFrame, found: DataFrame, footer: str = "_Scanned in your CI. Raw text never leaves it._") -> DataFrame:
-    """Markdown summary per (change, framework): counts, up to 100 rows, overflow, warnings."""
+def _beyond(total: Column, limit: int | None, before: str, after: str) -> Column:
+    """What a limit left out, or null."""
+    if limit is None:
+        return F.lit(None).cast("string")
+    return F.when(total > limit, F.concat(F.lit("\n" + before), (total - limit).cast("string"), F.lit(after)))
+
+
+def summaries(verdicts: DataFrame, found: DataFrame, footer: str = "_Scanned in your CI. Raw text never leaves it._",
+              limit: int | None = None) -> DataFrame:
+    """Markdown summary per (change, framework): counts, all rows or ``limit`` and what is beyond, warnings."""
     articles = F.array_join(F.coalesce("articles", "gdpr_article", F.array().cast("array<string>")), ", ")
     found = found.withColumn("article_list", articles)
     line = _cells(*[masking.markdown_cell(F.col(c)) for c in ("action", "rule_id", "article_list", "masked_evidence")])
-    rows = verdicts.join(_shown_rows(found, SUMMARY_MAX_ROWS, "finding_ord", line), list(KEYS), "left")
+    rows = verdicts.join(_shown_rows(found, limit, "finding_ord", line), list(KEYS), "left")
     total = F.col("n_block") + F.col("n_review") + F.col("n_advise")
     head = F.concat(F.lit("**Verdict: "), "verdict", F.lit("** — "), F.col("n_block").cast("string"), F.lit(" blocking, "),
                     F.col("n_review").cast("string"), F.lit(" need review, "), F.col("n_advise").cast("string"), F.lit(" advisory."))
     header = F.concat(F.lit("| Action | Rule | "), _lookup("framework", FRAMEWORK_ARTICLE_LABELS),
                       F.lit(" | Evidence (masked) |\n| --- | --- | --- | --- |"))
-    over = F.when(total > SUMMARY_MAX_ROWS, F.concat(
-        F.lit("\n_…and "), (total - SUMMARY_MAX_ROWS).cast("string"), F.lit(" more findings (truncated for display)._")))
+    over = _beyond(total, limit, "_…and ", " more findings (truncated for display)._")
     warned = F.when(F.size("warnings") > 0, F.concat(
         F.lit("\n**Warnings:**\n"), F.array_join(F.transform("warnings", lambda w: F.concat(F.lit("- "), w["detail"])), "\n")))
     body = F.concat_ws("\n", head, F.lit(""), F.when(total > 0, F.concat(header, F.lit("\n"), "table")).otherwise("No findings."),
@@ -132,17 +154,15 @@ def summaries(verdicts: DataFrame, found: DataFrame, footer: str = "_Scanned in
 
 
 def notes(verdicts: DataFrame, found: DataFrame, heading: str = "### Compliance gate",
-          marker: str = "<!-- compliance-gate -->", footer: str = "_Updated on every pipeline._") -> DataFrame:
-    """One markdown note per change: a verdict per framework and its 25 most severe findings."""
-    top = top_by_severity(found, EXPORT_MAX_FINDINGS, *KEYS)
-    line = _cells(F.col("action"), masking.code_span(F.col("rule_id"), 80), masking.code_span(F.col("masked_evidence")))
-    rows = verdicts.join(_shown_rows(top, NOTE_MAX_ROWS, "severity_pos", line), list(KEYS), "left")
-    kept = F.least(F.col("n_block") + F.col("n_review") + F.col("n_advise"), F.lit(EXPORT_MAX_FINDINGS))
+          marker: str = "<!-- compliance-gate -->", footer: str = "_Updated on every pipeline._", limit: int | None = None) -> DataFrame:
+    """One markdown note per change: a verdict per framework and its findings by severity, or the ``limit`` most severe."""
+    line = _cells(F.col("action"), masking.code_span(F.col("rule_id")), masking.code_span(F.col("masked_evidence")))
+    rows = verdicts.join(_shown_rows(_most_severe(found, limit), limit, "severity_pos", line), list(KEYS), "left")
+    kept = F.col("n_block") + F.col("n_review") + F.col("n_advise")
     mark = F.when(F.col("verdict") == "pass", "✅ passed").when(F.col("verdict") == "fail", "❌ failed") \
         .otherwise("⚠️ needs review")
     head = F.concat(F.lit("**"), _lookup("framework", FRAMEWORK_TITLES), F.lit(":** "), mark, F.lit("\n"))
-    over = F.when(kept > NOTE_MAX_ROWS, F.concat(
-        F.lit("\n…and "), (kept - NOTE_MAX_ROWS).cast("string"), F.lit(" more finding(s).")))
+    over = _beyond(kept, limit, "…and ", " more finding(s).")
     table = F.when(kept > 0, F.concat_ws(
         "\n", F.lit("| Action | Rule | Evidence (masked) |\n| --- | --- | --- |"), F.col("table"), over, F.lit("")))
     part = F.concat_ws("\n", head, table)

@@ -14,8 +14,6 @@ from ..constants import CANDIDATE_PATTERN, SEVERITY
 from ..functions import globs, patterns
 from ..functions.text import all_of, found
 
-MAX_RULES = 2000
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -35,7 +33,6 @@ class Rule:
     checksum: bool = False
     validators: tuple = ()
     context: str | None = None
-    wants_context: bool = False
     exclude: str | None = None
     require: str | None = None
     file_scope: tuple = ()
@@ -94,8 +91,19 @@ class Ruleset:
 _PATTERN_FIELDS = ("pattern", "exclude_pattern", "require_pattern", "require_context")
 
 
+def _detect(raw) -> dict:
+    """The detection part of a rule as written, or an empty one."""
+    detect = raw.get("detect") if isinstance(raw, dict) else None
+    return detect if isinstance(detect, dict) else {}
+
+
+def _strings(value) -> tuple:
+    """The strings of a list; anything else has none."""
+    return tuple(v for v in value if isinstance(v, str)) if isinstance(value, list) else ()
+
+
 def _declared(detect: dict) -> dict:
-    paired = detect.get("paired") or {}
+    paired = detect["paired"] if isinstance(detect.get("paired"), dict) else {}
     named = {f: detect.get(f) for f in _PATTERN_FIELDS}
     named |= {"paired.minus": paired.get("minus"), "paired.plus": paired.get("plus")}
     return {name: p for name, p in named.items() if isinstance(p, str) and p}
@@ -133,17 +141,28 @@ def _kind(detect: dict) -> str:
     return "paired" if detect.get("paired") else "line"
 
 
-def _rule(ord_: int, raw: dict, signatures: dict, accepted: set[str]) -> Rule:
-    detect = raw.get("detect") if isinstance(raw, dict) else None
-    if not isinstance(detect, dict):
-        return Rule(ord_, str((raw or {}).get("id", "unknown")), "advise", "none", failed=True)
+def _malformed(raw) -> bool:
+    """Whether a rule lacks what every rule needs, or has it in a type that no part of the engine can read."""
+    detect = _detect(raw)
+    texts = [detect.get(f) for f in (*_PATTERN_FIELDS, "mask", "signature")]
+    texts += list(detect["paired"].values()) if isinstance(detect.get("paired"), dict) else []
+    return (not detect or not isinstance(raw.get("id"), str) or raw.get("action") not in SEVERITY
+            or not isinstance(detect.get("paired") or {}, dict) or any(not isinstance(t, str | None) for t in texts))
+
+
+def _rule(ord_: int, raw, signatures: dict, accepted: set[str]) -> Rule:
+    """One rule; one that cannot be read is kept by name, runs nothing and floors the verdict."""
+    detect = _detect(raw)
+    if _malformed(raw):
+        name = raw.get("id") if isinstance(raw, dict) else None
+        return Rule(ord_, name if isinstance(name, str) else "unknown", "advise", "none", failed=True)
 
     def java(pattern, extra="", sticky=True):
         p = patterns.to_java(pattern, extra, sticky)
         return p if p in accepted else None
 
     kind, paired = _kind(detect), detect.get("paired") or {}
-    validators = tuple(detect.get("validator") or ())
+    validators = _strings(detect.get("validator"))
     refused = raw.get("tier") == 1 and bool(detect.get("exclude_pattern") or detect.get("require_pattern"))
     pattern = java(detect.get("pattern"))
     if pattern is None and validators and kind == "line":
@@ -158,10 +177,9 @@ def _rule(ord_: int, raw: dict, signatures: dict, accepted: set[str]) -> Rule:
         sides={"added": ("added",), "removed": ("removed",)}.get(detect.get("diff_side"), ("added", "removed")),
         pattern=pattern, hint=hint, min_digits=digits, checksum=detect.get("method") == "checksum", validators=validators,
         context=java(detect.get("require_context"), "i", False),
-        wants_context=bool(detect.get("require_context")),
         exclude=None if refused else java(detect.get("exclude_pattern"), "", False),
         require=None if refused else java(detect.get("require_pattern"), "", False),
-        file_scope=tuple(detect.get("file_scope") or ()), exclude_paths=tuple(detect.get("exclude_paths") or ()),
+        file_scope=_strings(detect.get("file_scope")), exclude_paths=_strings(detect.get("exclude_paths")),
         synthetic=detect.get("allowlist") == "synthetic", tokens=tuple(t for t in tokens if t),
         minus=java(paired.get("minus"), "", False), plus=java(paired.get("plus"), "", False),
         same_hunk_only=paired.get("window") == "same_hunk",
@@ -172,12 +190,10 @@ def _rule(ord_: int, raw: dict, signatures: dict, accepted: set[str]) -> Rule:
 
 def compile_rulesets(spark: SparkSession, documents: list[dict]) -> list[Ruleset]:
     """Resolve ruleset dicts (one per framework, in order)."""
-    if sum(len(d.get("rules") or ()) for d in documents) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules in one scan; split the rulesets")
     wanted = set()
     for doc in documents:
         for raw in doc.get("rules") or ():
-            for name, p in _declared((raw or {}).get("detect") or {}).items():
+            for p in _declared(_detect(raw)).values():
                 for extra, sticky in (("", True), ("", False), ("i", False)):
                     wanted.add(patterns.to_java(p, extra, sticky))
     accepted = _accepted(spark, wanted - {None})

@@ -41,17 +41,18 @@ def not_recorded(submitted: DataFrame, stored: DataFrame, *keys: str) -> DataFra
     return submitted.join(stored.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def degraded(changes: DataFrame, rulesets: list[Ruleset], reason: str, key="change_id") -> DataFrame:
+def degraded(changes: DataFrame, rulesets: list[Ruleset], reason: str, key="change_id", keep=()) -> DataFrame:
     """Verdict rows for changes that could not be scanned: never a silent pass."""
-    names = F.explode(F.array(*[F.struct(F.lit(f.fw_ord).alias("fw_ord"), F.lit(f.framework).alias("framework"))
-                                for f in rulesets]))
+    names = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in (
+        ("fw_ord", f.fw_ord), ("framework", f.framework), ("ruleset_version", f.version), ("ruleset_hash", f.hash))]) for f in rulesets]))
     code = "no_diff" if rulesets else "no_ruleset"
-    base = changes.select(key, names.alias("f")).select(key, "f.*") if rulesets else changes.select(
-        key, F.lit(0).alias("fw_ord"), F.lit(DEFAULT_FRAMEWORK).alias("framework"))
+    base = changes.select(key, *keep, names.alias("f")).select(key, *keep, "f.*") if rulesets else changes.select(
+        key, *keep, F.lit(0).alias("fw_ord"), F.lit(DEFAULT_FRAMEWORK).alias("framework"),
+        F.lit(None).cast("bigint").alias("ruleset_version"), F.lit(None).cast("string").alias("ruleset_hash"))
     detail = WARNING_TEXT[code].format(reason=reason)
     zero = F.lit(0).cast("bigint")
     return base.select(
-        key, "fw_ord", "framework", F.lit("needs_review").alias("verdict"), zero.alias("n_block"),
+        key, "fw_ord", "framework", "ruleset_version", "ruleset_hash", *keep, F.lit("needs_review").alias("verdict"), zero.alias("n_block"),
         zero.alias("n_review"), zero.alias("n_advise"), F.lit(True).alias("incomplete"),
         F.array(F.struct(F.lit(code).alias("code"), F.lit(detail).alias("detail"), F.lit(True).alias("floors"))).alias("warnings"))
 

@@ -47,6 +47,8 @@ class Scan:
     @property
     def verdicts(self) -> DataFrame:
         """One row per change and framework, also where nothing was found."""
+        if not self.rulesets:
+            return ver.degraded(self.coverage(), [], "no ruleset", self.key, self.keep)
         frameworks = F.array(*[F.struct(
             F.lit(fw.fw_ord).alias("fw_ord"), F.lit(fw.framework).alias("framework"),
             F.lit(fw.version).cast("bigint").alias("ruleset_version"), F.lit(fw.hash).alias("ruleset_hash"))
@@ -77,15 +79,33 @@ class Scan:
             self.key, "fw_ord", "framework", (F.col("pos") + 1).alias("warning_ord"), "w.*")
 
 
+def _unscanned(sources: DataFrame, key: str, keep=()) -> Scan:
+    """A scan without any ruleset: no hit, and verdicts that say so."""
+    return Scan([], detect.line_hits(_no_lines(sources, key), [], key), lambda: sources, key, keep=tuple(keep))
+
+
+def _no_lines(sources: DataFrame, key: str) -> DataFrame:
+    return sources.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (
+        ("side", "string"), ("side_ord", "int"), ("pos", "int"), ("file", "string"), ("line_no", "bigint"), ("text", "string"))])
+
+
 def scan_lines(lines: DataFrame, rulesets: list[Ruleset], sources: DataFrame, key="change_id") -> Scan:
-    """Scan line rows of any table; ``sources`` lists every key, so quiet ones get a verdict too."""
-    base = sources.select(key, F.lit(False).alias("truncated"), F.lit(False).alias("unreadable"))
+    """Scan line rows of any table; ``sources`` lists every key, so quiet ones get a verdict too.
+
+    A boolean ``unreadable`` in ``sources`` marks keys whose text is missing: they are never a silent pass.
+    """
+    if not rulesets:
+        return _unscanned(sources, key)
+    unreadable = F.col("unreadable") if "unreadable" in sources.columns else F.lit(False)
+    base = sources.select(key, F.lit(False).alias("truncated"), unreadable.alias("unreadable"))
     return Scan(rulesets, detect.line_hits(lines, rulesets, key),
                 lambda: base.join(coverage.text_stats(lines, rulesets, key), key, "left"), key)
 
 
 def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", keep=()) -> Scan:
     """Scan changes (diff, description, optional truncated and context MAP<STRING, BOOLEAN>)."""
+    if not rulesets:
+        return _unscanned(changes, key, tuple(keep))
     if "truncated" not in changes.columns:
         changes = changes.withColumn("truncated", F.lit(False))
     lines = all_lines(changes, key)

@@ -3,19 +3,20 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..constants import DIFF_CAP_CHARS, INT32_MAX
+from ..constants import INT32_MAX
 from ..functions.patterns import js_trim
 from ..schemas import CHANGES
 
 
-def read_changes(spark: SparkSession, path: str, fmt: str = "parquet", diff_cap=DIFF_CAP_CHARS) -> DataFrame:
-    """Changes from parquet or JSON with a fixed schema, capped."""
+def read_changes(spark: SparkSession, path: str, fmt: str = "parquet", diff_cap: int | None = None) -> DataFrame:
+    """Changes from parquet or JSON with a fixed schema; whole unless a cap is named."""
     return cap_diffs(spark.read.schema(CHANGES).format(fmt).load(path), diff_cap)
 
 
-def cap_diffs(changes: DataFrame, diff_cap=DIFF_CAP_CHARS) -> DataFrame:
-    """Cut longer diffs to a prefix and flag them; the flag floors the verdict."""
-    cap = diff_cap if isinstance(diff_cap, int) and diff_cap > 0 else DIFF_CAP_CHARS
+def cap_diffs(changes: DataFrame, cap: int | None = None) -> DataFrame:
+    """Cut diffs longer than a cap to a prefix and flag them; the flag floors the verdict. Without a cap none is cut."""
+    if not cap:
+        return changes.withColumn("truncated", F.lit(False))
     return changes.withColumns({
         "truncated": F.coalesce(F.length("diff") > cap, F.lit(False)),
         "diff": F.substring("diff", 1, cap)})

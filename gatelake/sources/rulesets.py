@@ -5,9 +5,8 @@ import json
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import DEFAULT_FRAMEWORK, FRAMEWORKS, INVENTORY_RULE_IDS, MAX_UNAVAILABLE
+from ..constants import DEFAULT_FRAMEWORK, FRAMEWORKS, INVENTORY_RULE_IDS
 from ..functions import globs, patterns
-from ..operators.rules import MAX_RULES
 from ..schemas import ALLOWLIST, RULE, SIGNATURES
 
 _EMPTY_ALLOWLIST = '{"emails": [], "names": [], "domains": [], "ip_ranges": [], "ibans": []}'
@@ -92,10 +91,10 @@ def load_rulesets(docs: DataFrame, key="doc_id", body="json") -> DataFrame:
 
 
 def unavailable(docs: DataFrame, key="doc_id", body="json") -> DataFrame:
-    """Frameworks a document says it could not serve: the first eight, checked and cleaned."""
+    """Frameworks a document says it could not serve, checked and cleaned."""
     raw = docs.select(key, F.try_parse_json(body).alias("v"))
     items = F.when(_is(_type("v", "unavailable"), "ARRAY"), _field("v", "unavailable", "array<variant>"))
-    rows = raw.select(key, F.posexplode(F.slice(items, 1, MAX_UNAVAILABLE)).alias("pos", "u"))
+    rows = raw.select(key, F.posexplode(items).alias("pos", "u"))
     name = F.when(_type("u", "framework") == "STRING", _field("u", "framework", "string"))
     reason = F.when(_type("u", "reason") == "STRING", _field("u", "reason", "string"))
     return rows.select(key, "pos", name.alias("name"), reason.alias("reason")) \
@@ -132,10 +131,14 @@ def inventory_rules(rules: DataFrame, ids=INVENTORY_RULE_IDS) -> DataFrame:
 
 
 def to_documents(rulesets: DataFrame) -> list[dict]:
-    """The few rulesets of one scan as dicts, for ``compile_rulesets``."""
+    """The rulesets of one scan as dicts, for ``compile_rulesets``.
+
+    One document's rulesets hold each framework once; more mean that several documents were passed, which are as many
+    as the data has.
+    """
     small = rulesets.select("framework", "ruleset_version", "ruleset_hash", F.to_json("rules").alias("rules"),
                             F.to_json("allowlist").alias("allowlist"), "signatures", "context_rejected", "entry_ord")
-    if small.limit(MAX_RULES + 1).count() > MAX_RULES:
+    if small.groupBy("framework").count().where("count > 1").limit(1).count():
         raise ValueError("a scan compiles one set of rulesets; select one document first")
     out = [r.asDict() for r in small.orderBy("entry_ord").collect()]
     for doc in out:

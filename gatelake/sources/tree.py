@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..constants import TREE_MAX_FILE_BYTES, TREE_SNIFF_BYTES
+from ..constants import TREE_SNIFF_BYTES
 
 
 def list_tree(spark: SparkSession, root: str, repo: str = "", commit_sha: str = "") -> DataFrame:
@@ -16,9 +16,16 @@ def list_tree(spark: SparkSession, root: str, repo: str = "", commit_sha: str =
 
 
 def read_tree(spark: SparkSession, root: str, repo: str = "", commit_sha: str = "",
-              max_bytes: int = TREE_MAX_FILE_BYTES) -> DataFrame:
-    """Files up to the size limit; the length filter is pushed to the listing."""
-    return list_tree(spark, root, repo, commit_sha).where(F.col("length") <= max_bytes)
+              max_bytes: int | None = None) -> DataFrame:
+    """All files with their content; above ``max_bytes``, where named, a file is listed with its length and no content.
+
+    Such files stay rows, so an inventory can say that it did not read them.
+    """
+    files = list_tree(spark, root, repo, commit_sha)
+    if max_bytes is None:
+        return files
+    large = list_tree(spark, root, repo, commit_sha).where(F.col("length") > max_bytes)
+    return files.where(F.col("length") <= max_bytes).unionByName(large.withColumn("content", F.lit(None).cast("binary")))
 
 
 def is_binary(content: Column) -> Column:
@@ -30,8 +37,9 @@ def decoded(content: Column) -> Column:
     return F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\A\x{FEFF}", "")
 
 
-def tree_lines(tree: DataFrame) -> DataFrame:
-    """Lines of the readable text files of a tree."""
-    readable = tree.where((F.col("length") <= TREE_MAX_FILE_BYTES) & ~is_binary(F.col("content")))
+def tree_lines(tree: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Lines of the readable text files of a tree, up to a size where the caller names one."""
+    small = F.lit(True) if max_bytes is None else F.col("length") <= max_bytes
+    readable = tree.where(small & ~is_binary(F.col("content")))
     return readable.select(
         "repo", "commit_sha", "path", F.posexplode_outer(F.split(decoded(F.col("content")), r"\r?\n", -1)).alias("pos", "text")).where(F.col("pos").isNotNull())

@@ -1,13 +1,7 @@
-"""Small builders shared by the tests, and a plain restatement of the diff reader."""
-import re
-
+"""Small builders shared by the tests."""
 from gatelake.operators.rules import compile_rulesets
 from gatelake.plans.scan import scan_changes
 
-META = ("index ", "new file mode", "deleted file mode", "old mode", "new mode", "similarity index", "rename from",
-        "rename to", "Binary files", "\\ No newline")
-
-
 def rule(id_, action="review", tier=2, **detect):
     extra = {k: detect.pop(k) for k in ("articles", "gdpr_article", "baseline") if k in detect}
     return {"id": id_, "name": id_, "action": action, "tier": tier,
@@ -43,26 +37,25 @@ def findings(spark, rows, *documents, **kw):
     return [(f.change_id, f.rule_id, f.action, f.masked_evidence) for f in found]
 
 
-def read_diff(text):
-    """(pos, side, file, line_no, text, hunk_index) of a diff, line by line."""
-    file, count, hunk, old, new, out = "", 0, None, 0, 0, []
-    for pos, raw in enumerate(text.split("\n")):
-        if m := re.match(r"diff --git a/(.+?) b/([^\r]+)\Z", raw):
-            file, count, hunk = m.group(2), 0, None
-        elif m := re.match(r"\+\+\+ b/([^\r]+)\Z", raw):
-            file = file if m.group(1) == "/dev/null" else m.group(1)
-        elif m := re.match(r"--- a/([^\r]+)\Z", raw):
-            file = file or ("" if m.group(1) == "/dev/null" else m.group(1))
-        elif m := re.match(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@", raw):
-            old, new, hunk, count = int(m.group(1)), int(m.group(2)), count, count + 1
-        elif raw.startswith(META) or hunk is None:
-            continue
-        elif raw.startswith("-"):
-            out.append((pos, "removed", file, old, raw[1:], hunk))
-            old += 1
-        else:
-            side = "added" if raw.startswith("+") else "context"
-            out.append((pos, side, file, new, raw[1:] if raw[:1] in ("+", " ") else raw, hunk))
-            new += 1
-            old += side == "context"
-    return out
+def rendered(files):
+    """A diff text and the line table it stands for.
+
+    files: (old path, new path, preamble lines, hunks); a hunk is (old start, new start, [(side, text)]), where the side
+    None makes a line that belongs to neither version. The table has (pos, side, file, line_no, text, hunk_index).
+    """
+    text, rows = [], []
+    for old_path, new_path, preamble, hunks in files:
+        text += [f"diff --git a/{old_path} b/{new_path or old_path}", *preamble]
+        if hunks:
+            text += [f"--- a/{old_path}", f"+++ b/{new_path}" if new_path else "+++ /dev/null"]
+        for index, (old, new, lines) in enumerate(hunks):
+            text.append(f"@@ -{old},{len(lines)} +{new},{len(lines)} @@ fn")
+            at = {"removed": old, "added": new, "context": new}
+            before = [side for side, _ in lines]
+            for i, (side, words) in enumerate(lines):
+                if side is not None:
+                    seen = before[:i].count
+                    ahead = seen("removed") if side == "removed" else seen("added")
+                    rows.append((len(text), side, new_path or old_path, at[side] + ahead + seen("context"), words, index))
+                text.append({"removed": "-", "added": "+", "context": " ", None: "\\ "}[side] + words)
+    return "\n".join(text), rows

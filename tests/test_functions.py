@@ -118,7 +118,7 @@ def plain_runs(value):
         return []
     out = []
     for s in range(len(tokens)):
-        for n in range(1, 10):
+        for n in range(1, len(tokens) + 1):
             run = " ".join(tokens[s:s + n])
             bare = run.replace(" ", "").replace("-", "")
             if s + n <= len(tokens) and 10 <= len(bare) <= 34 and sum(c.isdigit() for c in bare) >= 2:

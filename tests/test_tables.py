@@ -31,9 +31,9 @@ def inventory(spark, files, *rules, **kw):
     compiled = compile_rulesets(spark, [ruleset(*rules, framework="EU AI Act")])[0]
     chosen = inv.baseline_rules(compiled)
     scoped = inv.scoped_files(make_tree(spark, files), chosen)
-    opened = inv.opened_files(scoped, kw.get("cap", 5000))
-    rows = inv.observations(inv.matching_lines(opened, chosen), sample_paths=True).collect()
-    stats = inv.run_stats(scoped, opened, chosen).collect()
+    opened = inv.opened_files(scoped, kw.get("cap"))
+    rows = inv.observations(inv.matching_lines(opened, chosen, kw.get("max_bytes")), sample_paths=kw.get("paths", 3)).collect()
+    stats = inv.run_stats(scoped, opened, chosen, kw.get("max_bytes")).collect()
     return {(r.rule_id, r.signature_key): (r["count"], r.sample_paths) for r in rows}, stats[0] if stats else None
 
 
@@ -41,11 +41,21 @@ def test_inventory_counts_lines_per_family(spark):
     files = [("a.ts", b"api.openai.com api.openai.com\nnothing\napi.openai.com"), ("b.ts", b"api.anthropic.com api.openai.com\r\n\xff"),
              ("dist/c.ts", b"api.openai.com"), ("bin", b"\x00api.openai.com"), ("big", b"api.openai.com" + b"x" * 524288),
              ("edge", b"api.openai.com".ljust(524288, b" ")), ("link", None)]
-    rows, stats = inventory(spark, files, ENDPOINT, rule("other", pattern="x", baseline=True))
+    rows, stats = inventory(spark, files, ENDPOINT, rule("other", pattern="x", baseline=True), max_bytes=524288)
     key = "eaa-ci-ai-endpoint"
     assert rows == {(key, "anthropic"): (1, ["b.ts"]), (key, "openai"): (4, ["a.ts", "b.ts", "edge"])}
     assert (stats.listed, stats.out_of_scope, stats.skipped_binary, stats.skipped_size, stats.skipped_unreadable, stats.files_scanned,
-            stats.clamped_lines, stats.truncated) == (7, 1, 1, 1, 1, 3, 1, False)
+            stats.long_lines, stats.truncated) == (7, 1, 1, 1, 1, 3, 1, False)
+
+
+def test_inventory_is_whole(spark):
+    """No file, size, line, row, count or path limit unless the caller names one."""
+    text = [(f"f{i:05}.ts", b"api.openai.com") for i in range(5200)] + [("big.ts", b"x" * 700_000 + b"\napi.anthropic.com"),
+                                                                      ("long.ts", b"y" * 9000 + b" api.openai.com"), ("p/" * 200 + "q.ts", b"api.openai.com")]
+    rows, stats = inventory(spark, text, ENDPOINT, paths=6000)
+    key = "eaa-ci-ai-endpoint"
+    assert rows[key, "openai"][0] == 5202 and len(rows[key, "openai"][1]) == 5202 and rows[key, "anthropic"] == (1, ["big.ts"])
+    assert (stats.files_scanned, stats.skipped_size, stats.truncated) == (5203, 0, False)
 
 
 def test_inventory_completeness(spark):
@@ -64,8 +74,16 @@ def test_tree_reader(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.ts").write_bytes(b"\xef\xbb\xbfone\r\ntwo")
     (tmp_path / "big.ts").write_bytes(b"x" * 600_000)
-    rows = tree.tree_lines(tree.read_tree(spark, str(tmp_path), "r")).orderBy("path", "pos").collect()
+    files = tree.read_tree(spark, str(tmp_path), "r", max_bytes=524288)
+    rows = tree.tree_lines(files, 524288).orderBy("path", "pos").collect()
     assert [(r.path, r.text) for r in rows] == [("src/a.ts", "one"), ("src/a.ts", "two")]
+    assert tree.tree_lines(tree.read_tree(spark, str(tmp_path), "r")).count() == 3
+    # A rule whose only file is too large to be read was not run, whichever reader listed the file.
+    chosen = inv.baseline_rules(compile_rulesets(spark, [ruleset({**ENDPOINT, "detect": {**ENDPOINT["detect"], "file_scope": ["^big"]}})])[0])
+    for listed in (files, tree.list_tree(spark, str(tmp_path), "r")):
+        scoped = inv.scoped_files(listed, chosen)
+        stats = inv.run_stats(scoped, inv.opened_files(scoped), chosen, 524288).collect()[0]
+        assert (stats.skipped_size, stats.truncated) == (1, True)
 
 
 def test_rulesets_to_scan(spark):
@@ -96,18 +114,21 @@ def many(spark, n):
 
 def test_export_keeps_the_most_severe(spark):
     s = many(spark, 230)
-    rows = reports.export_findings(s.findings).orderBy("export_ord").collect()
+    assert reports.export_findings(s.findings).count() == reports.code_quality(s.findings).count() == 231
+    rows = reports.export_findings(s.findings, 200).orderBy("export_ord").collect()
     assert len(rows) == 200 and rows[0].rule_id == "high"
-    few = reports.export_findings(many(spark, 3).findings).orderBy("export_ord").collect()
+    few = reports.export_findings(many(spark, 3).findings, 200).orderBy("export_ord").collect()
     assert [r.rule_id for r in few] == ["low", "low", "low", "high"]
 
 
 def test_markdown_limits(spark):
     s = many(spark, 230)
-    summary = reports.summaries(s.verdicts, s.findings).collect()[0].summary
+    assert reports.notes(s.verdicts, s.findings).collect()[0].note.count("| advise |") == 230
+    assert reports.summaries(s.verdicts, s.findings).collect()[0].summary.count("| advise |") == 230
+    summary = reports.summaries(s.verdicts, s.findings, limit=100).collect()[0].summary
     assert summary.startswith("**Verdict: fail** — 1 blocking, 0 need review, 230 advisory.") and "_…and 131 more findings" in summary
-    note = reports.notes(s.verdicts, s.findings).collect()[0].note
-    assert note.count("| advise |") == 24 and "…and 175 more finding(s)." in note
+    note = reports.notes(s.verdicts, s.findings, limit=25).collect()[0].note
+    assert note.count("| advise |") == 24 and "…and 206 more finding(s)." in note
 
 
 def test_code_quality_report(spark, tmp_path):
