@@ -247,6 +247,9 @@ def private_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(
             ":", F.get(F.array(*map(F.lit, KINDS)), x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
+    def of_kind(k: int):
+        return lambda x: x["kind"] == k
+
     rows = find_private(docs, id_col, text_col).select("doc_id", "spans", F.filter("spans", lambda x: x["base"]).alias("base"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", of_kind(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
