@@ -225,8 +225,7 @@ SELECT c_custkey, (bank || acct || '1314' || chk)::HUGEINT % 97 = 1 AND len(iban
        CASE WHEN (bank || acct || '1314' || chk)::HUGEINT % 97 = 1 AND len(iban) = 22 THEN md5(iban) END AS digest FROM i""")
 def iban_scan(spark, sf):
     rows = views.spread(spark, sf, "customer").select("c_custkey", F.expr(IBAN_TEXT).alias("text"))
-    passing = f"transform({cand.matches_with_cut_sql('text', CANDIDATE_SQL)}, m -> {cand.first_passing_sql(['iban'], 'm.value', 'm.cut')})"
-    rows = rows.select("c_custkey", F.expr(f"get(filter({passing}, v -> v is not null), 0)").alias("found"))
+    rows = rows.select("c_custkey", _first_valid("iban").alias("found"))
     return rows.select("c_custkey", F.col("found").isNotNull().alias("valid"), F.md5(checksums.compact(F.col("found"))).alias("digest"))
 
 
@@ -259,6 +258,12 @@ def card_scan(spark, sf):
 
 
 
+def _first_valid(validator: str):
+    """The first identifier in ``text`` that a validator accepts, among all matches and their token runs."""
+    passing = f"transform({cand.matches_with_cut_sql('text', CANDIDATE_SQL)}, m -> {cand.first_passing_sql([validator], 'm.value', 'm.cut')})"
+    return F.expr(f"get(filter({passing}, v -> v is not null), 0)")
+
+
 @query("svnr_scan", r"""
 WITH t AS (SELECT l_orderkey, l_linenumber, lpad((l_orderkey % 1000)::VARCHAR, 3, '0') AS run,
                   lpad((l_partkey % 32)::VARCHAR, 2, '0') || lpad((l_suppkey % 14)::VARCHAR, 2, '0') || lpad((l_orderkey % 100)::VARCHAR, 2, '0') AS dmy,
@@ -267,7 +272,7 @@ s AS (SELECT *, (substr(run,1,1)::INT*3 + substr(run,2,1)::INT*7 + substr(run,3,
   + substr(dmy,3,1)::INT*4 + substr(dmy,4,1)::INT*2 + substr(dmy,5,1)::INT*1 + substr(dmy,6,1)::INT*6) % 11 AS r FROM t),
 v AS (SELECT *, r % 10 AS chk, r <= 9 AND mm BETWEEN 1 AND 12 AND dd BETWEEN 1 AND
   CASE WHEN mm = 2 THEN CASE WHEN yy % 4 = 0 THEN 29 ELSE 28 END WHEN mm IN (4, 6, 9, 11) THEN 30 ELSE 31 END AS valid FROM s)
-SELECT l_orderkey, l_linenumber, md5(run || chk || dmy) AS digest, valid FROM v""")
+SELECT l_orderkey, l_linenumber, CASE WHEN valid THEN md5(run || chk || dmy) END AS digest, valid FROM v""")
 def svnr_scan(spark, sf):
     rows = views.spread(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.expr("""named_struct(
         'run', lpad(string(l_orderkey % 1000), 3, '0'), 'dmy', concat(lpad(string(l_partkey % 32), 2, '0'),
@@ -275,15 +280,16 @@ def svnr_scan(spark, sf):
     total = sum((F.substring(F.concat("p.run", "p.dmy"), i + 1, 1).cast("int") * w
                  for i, w in enumerate((3, 7, 9, 5, 8, 4, 2, 1, 6))), F.lit(0))
     rows = rows.withColumn("value", F.concat("p.run", (total % 11 % 10).cast("string"), "p.dmy"))
-    return rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), F.md5("value").alias("digest"),
-                       checksums.svnr(F.col("value")).alias("valid"))
+    rows = rows.withColumn("text", F.concat(F.lit("insured, no. "), "value", F.lit(" as of now.")))
+    rows = rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), _first_valid("svnr").alias("found"))
+    return rows.select("l_orderkey", "l_linenumber", F.md5("found").alias("digest"), F.col("found").isNotNull().alias("valid"))
 
 
 @query("steuer_id_scan", r"""
 WITH t AS (SELECT o_orderkey, (1000000000 + o_orderkey * 104729 % 8999999999)::VARCHAR AS ten FROM orders),
 p AS (SELECT *, list_reduce(list_prepend(10, list_transform(string_split(ten, ''), lambda c: c::INT)), lambda acc, d:
    (CASE WHEN (d + acc) % 10 = 0 THEN 10 ELSE (d + acc) % 10 END * 2) % 11) AS prod FROM t)
-SELECT o_orderkey, md5(ten || ((11 - prod) % 10 + CASE WHEN o_orderkey % 6 = 0 AND (11 - prod) % 10 < 9 THEN 1 ELSE 0 END)) AS digest,
+SELECT o_orderkey, CASE WHEN NOT (o_orderkey % 6 = 0 AND (11 - prod) % 10 < 9) THEN md5(ten || ((11 - prod) % 10)) END AS digest,
        NOT (o_orderkey % 6 = 0 AND (11 - prod) % 10 < 9) AS valid FROM p""")
 def steuer_id_scan(spark, sf):
     rows = views.spread(spark, sf, "orders").select(
@@ -293,8 +299,9 @@ def steuer_id_scan(spark, sf):
         F.concat(F.col("ten"), d.cast("string")))), F.lit(0))
     rows = rows.withColumn("digit", digit)
     spoiled = F.when((F.col("o_orderkey") % 6 == 0) & (F.col("digit") < 9), F.col("digit") + 1).otherwise(F.col("digit"))
-    rows = rows.select("o_orderkey", F.concat("ten", spoiled.cast("string")).alias("id"))
-    return rows.select("o_orderkey", F.md5("id").alias("digest"), checksums.steuer_id(F.col("id")).alias("valid"))
+    rows = rows.select("o_orderkey", F.concat(F.lit("tax id "), "ten", spoiled.cast("string"), F.lit(" on file; ref 12")).alias("text"))
+    rows = rows.select("o_orderkey", _first_valid("steuer_id").alias("found"))
+    return rows.select("o_orderkey", F.md5(checksums.digits_only(F.col("found"))).alias("digest"), F.col("found").isNotNull().alias("valid"))
 
 
 @query("synthetic_suppressed", f"""

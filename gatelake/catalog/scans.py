@@ -246,7 +246,7 @@ SELECT conv_id || '-' || turn AS change_id, CASE WHEN regexp_matches(text, '(?i)
 def stream_scan_query(spark, sf):
     """Conversation turns as a stream of changes, scanned batch by batch."""
     from ..plans.workspace import shared_folder
-    from ..streaming.changes import stream_scan
+    from ..streaming.changes import current, stream_scan
     folder = shared_folder(spark, "stream")
     rules = [{**d, "rules": [{**r, "detect": {**r["detect"], "exclude_pattern": None}} for r in d["rules"] if r["id"] == "mentions"]}
              for d in SOUND_RULESETS[:1]]
@@ -256,4 +256,4 @@ def stream_scan_query(spark, sf):
         F.concat_ws("-", "conv_id", "turn").alias("change_id"), F.col("conv_id").cast("string").alias("repo"), F.lit("github").alias("provider"),
         F.lit(1).alias("pr_number"), F.lit("c0ffee").alias("commit_sha"), F.lit("").alias("diff"), F.col("text").alias("description"))
     stream_scan(changes, compile_rulesets(spark, rules), folder, f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/verdicts").select("change_id", "verdict", "n_review")
+    return current(spark, folder, "verdicts").select("change_id", "verdict", "n_review")

@@ -27,9 +27,13 @@ _REPEATED = r"(?:\+|\{[1-9]\d*(?:,\d*)?\})?"
 _WORD_BEHIND = re.compile(
     r"(?:(?<!\\)[0-9A-Za-z_]|\\[dw]|(?<!\\)\[(?:[0-9A-Za-z_]-[0-9A-Za-z_]|[0-9A-Za-z_])+\]"
     r"|(?<!\\)\((?:\?:)?\w+(?:\|\w+)*\))" + _REPEATED + r"\Z", re.ASCII)
+# Escapes that end in word characters without standing for one of these.
+_CODED_BEHIND = re.compile(r"\\(?:x[0-9A-Fa-f]*|u[0-9A-Fa-f]*|u\{[0-9A-Fa-f]*\}|c[A-Za-z]|k<[\w$]*>|\d+|[pP]\{[^}]*\})" + _REPEATED + r"\Z", re.ASCII)
 _PREFIX = re.compile(r"\(\?([a-z]+)\)")
 _QUANTIFIER = re.compile(r"\{\d+(?:,\d*)?\}")
-_GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<[A-Za-z][A-Za-z0-9]*>)")
+_GROUP = re.compile(r"\(\?(?::|=|!|<=|<!|<([A-Za-z_$][A-Za-z0-9_$]*)>)")
+_NAMED = re.compile(r"<([A-Za-z_$][A-Za-z0-9_$]*)>")
+_SET_ESCAPES = "dDwWsS"
 _CLASS = re.compile(r"\[\^?(?:\\.|[^\]\\])*\]")
 _REPEAT = re.compile(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})\??")
 _KEPT_ESCAPES = set("dDwW0tnrfcxuk123456789")
@@ -43,7 +47,12 @@ def _boundary(before: str, after: str) -> str:
         if token.startswith("("):
             token = "[" + "".join(sorted({w[0] for w in re.findall(r"\w+", token, re.ASCII)})) + "]"
         return rf"(?={token})(?<![0-9A-Za-z_])"
-    return r"(?![0-9A-Za-z_])" if _WORD_BEHIND.search(before) else _BOUNDARY
+    return r"(?![0-9A-Za-z_])" if _WORD_BEHIND.search(before) and not _CODED_BEHIND.search(before) else _BOUNDARY
+
+
+def _java_name(name: str) -> str:
+    """A group name of letters and digits; others are spelled in hexadecimal."""
+    return name if name.isalnum() else "x" + name.encode().hex()
 
 
 def split_flags(pattern: str) -> tuple[str, str] | None:
@@ -74,7 +83,15 @@ def to_java(pattern: str | None, extra: str = "", sticky: bool = True) -> str |
                 return None
             nxt = body[i + 1]
             i += 2
-            if nxt == "s":
+            set_escape = nxt in _SET_ESCAPES
+            if in_class and set_escape and body[i:i + 1] == "-" and body[i + 1:i + 2] not in ("", "]"):
+                # No range starts or ends with a set, so the hyphen beside it is a hyphen.
+                body = body[:i] + "\\" + body[i:]
+                n += 1
+            if nxt == "k" and (m := _NAMED.match(body, i)):
+                out.append(rf"\k<{_java_name(m.group(1))}>")
+                i = m.end()
+            elif nxt == "s":
                 out.append(SPACE if in_class else f"[{SPACE}]")
             elif nxt == "S":
                 out.append(f"[^{SPACE}]")
@@ -102,7 +119,8 @@ def to_java(pattern: str | None, extra: str = "", sticky: bool = True) -> str |
             if ch == "]":
                 in_class = False
                 out.append(ch)
-            elif ch == "[" or (ch == "&" and body[i:i + 1] == "&"):
+            elif ch == "[" or (ch == "&" and body[i:i + 1] == "&") or (
+                    ch == "-" and body[i:i + 1] == "\\" and body[i + 1:i + 2] and body[i + 1] in _SET_ESCAPES):
                 out.append("\\" + ch)
             else:
                 out.append(ch)
@@ -133,7 +151,7 @@ def to_java(pattern: str | None, extra: str = "", sticky: bool = True) -> str |
             m = _GROUP.match(body, i)
             if not m:
                 return None
-            out.append(m.group(0))
+            out.append(f"(?<{_java_name(m.group(1))}>" if m.group(1) else m.group(0))
             i = m.end()
         elif ch in "*+?" or ch == "{":
             q = _QUANTIFIER.match(body, i).group(0) if ch == "{" else ch

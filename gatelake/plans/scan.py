@@ -28,7 +28,7 @@ class Scan:
         ``folder`` must be shared by all executors; a lost executor then costs a re-read, not a rescan.
         """
         def kept(df: DataFrame, name: str) -> DataFrame:
-            df.write.parquet(f"{folder}/{name}")
+            df.write.mode("overwrite").parquet(f"{folder}/{name}")
             return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
         hits, stats = kept(self.hits, "hits"), kept(self.coverage(), "coverage")

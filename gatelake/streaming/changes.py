@@ -1,23 +1,36 @@
 """Scan a stream of changes: the batch scan per micro-batch."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.rules import Ruleset
 from ..plans.scan import scan_changes
 from ..sources.changes import cap_diffs
 
+KEYS = ("change_id", "commit_sha")
 
-def stream_scan(changes: DataFrame, rulesets: list[Ruleset], out: str, checkpoint: str):
-    """Start a query writing findings and verdicts under ``out``.
 
-    A change is one row, so each micro-batch sees it whole and no state is kept.  Output
-    goes to a folder per batch id and is overwritten on a retry, which makes it exactly once.
+def stream_scan(changes: DataFrame, rulesets: list[Ruleset], out: str, checkpoint: str, trigger: dict | None = None, diff_cap: int | None = None):
+    """Start a query writing findings and verdicts under ``out``, a folder that all executors share.
+
+    A change at a commit is one row, so each micro-batch sees it whole and no state is kept. The lines of a batch are
+    scanned once; both tables are made from the stored hits and coverage. Output goes to a folder per batch id and is
+    overwritten on a retry, which makes it exactly once; ``current`` reads a change that was sent again once.
+    ``trigger`` holds the arguments of ``DataStreamWriter.trigger``; by default what is there is scanned.
     """
     def scan_batch(batch: DataFrame, batch_id: int) -> None:
-        scan = scan_changes(cap_diffs(batch), rulesets)
-        scan.findings.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
-        scan.verdicts.write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
+        keyed = cap_diffs(batch, diff_cap).dropDuplicates(list(KEYS)).withColumn("scan_key", F.to_json(F.struct(*KEYS)))
+        scan = scan_changes(keyed, rulesets, "scan_key", KEYS).stored(f"{out}/scans/batch={batch_id}")
+        key = F.from_json("scan_key", "change_id string, commit_sha string")
+        found = scan.findings.select(key.alias("k"), "*").select("k.*", *[c for c in scan.findings.columns if c != "scan_key"])
+        found.write.mode("overwrite").parquet(f"{out}/findings/batch={batch_id}")
+        scan.verdicts.drop("scan_key").write.mode("overwrite").parquet(f"{out}/verdicts/batch={batch_id}")
 
     return (changes.writeStream.foreachBatch(scan_batch).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def current(spark: SparkSession, out: str, table: str) -> DataFrame:
+    """Rows of ``findings`` or ``verdicts``, of the latest batch for every change and commit."""
+    scanned = spark.read.parquet(f"{out}/verdicts").groupBy(*KEYS).agg(F.max("batch").alias("batch"))
+    return spark.read.parquet(f"{out}/{table}").join(scanned, [*KEYS, "batch"], "left_semi")

@@ -135,3 +135,13 @@ def test_token_runs_match_a_plain_restatement(spark):
 def test_dates(spark):
     values = ["2024-02-29 23", "2023-02-29", "2024-13-01", "2024-02-30", "2024-02-29T24", "at 2024-02-29", "2024-02-29 1 2"]
     assert column(spark, values, candidates.is_date) == [True, True, False, False, False, True, False]
+
+
+@pytest.mark.parametrize("pattern,text,found", [
+    (r"\x20\b[b-z.]", "a b", True), (r"\x20\b[b-z.]", "a .", False), (r"\x41\b", "A b", True), (r"\x41\b", "Ab", False), (r"[\s-x]", "a-", True),
+    (r"^[\s-,]+$", " -,", True), (r"^[a-\d]+$", "a-5", True), (r"^[\w-]+$", "a-b", True), (r"(?<my_id>[ab])\k<my_id>", "xbb", True),
+    (r"(?<my_id>[ab])\k<my_id>", "ab", False), (r"(?<$x>a)(?<id>b)\k<id>", "abb", True),
+])
+def test_dialect(spark, pattern, text, found):
+    from gatelake.functions.patterns import to_java
+    assert column(spark, [text], lambda v: v.rlike(to_java(pattern))) == [found]

@@ -10,7 +10,7 @@ from gatelake.catalog import ORACLES, QUERIES
 from gatelake.operators import inventory as inv, reports, verdicts as ver
 from gatelake.operators.rules import compile_rulesets
 from gatelake.sources import rulesets as src, sinks, tree
-from gatelake.streaming.changes import stream_scan
+from gatelake.streaming.changes import current, stream_scan
 
 from helpers import diff, rule, ruleset, scan
 
@@ -144,13 +144,16 @@ def test_code_quality_report(spark, tmp_path):
 def test_stream(spark, tmp_path):
     rows = [(str(i), "r", "github", 1, "c", diff(["hit"] if i % 2 else ["x"]), "") for i in range(6)]
     schema = "change_id string, repo string, provider string, pr_number int, commit_sha string, diff string, description string"
-    for i in range(2):
-        spark.createDataFrame(rows[3 * i:3 * i + 3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    # The second file sends a change again, unchanged and at another commit.
+    parts = [rows[:3], rows[3:] + [rows[1], (*rows[1][:4], "d", diff(["x"]), "")]]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     rules = compile_rulesets(spark, [ruleset(rule("a", "block", pattern="hit"))])
     stream_scan(stream, rules, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r.change_id: r.verdict for r in spark.read.parquet(str(tmp_path / "out" / "verdicts")).collect()}
-    assert got == {str(i): "fail" if i % 2 else "pass" for i in range(6)}
+    got = sorted((r.change_id, r.commit_sha, r.verdict) for r in current(spark, str(tmp_path / "out"), "verdicts").collect())
+    assert got == sorted([(str(i), "c", "fail" if i % 2 else "pass") for i in range(6)] + [("1", "d", "pass")])
+    assert sorted((r.change_id, r.commit_sha) for r in current(spark, str(tmp_path / "out"), "findings").collect()) == [(str(i), "c") for i in (1, 3, 5)]
 
 
 @pytest.fixture(scope="module")
