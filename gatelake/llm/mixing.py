@@ -133,3 +133,29 @@ def mix(docs: DataFrame, **limits) -> DataFrame:
     """The mix itself: every row of docs as often as it is drawn, with the columns of docs."""
     rows = mixed(docs, **limits).where("draws > 0")
     return rows.select("whole", F.explode(F.sequence(F.lit(1).cast("long"), F.col("draws")))).select("whole.*")
+
+
+#: The same rounds, each with the entropy and largest repetition of all exponents tried, then the draws by running sums.
+QUERY_SQL = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS s, md5('1:' || coalesce(doc_id::VARCHAR, '')) AS key,
+         len(regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+'))::BIGINT AS n FROM documents),
+sums AS (SELECT s, sum(n)::BIGINT AS tokens FROM d GROUP BY s HAVING sum(n) > 0),
+p AS (SELECT list(tokens::DOUBLE / total) AS shares, any_value(total) AS total, count(*) AS k FROM sums, (SELECT sum(tokens)::DOUBLE AS total FROM sums)),
+rounds AS (
+  SELECT 0 AS r, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, false AS never
+  UNION ALL
+  SELECT r + 1, greatest(low, coalesce(found, 1.0) - (high - low) / {SPLITS}), coalesce(found, 1.0), found IS NULL
+  FROM (SELECT r, low, high, list_min(list_filter([low + i * (high - low) / {SPLITS} for i in range(0, {SPLITS + 1})], lambda a:
+      ln(list_sum([pow(x, a) for x in shares])) - list_sum([pow(x, a) * ln(pow(x, a)) for x in shares]) / list_sum([pow(x, a) for x in shares])
+        <= {TARGET_ENTROPY} * ln(k) + 1e-12
+      AND list_max([pow(x, a) / x for x in shares]) / list_sum([pow(x, a) for x in shares]) <= {MAX_REPEATS})) AS found
+    FROM rounds, p WHERE r < {ROUNDS} AND NOT never AND low <> high)),
+best AS (SELECT CASE WHEN never THEN 1.0 ELSE round(high, 9) END AS a FROM rounds ORDER BY r DESC LIMIT 1),
+raised AS (SELECT s, tokens, pow(tokens / total, a) AS x, total FROM sums, p, best),
+quota AS (SELECT s, tokens, x / sum(x) OVER () AS weight, floor(round(x / sum(x) OVER (), 9) * total)::BIGINT AS q FROM raised),
+upto AS (SELECT s, key, sum(sum(n)) OVER (PARTITION BY s ORDER BY key) AS u FROM d GROUP BY s, key),
+ends AS (SELECT s, min(key) AS stop FROM upto JOIN quota USING (s) WHERE u > q % tokens GROUP BY s)
+SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, coalesce(q // tokens + (key < stop)::INT, 1)::BIGINT AS draws
+FROM d LEFT JOIN quota USING (s) LEFT JOIN ends USING (s)
+"""

@@ -140,3 +140,23 @@ def ablations(rows: DataFrame, policies: tuple[Policy, ...] = POLICIES) -> DataF
         rows_where(bits.bitwiseAND(F.col("bit")) != 0).alias("failed"), rows_where(bits.bitwiseAND(F.col("mask")) != 0).alias("dropped"),
         rows_where(bits.bitwiseAND(F.col("mask")) == F.col("bit")).alias("only"),
         rows_where(bits.bitwiseAND(F.col("mask") - F.col("bit")) != 0).alias("dropped_without"))
+
+
+QUERY_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM d, unnest(range(1, len(w) - 3)) x(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
+repeated AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(0, 5)) y(k) GROUP BY doc_id),
+m AS (
+  SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[ \x09-\x0D]', '', 'g')) AS word_chars,
+         length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^ \x09-\x0D]')) AS lines, coalesce(n, 0) AS n_repeat_words,
+         length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_capitals, length(t) - length(replace(t, '!', '')) AS n_exclamations
+  FROM d LEFT JOIN repeated USING (doc_id)),
+k AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines FROM m),
+b AS (SELECT *, (n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT
+        + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT
+        + 32 * (2 * n_capitals > word_chars)::INT + 64 * (2 * n_exclamations > n_words)::INT AS fail_bits FROM k)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits::BIGINT AS fail_bits FROM b
+"""

@@ -50,4 +50,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op5_quality_classifier, op6_simhash, op7_pii,
     op8_packing, op9_language_id, op10_token_files)}
-ORACLES = {"op4_exact_dedup": exact_dedup.QUERY_SQL}
+ORACLES = {"op1_quality_rules": quality_rules.QUERY_SQL, "op2_temperature_mixing": mixing.QUERY_SQL, "op4_exact_dedup": exact_dedup.QUERY_SQL}
