@@ -1,13 +1,16 @@
 """Queries that scan documents and changes with the demo rulesets."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES
-from ..operators import detect, findings as fnd, pairs, verdicts as ver
+from ..operators import detect, findings as fnd, pairs, reports, verdicts as ver
 from ..operators.diff import diff_lines, side_lines
 from ..operators.rules import compile_rulesets
 from ..plans.scan import context_booleans, scan_changes, scan_lines
+from ..sources.rulesets import load_rulesets, to_documents
 from . import sql, views
 from .registry import query
 from .rulesets import RULESETS, SOUND_RULESETS
@@ -118,6 +121,37 @@ def context_graded(spark, sf):
     return found.select("change_id", "rule_id", "action", "masked_evidence")
 
 
+SERVED = {"schema": 2, "rulesets": [{**d, "context": c, "context_hash": h * 64} for d, c, h in zip(
+    SOUND_RULESETS, ({"quality": False}, {"quality": True, "toxic": False}), "ab", strict=True)]}
+
+
+def served_scan(spark, sf):
+    """Changes scanned with rulesets from one document, each framework with a context of its own."""
+    document = views.table(spark, sf, "documents").limit(1).select(F.lit("served").alias("doc_id"), F.lit(json.dumps(SERVED)).alias("json"))
+    return scan_changes(views.changes(spark, sf), compile_rulesets(spark, to_documents(load_rulesets(document))))
+
+
+@query("framework_contexts", f"""
+WITH {CHANGES} SELECT change_id, framework, rule_id,
+  CASE WHEN rule_id IN ('eaa-ci-ai-endpoint', 'eaa-ci-ai-import') THEN 'advise' ELSE action END AS action, masked_evidence FROM findings""")
+def framework_contexts(spark, sf):
+    return served_scan(spark, sf).findings.select("change_id", "framework", "rule_id", "action", "masked_evidence")
+
+
+@query("payload_contexts", r"""
+SELECT doc_id AS change_id, 'Data Compliance' AS framework, '{"quality":false}' AS context, repeat('a', 64) AS context_hash FROM documents
+UNION ALL SELECT doc_id, 'EU AI Act', '{"quality":true,"toxic":false}', repeat('b', 64) FROM documents""")
+def payload_contexts(spark, sf):
+    scan = served_scan(spark, sf)
+    changes = views.changes(spark, sf).select("change_id", "repo", "provider", "pr_number", "commit_sha")
+    rows = reports.payloads(changes, scan.verdicts, scan.findings, reports.ruleset_contexts(scan.verdicts, scan.rulesets))
+    body = F.try_variant_get(F.parse_json("payload"), "$.results", "array<variant>")
+    result = rows.select("change_id", F.explode(body).alias("r"))
+    return result.select("change_id", F.try_variant_get("r", "$.framework", "string").alias("framework"),
+                         F.to_json(F.try_variant_get("r", "$.context", "variant")).alias("context"),
+                         F.try_variant_get("r", "$.context_hash", "string").alias("context_hash"))
+
+
 SUPPRESSED = r"""
 sup AS (
   SELECT change_id, 'gated-ip' AS rule_id, 8 AS ro, count(*) AS n FROM sl

@@ -152,6 +152,7 @@ WARNING_TEXT = {
     "rule_failed": 'Rule "{rule}" failed to evaluate and was skipped. ' + FLOORED,
     "unreadable_applies_when": 'Rule "{rule}" declares an applies_when that cannot be read; '
                                "its findings keep their declared action.",
+    "context_rejected": "The registry context of {framework} could not be used and was ignored; findings keep their declared action.",
     "tier1_gate": "Tier-1 rule(s) {rules} declare exclude_pattern/require_pattern; a tier-1 control cannot be gated, "
                   "so those fields were IGNORED. " + FLOORED,
     "blanket_glob": "{n} path glob(s) match EVERY path ({globs}) and were REFUSED: as an exclusion they would suppress "

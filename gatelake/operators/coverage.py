@@ -165,7 +165,7 @@ def warnings_of(fw: Ruleset, has_description: bool, has_pairs: bool) -> Column:
     every change of the framework, never only where some line happened to meet them.
     """
     safe = {r.ord: masking.literal_rule_id(r.id) for r in fw.rules}
-    out = []
+    out = [_warning("context_rejected", False, framework=fw.framework)] if fw.context_rejected else []
     for r in fw.rules:
         if r.failed:
             out.append(_warning("rule_failed", True, rule=safe[r.ord]))

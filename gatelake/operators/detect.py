@@ -28,26 +28,42 @@ def graded_sql(rule: Rule, text: str) -> str:
     return f"if({found(text, rule.context)}, {rule.severity}, {missing})"
 
 
-def _lowered_sql(rule: Rule) -> str:
+def _lowered_sql(rule: Rule, context: str) -> str:
     """Context grading: the first entry whose booleans all hold, and only downwards."""
     arms = " ".join(
-        "when " + all_of(f"coalesce(try_element_at(context, {quoted(k)}) = {str(v).lower()}, false)" for k, v in conditions)
+        "when " + all_of(f"coalesce(try_element_at({context}, {quoted(k)}) = {str(v).lower()}, false)" for k, v in conditions)
         + f" then {SEVERITY[action]}" for conditions, action in rule.lowering)
     return f"int(greatest(severity, case {arms} else 0 end))"
 
 
-def graded_by_context(hits: DataFrame, contexts: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
-    """Lower hits by their change's context, a MAP<STRING, BOOLEAN> in ``contexts``.
+def _settled_sql(rule: Rule, context: dict) -> str:
+    """The same where the context is the ruleset's own and so known beforehand."""
+    held = [SEVERITY[action] for conditions, action in rule.lowering if all(context.get(k) is v for k, v in conditions)]
+    return f"int(greatest(severity, {held[0] if held else 0}))"
 
-    Joined to the few hits and not carried on the lines, so that every branch of a scan
-    reads the same shuffled diffs.
+
+def graded_by_context(hits: DataFrame, contexts: DataFrame | None, rulesets: list[Ruleset], key="change_id") -> DataFrame:
+    """Lower hits by the context of their framework.
+
+    A ruleset that came with a context grades by that. For the others ``contexts`` may have a context per change, a
+    MAP<STRING, BOOLEAN> for all frameworks or a MAP<STRING, MAP<STRING, BOOLEAN>> by framework; it is joined to the few
+    hits and not carried on the lines, so that every branch of a scan reads the same shuffled diffs.
     """
-    arms = " ".join(f"when fw_ord = {fw.fw_ord} and rule_ord = {r.ord} then {_lowered_sql(r)}"
-                    for fw in rulesets for r in fw.rules if r.lowering)
+    rules = [(fw, r) for fw in rulesets for r in fw.rules if r.lowering]
+    looked_up = contexts is not None and any(fw.context is None for fw, _ in rules)
+    nested = looked_up and contexts.schema["context"].dataType.simpleString().startswith("map<string,map")
+    arms = []
+    for fw, r in rules:
+        if fw.context is None and not looked_up:
+            continue
+        column = f"try_element_at(context, {quoted(fw.framework)})" if nested else "context"
+        lowered = _lowered_sql(r, column) if fw.context is None else _settled_sql(r, fw.context)
+        arms.append(f"when fw_ord = {fw.fw_ord} and rule_ord = {r.ord} then {lowered}")
     if not arms:
         return hits
-    columns = [f"case {arms} else severity end as severity" if c == "severity" else c for c in hits.columns]
-    return hits.join(contexts.select(key, "context"), key, "left").selectExpr(*columns)
+    columns = [f"case {' '.join(arms)} else severity end as severity" if c == "severity" else c for c in hits.columns]
+    graded = hits.join(contexts.select(key, "context"), key, "left") if looked_up else hits
+    return graded.selectExpr(*columns)
 
 
 def with_scope(lines: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Report tables over findings and verdicts; everything shown is already masked."""
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import (DEFAULT_FRAMEWORK, DEFAULT_PROVIDER, DESCRIPTION_PATH, FRAMEWORK_ARTICLE_LABELS, FRAMEWORK_SLUGS,
@@ -50,6 +52,16 @@ def _finding_lists(found: DataFrame, limit: int | None) -> DataFrame:
     return lists.select(*KEYS, F.transform("rows", lambda r: r["f"]).alias("findings"))
 
 
+def ruleset_contexts(verdicts: DataFrame, rulesets: list) -> DataFrame:
+    """(change_id, framework, context, context_hash) of the rulesets that came with a context, for ``payloads``."""
+    def of(make) -> Column:
+        return F.coalesce(*[F.when(F.col("framework") == fw.framework, F.lit(make(fw))) for fw in rulesets if fw.context is not None],
+                          F.lit(None).cast("string"))
+
+    return verdicts.select(*KEYS, F.parse_json(of(lambda fw: json.dumps(fw.context, sort_keys=True))).alias("context"),
+                           of(lambda fw: fw.context_hash).alias("context_hash"))
+
+
 def payloads(changes: DataFrame, verdicts: DataFrame, found: DataFrame, contexts: DataFrame | None = None,
              limit: int | None = None) -> DataFrame:
     """One multi-framework body per change; ``contexts`` is (change_id, framework, context, context_hash)."""

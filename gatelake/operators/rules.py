@@ -79,6 +79,8 @@ class Ruleset:
     allowlist: dict = field(default_factory=dict)
     fw_ord: int = 0
     context_rejected: bool = False
+    context: dict | None = None
+    context_hash: str | None = None
 
     def of_kind(self, *kinds):
         return [r for r in self.rules if r.kind in kinds]
@@ -201,6 +203,7 @@ def compile_rulesets(spark: SparkSession, documents: list[dict]) -> list[Ruleset
         Ruleset(doc["framework"], doc.get("ruleset_version"), doc.get("ruleset_hash"),
                 tuple(_rule(i, raw, doc.get("signatures") or {}, accepted)
                       for i, raw in enumerate(doc.get("rules") or ())),
-                doc.get("allowlist") or {}, n, bool(doc.get("context_rejected")))
+                doc.get("allowlist") or {}, n, bool(doc.get("context_rejected")),
+                doc["context"] if isinstance(doc.get("context"), dict) else None, doc.get("context_hash"))
         for n, doc in enumerate(documents)
     ]

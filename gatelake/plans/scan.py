@@ -98,12 +98,13 @@ def scan_lines(lines: DataFrame, rulesets: list[Ruleset], sources: DataFrame, ke
         return _unscanned(sources, key)
     unreadable = F.col("unreadable") if "unreadable" in sources.columns else F.lit(False)
     base = sources.select(key, F.lit(False).alias("truncated"), unreadable.alias("unreadable"))
-    return Scan(rulesets, detect.line_hits(lines, rulesets, key),
+    hits = detect.graded_by_context(detect.line_hits(lines, rulesets, key), None, rulesets, key)
+    return Scan(rulesets, hits,
                 lambda: base.join(coverage.text_stats(lines, rulesets, key), key, "left"), key)
 
 
 def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", keep=()) -> Scan:
-    """Scan changes (diff, description, optional truncated and context MAP<STRING, BOOLEAN>)."""
+    """Scan changes (diff, description, optional truncated and context, see ``graded_by_context``)."""
     if not rulesets:
         return _unscanned(changes, key, tuple(keep))
     if "truncated" not in changes.columns:
@@ -117,8 +118,7 @@ def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", k
     described = any(r.pattern for fw in rulesets for r in fw.of_kind("description"))
     if described:
         hits = hits.unionByName(detect.description_hits(changes.where(F.col("diff").isNotNull()), rulesets, key))
-    if "context" in changes.columns:
-        hits = detect.graded_by_context(hits, changes, rulesets, key)
+    hits = detect.graded_by_context(hits, changes if "context" in changes.columns else None, rulesets, key)
     notes = coverage.description_columns(rulesets) if described else []
     base = changes.select(key, "truncated", F.col("diff").isNull().alias("unreadable"), *keep, *notes)
     return Scan(rulesets, hits, lambda: base.join(coverage.line_stats(lines, rulesets, key), key, "left"), key,

@@ -137,10 +137,12 @@ def to_documents(rulesets: DataFrame) -> list[dict]:
     as the data has.
     """
     small = rulesets.select("framework", "ruleset_version", "ruleset_hash", F.to_json("rules").alias("rules"),
-                            F.to_json("allowlist").alias("allowlist"), "signatures", "context_rejected", "entry_ord")
+                            F.to_json("allowlist").alias("allowlist"), "signatures", F.to_json("context").alias("context"),
+                            "context_hash", "context_rejected", "entry_ord")
     if small.groupBy("framework").count().where("count > 1").limit(1).count():
         raise ValueError("a scan compiles one set of rulesets; select one document first")
     out = [r.asDict() for r in small.orderBy("entry_ord").collect()]
     for doc in out:
-        doc["rules"], doc["allowlist"] = json.loads(doc["rules"]), json.loads(doc["allowlist"])
+        for name in ("rules", "allowlist", "context"):
+            doc[name] = json.loads(doc[name]) if doc[name] else None
     return out

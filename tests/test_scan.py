@@ -7,7 +7,7 @@ from gatelake.operators.diff import diff_lines
 from gatelake.operators.findings import findings as findings_of
 from gatelake.operators.rules import compile_rulesets
 from gatelake.sources.text import text_lines
-from gatelake.plans.scan import scan_lines
+from gatelake.plans.scan import scan_changes, scan_lines
 
 from helpers import changes, diff, findings, rendered, rule, ruleset, scan
 
@@ -187,6 +187,16 @@ def test_context_lowers_only(spark):
         assert [a for _, _, a, _ in findings(spark, [diff(["hit"])], doc, context=context)] == expected
 
 
+def test_each_framework_grades_by_its_own_context(spark):
+    spec = [{"when": {"linked": True}, "action": "advise"}]
+    docs = [ruleset(rule("a", "block", pattern="hit", applies_when=spec), framework=f, context=c) for f, c in (
+        ("Data Compliance", {"linked": False}), ("EU AI Act", {"linked": True}))]
+    assert [a for _, _, a, _ in findings(spark, [diff(["hit"])], *docs)] == ["block", "advise"]
+    rows = changes(spark, [(diff(["hit"]), "")]).withColumn("context", F.expr("map('EU AI Act', map('linked', true), 'Data Compliance', map('linked', false))"))
+    plain = compile_rulesets(spark, [{k: v for k, v in d.items() if k != "context"} for d in docs])
+    assert [r.action for r in scan_changes(rows, plain).findings.orderBy("fw_ord").collect()] == ["block", "advise"]
+
+
 def test_frameworks_are_independent(spark):
     one, two = ruleset(rule("a", "block", pattern="hit")), ruleset(rule("a", "advise", pattern="hit"), framework="EU AI Act")
     rows = [diff(["hit"]), diff(["none"])]

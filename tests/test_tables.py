@@ -96,6 +96,14 @@ def test_rulesets_to_scan(spark):
     assert [f.framework for f in s.findings.collect()] == ["EU AI Act"]
 
 
+def test_rejected_context_is_reported(spark):
+    body = json.dumps({"schema": 2, "rulesets": [{"framework": "EU AI Act", "ruleset_version": 2, "ruleset_hash": "h", "rules": [rule("a", pattern="hit")],
+                                                 "context": {"x": True}, "context_hash": "short"}]})
+    loaded = src.load_rulesets(spark.createDataFrame([("d", body)], "doc_id string, json string"))
+    s = scan(spark, [diff(["hit"])], *src.to_documents(loaded))
+    assert [(w.code, w.floors) for w in s.warnings.collect()] == [("context_rejected", False)]
+
+
 def test_gate_and_degraded(spark):
     rules = compile_rulesets(spark, [ruleset(rule("a", "block", pattern="hit")), ruleset(rule("b", "block", pattern="hit"), framework="EU AI Act")])
     s = scan(spark, [diff(["hit"])], ruleset(rule("a", "block", pattern="hit")), ruleset(rule("b", "block", pattern="hit"), framework="EU AI Act"))
