@@ -3,8 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import reports
+from ..functions import allowlist, checksums, masking
+from ..operators import reports, verdicts as ver
 from ..plans.workspace import shared_folder
+from ..sources import sinks
+from ..sources.rulesets import load_rulesets
 from . import sql, views
 from .registry import query
 from .scans import _CARD, CHANGES, change_scan, document_scan
@@ -122,3 +125,59 @@ def payload_v2(spark, sf):
         "|", r["framework"], r["ruleset_hash"], r["verdict"], F.size(r["findings"]).cast("string"),
         F.array_join(F.transform(r["findings"], lambda f: F.concat_ws("/", f["rule_id"], f["action"])), ";")))
     return back.select("change_id", F.sha2(F.concat_ws("|", "p.repo", "p.provider", F.array_join(result, "#")), 256).alias("digest"))
+
+
+@query("written_findings", f"""
+WITH {CHANGES}
+SELECT change_id, framework, finding_ord, rule_id, masked_evidence FROM findings""")
+def written_findings(spark, sf):
+    """The findings table as a reader of the written files sees it."""
+    folder = shared_folder(spark, "findings")
+    sinks.write_table(change_scan(spark, sf).findings, folder)
+    return spark.read.parquet(folder).select("change_id", "framework", "finding_ord", "rule_id", "masked_evidence")
+
+
+@query("clamped_fields", """
+SELECT doc_id, left(text, 500) AS shown, array_to_string(list_transform(string_split(text, ' ')[1:20], lambda w: left(w, 4)), ' ') AS words FROM documents""")
+def clamped_fields(spark, sf):
+    """Fields bounded by limits that the caller names."""
+    docs = views.table(spark, sf, "documents")
+    return docs.select("doc_id", masking.clamp_text(F.col("text"), 500).alias("shown"),
+                       F.array_join(masking.clamp_list(F.split("text", " "), 20, 4), " ").alias("words"))
+
+
+@query("relative_paths", r"""
+SELECT page_id, regexp_replace(repeat('./', (page_id % 4)::INT) || repeat('/', (page_id % 3)::INT) || url, '^(\./+|/+)+', '') AS path FROM pages""")
+def relative_paths(spark, sf):
+    made = F.expr("concat(repeat('./', int(page_id % 4)), repeat('/', int(page_id % 3)), url)")
+    return views.table(spark, sf, "pages").select("page_id", masking.relative_path(made).alias("path"))
+
+
+@query("action_verdicts", """
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'fail' WHEN 1 THEN 'needs_review' ELSE 'pass' END AS verdict FROM events""")
+def action_verdicts(spark, sf):
+    action = F.get(F.array(*map(F.lit, ("block", "review", "advise", "other"))), (F.col("event_id") % 4).cast("int"))
+    return views.table(spark, sf, "events").select("event_id", ver.action_verdict(action).alias("verdict"))
+
+
+@query("registered_validator", """
+SELECT c_custkey, regexp_matches(c_name, '[02468]$') AS even, 2 AS known FROM customer""")
+def registered_validator(spark, sf):
+    """A validator that the caller adds to the registry, beside one that is there and one that is not."""
+    checksums.register_validator("ends-even", lambda v: f"{v} rlike '[02468]$'", min_digits=1)
+    known = len(checksums.known(["iban", "ends-even", "nowhere"]))
+    return views.table(spark, sf, "customer").select(
+        "c_custkey", checksums.is_valid("ends-even", F.col("c_name")).alias("even"), F.lit(known).cast("bigint").alias("known"))
+
+
+ALLOWLISTED = """concat('{"schema": 2, "rulesets": [{"framework": "Data Compliance", "ruleset_version": 1, "ruleset_hash": "h", "rules": [], "allowlist": {"emails": ["',
+  c_mktsegment, '@X.io"], "ibans": ["DE 89-', c_nationkey, '"], "domains": ["Low.org"]}}]}')"""
+
+
+@query("allowlist_entries", """
+SELECT DISTINCT 'Data Compliance' AS framework, kind, entry FROM (
+  SELECT 'emails' AS kind, lower(c_mktsegment) || '@x.io' AS entry FROM customer UNION ALL SELECT 'ibans', 'de89' || c_nationkey FROM customer
+  UNION ALL SELECT 'domains', 'low.org' FROM customer)""")
+def allowlist_entries(spark, sf):
+    docs = views.table(spark, sf, "customer").select(F.col("c_custkey").alias("doc_id"), F.expr(ALLOWLISTED).alias("json"))
+    return allowlist.allow_entries(load_rulesets(docs))

@@ -55,9 +55,12 @@ def is_allowlisted(value: Column, allowlist: dict | None) -> Column:
 def allow_entries(rulesets):
     """Explode a rulesets table's allowlists to ``(framework, kind, entry)`` rows keyed as they are compared."""
     kinds = ("emails", "names", "domains", "ibans", "cards")
-    rows = F.flatten(F.array(*[
-        F.transform(F.coalesce(F.col(f"allowlist.{k}"), F.array().cast("array<string>")),
-                    lambda e, k=k: F.struct(F.lit(k).alias("kind"), e.alias("entry"))) for k in kinds]))
+
+    def of_kind(kind: str):
+        entries = F.coalesce(F.col(f"allowlist.{kind}"), F.array().cast("array<string>"))
+        return F.transform(entries, lambda e: F.struct(F.lit(kind).alias("kind"), e.alias("entry")))
+
+    rows = F.flatten(F.array(*map(of_kind, kinds)))
     flat = rulesets.select("framework", F.inline(rows))
     grouped = F.col("kind").isin("ibans", "cards")
     # Entries are compared as written apart from case; only grouped kinds lose their separators.

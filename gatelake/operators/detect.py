@@ -68,7 +68,9 @@ def graded_by_context(hits: DataFrame, contexts: DataFrame | None, rulesets: lis
 
 def with_scope(lines: DataFrame) -> DataFrame:
     """Add what every rule asks of a line: its number of digits and the built-in path exclusion."""
-    return lines.withColumns({"excluded": globs.is_built_in_exclusion(F.col("file")), "digit_count": F.expr(digit_count_sql("text"))})
+    if "excluded" not in lines.columns:
+        lines = lines.withColumn("excluded", globs.is_built_in_exclusion(F.col("file")))
+    return lines.withColumn("digit_count", F.expr(digit_count_sql("text")))
 
 
 def digit_count_sql(text: str) -> str:
