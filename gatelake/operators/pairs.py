@@ -4,7 +4,7 @@ The pairs themselves are never built.  A finding names only the added line and w
 partner sits in the same hunk, so per added line it is enough to know the first partner in
 its hunk and the first one elsewhere; both are window minima over the lines that already
 matched their half.  A removed text short enough to occur inside an evidence string is
-starred there, which makes it a different finding; those few texts are kept one by one.
+starred there, which makes it a different finding; only such texts are paired one by one.
 """
 from __future__ import annotations
 
@@ -105,16 +105,31 @@ def paired_partners(lines: DataFrame, rulesets: list[Ruleset], key="change_id")
             .withColumn("needles", F.collect_list("shown").over(file))
             .where(F.col("side") == "added"))
     there = F.when(F.col("best.hunk_index") != F.col("hunk_index"), F.col("best.pos")).otherwise(F.col("next.pos"))
+    # Only texts that do occur in this line's evidence make a finding of their own; the others are partners like any.
+    number = F.coalesce(F.concat(F.lit(":"), F.col("line_no").cast("string")), F.lit(""))
+    shown = [F.concat(F.coalesce(*[F.when(F.col("rule") == i, _stem(r, suffix)) for i, (_, r) in enumerate(rules)]), number) for suffix in (SAME, CROSS)]
+    rows = rows.drop("needle").withColumns({"there": there, "in_same": shown[0], "in_cross": shown[1]})
+
+    def same(n):
+        return n["hunk_index"] == F.col("hunk_index")
+
+    def starred(n):
+        return F.contains(F.when(same(n), F.col("in_same")).otherwise(F.col("in_cross")), n["needle"])
+
+    def first_plain(near: bool):
+        return F.array_min(F.transform(F.filter("needles", lambda n: ~starred(n) & (same(n) if near else ~same(n))), lambda n: n["pos"]))
 
-    def partner(same, pos, needle):
-        return F.struct(same.alias("same_hunk"), pos.cast("int").alias("minus_pos"), needle.alias("needle"))
+    def partner(same_hunk, pos, needle):
+        return F.struct(same_hunk.alias("same_hunk"), pos.cast("int").alias("minus_pos"), needle.alias("needle"))
 
     none = F.lit(None).cast("string")
+    rows = rows.withColumns({"here": F.least("here", first_plain(True)), "there": F.least("there", first_plain(False)),
+                             "needles": F.filter("needles", starred)})
     partners = F.concat(
         F.array(F.when(F.col("here").isNotNull(), partner(F.lit(True), F.col("here"), none)),
-                F.when(there.isNotNull(), partner(F.lit(False), there, none))),
-        F.transform("needles", lambda n: partner(n["hunk_index"] == F.col("hunk_index"), n["pos"], n["needle"])))
-    rows = rows.drop("needle").withColumn("partner", F.explode_outer(F.array_compact(partners)))
+                F.when(F.col("there").isNotNull(), partner(F.lit(False), F.col("there"), none))),
+        F.transform("needles", lambda n: partner(same(n), n["pos"], n["needle"])))
+    rows = rows.withColumn("partner", F.explode_outer(F.array_compact(partners)))
     rows = rows.where(F.col("partner").isNotNull())
     return rows.select(*[c for c in keep if c not in ("text", "side")], "safe_file", "rule", "partner.*")
 

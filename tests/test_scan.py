@@ -246,6 +246,18 @@ def test_pairs_match_brute_force(spark, window, require):
     assert got == brute_pairs([table for _, table in made], "[a-z0-9]", "new|1|z", window, require)
 
 
+def test_partners_grow_with_the_lines(spark):
+    """Removed numbers against added lines: a few partners for each line, not one for each pair."""
+    from gatelake.operators.diff import side_lines
+    from gatelake.operators.pairs import paired_partners
+    rules = compile_rulesets(spark, [ruleset(rule("p", "block", mask="lab", paired={"minus": "[0-9]", "plus": "b", "window": "same_file"}))])
+    sizes = []
+    for n in (50, 200):
+        text, _ = rendered([("f.ts", "f.ts", [], [(1, 1, [("removed", str(i)) for i in range(1000, 1000 + n)]), (500, 500, [("added", "b")] * n)])])
+        sizes.append(paired_partners(side_lines(diff_lines(changes(spark, [(text, "")]))), rules).count())
+    assert sizes == [50, 200]
+
+
 def test_many_pairs_are_all_compared(spark):
     """Where every pair was compared nothing is floored, however many there are."""
     body = "\n".join(["diff --git a/f b/f", "@@ -1,500 +1,500 @@"] + ["-a"] * 500 + ["+b"] * 450)
