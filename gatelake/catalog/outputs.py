@@ -87,12 +87,12 @@ parts AS (SELECT v.change_id, v.fw, '**' || CASE v.fw WHEN 0 THEN 'Data Complian
 SELECT change_id, '<!-- compliance-gate -->' || chr(10) || '### Compliance gate' || chr(10) || chr(10) || string_agg(part, chr(10) ORDER BY fw) || chr(10) || '_Updated on every pipeline._' AS note
 FROM parts GROUP BY change_id""")
 def note_markdown(spark, sf):
-    scan = change_scan(spark, sf).stored(shared_folder(spark, "scan"))
+    scan = change_scan(spark, sf, once=True).stored(shared_folder(spark, "scan"))
     return reports.notes(scan.verdicts, scan.findings)
 
 
 def _payload_inputs(spark, sf):
-    scan = change_scan(spark, sf).stored(shared_folder(spark, "scan"))
+    scan = change_scan(spark, sf, once=True).stored(shared_folder(spark, "scan"))
     changes = views.changes(spark, sf).select("change_id", "repo", "provider", "pr_number", "commit_sha")
     return changes, scan.verdicts, scan.findings
 

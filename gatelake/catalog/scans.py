@@ -9,6 +9,7 @@ from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES
 from ..operators import detect, findings as fnd, pairs, reports, verdicts as ver
 from ..operators.diff import diff_lines, side_lines
 from ..operators.rules import compile_rulesets
+from ..plans.workspace import shared_folder
 from ..plans.scan import context_booleans, scan_changes, scan_lines
 from ..sources.rulesets import load_rulesets, to_documents
 from . import sql, views
@@ -29,11 +30,12 @@ def document_scan(spark, sf, rules=SOUND_RULESETS):
     return scan_lines(views.doc_lines(spark, sf), compile_rulesets(spark, rules), sources)
 
 
-def change_scan(spark, sf, rules=SOUND_RULESETS, keep=()):
+def change_scan(spark, sf, rules=SOUND_RULESETS, keep=(), once=False):
+    """``once`` parses the diffs once for hits and coverage, which pays where both are read."""
     compiled = compile_rulesets(spark, rules)
     changes = views.changes(spark, sf).join(views.contexts(spark, sf), "change_id", "left")
     changes = changes.withColumn("context", context_booleans(F.col("registry"), compiled)).drop("registry")
-    return scan_changes(changes, compiled, keep=keep)
+    return scan_changes(changes, compiled, keep=keep, scratch=shared_folder(spark, "lines") if once else None)
 
 
 @query("ruleset_scan", f"""
@@ -170,7 +172,7 @@ WITH {CHANGES}, {SUPPRESSED}
 SELECT change_id, 'Rule "' || rule_id || '" suppressed ' || n || ' candidate line(s) via its exclude_pattern/require_pattern gating.' AS detail
 FROM sup""")
 def suppression_counts(spark, sf):
-    return change_scan(spark, sf).warnings.where("code = 'suppressed'").select("change_id", "detail")
+    return change_scan(spark, sf, once=True).warnings.where("code = 'suppressed'").select("change_id", "detail")
 
 
 @query("verdicts", f"""
@@ -196,7 +198,7 @@ def floored_verdicts(spark, sf):
 WITH {CHANGES}, {sql.VERDICTS}
 SELECT framework, ruleset_version::BIGINT AS ruleset_version, ruleset_hash, verdict, count(*) AS changes FROM verdicts GROUP BY ALL""")
 def framework_verdicts(spark, sf):
-    return change_scan(spark, sf).verdicts.groupBy("framework", "ruleset_version", "ruleset_hash", "verdict").agg(
+    return change_scan(spark, sf, once=True).verdicts.groupBy("framework", "ruleset_version", "ruleset_hash", "verdict").agg(
         F.count("*").alias("changes"))
 
 
@@ -206,7 +208,7 @@ SELECT change_id, framework, verdict, fw = 1 AS advisory, verdict = 'fail' AND f
   CASE WHEN verdict = 'pass' THEN 'success' WHEN verdict = 'fail' AND fw = 0 THEN 'failure' ELSE 'neutral' END AS conclusion,
   CASE WHEN verdict = 'fail' AND fw = 0 THEN framework || ' failed: ' || n_block || ' blocking finding(s).' END AS message FROM verdicts""")
 def gate_decision(spark, sf):
-    return ver.gate_decision(change_scan(spark, sf).verdicts).select(
+    return ver.gate_decision(change_scan(spark, sf, once=True).verdicts).select(
         "change_id", "framework", "verdict", "advisory", "step_failed", "conclusion", "message")
 
 
@@ -215,7 +217,7 @@ WITH {CHANGES}, {sql.VERDICTS},
 kept AS (SELECT * FROM verdicts WHERE fw = 1 OR change_id % 3 > 0)
 SELECT change_id, framework, verdict FROM (SELECT *, row_number() OVER (PARTITION BY change_id ORDER BY fw) AS k FROM kept) WHERE k = 1""")
 def primary_outcome(spark, sf):
-    rows = change_scan(spark, sf).verdicts.where("fw_ord = 1 OR change_id % 3 > 0")
+    rows = change_scan(spark, sf, once=True).verdicts.where("fw_ord = 1 OR change_id % 3 > 0")
     return ver.primary_outcome(rows).select("change_id", "framework", "verdict")
 
 
@@ -227,7 +229,7 @@ def not_recorded(spark, sf):
     labels = views.table(spark, sf, "labels")
     stored = labels.select(F.col("doc_id").alias("change_id"), F.explode(F.when(
         F.col("quality") == 1, F.array(F.lit("Data Compliance"), F.lit("EU AI Act"))).otherwise(F.array(F.lit("Data Compliance")))).alias("framework"))
-    submitted = change_scan(spark, sf).verdicts.select("change_id", "framework", "verdict")
+    submitted = change_scan(spark, sf, once=True).verdicts.select("change_id", "framework", "verdict")
     return ver.not_recorded(submitted, stored, "change_id", "framework")
 
 
@@ -259,7 +261,7 @@ WITH {ALL_CHANGES}, {WARNED}
 SELECT change_id, CASE fw WHEN 0 THEN 'Data Compliance' ELSE 'EU AI Act' END AS framework, code, floors, detail,
        row_number() OVER (PARTITION BY change_id, fw ORDER BY o) AS warning_ord FROM notes""")
 def warnings(spark, sf):
-    return change_scan(spark, sf, RULESETS).warnings.select(
+    return change_scan(spark, sf, RULESETS, once=True).warnings.select(
         "change_id", "framework", "code", "floors", "detail", F.col("warning_ord").cast("bigint").alias("warning_ord"))
 
 
@@ -269,7 +271,7 @@ SELECT v.change_id, c.repo, c.pr_number, c.commit_sha, framework, ruleset_hash,
 FROM verdicts v JOIN changes c USING (change_id)""")
 def backfill(spark, sf):
     """Verdicts for the whole history of changes; nothing is published on old commits."""
-    scan = change_scan(spark, sf, keep=("repo", "pr_number", "commit_sha"))
+    scan = change_scan(spark, sf, keep=("repo", "pr_number", "commit_sha"), once=True)
     return scan.verdicts.select("change_id", "repo", "pr_number", "commit_sha", "framework", "ruleset_hash", "verdict",
                                 *COUNTS, "incomplete", F.lit(False).alias("published"))
 
@@ -279,7 +281,6 @@ SELECT conv_id || '-' || turn AS change_id, CASE WHEN regexp_matches(text, '(?i)
        regexp_matches(text, '(?i)\b(the|und|los)\b')::BIGINT AS n_review FROM conversations""")
 def stream_scan_query(spark, sf):
     """Conversation turns as a stream of changes, scanned batch by batch."""
-    from ..plans.workspace import shared_folder
     from ..streaming.changes import current, stream_scan
     folder = shared_folder(spark, "stream")
     rules = [{**d, "rules": [{**r, "detect": {**r["detect"], "exclude_pattern": None}} for r in d["rules"] if r["id"] == "mentions"]}

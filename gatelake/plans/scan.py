@@ -103,13 +103,20 @@ def scan_lines(lines: DataFrame, rulesets: list[Ruleset], sources: DataFrame, ke
                 lambda: base.join(coverage.text_stats(lines, rulesets, key), key, "left"), key)
 
 
-def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", keep=()) -> Scan:
-    """Scan changes (diff, description, optional truncated and context, see ``graded_by_context``)."""
+def scan_changes(changes: DataFrame, rulesets: list[Ruleset], key="change_id", keep=(), scratch: str | None = None) -> Scan:
+    """Scan changes (diff, description, optional truncated and context, see ``graded_by_context``).
+
+    Line hits, pairs and coverage each need the parsed lines. With a ``scratch`` folder, shared by all executors, these
+    are written there at once and read by all three; without it each parses the diffs again.
+    """
     if not rulesets:
         return _unscanned(changes, key, tuple(keep))
     if "truncated" not in changes.columns:
         changes = changes.withColumn("truncated", F.lit(False))
     lines = all_lines(changes, key)
+    if scratch:
+        lines.write.mode("overwrite").parquet(scratch)
+        lines = lines.sparkSession.read.schema(lines.schema).parquet(scratch)
     sided = side_lines(lines)
     hits = detect.line_hits(sided, rulesets, key)
     has_pairs = bool(pairs.paired_rules(rulesets))

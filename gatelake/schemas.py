@@ -2,8 +2,6 @@
 
 CHANGES = ("change_id STRING, repo STRING, provider STRING, pr_number INT, commit_sha STRING, "
            "diff STRING, description STRING")
-LINES = "change_id STRING, pos INT, side STRING, file STRING, line_no BIGINT, text STRING, hunk_index BIGINT"
-TREE = "repo STRING, commit_sha STRING, path STRING, length BIGINT, content BINARY"
 
 DETECT = ("method: STRING, target: STRING, diff_side: STRING, pattern: STRING, "
           "paired: STRUCT<minus: STRING, plus: STRING, window: STRING>, validator: ARRAY<STRING>, "
