@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, LONG_LINE_CHARS
+from ..constants import CANDIDATE_PATTERN as CANDIDATE_SQL, CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, LONG_LINE_CHARS
 from ..functions import allowlist, checksums, globs, masking
 from ..operators import candidates as cand, detect
 from ..operators.diff import diff_lines, diff_stats, pair_counts, side_lines
@@ -15,7 +15,6 @@ from .registry import query
 from .rulesets import EMAIL, IPV4
 
 IP_SQL = r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b"
-CANDIDATE_SQL = r"[A-Za-z0-9][A-Za-z0-9 \-]{7,}[A-Za-z0-9]"
 
 
 @query("changes_capped", f"""

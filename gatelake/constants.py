@@ -61,7 +61,13 @@ OTHER_FAMILY = "other-ai"
 # --- fixed values: paths and allowlist ----------------------------------------------------------
 # Lock files, build output, vendored and minified code.
 ALWAYS_EXCLUDED = (
-    r"(?:^|/)(?:package-lock\.json\z|yarn\.lock\z|dist/|build/|vendor/|node_modules/)|\.min\.[^/]*\z"
+    r"(^|/)package-lock\.json\z",
+    r"(^|/)yarn\.lock\z",
+    r"(^|/)dist/",
+    r"(^|/)build/",
+    r"(^|/)vendor/",
+    r"\.min\.[^/]*\z",
+    r"(^|/)node_modules/",
 )
 # Tested on the trimmed, lower-cased value; ASCII word boundaries spelled out.
 SYNTHETIC_VALUES = (
@@ -79,6 +85,11 @@ DIFF_METADATA_PREFIXES = (
     "similarity index", "rename from", "rename to", "Binary files", "\\ No newline",
 )
 
+# --- fixed values: what is replaced where text is shown -------------------------------------------
+UNSAFE_IN_PATH = r"[^\p{L}\p{N}._/@+-]"
+UNSAFE_IN_RULE_ID = r"[^A-Za-z0-9._:/@+-]"
+URL_SCHEME = r"(?i)((?<![0-9A-Za-z_])[a-z][a-z0-9+.-]*://)"
+
 # --- fixed values: checksums ----------------------------------------------------------------------
 SVNR_WEIGHTS = (3, 7, 9, 0, 5, 8, 4, 2, 1, 6)
 DAYS_IN_MONTH = (31, 28, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)

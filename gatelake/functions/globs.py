@@ -11,6 +11,8 @@ from .text import all_of, found
 _TOKEN = re.compile(r"\*\*|\*|\?|[^*?]+")
 _WILD = {"**": ".*", "*": "[^/]*", "?": "."}
 _META = re.compile(r"([\\.+^$|(){}\[\]])")
+# One expression, as each path is tested once.
+_EXCLUDED = "|".join(ALWAYS_EXCLUDED)
 
 
 def _body(glob: str) -> str:
@@ -46,7 +48,7 @@ def any_glob_sql(path: str, globs) -> str:
 
 def in_scope_sql(path: str, file_scope=None, exclude_paths=None, built_in: str | None = None) -> str:
     """Not excluded, and in the file scope; ``built_in`` is the shared exclusion where already evaluated."""
-    tests = [f"not {built_in or found(path, ALWAYS_EXCLUDED)}"]
+    tests = [f"not {built_in or found(path, _EXCLUDED)}"]
     if exclude_paths:
         tests.append(f"not {any_glob_sql(path, exclude_paths)}")
     if file_scope:
@@ -60,7 +62,7 @@ def any_glob(path: Column, globs) -> Column:
 
 
 def is_built_in_exclusion(path: Column) -> Column:
-    return path.rlike(ALWAYS_EXCLUDED)
+    return path.rlike(_EXCLUDED)
 
 
 def in_scope(path: Column, file_scope=None, exclude_paths=None) -> Column:

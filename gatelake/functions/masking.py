@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..constants import UNSAFE_IN_PATH, UNSAFE_IN_RULE_ID, URL_SCHEME
 from .patterns import SPACE, TRIM, js_trim
 from .text import quoted, replaced
 
@@ -59,7 +60,7 @@ def literal_path(path: str) -> str:
 
 def literal_rule_id(rule_id: str) -> str:
     """``safe_rule_id`` of a rule's own id."""
-    return re.sub(r"[^A-Za-z0-9._:/@+-]", "_", rule_id)
+    return re.sub(UNSAFE_IN_RULE_ID, "_", rule_id)
 
 
 def location(file: Column, line: Column | None = None) -> Column:
@@ -117,11 +118,11 @@ def group_digits(value: Column) -> Column:
 
 def safe_path(path: Column) -> Column:
     """A path as a code span with nothing markdown gives meaning to."""
-    return F.concat(F.lit("`"), F.regexp_replace(path, r"[^\p{L}\p{N}._/@+-]", "_"), F.lit("`"))
+    return F.concat(F.lit("`"), F.regexp_replace(path, UNSAFE_IN_PATH, "_"), F.lit("`"))
 
 
 def safe_rule_id(rule_id: Column) -> Column:
-    return F.regexp_replace(rule_id, r"[^A-Za-z0-9._:/@+-]", "_")
+    return F.regexp_replace(rule_id, UNSAFE_IN_RULE_ID, "_")
 
 
 def markdown_cell(value: Column) -> Column:
@@ -138,7 +139,7 @@ def code_span(value: Column) -> Column:
 
 def scrub_urls(message: Column) -> Column:
     """Drop credentials from URLs."""
-    pattern = rf"(?i)((?<![0-9A-Za-z_])[a-z][a-z0-9+.-]*://)[^{SPACE}/@'\"]+@"
+    pattern = rf"{URL_SCHEME}[^{SPACE}/@'\"]+@"
     return F.regexp_replace(message, pattern, "$1")
 
 
