@@ -281,7 +281,7 @@ def svnr_scan(spark, sf):
     rows = rows.withColumn("value", F.concat("p.run", (total % 11 % 10).cast("string"), "p.dmy"))
     rows = rows.withColumn("text", F.concat(F.lit("insured, no. "), "value", F.lit(" as of now.")))
     rows = rows.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), _first_valid("svnr").alias("found"))
-    return rows.select("l_orderkey", "l_linenumber", F.md5("found").alias("digest"), F.col("found").isNotNull().alias("valid"))
+    return rows.select("l_orderkey", "l_linenumber", F.md5(checksums.digits_only(F.col("found"))).alias("digest"), F.col("found").isNotNull().alias("valid"))
 
 
 @query("steuer_id_scan", r"""
