@@ -43,6 +43,22 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Rows of ids that may be broadcast; their number is counted first.
+FEW_IDS = 200_000
+
+
+def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
+    """docs without the rows whose id is in the one column of dropped, a stored table; null is an id like any other.
+
+    Few ids are broadcast, so no text is moved for them; more are joined by shuffling both sides.
+    """
+    gone = dropped.toDF("dropped_id").distinct()
+    if dropped.count() <= FEW_IDS:
+        gone = F.broadcast(gone)
+    rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
+    return rows.join(gone, rows.doc_id.eqNullSafe(gone.dropped_id), "left_anti").select("whole.*")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also where body uses it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

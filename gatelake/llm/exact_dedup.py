@@ -79,14 +79,15 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digests = stored(docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("text_sha256")), "digests")
     bitmaps = stored(repeated_slots(digests, filter_bits), "bitmaps")
     flagged = with_flag(digests, bitmaps, filter_bits).where("maybe_repeated")
-    winners = flagged.groupBy("text_sha256").agg(F.max("doc_id").alias("doc_id"))
+    sizes = flagged.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    winners = stored(sizes.groupBy("text_sha256").agg(F.max(F.struct("doc_id", "n")).alias("w")).select("text_sha256", "w.*"), "winners")
     rows = with_flag(docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"),
                                  digest_of(F.col(text_col)).alias("text_sha256")), bitmaps, filter_bits)
     again = rows.where("maybe_repeated").alias("r").join(
         winners.alias("w"), (F.col("r.text_sha256") == F.col("w.text_sha256")) & F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")),
         "left_semi")
-    # Only rows equal in id and text are left to fold; winners are one to a group, so no group is large here.
-    once = again.dropDuplicates(["text_sha256"])
+    # Only rows equal in id and text are left to fold, and only if there are any.
+    once = again if winners.where("n > 1").isEmpty() else again.dropDuplicates(["text_sha256"])
     return rows.where("not maybe_repeated").select("whole.*").unionByName(once.select("whole.*"))
 
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import stored
+from .common import stored, without
 
 UNKNOWN = "und"
 FEATURES = 1 << 16
@@ -29,7 +29,7 @@ LEXICON = 2000            # most frequent words of each language in the sample
 SEQUENCE, SPLICE = 120, (5, 40)
 ROUNDS, RATE, DECAY = 60, 0.15, 1e-4
 BLOCK = 1024              # words that one loop of forward-backward covers
-BATCH = 2000              # texts labelled together
+BATCH = 500               # texts labelled together
 REMEMBERED = 300_000      # word types whose scores a task keeps
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -318,6 +318,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose text has no language, or none with a mean probability of at least `least`."""
     said = stored(identify(docs, id_col, text_col, lang_col), "languages")
-    rejected = said.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select(F.col("doc_id").alias("rejected_id")).distinct()
-    rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
-    return rows.join(rejected, rows.doc_id.eqNullSafe(rejected.rejected_id), "left_anti").select("whole.*")
+    return without(docs, said.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"), id_col)

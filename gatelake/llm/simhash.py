@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, tasks
+from .common import stored, tasks, without
 from .components import components
 
 RADIUS = 3
@@ -175,6 +175,4 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      radius: int = RADIUS) -> DataFrame:
     """docs without the rows whose id is not the smallest of their component; ids are taken to be unique."""
     groups = stored(near_groups(docs, id_col, text_col, shingle, radius), "near-groups")
-    dropped = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id"))
-    rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
-    return rows.join(dropped, rows.doc_id.eqNullSafe(dropped.dropped_id), "left_anti").select("whole.*")
+    return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), id_col)

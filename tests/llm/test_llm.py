@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 import public_tokenizers
-from gatelake.llm import (ORACLES, QUERIES, components, exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules,
+from gatelake.llm import (ORACLES, QUERIES, common, components, exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules,
                           simhash, token_counts, token_files, tokens)
 
 SF = "/root/testdata/sf0.001"
@@ -372,6 +372,15 @@ def test_packing_hierarchy(spark, monkeypatch):
     assert len(packer.open) <= 10
 
 
+@pytest.mark.parametrize("few", [common.FEW_IDS, 0])
+def test_dropping_ids(spark, monkeypatch, odd, few):
+    """Few ids are broadcast, more are joined; null is an id like any other, repeated rows go together."""
+    monkeypatch.setattr(common, "FEW_IDS", few)
+    kept = common.without(odd, spark.createDataFrame([(1,), (None,), (1,)], "x long"), "doc_id")
+    assert kept.columns == odd.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r[0] for r in rows_of(ODD) if r[0] not in (1, None))
+
+
 # --- language -----------------------------------------------------------------------------------
 
 def test_forward_backward_blocks():
