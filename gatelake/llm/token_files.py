@@ -23,7 +23,6 @@ FILE_TOKENS = 16_000_000
 
 #: By control byte: the sizes of its four ranks.
 _SIZES = (((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1).astype(np.uint8)
-_MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
 
 def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -39,7 +38,7 @@ def encode(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 
 def decode(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The n ranks: sizes by table from the control bytes, values from four bytes at each offset, masked by size."""
+    """The n ranks: sizes by table lookup from the control bytes, then each rank from as many bytes at its offset."""
     sizes = _SIZES[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     ends = np.cumsum(sizes, dtype=np.int64)
     padded = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.uint32)
@@ -84,7 +83,8 @@ def rank_order(tokens: DataFrame) -> np.ndarray:
 def write_files(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> None:
     """Writes the token files of docs below path: documents, ranks and the ranges with their first token's position.
 
-    Documents come in ascending id order, null ids first, equal ids in any order among themselves.
+    Documents come in ascending order of their numeric ids, null ids first, equal ids in any order among themselves.
+    Each range of ids is one task and one file, so a corpus of many trillion tokens names more tokens to a file.
     """
     spark = docs.sparkSession
     tokens = stored(tokenised(docs, id_col, text_col), "tokens")
