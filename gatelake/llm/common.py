@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 SETTING = "spark.checkpoint.dir"
 #: Used only by local sessions that set no checkpoint folder, as tests do.
@@ -59,6 +59,25 @@ def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
     return rows.join(gone, rows.doc_id.eqNullSafe(gone.dropped_id), "left_anti").select("whole.*")
 
 
+#: Groups of a sample whose sizes may be broadcast.
+FEW_GROUPS = 10_000
+
+
+def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
+    """At most ``most`` rows of each group of rows(doc_id, group, ...): those whose ids have the lowest hashes.
+
+    The sample depends on the ids alone, not on partitions. A group's size gives a hash below which about three times
+    ``most`` rows lie, so a group of any size sends only that many on to be ranked.
+    """
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)  # from 0 to 2 ** 53
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
+    if sizes.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
+        sizes = F.broadcast(sizes)
+    low = rows.withColumn("place", place).join(sizes, group).where(F.col("place") / 2.0 ** 53 * F.col("group_size") < 3 * most)
+    order = Window.partitionBy(group).orderBy("place", "doc_id")
+    return low.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "group_size")
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, also where body uses it inside further lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,9 +17,9 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, without
+from .common import sampled, stored, without
 
 UNKNOWN = "und"
 FEATURES = 1 << 16
@@ -273,23 +273,21 @@ def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str,
     The documents are those with the lowest hashes of their ids, so the sample does not depend on the partitioning.
     Which ones they are is settled without reading texts; the driver gets the chosen words only.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(id_col).alias("h"),
-                       learn.alias("learn"))
-    lowest = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = rows.where("learn and lang is not null").withColumn("nth", F.row_number().over(lowest)).where(F.col("nth") <= DOCS_PER_LANGUAGE)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
+    chosen = sampled(rows.where("learn and lang is not null"), "lang", DOCS_PER_LANGUAGE)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen.select("doc_id", "lang", "h").dropDuplicates(["doc_id"])), "doc_id")  # DOCS_PER_LANGUAGE a language
+        F.broadcast(chosen.select("doc_id", "lang", "place").dropDuplicates(["doc_id"])), "doc_id")  # DOCS_PER_LANGUAGE a language
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for h, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for place, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = words_of(text)
-                at = h % max(1, len(found) - WORDS_PER_DOC)
+                at = place % max(1, len(found) - WORDS_PER_DOC)
                 out.append(" ".join(found[at:at + WORDS_PER_DOC]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "lang", "words"])
 
-    ordered = picked.select("doc_id", "lang", "h", "text").mapInArrow(
+    ordered = picked.select("doc_id", "lang", "place", "text").mapInArrow(
         cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, words string").collect()
     return [(r.lang, r.words.split()) for r in sorted(ordered, key=lambda r: (r.lang, r.doc_id, r.words)) if r.words]
 
