@@ -13,8 +13,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .common import sampled
 from .language_id import remainder
 
 PASSAGE = 64              # words in a passage
@@ -172,22 +173,21 @@ def training_sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, i
     """
     label = F.col(label_col).cast("int")
     rows = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), folds) != held)).groupBy(
-        F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label")).withColumn("h", F.xxhash64("doc_id"))
-    lowest = Window.partitionBy("label").orderBy("h", "doc_id")
-    chosen = rows.withColumn("nth", F.row_number().over(lowest)).where(F.col("nth") <= SAMPLE_PER_LABEL).drop("nth")
+        F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
+    chosen = sampled(rows, "label", SAMPLE_PER_LABEL)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for h, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for place, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 found = _WORD.findall(text or "")
-                at = h % max(1, len(found) - PASSAGE * SAMPLE_PASSAGES)
+                at = place % max(1, len(found) - PASSAGE * SAMPLE_PASSAGES)
                 out.append(" ".join(found[at:at + PASSAGE * SAMPLE_PASSAGES]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "label", "words"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    found = picked.select("doc_id", "label", "h", "text").mapInArrow(cut, f"doc_id {kind}, label int, words string").collect()
+    found = picked.select("doc_id", "label", "place", "text").mapInArrow(cut, f"doc_id {kind}, label int, words string").collect()
     return [(r.words, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.words))]
 
 
