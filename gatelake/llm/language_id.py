@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import sampled, stored, without
+from .common import sampled
 
 UNKNOWN = "und"
 FEATURES = 1 << 16
@@ -267,6 +267,11 @@ def remainder(id_col: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def learnable(id_col: str, folds: int = 5) -> Column:
+    """Whether a row may be learned from: those with a null id or in fold 0 may not."""
+    return (remainder(F.col(id_col), folds) != 0) & F.col(id_col).isNotNull()
+
+
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
     """(language, words) of at most DOCS_PER_LANGUAGE documents of each language, WORDS_PER_DOC words of each.
 
@@ -299,7 +304,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     prediction. A text that is null or has no letter is `und` with score 0, as is every text if no row has a
     language. A null id counts as the empty string for the fold. An empty table gives no rows.
     """
-    model = train(training_sample(docs, (remainder(F.col(id_col), folds) != 0) & F.col(id_col).isNotNull(), id_col, text_col, lang_col))
+    model = train(training_sample(docs, learnable(id_col, folds), id_col, text_col, lang_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col), folds) == 0).alias("held_out"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,6 +319,18 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows whose text has no language, or none with a mean probability of at least `least`."""
-    said = stored(identify(docs, id_col, text_col, lang_col), "languages")
-    return without(docs, said.where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least)).select("doc_id"), id_col)
+    """docs without the rows whose text has no language, or none with a mean probability of at least `least`.
+
+    Each row is judged by its own text, in the pass that carries the whole row, so equal or null ids do not matter.
+    """
+    model = train(training_sample(docs, learnable(id_col), id_col, text_col, lang_col))
+    at_text = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, BATCH):
+                part = batch.slice(at, BATCH)
+                names, scores = languages(model, part.column(at_text).to_pylist())
+                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -536,3 +536,18 @@ def test_pipeline(spark, texts):
     run = corpus_pipeline.run(spark, SF).collect()
     key = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
     assert Counter(map(key, run)) == Counter(map(key, packed))
+
+
+# --- rows judged one by one, not by id ------------------------------------------------------------
+
+ENGLISH = ["the cat sat on the mat and looked out of the window", "she went to the market to buy bread and milk",
+           "they walked along the river until the sun went down", "we will meet again when the work is done"]
+
+
+def test_identified_rows_by_their_own_text(spark):
+    """A letterless text goes alone: other rows with its null or repeated id stay."""
+    good = [(i, ENGLISH[i % 4] + f" part {'abcdefgh'[i % 8]}", "en", "s", 1) for i in range(40)]
+    shared = [(None, ENGLISH[0], None, "s", 2), (None, ENGLISH[1], None, "s", 2), (7, ENGLISH[2], None, "s", 2)]
+    junk = [(None, "12 34 !!", None, "s", 3), (None, None, None, "s", 3), (7, "", None, "s", 3)]
+    kept = language_id.keep_identified(spark.createDataFrame(good + shared + junk, DOCS).repartition(3)).collect()
+    assert Counter(tuple(r) for r in kept) == Counter(good + shared)
