@@ -21,7 +21,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_fingerprints(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of near copies stays, that with the smallest doc_id."""
+    """One row of each component of near copies stays, that with the smallest doc_id, nulls last, then by text hash."""
     return simhash.drop_near_copies(docs)
 
 

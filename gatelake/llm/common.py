@@ -47,16 +47,19 @@ def tasks(spark: SparkSession) -> int:
 FEW_IDS = 200_000
 
 
-def without(docs: DataFrame, dropped: DataFrame, id_col: str) -> DataFrame:
-    """docs without the rows whose id is in the one column of dropped, a stored table; null is an id like any other.
+def without(docs: DataFrame, dropped: DataFrame, *keys: str | Column, how: str = "left_anti") -> DataFrame:
+    """docs without the rows whose keys are in the columns of dropped, a stored table; null is a value like any other.
 
-    Few ids are broadcast, so no text is moved for them; more are joined by shuffling both sides.
+    With how = "left_semi" only those rows are left. Few keys are broadcast, so no text is moved for them; more are
+    joined by shuffling both sides.
     """
-    gone = dropped.toDF("dropped_id").distinct()
+    gone = dropped.toDF(*[f"dropped_{i}" for i in range(len(keys))]).distinct()
     if dropped.count() <= FEW_IDS:
         gone = F.broadcast(gone)
-    rows = docs.select(F.struct("*").alias("whole"), F.col(id_col).alias("doc_id"))
-    return rows.join(gone, rows.doc_id.eqNullSafe(gone.dropped_id), "left_anti").select("whole.*")
+    named = [(F.col(k) if isinstance(k, str) else k).alias(f"key_{i}") for i, k in enumerate(keys)]
+    rows = docs.select(F.struct("*").alias("whole"), *named)
+    same = [rows[f"key_{i}"].eqNullSafe(gone[f"dropped_{i}"]) for i in range(len(keys))]
+    return rows.join(gone, same, how).select("whole.*")
 
 
 #: Groups of a sample whose sizes may be broadcast.

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import stored, tasks, without
 from .components import components
+from .exact_dedup import digest_of
 
 RADIUS = 3
 SHINGLE = 3
@@ -35,16 +36,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(sum(1 << i for i in np.flatnonzero(2 * ones > len(hashes)).tolist()))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                 digests: bool = False) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed long; with digests also text_sha256."""
+    beside = [digest_of(F.col(text_col)).alias("text_sha256")] if digests else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *beside)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64()), *batch.columns[2:]],
+                                             ["doc_id", "fp", *["text_sha256"] * digests])
 
-    return rows.mapInArrow(compute, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(compute, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long" + ", text_sha256 string" * digests)
 
 
 class BKTree:
@@ -162,17 +166,38 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     other. Repeated rows give repeated rows; an empty table gives none; other columns are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
-    found = stored(components(links(classes, radius)), "components")
-    members = found.join(classes, found.vertex == classes.fp).select("fp", "root", "first_id")
-    lowest = members.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = stored(members.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "linked")
-    names = stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "names")
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
+    names = lowest_of(classes, radius).select("fp", F.col("lowest").alias("component_id"))
     return prints.join(names, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def lowest_of(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, lowest), stored: the smallest `first` in the component of every fingerprint of classes(fp, first), a stored table."""
+    found = stored(components(links(classes, radius)), "components")
+    members = found.join(classes, found.vertex == classes.fp).select("fp", "root", "first")
+    lowest = members.groupBy("root").agg(F.min("first").alias("lowest"))
+    linked = stored(members.select("fp", "root").join(lowest, "root").select("fp", "lowest"), "linked")
+    return stored(classes.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "first").alias("lowest")), "names")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      radius: int = RADIUS) -> DataFrame:
-    """docs without the rows whose id is not the smallest of their component; ids are taken to be unique."""
-    groups = stored(near_groups(docs, id_col, text_col, shingle, radius), "near-groups")
-    return without(docs, groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), id_col)
+    """One row of docs of each component: that with the smallest id, nulls last, then the smallest SHA-256 of the text.
+
+    Rows are told apart by id and text, so null and repeated ids decide nothing for other texts; of rows equal in both,
+    which are one document sent again, any one stays.
+    """
+    prints = stored(fingerprints(docs, id_col, text_col, shingle, digests=True), "fingerprints")
+    keys = stored(prints.groupBy("fp", "text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n")), "keys")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_sha256")
+    names = lowest_of(stored(keys.groupBy("fp").agg(F.min(place).alias("first")), "classes"), radius)
+    kept = F.col("doc_id").eqNullSafe(F.col("lowest.doc_id")) & (F.col("text_sha256") == F.col("lowest.text_sha256"))
+    judged = keys.join(names, "fp").select("doc_id", "text_sha256", "n", kept.alias("kept"))
+    key = [F.col(id_col), digest_of(F.col(text_col))]
+    rows = without(docs, stored(judged.where("not kept").select("doc_id", "text_sha256"), "near-copies"), *key)
+    again = stored(judged.where("kept and n > 1").select("doc_id", "text_sha256"), "repeated")
+    if again.isEmpty():
+        return rows
+    # Only rows equal in id and text are folded, the others are not moved for it.
+    folded = without(docs, again, *key, how="left_semi").select(F.struct("*").alias("whole"), *[k.alias(n) for k, n in zip(key, ("k0", "k1"))])
+    return without(rows, again, *key).unionByName(folded.dropDuplicates(["k0", "k1"]).select("whole.*"))

@@ -551,3 +551,23 @@ def test_identified_rows_by_their_own_text(spark):
     junk = [(None, "12 34 !!", None, "s", 3), (None, None, None, "s", 3), (7, "", None, "s", 3)]
     kept = language_id.keep_identified(spark.createDataFrame(good + shared + junk, DOCS).repartition(3)).collect()
     assert Counter(tuple(r) for r in kept) == Counter(good + shared)
+
+
+def test_one_row_of_each_near_group(spark):
+    """Null and repeated ids: a near copy goes alone, and of each component exactly one row stays."""
+    rng = random.Random(4)
+    base = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(400)) for _ in range(9)]
+    near = [next(t for t in (f"{b} end{k}" for k in range(99)) if 0 < (brute_print(b) ^ brute_print(t)).bit_count() <= 3) for b in base]
+    rows = [(1, base[0]), (None, near[0]), (None, base[1]),           # a null id beside an id, and one alone
+            (5, base[2]), (6, near[2]), (6, base[3]),                 # a repeated id, once a near copy, once unique
+            (None, base[4]), (None, near[4]),                         # only null ids
+            (2, base[5]), (2, near[5]), (3, near[5]),                 # the smallest id twice
+            (9, base[6]), (9, base[6]), (9, base[6]), (None, base[7]), (None, base[7])]  # rows sent again
+    lowest = lambda *group: min((hashlib.sha256(t.encode()).hexdigest(), t) for t in group)[1]
+    want = [(1, base[0]), (None, base[1]), (5, base[2]), (6, base[3]), (None, lowest(base[4], near[4])),
+            (2, lowest(base[5], near[5])), (9, base[6]), (None, base[7])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).repartition(3)
+    for few in (common.FEW_IDS, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(common, "FEW_IDS", few)
+            assert Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()) == Counter(want)
