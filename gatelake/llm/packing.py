@@ -1,19 +1,21 @@
-"""Best-fit packing in a hierarchy: local best fit, then tree merges of the bins that are left underfull.
+"""Best-fit packing in two levels: local best fit, then one best fit by counts of all that is left.
 
-Each task packs its own items by best fit, largest first, and emits the bins that are nearly full. The others go up
-the tree as items, FAN_IN tasks to one, where they are packed again; the root closes all that is left. A task passes up
-at most OPEN_BINS bins: while more are open it counts a bin as nearly full at a lower fill, halving its claim, and best
-fit leaves at most one bin of a task that is half empty. So every task, the root's too, has a bounded input.
+Each task packs its own items by best fit, largest first, a chunk at a time, and emits the bins that are nearly full.
+The items of the other bins go up as counts for each length, of which there are at most as many as a bin has tokens.
+Best fit on counts places equal items together: so many sequences of one pattern. An item then finds its sequence from
+its rank among the items of its length. No bin is closed for want of memory, and what is held does not grow with the
+number of items.
 """
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import stored, tasks
 from .tokens import byte_bpe_ids
@@ -21,9 +23,9 @@ from .tokens import byte_bpe_ids
 CAPACITY = 1024
 END_ID = 2
 SLACK = 4          # a bin with so few free tokens is nearly full
-OPEN_BINS = 2048   # passed up by one task at most
+OPEN_BINS = 2048   # no longer read, as nothing caps the open bins; a test still sets it
 CHUNK = 65_536     # items packed at once
-FAN_IN = 8
+FEW_COUNTS = 200_000  # counts of (task, length) that may be broadcast
 _ITEM = ("doc_id", "piece", "start", "length", "ids_crc32")
 
 
@@ -57,19 +59,23 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
 
 
 class Packer:
-    """Best-fit packing of items, each a list of member rows with a total length, into bins of one capacity."""
+    """Best-fit packing of items, each a length with its rows, into bins of one capacity.
+
+    open counts, by length, the items that were left over.
+    """
 
     def __init__(self, capacity: int, slack: int) -> None:
         self.capacity, self.slack = capacity, slack
-        self.open: list[tuple[int, list]] = []
+        self.open: Counter[int] = Counter()
 
-    def pack(self, items: list[tuple[int, list]], last: bool = False) -> list[list]:
-        """Members of the bins that are closed; the others stay open. Equal lengths keep the order of items."""
+    def pack(self, items: list[tuple[int, list]]) -> tuple[list[list], list[tuple[int, tuple[int, list]]]]:
+        """(items of each nearly full bin, left-over items with their number among those of that length)."""
         fills: list[int] = []
         members: list[list] = []
         by_room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
         rooms = 0  # bit r is set while some bin has room r
-        for length, rows in sorted(self.open + items, key=lambda x: -x[0]):
+        for item in sorted(items, key=lambda x: -x[0]):
+            length = item[0]
             fitting = rooms >> length
             if fitting:
                 room = length + (fitting & -fitting).bit_length() - 1
@@ -77,38 +83,76 @@ class Packer:
                 if not by_room[room]:
                     rooms ^= 1 << room
                 fills[at] += length
-                members[at] += rows
+                members[at].append(item)
             else:
                 room, at = self.capacity, len(fills)
                 fills.append(length)
-                members.append(list(rows))
+                members.append([item])
             left = room - length
             if left:
                 by_room[left].append(at)
                 rooms |= 1 << left
-        slack = self.capacity if last else self.slack
-        while sum(f < self.capacity - slack for f in fills) > OPEN_BINS:
-            slack *= 2
-        self.open = [(f, m) for f, m in zip(fills, members, strict=True) if f < self.capacity - slack]
-        return [m for f, m in zip(fills, members, strict=True) if f >= self.capacity - slack]
-
-
-class _Rows:
-    """Collects packed rows: closed bins get a sequence, open ones a bin number below their task."""
-
-    def __init__(self, schema: pa.Schema, level: int, node: int) -> None:
-        self.schema, self.level, self.node, self.n = schema, level, node, 0
-
-    def batch(self, bins: list[list], closed: bool) -> pa.RecordBatch:
-        rows = []
-        for members in bins:
-            offset, number = 0, (self.level << 58) + (self.node << 30) + self.n
-            self.n += 1
-            for m in members:
-                rows.append((*m, self.level, self.node, None if closed else number, number if closed else None, offset))
-                offset += m[3]
-        columns = list(zip(*rows, strict=True)) or [[] for _ in self.schema]
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.schema, strict=True)], schema=self.schema)
+        closed, over = [], []
+        for fill, held in zip(fills, members, strict=True):
+            if fill >= self.capacity - self.slack:
+                closed.append(held)
+                continue
+            for item in held:
+                over.append((self.open[item[0]], item))
+                self.open[item[0]] += 1
+        return closed, over
+
+
+def fitted(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
+    """Best fit, largest first, of so many items of each length: (times, [(length, how many)]) for each pattern of a bin.
+
+    Bins of one pattern take equal items together. A length cuts at most one group of bins, into three, and opens at
+    most two, so there are at most four patterns a length, however many items there are.
+    """
+    by_room: dict[int, list[tuple[int, list]]] = {}
+    rooms = 0  # bit r is set while some group has room r
+
+    def put(times: int, room: int, held: list) -> None:
+        nonlocal rooms
+        if times:
+            by_room.setdefault(room, []).append((times, held))
+            rooms |= 1 << room
+
+    for length in sorted(counts, reverse=True):
+        left = counts[length]
+        while left:
+            fitting = rooms >> length
+            if fitting:
+                room = length + (fitting & -fitting).bit_length() - 1
+                times, held = by_room[room].pop()
+                if not by_room[room]:
+                    rooms ^= 1 << room
+            else:
+                room, times, held = capacity, -(-left // (capacity // length)), []
+            each = room // length  # best fit goes on filling the bin it has just put an item in
+            full = min(times, left // each)
+            put(full, room - each * length, [*held, (length, each)])
+            left, times = left - full * each, times - full
+            if left and times:
+                put(1, room - left * length, [*held, (length, left)])
+                left, times = 0, times - 1
+            put(times, room, held)
+    return [group for room in sorted(by_room) for group in by_room[room]]
+
+
+def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
+    """Rows (key, start, sequence, each, offset), by key: items of a length ranked from start on lie, each to a bin, in
+    the sequences from sequence on, from offset on. key is length << 40, plus start.
+    """
+    rows, placed, sequence = [], Counter(), 0
+    for times, held in patterns:
+        offset = 0
+        for length, each in held:
+            rows.append(((length << 40) + placed[length], placed[length], sequence, each, offset))
+            placed[length] += times * each
+            offset += length * each
+        sequence += times
+    return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
 _ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -122,43 +166,56 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     kind = items.schema["doc_id"].dataType
     if isinstance(kind, T.NullType):
         items, kind = items.withColumn("doc_id", F.col("doc_id").cast("long")), T.LongType()
-    schema = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long, level int, node long, bin long, sequence_id long, offset long"
+    item = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
+    schema = f"{item}, node long, nth long, sequence_id long, offset long"
     arrow = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, out, waiting = Packer(capacity, SLACK), _Rows(arrow, 0, TaskContext.get().partitionId()), []
+        packer, node, n, waiting = Packer(capacity, SLACK), TaskContext.get().partitionId(), 0, []
+
+        def packed(part: list) -> pa.RecordBatch:
+            nonlocal n
+            closed, over = packer.pack(part)
+            rows = [(*row, node, nth, None, None) for nth, (_, row) in over]
+            for held in closed:
+                offset = 0
+                for length, row in held:
+                    rows.append((*row, node, None, (node << 30) + n, offset))
+                    offset += length
+                n += 1
+            columns = list(zip(*rows, strict=True)) or [[] for _ in arrow]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
         for batch in batches:
-            waiting += [(row[3], [row]) for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
+            waiting += [(row[3], row) for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
             while len(waiting) >= CHUNK:
-                yield out.batch(packer.pack(waiting[:CHUNK]), True)
+                yield packed(waiting[:CHUNK])
                 waiting = waiting[CHUNK:]
-        yield out.batch(packer.pack(waiting), True)
-        yield out.batch([m for _, m in packer.open], False)
-
-    def merges(level: int, last: bool):
-        def run(group: pa.Table) -> pa.Table:
-            bins: dict[int, list] = {}
-            for row in sorted(zip(*[group.column(n).to_pylist() for n in (*_ITEM, "bin", "offset")], strict=True), key=lambda r: r[5:]):
-                bins.setdefault(row[5], []).append(row[:5])
-            packer, out = Packer(capacity, SLACK), _Rows(arrow, level, group.column("node")[0].as_py())
-            closed = out.batch(packer.pack([(sum(r[3] for r in m), m) for _, m in sorted(bins.items())], last), True)
-            return pa.Table.from_batches([closed, out.batch([m for _, m in packer.open], False)])
-        return run
-
-    level = stored(items.select(*_ITEM).mapInArrow(leaves, schema), "packed-0")
-    done = [level.where("sequence_id is not null")]
-    nodes, k = (level.agg(F.max("node")).first()[0] or 0) + 1, 0
-    while True:
-        k, nodes = k + 1, -(-nodes // FAN_IN)
-        up = level.where("sequence_id is null").withColumn("node", F.floor(F.col("node") / FAN_IN))
-        level = stored(up.groupBy("node").applyInArrow(merges(k, nodes == 1), schema), f"packed-{k}")
-        done.append(level.where("sequence_id is not null"))
-        if nodes == 1:
-            break
-    packed = done[0]
-    for more in done[1:]:
-        packed = packed.unionByName(more)
-    return packed.select(*_ITEM, "sequence_id", "offset")
+        yield packed(waiting)
+
+    local = stored(items.select(*_ITEM).mapInArrow(leaves, schema), "packed")
+    over = local.where("sequence_id is null")
+    counts = stored(over.groupBy("node", "length").agg(F.count(F.lit(1)).alias("n")), "open-counts")
+    totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
+    plan = slots(fitted(totals, capacity))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, first, sequence, each, offset = plan.T
+        for batch in batches:
+            length, rank = (batch.column(n).to_numpy() for n in ("length", "rank"))
+            at = np.searchsorted(key, (length << 40) + rank, side="right") - 1
+            among = rank - first[at]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:len(_ITEM)], pa.array((1 << 58) + sequence[at] + among // each[at], pa.int64()),
+                 pa.array(offset[at] + among % each[at] * length, pa.int64())], [*_ITEM, "sequence_id", "offset"])
+
+    earlier = Window.partitionBy("length").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    bases = stored(counts.select("node", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "open-bases")
+    if bases.count() <= FEW_COUNTS:
+        bases = F.broadcast(bases)
+    ranked = over.join(bases, ["node", "length"]).select(*_ITEM, (F.col("base") + F.col("nth")).alias("rank"))
+    return local.where("sequence_id is not null").select(*_ITEM, "sequence_id", "offset").unionByName(
+        ranked.mapInArrow(place, f"{item}, sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:

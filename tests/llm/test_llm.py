@@ -571,3 +571,41 @@ def test_one_row_of_each_near_group(spark):
         with pytest.MonkeyPatch.context() as patch:
             patch.setattr(common, "FEW_IDS", few)
             assert Counter((r.doc_id, r.text) for r in simhash.drop_near_copies(docs).collect()) == Counter(want)
+
+
+def test_packing_by_counts():
+    """Best fit on counts against best fit item by item: the same number of bins, every item in one slot."""
+    rng = random.Random(6)
+    for capacity, n in ((1024, 5000), (7, 300), (100, 1), (50, 2000)):
+        lengths = [min(capacity, 1 + int(rng.expovariate(5 / capacity))) for _ in range(n)]
+        rooms, bins = Counter(), 0
+        for length in sorted(lengths, reverse=True):
+            room = min((r for r, k in rooms.items() if k and r >= length), default=capacity)
+            if rooms[room]:
+                rooms[room] -= 1
+            else:
+                bins += 1
+            if room > length:
+                rooms[room - length] += 1
+        patterns = packing.fitted(Counter(lengths), capacity)
+        assert sum(times for times, _ in patterns) == bins
+        assert all(sum(length * k for length, k in held) <= capacity for _, held in patterns)
+        held = Counter()
+        for times, parts in patterns:
+            for length, k in parts:
+                held[length] += times * k
+        assert held == Counter(lengths)
+
+
+@pytest.mark.parametrize("few", [packing.FEW_COUNTS, 0])
+def test_packing_ordered_by_source(spark, monkeypatch, few):
+    """Over 65,536 items a task, the long ones first and in other tasks than the short ones: pairs meet all the same."""
+    monkeypatch.setattr(packing, "FEW_COUNTS", few)
+    items = spark.range(0, 280_000, 1, 4).select(F.col("id").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"),
+                                                 F.when(F.col("id") < 140_000, 600).otherwise(424).cast("long").alias("length"), F.col("id").alias("ids_crc32"))
+    for parts in (1, 4):
+        packed = packing.pack(items.coalesce(parts)).withColumn("until", F.col("offset") + F.col("length"))
+        bins = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.max("until").alias("until"), F.min("offset").alias("low"))
+        assert packed.select("doc_id").distinct().count() == packed.count() == 280_000
+        assert bins.where("fill <> until or low <> 0 or fill > 1024").isEmpty()
+        assert bins.count() == 140_000
