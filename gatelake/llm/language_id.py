@@ -263,6 +263,11 @@ def languages(model: Model, texts: list[str | None]) -> tuple[list[str], list[fl
     return names, scores
 
 
+def certainties(model: Model, texts: list[str | None]) -> list[float]:
+    """Mean over the words of each word's largest probability, whichever its label; 0 for a text without words."""
+    return [float(min(1.0, post.max(axis=1).mean())) if post.size else 0.0 for post in label_words(model, [words_of(t) for t in texts])]
+
+
 def remainder(id_col: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % divisor
 
@@ -319,9 +324,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows whose text has no language, or none with a mean probability of at least `least`.
+    """docs without the rows whose text has no language, or whose words are labelled with a certainty below `least`.
 
-    Each row is judged by its own text, in the pass that carries the whole row, so equal or null ids do not matter.
+    A text evenly mixed of several languages stays if its words are told with certainty. Each row is judged by its own text, in the pass that carries the whole row, so equal or null ids do not matter.
     """
     model = train(training_sample(docs, learnable(id_col), id_col, text_col, lang_col))
     at_text = docs.columns.index(text_col)
@@ -330,7 +335,7 @@ def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                names, scores = languages(model, part.column(at_text).to_pylist())
-                yield part.filter(pa.array([n != UNKNOWN and s >= least for n, s in zip(names, scores, strict=True)], pa.bool_()))
+                found = certainties(model, part.column(at_text).to_pylist())
+                yield part.filter(pa.array([c > 0 and c >= least for c in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

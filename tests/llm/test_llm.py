@@ -609,3 +609,16 @@ def test_packing_ordered_by_source(spark, monkeypatch, few):
         assert packed.select("doc_id").distinct().count() == packed.count() == 280_000
         assert bins.where("fill <> until or low <> 0 or fill > 1024").isEmpty()
         assert bins.count() == 140_000
+
+
+def test_evenly_mixed_text_is_identified(spark):
+    """Four languages in equal parts: no label has a third of the words, yet every word is told with certainty."""
+    rng = random.Random(3)
+    stems = {"ww": ["tion", "ning"], "xx": ["zung", "keit"], "yy": ["rrado", "mente"], "zz": ["ykka", "lliss"]}
+    made = lambda lang, n: " ".join(rng.choice(stems[lang]) + rng.choice("aeiou") for _ in range(n))
+    rows = [(k * 100 + i, made(lang, 60), lang, "s", 1) for k, lang in enumerate(stems) for i in range(40)]
+    rows.append((999, " ".join(made(lang, 40) for lang in stems), None, "s", 1))
+    docs = spark.createDataFrame(rows, DOCS)
+    mixed = {r.doc_id: r.score for r in language_id.identify(docs).collect()}[999]
+    assert mixed < 0.3
+    assert language_id.keep_identified(docs).count() == len(rows)
