@@ -196,8 +196,8 @@ def nearest(vectors: DataFrame, every: int, k: int = K, scale: int = SCALE, id_c
 #: The same by all scores of the queries.
 QUERY_SQL = f"""
 WITH v AS (
-  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> floor({SCALE} * x::DOUBLE)) AS q FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 pairs AS (
   SELECT a.n, a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
   FROM v a JOIN v b ON a.n <> b.n WHERE a.vec_id % 50 = 0),
