@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, packing, pii, quality_classifier, quality_rules, simhash, spelling, token_counts, token_files, vector_search
+from . import (exact_dedup, language_id, mixing, packing, pii, prefix_trie, quality_classifier, quality_rules, simhash, spelling,
+               token_counts, token_files, vector_search)
 from .common import table
 
 
@@ -47,6 +48,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_index(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
@@ -57,6 +62,6 @@ def op13_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_temperature_mixing, op3_token_counts, op4_exact_dedup, op5_quality_classifier, op6_simhash, op7_pii,
-    op8_packing, op9_language_id, op10_token_files, op12_spelling_variants, op13_vector_search)}
+    op8_packing, op9_language_id, op10_token_files, op11_prefix_trie, op12_spelling_variants, op13_vector_search)}
 ORACLES = {"op1_quality_rules": quality_rules.QUERY_SQL, "op2_temperature_mixing": mixing.QUERY_SQL, "op4_exact_dedup": exact_dedup.QUERY_SQL,
            "op13_vector_search": vector_search.QUERY_SQL}
