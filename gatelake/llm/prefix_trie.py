@@ -23,7 +23,6 @@ CENTURY = 100   # conversations that share the first turns of the lowest
 SHARED = 6      # so many of them at most, less one
 IDS_CHUNK = 4096
 _MASK = (1 << 61) - 1
-_MOD = F.lit(1 << 61).cast("decimal(38,0)")
 
 
 def ordered(turns: DataFrame) -> DataFrame:
@@ -113,7 +112,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
     local = stored(dealt.mapInArrow(run, "conv_id long, part int, depth long, chars long, a long, b long, la long, lb long"), "prefix-slices")
     ends = local.groupBy("conv_id", "part").agg(F.max_by(F.struct("la", "lb"), "depth").alias("end")).select(
         "conv_id", "part", F.col("end.la").cast("decimal(38,0)").alias("la"), F.col("end.lb").cast("decimal(38,0)").alias("lb"))
-    before = _before(ends, "la", "lb").select("conv_id", "part", *[(F.col(c) % _MOD).cast("long").alias(f"before_{c}") for c in ("la", "lb")])
+    before = _before(ends, "la", "lb").select("conv_id", "part", *[(F.col(c) % F.lit(1 << 61).cast("decimal(38,0)")).cast("long").alias(f"before_{c}") for c in ("la", "lb")])
 
     def whole(c: str) -> Column:
         return (F.col(f"l{c}") + F.coalesce(f"before_l{c}", F.lit(0))).bitwiseAND(_MASK)
