@@ -14,17 +14,23 @@ OLD_FILE = to_java(r"^--- a\/(.+)$")
 HUNK = to_java(r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@")
 
 
+#: Lines of a diff that are read together; a longer diff is read by several tasks.
+CHUNK = 4096
+
+
 def raw_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
-    """One row per physical diff line.
+    """One row per physical diff line, with its chunk and how many chunks the diff has.
 
-    Whole diffs are hashed by change before they are exploded: one shuffle of few wide
-    rows, and every window and aggregate by change below reuses that partitioning.  A diff
-    is bounded by the cap of ``read_changes``, so no change outgrows a task.
+    Diffs are cut into chunks of lines before they are dealt: one shuffle of few wide rows, in which a change of any
+    length is spread, and the windows by chunk below reuse that partitioning.
     """
-    placed = changes.select(key, *keep, "diff").repartition(F.col(key))
     # The outer form keeps Spark from splitting each text a second time in a filter.
-    lines = placed.select(key, *keep, F.posexplode_outer(F.split("diff", "\n", -1)).alias("pos", "raw"))
-    return lines.where(F.col("pos").isNotNull())
+    cut = changes.select(key, *keep, F.split("diff", "\n", -1).alias("all")).select(
+        key, *keep, F.expr(f"cast(ceil(size(all) / {CHUNK}) as int)").alias("chunks"), F.posexplode_outer(F.expr(
+            f"transform(sequence(0, cast((size(all) - 1) div {CHUNK} as int)), i -> slice(all, i * {CHUNK} + 1, {CHUNK}))")).alias("chunk", "part"))
+    placed = cut.where(F.col("chunk").isNotNull()).withColumn("size", F.size("part")).repartition(F.col(key), F.col("chunks"), F.col("chunk"))
+    lines = placed.select(key, *keep, "chunks", "chunk", "size", F.posexplode_outer("part").alias("at", "raw"))
+    return lines.selectExpr(key, *keep, "chunks", "chunk", "at = size - 1 as ends", f"chunk * {CHUNK} + at as pos", "raw").where(F.col("pos").isNotNull())
 
 
 def _kind_sql() -> str:
@@ -41,12 +47,32 @@ def _part(pattern: str, group: int) -> str:
     return f"regexp_extract(raw, {quoted(pattern)}, {group})"
 
 
+def _states(lines: DataFrame, key: str) -> DataFrame:
+    """What comes into each later chunk of a change, from the states in which the chunks before it ended.
+
+    States compose: paths and scopes are the last known, the counters add up, and bases are moved by the counters of the
+    chunks before theirs. A change has one row per chunk here.
+    """
+    ends = lines.where("chunks > 1 and ends").selectExpr(
+        key, "chunk", "path", "old_path", "scope", "hunks", "olds", "news", "old_base", "new_base", "hunk_base")
+    before = f"over (partition by {key} order by chunk rows between unbounded preceding and 1 preceding)"
+    counted = ends.selectExpr(
+        key, "chunk", "old_base", "new_base", "hunk_base",
+        f"last(path, true) {before} as path_in", f"first(old_path, true) {before} as old_path_in", f"last(scope, true) {before} as scope_in",
+        *[f"coalesce(sum({c}) {before}, 0L) as {c}_in" for c in ("hunks", "olds", "news")])
+    return counted.selectExpr(
+        key, "chunk", "path_in", "old_path_in", "scope_in", "hunks_in", "olds_in", "news_in",
+        f"last(old_base - olds_in, true) {before} as old_base_in", f"last(new_base - news_in, true) {before} as new_base_in",
+        f"last(hunk_base + hunks_in, true) {before} as hunk_base_in").where("chunk > 0")
+
+
 def all_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
     """Every raw line with its file, hunk, side and number; ``side`` is null outside hunks.
 
-    One sort per change: all windows share (change, position), in two levels.
+    A segmented scan: running values within each chunk, in one sort by (change, chunk, position); only changes of
+    several chunks then take over what the chunks before have left.
     """
-    carried = [key, *keep, "pos", "raw", "kind"]
+    carried = [key, *keep, "chunks", "chunk", "ends", "pos", "raw", "kind"]
     lines = raw_lines(changes, key, keep).selectExpr("*", f"{_kind_sql()} as kind").selectExpr(
         *carried,
         f"case when kind = 'git' then {_part(GIT_HEADER, 2)} when kind = 'new' and raw <> '+++ b//dev/null' then {_part(NEW_FILE, 1)} end as path",
@@ -54,22 +80,26 @@ def all_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:
         "case when kind = 'content' then case substr(raw, 1, 1) when '+' then 'added' when '-' then 'removed' else 'context' end end as mark",
         f"case when kind = 'hunk' then try_cast({_part(HUNK, 1)} as bigint) end as old_start",
         f"case when kind = 'hunk' then try_cast({_part(HUNK, 3)} as bigint) end as new_start")
-    w = f"over (partition by {key} order by pos rows between unbounded preceding and current row)"
+    w = f"over (partition by {key}, chunks, chunk order by pos rows between unbounded preceding and current row)"
     first = lines.selectExpr(
         *carried, "mark", "old_start", "new_start",
-        f"coalesce(last(path, true) {w}, first(old_path, true) {w}, '') as file",
+        f"last(path, true) {w} as path", f"first(old_path, true) {w} as old_path",
         f"last(if(kind in ('git', 'hunk'), kind, null), true) {w} as scope",
         f"sum(if(kind = 'hunk', 1L, 0L)) {w} as hunks",
         f"sum(if(mark in ('removed', 'context'), 1L, 0L)) {w} as olds",
         f"sum(if(mark in ('added', 'context'), 1L, 0L)) {w} as news")
     second = first.selectExpr(
-        *carried, "file", "if(kind = 'content' and scope = 'hunk', mark, null) as side", "hunks", "olds", "news",
+        *carried, "mark", "path", "old_path", "scope", "hunks", "olds", "news",
         f"last(old_start - olds, true) {w} as old_base", f"last(new_start - news, true) {w} as new_base",
         f"last(if(kind = 'git', hunks, null), true) {w} as hunk_base")
-    return second.selectExpr(
-        key, *keep, "pos", "side", "file", "if(side = 'removed', old_base + olds, new_base + news) - 1 as line_no",
+    states = _states(second, key).withColumnsRenamed({key: "key_in", "chunk": "chunk_in"})
+    joined = second.join(states, second[key].eqNullSafe(states.key_in) & (second.chunk == states.chunk_in), "left")
+    return joined.selectExpr(
+        key, *keep, "pos", "if(kind = 'content' and coalesce(scope, scope_in) = 'hunk', mark, null) as side",
+        "coalesce(path, path_in, old_path_in, old_path, '') as file",
+        "if(mark = 'removed', coalesce(old_base, old_base_in + olds_in) + olds, coalesce(new_base, new_base_in + news_in) + news) - 1 as line_no",
         "if(substr(raw, 1, 1) in ('+', '-', ' '), substr(raw, 2), raw) as text",
-        "hunks - coalesce(hunk_base, 0) - 1 as hunk_index")
+        "hunks + coalesce(hunks_in, 0) - coalesce(hunk_base + coalesce(hunks_in, 0), hunk_base_in, 0) - 1 as hunk_index")
 
 
 def diff_lines(changes: DataFrame, key="change_id", keep=()) -> DataFrame:

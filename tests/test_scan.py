@@ -39,9 +39,11 @@ def random_files(rng):
     return files
 
 
-def test_diffs_give_back_their_line_tables(spark):
+@pytest.mark.parametrize("chunk", [4096, 1, 5])
+def test_diffs_give_back_their_line_tables(spark, monkeypatch, chunk):
+    monkeypatch.setattr("gatelake.operators.diff.CHUNK", chunk)
     rng = random.Random(1)
-    made = [rendered(random_files(rng)) for _ in range(300)]
+    made = [rendered(random_files(rng)) for _ in range(300 if chunk > 1 else 60)]
     rows = {}
     for r in diff_lines(changes(spark, [(t, "") for t, _ in made])).collect():
         rows.setdefault(int(r.change_id), []).append((r.pos, r.side, r.file, r.line_no, r.text, r.hunk_index))
@@ -49,6 +51,18 @@ def test_diffs_give_back_their_line_tables(spark):
         assert sorted(rows.get(i, [])) == sorted(table), text
 
 
+def test_one_long_change_is_read_by_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr("gatelake.operators.diff.CHUNK", 64)
+    body = "\n".join(f"diff --git a/f{n} b/f{n}\n--- a/f{n}\n+++ b/f{n}\n@@ -1,9 +1,99 @@\n" + "\n".join(f"+x{i}" for i in range(99)) for n in range(40))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = diff_lines(spark.createDataFrame([(None, body), ("b", None)], "change_id string, diff string")).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.task for r in rows}) > 1 and len(rows) == 40 * 99
+    assert sorted((r.file, r.line_no, r.hunk_index, r.text) for r in rows) == sorted((f"f{n}", i + 1, 0, f"x{i}") for n in range(40) for i in range(99))
+
+
 @pytest.mark.parametrize("text,hits", [
     ("Wire to DE12500105170648489890 for the payout.", 1), ("Please pay GB82 WEST 1234 5698 7654 32 by Friday.", 1),
     ("Please pay AT61-1904-3002-3457-3201 by Friday.", 1), ('const account = "LB3812-3-4ABCDEFGHIJKLMNOPQRST";', 1),
