@@ -47,22 +47,38 @@ def _issuer(digits: str) -> str:
     return f"slice(filter({_ISSUERS}, issuer -> substr({digits}, 1, issuer.digits) between issuer.low and issuer.high), 1, 1)"
 
 
-def _over_digits(value: str, length: str, test: str) -> str:
-    """A test on the digits of a value, evaluated only where their number fits."""
-    return f"exists(array({digits_sql(value)}), digits -> length(digits) {length} and coalesce({test}, false))"
+def _over_digits(value: str, test) -> str:
+    """A test on the digits of a value."""
+    return f"exists(array({digits_sql(value)}), digits -> {test('digits')})"
 
 
-def iban_sql(value: str) -> str:
-    """Registry country, length and BBAN structure, then ISO 7064 mod 97."""
+def _iban_compact(value: str) -> str:
     remainder = ("aggregate(split(concat(substr(norm, 5), substr(norm, 1, 4)), ''), 0, (acc, ch) -> if(ch = '', acc, "
                  "(acc * if(ch between '0' and '9', 10, 100) + int(conv(ch, 36, 10))) % 97))")
-    return f"exists(array(upper({compact_sql(value)})), norm -> {found('norm', IBAN_REGEX)} and {remainder} = 1)"
+    return f"exists(array(upper({value})), norm -> {found('norm', IBAN_REGEX)} and {remainder} = 1)"
+
+
+def iban_sql(value: str) -> str:
+    """Registry country, length and BBAN structure, then ISO 7064 mod 97."""
+    return _iban_compact(compact_sql(value))
+
+
+def _card_digits(digits: str) -> str:
+    return (f"(length({digits}) between 12 and 19 and exists({_issuer(digits)}, best -> "
+            f"array_contains(best.lengths, length({digits})) and (best.no_luhn or luhn_check({digits}))))")
 
 
 def credit_card_sql(value: str) -> str:
     """12-19 digits, a known issuer with that length, and Luhn (not asked of UnionPay)."""
-    return _over_digits(value, "between 12 and 19", f"exists({_issuer('digits')}, best -> "
-                        "array_contains(best.lengths, length(digits)) and (best.no_luhn or luhn_check(digits)))")
+    return _over_digits(value, _card_digits)
+
+
+def _svnr_digits(digits: str) -> str:
+    total = " + ".join(f"int(substr({digits}, {i + 1}, 1)) * {w}" for i, w in enumerate(SVNR_WEIGHTS) if w)
+    day, month, year = (f"int(substr({digits}, {p}, 2))" for p in (5, 7, 9))
+    real = (f"{month} between 1 and 12 and {day} >= 1 and ({day} <= get({_DAYS}, {month} - 1) "
+            f"or ({month} = 2 and {day} = 29 and {year} % 4 = 0))")
+    return f"(length({digits}) = 10 and coalesce(({total}) % 11 = int(substr({digits}, 4, 1)) and {real}, false))"
 
 
 def svnr_sql(value: str) -> str:
@@ -70,20 +86,24 @@ def svnr_sql(value: str) -> str:
 
     Two-digit years are read in both centuries, so only a year divisible by four has a leap day.
     """
-    total = " + ".join(f"int(substr(digits, {i + 1}, 1)) * {w}" for i, w in enumerate(SVNR_WEIGHTS) if w)
-    day, month, year = (f"int(substr(digits, {p}, 2))" for p in (5, 7, 9))
-    real = (f"{month} between 1 and 12 and {day} >= 1 and ({day} <= get({_DAYS}, {month} - 1) "
-            f"or ({month} = 2 and {day} = 29 and {year} % 4 = 0))")
-    return _over_digits(value, "= 10", f"({total}) % 11 = int(substr(digits, 4, 1)) and {real}")
+    return _over_digits(value, _svnr_digits)
+
+
+def _steuer_digits(digits: str) -> str:
+    step = "if((int(d) + product) % 10 = 0, 10, (int(d) + product) % 10) * 2 % 11"
+    product = f"aggregate(filter(split(substr({digits}, 1, 10), ''), d -> d <> ''), 10, (product, d) -> {step})"
+    return (f"(length({digits}) = 11 and not startswith({digits}, '0') "
+            f"and coalesce((11 - {product}) % 10 = int(substr({digits}, 11, 1)), false))")
 
 
 def steuer_id_sql(value: str) -> str:
     """German tax id: 11 digits, no leading zero, ISO 7064 mod 11,10."""
-    step = "if((int(d) + product) % 10 = 0, 10, (int(d) + product) % 10) * 2 % 11"
-    product = f"aggregate(filter(split(substr(digits, 1, 10), ''), d -> d <> ''), 10, (product, d) -> {step})"
-    return _over_digits(value, "= 11", f"not startswith(digits, '0') and (11 - {product}) % 10 = int(substr(digits, 11, 1))")
+    return _over_digits(value, _steuer_digits)
 
 
+# Validators that read only the digits of a value, or only its letters and digits.
+_ON_DIGITS = {"credit_card": _card_digits, "svnr": _svnr_digits, "steuer_id": _steuer_digits}
+_ON_COMPACT = {"iban": _iban_compact}
 # Name -> (condition, least number of digits, pattern); a text that contains a valid
 # identifier has the digits and matches the pattern.
 _REGISTRY: dict = {
@@ -101,6 +121,8 @@ def register_validator(name: str, condition, min_digits: int = 0, necessary: str
     ``min_digits`` and ``necessary`` (a pattern) hold for every text that contains a hit.
     """
     _REGISTRY[name] = (condition, min_digits, necessary)
+    _ON_DIGITS.pop(name, None)
+    _ON_COMPACT.pop(name, None)
 
 
 def known(names) -> list[str]:
@@ -112,6 +134,18 @@ def any_valid_sql(names, value: str) -> str:
     return any_of(_REGISTRY[n][0](value) for n in known(names))
 
 
+def valid_parts_sql(names, digits: str, compacted: str, value: str) -> tuple[str, str]:
+    """any_valid_sql in two conditions: over the digits of the value alone, and over its compact form and itself."""
+    names = known(names)
+    others = [_ON_COMPACT[n](compacted) if n in _ON_COMPACT else _REGISTRY[n][0](value) for n in names if n not in _ON_DIGITS]
+    return any_of(_ON_DIGITS[n](digits) for n in names if n in _ON_DIGITS), any_of(others)
+
+
+def least_digits(names) -> int:
+    """No named validator passes on fewer digits."""
+    return min((_REGISTRY[n][1] for n in known(names)), default=0)
+
+
 def could_be_valid_sql(names, text: str, digit_count: str) -> str:
     """False only where no named validator can pass on the text or any part of it."""
     rows = [_REGISTRY[n][1:] for n in known(names)]

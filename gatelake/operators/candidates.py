@@ -38,9 +38,34 @@ def token_runs_sql(value: str) -> str:
 
 
 def first_passing_sql(validators, value: str, cut: str) -> str:
-    """The first candidate that validates; dates cut short by a time are skipped."""
-    return (f"get(filter(concat(array({value}), {token_runs_sql(value)}), cand -> "
-            f"{checksums.any_valid_sql(validators, 'cand')} and not ({cut} and {is_date_sql('cand')})), 0)")
+    """The first candidate that validates; dates cut short by a time are skipped.
+
+    The same candidates in the same order as the value and its ``token_runs_sql``, but no run is built to be tested:
+    from each token on, one pass carries the digits and the compact form over the token ends and stops at a hit. What
+    only reads digits is not asked again while further tokens bring none. ``value`` and ``cut`` are bound outside, so
+    the names bound in here end in an underscore.
+    """
+    run = "array_join(slice(all_.t, from_, next_.n), ' ')"
+    by_digits, others = checksums.valid_parts_sql(validators, "next_.d", "next_.c", run)
+    none, state = "cast(null as string)", "named_struct('n', {n}, 'c', {c}, 'd', {d}, 'bad', {bad}, 'hit', {hit})"
+    fits = f"length(next_.c) between {CANDIDATE_MIN_LEN} and {CANDIDATE_MAX_LEN} and length(next_.d) >= 2"
+    judged = f"named_struct('n', next_.n, 'c', next_.c, 'd', next_.d, 'good', {fits} and next_.d <> now_.bad and {by_digits}, 'other', {fits} and {others})"
+    hit = f"if((next_.good or next_.other) and not ({cut} and {is_date_sql(run)}), {run}, {none})"
+    after = state.format(n="next_.n", c="next_.c", d="next_.d", bad=f"if({fits} and not next_.good, next_.d, now_.bad)", hit=hit)
+    longer = "named_struct('n', now_.n + 1, 'c', concat(now_.c, token_.c), 'd', concat(now_.d, token_.d))"
+    step = (f"if(now_.hit is not null or length(now_.c) > {CANDIDATE_MAX_LEN}, now_, "
+            f"get(transform(transform(array({longer}), next_ -> {judged}), next_ -> {after}), 0))")
+    begin = state.format(n="0", c="''", d="''", bad="''", hit=none)
+    most = f"{CANDIDATE_MAX_LEN} + size(filter(all_, token_ -> token_.c = ''))"
+    here = f"aggregate(slice(all_, from_, {most}), {begin}, (now_, token_) -> {step}, now_ -> now_.hit)"
+    tokens = (f"transform(filter(split({value}, {quoted(f'[{SPACE}]+')}), token_ -> token_ <> ''), "
+              f"token_ -> named_struct('t', token_, 'c', {compact_sql('token_')}, 'd', {digits_sql('token_')}))")
+    runs = (f"get(transform(array({tokens}), all_ -> if(size(all_) >= 2, aggregate(sequence(1, size(all_)), {none}, "
+            f"(hit_, from_) -> if(hit_ is not null, hit_, {here})), {none})), 0)")
+    # No run has more digits than the value, and a run has two at least.
+    enough = f"length({digits_sql(value)}) >= {max(2, checksums.least_digits(validators))}"
+    whole = f"{checksums.any_valid_sql(validators, value)} and not ({cut} and {is_date_sql(value)})"
+    return f"if({whole}, {value}, if({enough}, {runs}, {none}))"
 
 
 def matches_sql(text: str, pattern: str) -> str:

@@ -132,6 +132,19 @@ def test_token_runs_match_a_plain_restatement(spark):
     assert column(spark, values, candidates.token_runs) == [plain_runs(v) for v in values]
 
 
+@pytest.mark.parametrize("names", [["svnr"], ["steuer_id"], ["credit_card"], ["iban"], ["svnr", "iban", "credit_card", "steuer_id"], ["unheard of"]])
+def test_first_passing_is_the_first_candidate_that_validates(spark, names):
+    rng = random.Random(5)
+    parts = ["4111 1111 1111 1111", "4111111111111111", "1237010180", "1237-010180", "86095742719", "86 095 742 719", "DE12500105170648489890",
+             "GB82 WEST 1234 5698 7654 32", "2024-01-31", "2024/02/28 11", "- -", "-", "no.", "x", "12", "7", "", "7010180"]
+    rows = [(rng.choice([" ", "  ", "\u00a0"]).join(rng.choice(parts) for _ in range(rng.randint(1, 7))), rng.random() < .5) for _ in range(300)]
+    df = spark.createDataFrame(rows, "v string, cut boolean")
+    offered = F.filter(candidates.candidates(F.col("v")), lambda c: F.lit(False) if not checksums.known(names)
+                       else F.exists(F.array(c), lambda x: checksums.first_valid(names, x).isNotNull()) & ~(F.col("cut") & candidates.is_date(c)))
+    got = df.select(candidates.first_passing(names, F.col("v"), F.col("cut")).alias("got"), F.get(offered, F.lit(0)).alias("want")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
 def test_dates(spark):
     values = ["2024-02-29 23", "2023-02-29", "2024-13-01", "2024-02-30", "2024-02-29T24", "at 2024-02-29", "2024-02-29 1 2"]
     assert column(spark, values, candidates.is_date) == [True, True, False, False, False, True, False]
@@ -142,6 +155,6 @@ def test_dates(spark):
     (r"^[\s-,]+$", " -,", True), (r"^[a-\d]+$", "a-5", True), (r"^[\w-]+$", "a-b", True), (r"(?<my_id>[ab])\k<my_id>", "xbb", True),
     (r"(?<my_id>[ab])\k<my_id>", "ab", False), (r"(?<$x>a)(?<id>b)\k<id>", "abb", True),
 ])
-def test_dialect(spark, pattern, text, found):
+def test_dialect_in_classes_and_names(spark, pattern, text, found):
     from gatelake.functions.patterns import to_java
     assert column(spark, [text], lambda v: v.rlike(to_java(pattern))) == [found]
