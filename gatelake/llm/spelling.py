@@ -36,7 +36,9 @@ def words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """(word, n) of all words of whole texts that are long and frequent enough, damaged runs counted as what is left."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"),
                        F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), _PARTS)).alias("run"))
-    rows = rows.where(F.length("run") >= SHORTEST).select("id", F.translate("run", _UPPER, _LOWER).alias("run"))
+    ascii_only = F.octet_length("run") == F.length("run")  # for these the fast function lowers A to Z alone
+    rows = rows.where(F.length("run") >= SHORTEST).select(
+        "id", F.when(ascii_only, F.lower("run")).otherwise(F.translate("run", _UPPER, _LOWER)).alias("run"))
     hashed = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
     at = (hashed % F.length("run")).cast("int")
     left = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
@@ -88,15 +90,15 @@ def affected(grams: list[tuple[int, str]], size: int) -> int:
     return int(np.cumsum(cover)[1:size + 1].max(initial=0))
 
 
-def one_edit(a: str, b: str) -> bool:
-    """Whether one inserted, deleted or replaced code point makes one from the other; a is not longer than b."""
-    if len(b) - len(a) > 1:
-        return False
-    half = len(a) // 2
-    if a[:half] != b[:half] and a[-half:] != b[-half:]:
-        return False
-    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
-    return a[i + 1:] == b[i + 1:] and a != b if len(a) == len(b) else a[i:] == b[i + 1:]
+def one_edit(a: str, b: str, at: int = 0) -> bool:
+    """Whether one inserted, deleted or replaced code point makes one from the other.
+
+    b is as long as a, and another word, or one longer; the first `at` code points are known to be equal.
+    """
+    for i in range(at, len(a)):
+        if a[i] != b[i]:
+            return a[i + 1:] == b[i + 1:] if len(a) == len(b) else a[i:] == b[i + 1:]
+    return len(b) > len(a)
 
 
 def postings(vocabulary: DataFrame, frequent: frozenset[str]) -> DataFrame:
@@ -138,20 +140,45 @@ def lists(rows: DataFrame) -> DataFrame:
                       (F.col("mine") <= F.col("other")).alias("in_tree"), "word", "n", "longer")
 
 
+class WordList:
+    """Words of a class that share a gram, by their first and by their last letters: an edit leaves one half as it is."""
+
+    def __init__(self, kind: int) -> None:
+        self.half = kind // 2
+        self.firsts: dict[str, list[tuple[str, int, bool]]] = {}
+        self.lasts: dict[str, list[tuple[str, int, bool]]] = {}
+
+    def add(self, word: str, n: int, longer: bool) -> None:
+        self.firsts.setdefault(word[:self.half], []).append((word, n, longer))
+        self.lasts.setdefault(word[-self.half:], []).append((word, n, longer))
+
+    def near(self, word: str, longer: bool) -> list[tuple[str, int]]:
+        """Verified words; two of the longer length are left to the class of that length."""
+        first, half = word[:self.half], self.half
+        out = [(w, n) for w, n, more in self.firsts.get(first, ())
+               if not (longer and more) and (one_edit(word, w, half) if more else one_edit(w, word, half))]
+        return out + [(w, n) for w, n, more in self.lasts.get(word[-half:], ())
+                      if not (longer and more) and (one_edit(word, w) if more else one_edit(w, word)) and not w.startswith(first)]
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by list and slices, listed words before asking ones; gives the verified pairs."""
-    now, shorter, longer = None, [], []
+    """Rows (list, asks, lists, longer, n, word) come sorted by list, listed words first; gives the verified pairs.
+
+    Lists are told apart by a hash. Should two meet in one, their pairs are verified like any other; two of different
+    classes are kept apart by the length of the words.
+    """
+    now, held = None, WordList(0)
     for batch in batches:
         out = []
-        for *key, in_tree, word, n, long in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if key != now:
-                now, shorter, longer = key, [], []
-            if key[3] == key[4] or not in_tree:
-                out += [(other, m, word, n) for other, m in shorter if one_edit(*((other, word) if long else (word, other)))]
-                if not long:
-                    out += [(other, m, word, n) for other, m in longer if one_edit(word, other)]
-            if in_tree:
-                (longer if long else shorter).append((word, n))
+        key, asks, lists_, longer = (c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[:4])
+        for key, ask, listed, more, n, word in zip(key, asks, lists_, longer, batch.column(4).to_numpy().tolist(), batch.column(5).to_pylist(), strict=True):
+            kind = (key, len(word) - more)
+            if kind != now:
+                now, held = kind, WordList(kind[1])
+            if ask:
+                out += [(other, m, word, n) for other, m in held.near(word, more)]
+            if listed:
+                held.add(word, n, more)
         columns = list(zip(*out, strict=True)) or [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64()) * 2, strict=True)], ["a", "n_a", "b", "n_b"])
 
@@ -159,9 +186,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_words(vocabulary: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b): every two words of vocabulary(word, n) that are one edit apart, once."""
     cut = lists(stored(postings(vocabulary, frequent_grams(vocabulary)), "postings"))
-    key = ["class", "gram", "place", "tree", "ask"]
-    met = cut.repartition(tasks(vocabulary.sparkSession), *key).sortWithinPartitions(*key, F.col("in_tree").desc())
-    pairs = met.select(*key, "in_tree", "word", "n", "longer").mapInArrow(_merged, "a string, n_a long, b string, n_b long")
+    met = cut.select(F.xxhash64("class", "gram", "place", "tree", "ask").alias("list"), ((F.col("tree") == F.col("ask")) | ~F.col("in_tree")).alias("asks"),
+                     F.col("in_tree").alias("lists"), "longer", "n", "word", "class")
+    met = met.repartition(tasks(vocabulary.sparkSession), "list").sortWithinPartitions("list", "class", F.col("lists").desc()).drop("class")
+    pairs = met.mapInArrow(_merged, "a string, n_a long, b string, n_b long")
     swap = F.col("a") > F.col("b")
     return pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("n_a", "n_b"), ("b", "a"), ("n_b", "n_a"))]).distinct()
 
