@@ -1,10 +1,14 @@
-"""Best-fit packing in two levels: local best fit, then one best fit by counts of all that is left.
+"""Hierarchical best-fit packing.
 
-Each task packs its own items by best fit, largest first, a chunk at a time, and emits the bins that are nearly full.
-The items of the other bins go up as counts for each length, of which there are at most as many as a bin has tokens.
-Best fit on counts places equal items together: so many sequences of one pattern. An item then finds its sequence from
-its rank among the items of its length. No bin is closed for want of memory, and what is held does not grow with the
-number of items.
+Each task packs its own items by best fit, largest first, a chunk at a time, and emits the bins that are nearly full. The
+underfull bins go up a tree: tasks of the next level take them as items of their fill, best-fit them into common bins,
+emit what is nearly full and pass the rest on. There are fewer tasks on each level, but never more than a chunk of bins
+to each; the tree ends at one task, or where the bins that are left no longer fit together.
+
+What is then left is taken apart for one last round: its items are counted by length, of which there are at most as many
+as a bin has tokens, and best fit on counts places equal items together: so many sequences of one pattern. An item finds
+its sequence from its rank among the items of its length. No bin is closed for want of memory, and what is held does not
+grow with the number of items.
 """
 from __future__ import annotations
 
@@ -23,8 +27,8 @@ from .tokens import byte_bpe_ids
 CAPACITY = 1024
 END_ID = 2
 SLACK = 4          # a bin with so few free tokens is nearly full
-OPEN_BINS = 2048   # no longer read, as nothing caps the open bins; a test still sets it
 CHUNK = 65_536     # items packed at once
+FAN_IN = 8         # tasks whose bins meet in one task of the next level
 FEW_COUNTS = 200_000  # counts of (task, length) that may be broadcast
 _ITEM = ("doc_id", "piece", "start", "length", "ids_crc32")
 
@@ -58,49 +62,31 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     return rows.mapInArrow(cut, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
-class Packer:
-    """Best-fit packing of items, each a length with its rows, into bins of one capacity.
-
-    open counts, by length, the items that were left over.
-    """
-
-    def __init__(self, capacity: int, slack: int) -> None:
-        self.capacity, self.slack = capacity, slack
-        self.open: Counter[int] = Counter()
-
-    def pack(self, items: list[tuple[int, list]]) -> tuple[list[list], list[tuple[int, tuple[int, list]]]]:
-        """(items of each nearly full bin, left-over items with their number among those of that length)."""
-        fills: list[int] = []
-        members: list[list] = []
-        by_room: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        rooms = 0  # bit r is set while some bin has room r
-        for item in sorted(items, key=lambda x: -x[0]):
-            length = item[0]
-            fitting = rooms >> length
-            if fitting:
-                room = length + (fitting & -fitting).bit_length() - 1
-                at = by_room[room].pop()
-                if not by_room[room]:
-                    rooms ^= 1 << room
-                fills[at] += length
-                members[at].append(item)
-            else:
-                room, at = self.capacity, len(fills)
-                fills.append(length)
-                members.append([item])
-            left = room - length
-            if left:
-                by_room[left].append(at)
-                rooms |= 1 << left
-        closed, over = [], []
-        for fill, held in zip(fills, members, strict=True):
-            if fill >= self.capacity - self.slack:
-                closed.append(held)
-                continue
-            for item in held:
-                over.append((self.open[item[0]], item))
-                self.open[item[0]] += 1
-        return closed, over
+def best_fit(items: list[tuple[int, object]], capacity: int = CAPACITY) -> list[tuple[int, list]]:
+    """(fill, items) of each bin that best fit makes of items (length, anything), largest first."""
+    fills: list[int] = []
+    members: list[list] = []
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
+    rooms = 0  # bit r is set while some bin has room r
+    for item in sorted(items, key=lambda x: -x[0]):
+        length = item[0]
+        fitting = rooms >> length
+        if fitting:
+            room = length + (fitting & -fitting).bit_length() - 1
+            at = by_room[room].pop()
+            if not by_room[room]:
+                rooms ^= 1 << room
+            fills[at] += length
+            members[at].append(item)
+        else:
+            room, at = capacity, len(fills)
+            fills.append(length)
+            members.append([item])
+        left = room - length
+        if left:
+            by_room[left].append(at)
+            rooms |= 1 << left
+    return list(zip(fills, members, strict=True))
 
 
 def fitted(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -155,7 +141,54 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+_ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[list[tuple]]:
+    waiting: list[tuple] = []
+    for batch in batches:
+        waiting += zip(*[c.to_pylist() for c in batch.columns], strict=True)
+        while len(waiting) >= size:
+            yield waiting[:size]
+            waiting = waiting[size:]
+    yield waiting
+
+
+def merged_bins(bins: DataFrame, nodes: int, capacity: int = CAPACITY) -> list[DataFrame]:
+    """The levels of the tree over bins (bin, fill), stored tables (bin, into, shift, fill, underfull) of merged bins.
+
+    A bin is named after its first member. Of each level only the underfull bins go up to the next.
+    """
+    schema = "bin long, into long, shift long, fill long, underfull boolean"
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _chunked(batches, CHUNK):
+            rows = []
+            for fill, held in best_fit([(fill, name) for name, fill in part], capacity):
+                shift = 0
+                for length, name in held:
+                    rows.append((name, held[0][1], shift, fill, fill < capacity - SLACK))
+                    shift += length
+            yield _batch(rows, schema)
+
+    levels: list[DataFrame] = []
+    n = bins.count()
+    while n > 1:
+        fewer = max(1, -(-nodes // FAN_IN), -(-n // CHUNK))
+        if fewer >= nodes:
+            break
+        nodes = fewer
+        met = bins.select("bin", "fill", F.pmod(F.xxhash64("bin"), F.lit(nodes)).cast("int").alias("node")).repartitionById(nodes, F.col("node"))
+        levels.append(stored(met.select("bin", "fill").mapInArrow(merge, schema), "merged-bins"))
+        bins = levels[-1].where("underfull and bin = into").select("bin", "fill")
+        n = bins.count()
+    return levels
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -167,35 +200,51 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if isinstance(kind, T.NullType):
         items, kind = items.withColumn("doc_id", F.col("doc_id").cast("long")), T.LongType()
     item = f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long"
-    schema = f"{item}, node long, nth long, sequence_id long, offset long"
-    arrow = pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in schema.split(", "))])
+    schema = f"{item}, bin long, offset long, fill long, underfull boolean"
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, node, n, waiting = Packer(capacity, SLACK), TaskContext.get().partitionId(), 0, []
-
-        def packed(part: list) -> pa.RecordBatch:
-            nonlocal n
-            closed, over = packer.pack(part)
-            rows = [(*row, node, nth, None, None) for nth, (_, row) in over]
-            for held in closed:
+        name = TaskContext.get().partitionId() << 33
+        for part in _chunked(batches, CHUNK):
+            rows = []
+            for fill, held in best_fit([(row[3], row) for row in part], capacity):
                 offset = 0
                 for length, row in held:
-                    rows.append((*row, node, None, (node << 30) + n, offset))
+                    rows.append((*row, name, offset, fill, fill < capacity - SLACK))
                     offset += length
-                n += 1
-            columns = list(zip(*rows, strict=True)) or [[] for _ in arrow]
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-
+                name += 1
+            yield _batch(rows, schema)
+
+    given = [*_ITEM, "sequence_id", "offset"]
+    dealt = items.select(*_ITEM)
+    local = stored(dealt.mapInArrow(leaves, schema), "packed")
+    done = local.where("not underfull").select(*_ITEM, F.col("bin").alias("sequence_id"), "offset")
+    left = local.where("underfull").select(*_ITEM, "bin", "offset", "fill")
+    bins = stored(left.groupBy("bin").agg(F.first("fill").alias("fill")), "open-bins")
+    for level in merged_bins(bins, tasks(items.sparkSession), capacity):
+        moved = level.select("bin", "into", "shift", F.col("fill").alias("filled"), "underfull")
+        left = stored(left.join(moved, "bin").select(
+            *_ITEM, F.col("into").alias("bin"), (F.col("offset") + F.col("shift")).alias("offset"), F.col("filled").alias("fill"), "underfull"), "risen")
+        done = done.unionByName(left.where("not underfull").select(*_ITEM, F.col("bin").alias("sequence_id"), "offset"))
+        left = left.where("underfull").drop("underfull")
+    return done.unionByName(_by_counts(left.select(*_ITEM), item, capacity).select(*given))
+
+
+def _by_counts(over: DataFrame, item: str, capacity: int) -> DataFrame:
+    """The last round: over, items of underfull bins, with sequence_id and offset from one best fit on counts."""
+    schema = f"{item}, node long, nth long"
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, node = Counter(), TaskContext.get().partitionId()
         for batch in batches:
-            waiting += [(row[3], row) for row in zip(*[c.to_pylist() for c in batch.columns], strict=True)]
-            while len(waiting) >= CHUNK:
-                yield packed(waiting[:CHUNK])
-                waiting = waiting[CHUNK:]
-        yield packed(waiting)
-
-    local = stored(items.select(*_ITEM).mapInArrow(leaves, schema), "packed")
-    over = local.where("sequence_id is null")
-    counts = stored(over.groupBy("node", "length").agg(F.count(F.lit(1)).alias("n")), "open-counts")
+            nth = []
+            for length in batch.column("length").to_pylist():
+                nth.append(seen[length])
+                seen[length] += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([node] * len(nth), pa.int64()), pa.array(nth, pa.int64())],
+                                             [*_ITEM, "node", "nth"])
+
+    numbered = stored(over.mapInArrow(number, schema), "left-over")
+    counts = stored(numbered.groupBy("node", "length").agg(F.count(F.lit(1)).alias("n")), "open-counts")
     totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     plan = slots(fitted(totals, capacity))
 
@@ -206,16 +255,15 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at = np.searchsorted(key, (length << 40) + rank, side="right") - 1
             among = rank - first[at]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(_ITEM)], pa.array((1 << 58) + sequence[at] + among // each[at], pa.int64()),
+                [*batch.columns[:len(_ITEM)], pa.array((1 << 60) + sequence[at] + among // each[at], pa.int64()),
                  pa.array(offset[at] + among % each[at] * length, pa.int64())], [*_ITEM, "sequence_id", "offset"])
 
     earlier = Window.partitionBy("length").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
     bases = stored(counts.select("node", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")), "open-bases")
     if bases.count() <= FEW_COUNTS:
         bases = F.broadcast(bases)
-    ranked = over.join(bases, ["node", "length"]).select(*_ITEM, (F.col("base") + F.col("nth")).alias("rank"))
-    return local.where("sequence_id is not null").select(*_ITEM, "sequence_id", "offset").unionByName(
-        ranked.mapInArrow(place, f"{item}, sequence_id long, offset long"))
+    ranked = numbered.join(bases, ["node", "length"]).select(*_ITEM, (F.col("base") + F.col("nth")).alias("rank"))
+    return ranked.mapInArrow(place, f"{item}, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
@@ -224,6 +272,6 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     A null text counts as empty and is a piece of the end id alone. Null ids are carried along, repeated rows are
     packed each, an empty table gives no rows, other columns are not read.
     """
-    cut = stored(pieces(docs, id_col, text_col, capacity), "pieces")
-    # Spread, as a local packing needs tens of thousands of items, not the few bytes that fill a file split.
-    return pack(cut.repartition(tasks(docs.sparkSession), F.col("doc_id"), F.col("piece")), capacity)
+    cut = stored(pieces(docs, id_col, text_col, capacity).withColumn("row", F.monotonically_increasing_id()), "pieces")
+    # Spread by row, as ids may be equal or null, and as a local packing needs tens of thousands of mixed items.
+    return pack(cut.repartition(tasks(docs.sparkSession), F.xxhash64("row")), capacity)
