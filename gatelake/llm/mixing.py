@@ -4,7 +4,8 @@ A source's weight is its token share raised to an exponent and normalised. The e
 reach a target entropy, or until no source is repeated more often than a limit. Each source then fills its part of the
 token budget with permutations of its own rows: whole passes, and of the last pass as much as still fits. The rows of
 a source lie in blocks by a hash; a pass is the blocks in order, so the row where the budget ends is found from the
-sums of the blocks, then of that block's own blocks, and only rows of one such small block are ever ordered.
+sums of the blocks, then of that block's own blocks, and only rows of one such small block are ever ordered. The hash is
+that of id and text; where the pass ends among rows equal in both, they are counted to the end.
 """
 from __future__ import annotations
 
@@ -89,10 +90,11 @@ def mixed(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_re
     where even unchanged shares pass a limit the shares stay as they are. The null source is a source of its own. Rows
     without words cost nothing: they are drawn in every whole pass, and in the last one if they come before its end;
     sources without any words have weight 0 and their rows are drawn once. Rows equal in id and text have neighbouring
-    places in a pass. An empty table gives no rows. All columns are kept; draws and the others added here replace none.
+    places in a pass, any of them first. An empty table gives no rows. All columns are kept; draws and the others added
+    here replace none.
     """
-    spark = docs.sparkSession
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))).alias("key")
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"),
+                         F.md5(F.coalesce(F.col(text_col), F.lit(""))))).alias("key")
     rows = stored(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0null")).alias("source"),
                               key, token_count(F.col(text_col)).alias("n_tokens")), "mix-rows")
     shares = shares_of(rows)
@@ -108,15 +110,29 @@ def mixed(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, max_re
     near = stored(near.select("source", "key", "n_tokens", F.col("cut.left").alias("left")), "mix-near")
     second = stored(_cut(near.drop("left"), first.select("source", F.col("cut.left").alias("left")), 1), "mix-cut")
     last = near.drop("left").join(_small(second), "source").where(_place(F.col("key"), 1) == F.col("cut.block"))
-    # Rows of one small block, folded by key: ordered, then the first whose tokens no longer fit ends the pass.
-    folded = last.groupBy("source", "key").agg(F.sum("n_tokens").alias("n_tokens"), F.first("cut.left").alias("left"))
+    # Rows of one small block, folded by key: ordered, then the first whose tokens no longer fit all ends the pass.
+    folded = last.groupBy("source", "key").agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("copies"), F.first("cut.left").alias("left"))
     inner = Window.partitionBy("source").orderBy("key")
-    ends = folded.withColumn("upto", F.sum("n_tokens").over(inner)).groupBy("source").agg(F.min(F.when(F.col("upto") > F.col("left"), F.col("key"))).alias("end"))
-    plan = stored(quota.select("source", "weight", "passes").join(ends, "source", "left").withColumn("end", F.coalesce("end", F.lit(""))), "mix-plan")
+    fit = F.floor((F.col("left") - F.col("upto") + F.col("n_tokens")) * F.col("copies") / F.col("n_tokens"))
+    ends = folded.withColumn("upto", F.sum("n_tokens").over(inner)).where("upto > left").groupBy("source").agg(
+        F.min(F.struct("key", fit.cast("long").alias("fit"))).alias("end"))
+    plan = stored(quota.select("source", "weight", "passes").join(ends, "source", "left").select(
+        "source", "weight", "passes", F.coalesce("end.key", F.lit("")).alias("end"), F.coalesce("end.fit", F.lit(0)).alias("fit")), "mix-plan")
     wide = docs.select(F.struct("*").alias("whole"), F.coalesce(F.col(source_col).cast("string"), F.lit("\0null")).alias("source"),
                        key, token_count(F.col(text_col)).alias("n_tokens"))
+    planned = wide.join(_small(plan), "source", "left")
+    # Equal rows in which a pass ends are few unless a text is repeated much; numbered in slices, so they need not meet.
+    tied = stored(planned.where((F.col("key") == F.col("end")) & (F.col("fit") > 0)).withColumn("row", F.monotonically_increasing_id()), "mix-ties")
+    slices = tied.groupBy("source", F.shiftright("row", 33).alias("slice")).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    before = slices.select("source", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    local = F.col("row") - F.shiftleft("slice", 33)  # rows of a task are numbered from 0 without gaps
+    ranked = tied.withColumn("slice", F.shiftright("row", 33)).join(_small(before), ["source", "slice"])
+    out = ["whole", "source", "key", "n_tokens", "weight"]
+    once_more = ranked.select(*out, (F.col("passes") + (F.col("before") + local < F.col("fit")).cast("long")).alias("draws"))
+    untied = planned.where(~F.coalesce((F.col("key") == F.col("end")) & (F.col("fit") > 0), F.lit(False)))
     draws = F.coalesce(F.col("passes") + F.when(F.col("key") < F.col("end"), 1).otherwise(0), F.lit(1)).cast("long")
-    return wide.join(_small(plan), "source", "left").select("whole", "source", "key", "n_tokens", "weight", draws.alias("draws"))
+    return untied.select(*out, draws.alias("draws")).unionByName(once_more)
 
 
 def _small(plan: DataFrame) -> DataFrame:
@@ -138,7 +154,7 @@ def mix(docs: DataFrame, **limits) -> DataFrame:
 #: The same rounds, each with the entropy and largest repetition of all exponents tried, then the draws by running sums.
 QUERY_SQL = rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS s, md5('1:' || coalesce(doc_id::VARCHAR, '')) AS key,
+  SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS s, md5('1:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^ \x09-\x0D]+'))::BIGINT AS n FROM documents),
 sums AS (SELECT s, sum(n)::BIGINT AS tokens FROM d GROUP BY s HAVING sum(n) > 0),
 p AS (SELECT list(tokens::DOUBLE / total) AS shares, any_value(total) AS total, count(*) AS k FROM sums, (SELECT sum(tokens)::DOUBLE AS total FROM sums)),
@@ -154,8 +170,7 @@ rounds AS (
 best AS (SELECT CASE WHEN never THEN 1.0 ELSE round(high, 9) END AS a FROM rounds ORDER BY r DESC LIMIT 1),
 raised AS (SELECT s, tokens, pow(tokens / total, a) AS x, total FROM sums, p, best),
 quota AS (SELECT s, tokens, x / sum(x) OVER () AS weight, floor(round(x / sum(x) OVER (), 9) * total)::BIGINT AS q FROM raised),
-upto AS (SELECT s, key, sum(sum(n)) OVER (PARTITION BY s ORDER BY key) AS u FROM d GROUP BY s, key),
-ends AS (SELECT s, min(key) AS stop FROM upto JOIN quota USING (s) WHERE u > q % tokens GROUP BY s)
-SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, coalesce(q // tokens + (key < stop)::INT, 1)::BIGINT AS draws
-FROM d LEFT JOIN quota USING (s) LEFT JOIN ends USING (s)
+upto AS (SELECT *, sum(n) OVER (PARTITION BY s ORDER BY key ROWS UNBOUNDED PRECEDING) AS u FROM d)
+SELECT doc_id, source, n AS n_tokens, round(weight, 6) AS weight, coalesce(q // tokens + (u <= q % tokens)::INT, 1)::BIGINT AS draws
+FROM upto LEFT JOIN quota USING (s)
 """
