@@ -62,23 +62,21 @@ def without(docs: DataFrame, dropped: DataFrame, *keys: str | Column, how: str =
     return rows.join(gone, same, how).select("whole.*")
 
 
-#: Groups of a sample whose sizes may be broadcast.
-FEW_GROUPS = 10_000
+def sampled(rows: DataFrame, group: str, most: int, groups: int) -> DataFrame:
+    """At most ``most`` rows of each of the ``groups`` largest groups of rows(doc_id, group, text): those of lowest hash.
 
-
-def sampled(rows: DataFrame, group: str, most: int) -> DataFrame:
-    """At most ``most`` rows of each group of rows(doc_id, group, ...): those whose ids have the lowest hashes.
-
-    The sample depends on the ids alone, not on partitions. A group's size gives a hash below which about three times
-    ``most`` rows lie, so a group of any size sends only that many on to be ranked.
+    Rows are told apart by id and text, so rows that share an id are drawn like any others, and rows equal in both count
+    once. The sample does not depend on partitions. The number of different rows of a group gives a hash below which
+    about three times ``most`` of them lie, so a group of any size sends only that many on to be ranked, without texts.
+    The result has at most most * groups rows.
     """
-    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11)  # from 0 to 2 ** 53
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("group_size"))
-    if sizes.limit(FEW_GROUPS + 1).count() <= FEW_GROUPS:
-        sizes = F.broadcast(sizes)
-    low = rows.withColumn("place", place).join(sizes, group).where(F.col("place") / 2.0 ** 53 * F.col("group_size") < 3 * most)
-    order = Window.partitionBy(group).orderBy("place", "doc_id")
-    return low.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "group_size")
+    placed = rows.withColumn("place", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11))  # from 0 to 2 ** 53
+    sizes = placed.groupBy(group).agg(F.approx_count_distinct("place", 0.02).alias("group_size"), F.count(F.lit(1)).alias("group_rows"))
+    sizes = sizes.orderBy(F.col("group_rows").desc(), group).limit(groups)  # so many rows, and no more
+    low = placed.select(group, "place").join(F.broadcast(sizes), group).where(F.col("place") / 2.0 ** 53 * F.col("group_size") < 3 * most).distinct()
+    order = Window.partitionBy(group).orderBy("place")
+    chosen = low.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(group, "place")
+    return placed.join(F.broadcast(chosen), [group, "place"]).dropDuplicates([group, "place"])
 
 
 def let(value: Column, body) -> Column:

@@ -23,8 +23,9 @@ from .common import sampled
 
 UNKNOWN = "und"
 FEATURES = 1 << 16
-DOCS_PER_LANGUAGE = 400   # training sample: so many labelled documents of each language,
-WORDS_PER_DOC = 200       # and of each document so many words from a place given by its id
+DOCS_PER_LANGUAGE = 300   # training sample: so many whole labelled documents of each language,
+SAMPLE_CHARS = 20_000     # none longer than this,
+LANGUAGES = 64            # and of so many languages, the most frequent ones
 LEXICON = 2000            # most frequent words of each language in the sample
 SEQUENCE, SPLICE = 120, (5, 40)
 ROUNDS, RATE, DECAY = 60, 0.15, 1e-4
@@ -263,11 +264,6 @@ def languages(model: Model, texts: list[str | None]) -> tuple[list[str], list[fl
     return names, scores
 
 
-def certainties(model: Model, texts: list[str | None]) -> list[float]:
-    """Mean over the words of each word's largest probability, whichever its label; 0 for a text without words."""
-    return [float(min(1.0, post.max(axis=1).mean())) if post.size else 0.0 for post in label_words(model, [words_of(t) for t in texts])]
-
-
 def remainder(id_col: Column, divisor: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % divisor
 
@@ -278,28 +274,59 @@ def learnable(id_col: str, folds: int = 5) -> Column:
 
 
 def training_sample(docs: DataFrame, learn: Column, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, list[str]]]:
-    """(language, words) of at most DOCS_PER_LANGUAGE documents of each language, WORDS_PER_DOC words of each.
+    """(language, words) of at most DOCS_PER_LANGUAGE whole documents of each language, which the driver gets.
 
-    The documents are those with the lowest hashes of their ids, so the sample does not depend on the partitioning.
-    Which ones they are is settled without reading texts; the driver gets the chosen words only.
+    They are the rows with the lowest hashes of id and text, so neither partitions nor shared ids change the sample.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
-    chosen = sampled(rows.where("learn and lang is not null"), "lang", DOCS_PER_LANGUAGE)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(
-        F.broadcast(chosen.select("doc_id", "lang", "place").dropDuplicates(["doc_id"])), "doc_id")  # DOCS_PER_LANGUAGE a language
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where(
+        learn & F.col("lang").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    found = [(r.lang, r.place, words_of(r.text)) for r in sampled(rows, "lang", DOCS_PER_LANGUAGE, LANGUAGES).select("lang", "place", "text").collect()]
+    return [(lang, words) for lang, _, words in sorted(found) if words]
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for place, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = words_of(text)
-                at = place % max(1, len(found) - WORDS_PER_DOC)
-                out.append(" ".join(found[at:at + WORDS_PER_DOC]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "lang", "words"])
 
-    ordered = picked.select("doc_id", "lang", "place", "text").mapInArrow(
-        cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, words string").collect()
-    return [(r.lang, r.words.split()) for r in sorted(ordered, key=lambda r: (r.lang, r.doc_id, r.words)) if r.words]
+def trigrams(word: str) -> list[str]:
+    whole = f"^{word}$"
+    return [whole[i:i + 3] for i in range(len(whole) - 2)]
+
+
+class Outside:
+    """Tells text of no learned language by the share of its letter trigrams that the training words have.
+
+    A word's share is that of its trigrams seen in at least two training documents; a text's is the mean over its words.
+    `least` is a part of what the lower tail of training documents reaches that are judged by the others' trigrams.
+    """
+
+    def __init__(self, sample: list[tuple[str, list[str]]], part: float = 0.7, tail: float = 0.01) -> None:
+        halves: list[Counter[str]] = [Counter(), Counter()]
+        for i, (_, found) in enumerate(sample):
+            halves[i % 2].update({g for w in set(found) for g in trigrams(w)})
+        shares = []
+        for k, half in enumerate(halves):
+            self.seen, self.memory = frozenset(g for g, n in half.items() if n > 1), {}
+            shares += [self.share(found) for _, found in sample[1 - k::2]]
+        both = halves[0] + halves[1]
+        self.seen, self.memory = frozenset(g for g, n in both.items() if n > 1), {}
+        self.least = part * float(np.quantile(shares, tail)) if len(sample) > 20 else 0.0
+
+    def shares(self, found: list[str]) -> np.ndarray:
+        """The share of each word."""
+        if len(self.memory) > REMEMBERED:
+            self.memory = {}
+        for w in set(found).difference(self.memory):
+            grams = trigrams(w)
+            self.memory[w] = sum(g in self.seen for g in grams) / len(grams)
+        return np.fromiter(map(self.memory.__getitem__, found), float, len(found))
+
+    def share(self, found: list[str]) -> float:
+        return float(self.shares(found).mean()) if found else 0.0
+
+
+def accepted(model: Model, outside: Outside, texts: list[str | None]) -> list[bool]:
+    """Whether each text has words, and the mean of their best label's probability times their share reaches the least."""
+    found = [words_of(t) for t in texts]
+    posts = label_words(model, found)
+    return [bool(words) and post.size > 0 and float((post.max(axis=1) * outside.shares(words)).mean()) >= outside.least
+            for words, post in zip(found, posts, strict=True)]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
@@ -323,19 +350,23 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without the rows whose text has no language, or whose words are labelled with a certainty below `least`.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs without the rows whose text is in no learned language: null, letterless, of another script or of no words.
 
-    A text evenly mixed of several languages stays if its words are told with certainty. Each row is judged by its own text, in the pass that carries the whole row, so equal or null ids do not matter.
+    A text stays if its words are labelled with certainty, in whatever mixture of languages, and are like those learned
+    from: the field must choose a learned language for each word, so each word counts by the share of its trigrams that
+    training words have. Each row is judged by its own text, in the pass that carries the whole row, so equal or null
+    ids do not matter. With fewer than 21 training documents only texts without a word go; where nothing can be learned
+    from, every text goes. An empty table gives no rows.
     """
-    model = train(training_sample(docs, learnable(id_col), id_col, text_col, lang_col))
+    sample = training_sample(docs, learnable(id_col), id_col, text_col, lang_col)
+    model, outside = train(sample), Outside(sample)
     at_text = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
-                found = certainties(model, part.column(at_text).to_pylist())
-                yield part.filter(pa.array([c > 0 and c >= least for c in found], pa.bool_()))
+                yield part.filter(pa.array(accepted(model, outside, part.column(at_text).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,8 +20,8 @@ from .language_id import remainder
 
 PASSAGE = 64              # words in a passage
 BUCKETS = 4096            # hashed words
-SAMPLE_PER_LABEL = 1500   # labelled documents of each class that are learned from,
-SAMPLE_PASSAGES = 8       # and of each document so many passages from a place given by its id
+SAMPLE_PER_LABEL = 1200   # whole labelled documents of each class that are learned from,
+SAMPLE_CHARS = 20_000     # none longer than this
 EMBED, HIDDEN, GATE = 16, 16, 8
 ROUNDS, RATE, DECAY = 120, 0.02, 1e-3
 THRESHOLD = 0.7
@@ -166,29 +166,19 @@ def train(texts: list[str], truth: list[int], seed: int = 1) -> Model:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, folds: int, held: int, id_col: str, text_col: str, label_col: str) -> list[tuple[str, int]]:
-    """(words, label) of at most SAMPLE_PER_LABEL labelled documents of each class outside the held-out fold.
+    """(text, label) of at most SAMPLE_PER_LABEL whole documents of each class outside the held-out fold.
 
-    The documents are those with the lowest hashes of their ids, chosen without reading texts. Of each the driver gets
-    SAMPLE_PASSAGES passages from a place that the id gives.
+    The ids are those of lowest hash among the labelled ones; of ids with several labels the largest counts, and of ids
+    with several texts the text of lowest hash. The driver gets one text for each chosen id at most.
     """
     label = F.col(label_col).cast("int")
     rows = labels.where(label.isin(0, 1) & F.col(id_col).isNotNull() & (remainder(F.col(id_col), folds) != held)).groupBy(
         F.col(id_col).alias("doc_id")).agg(F.max(label).alias("label"))
-    chosen = sampled(rows, "label", SAMPLE_PER_LABEL)
-    picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "doc_id")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for place, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                found = _WORD.findall(text or "")
-                at = place % max(1, len(found) - PASSAGE * SAMPLE_PASSAGES)
-                out.append(" ".join(found[at:at + PASSAGE * SAMPLE_PASSAGES]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["doc_id", "label", "words"])
-
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    found = picked.select("doc_id", "label", "place", "text").mapInArrow(cut, f"doc_id {kind}, label int, words string").collect()
-    return [(r.words, r.label) for r in sorted(found, key=lambda r: (r.doc_id, r.words))]
+    chosen = sampled(rows.withColumn("text", F.lit("")), "label", SAMPLE_PER_LABEL, 2).select("doc_id", "label", "place")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    order = F.struct(F.xxhash64("text"), "text")
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("label", "place", "doc_id").agg(F.min_by("text", order).alias("text")).collect()
+    return [(r.text, r.label) for r in sorted(found, key=lambda r: (r.label, r.place, r.doc_id))]
 
 
 def quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, threshold: float = THRESHOLD, id_col: str = "doc_id",

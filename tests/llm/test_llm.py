@@ -116,16 +116,15 @@ def brute_draws(rows, exponent, seed=1):
     raised = {s: (n / total) ** exponent for s, n in sizes.items() if n}
     out = {}
     for source in sizes:
-        mine = sorted((hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), len(WORD.findall(t or "")), i)
-                      for i, t, s in rows if s == source)
+        mine = sorted((hashlib.md5(f"{seed}:{'' if i is None else i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest(),
+                       len(WORD.findall(t or "")), i) for i, t, s in rows if s == source)
         if not sizes[source]:
             out |= {i: 1 for _, _, i in mine}
             continue
         passes, left = divmod(int(round(raised[source] / sum(raised.values()), 9) * total), sizes[source])
-        for key in sorted({k for k, _, _ in mine}):
-            group = [(n, i) for k, n, i in mine if k == key]
-            left -= sum(n for n, _ in group)
-            out |= {i: passes + (left >= 0) for _, i in group}
+        for _, n, i in mine:
+            left -= n
+            out[i] = passes + (left >= 0)
     return out
 
 
@@ -366,10 +365,28 @@ def test_packing_hierarchy(spark, monkeypatch):
         fills[r.sequence_id] += r.length
     alone = sum(n > 512 for n in lengths)
     assert max(fills.values()) <= 1024 and len(fills) <= 1.05 * max(alone, sum(lengths) / 1024)
-    packer = packing.Packer(1024, packing.SLACK)
-    monkeypatch.setattr(packing, "OPEN_BINS", 10)
-    packer.pack([(600, [("x",)])] * 5000)
-    assert len(packer.open) <= 10
+
+
+def test_packing_tree(spark, monkeypatch):
+    """Underfull bins are items of the next level: what is named into a bin fits it, and only underfull bins rise."""
+    monkeypatch.setattr(packing, "CHUNK", 50)
+    rng = random.Random(8)
+    fills = {k * 7: rng.randrange(1, 900) for k in range(400)}
+    levels = packing.merged_bins(spark.createDataFrame(list(fills.items()), "bin long, fill long").repartition(8), 64)
+    assert len(levels) >= 2
+    for level in levels:
+        rows = level.collect()
+        assert {r.bin: f for r in rows for f in [fills[r.bin]]} == fills
+        into = defaultdict(list)
+        for r in rows:
+            into[r.into].append((r.shift, fills[r.bin], r.fill, r.underfull))
+        for placed in into.values():
+            end = 0
+            for shift, fill, _, _ in sorted(placed):
+                assert shift == end
+                end += fill
+            assert {(f, u) for _, _, f, u in placed} == {(end, end < 1024 - packing.SLACK)} and end <= 1024
+        fills = {r.into: r.fill for r in rows if r.underfull}
 
 
 @pytest.mark.parametrize("few", [common.FEW_IDS, 0])
