@@ -26,6 +26,7 @@ FEATURES = 1 << 16
 DOCS_PER_LANGUAGE = 300   # training sample: so many whole labelled documents of each language,
 SAMPLE_CHARS = 20_000     # none longer than this,
 LANGUAGES = 64            # and of so many languages, the most frequent ones
+CERTAINTY = 0.3           # least mean over a kept text's words of the best label's probability
 LEXICON = 2000            # most frequent words of each language in the sample
 SEQUENCE, SPLICE = 120, (5, 40)
 ROUNDS, RATE, DECAY = 60, 0.15, 1e-4
@@ -322,11 +323,10 @@ class Outside:
 
 
 def accepted(model: Model, outside: Outside, texts: list[str | None]) -> list[bool]:
-    """Whether each text has words, and the mean of their best label's probability times their share reaches the least."""
+    """Whether each text has words, words like those learned from, and labels that the field is not wholly unsure of."""
     found = [words_of(t) for t in texts]
-    posts = label_words(model, found)
-    return [bool(words) and post.size > 0 and float((post.max(axis=1) * outside.shares(words)).mean()) >= outside.least
-            for words, post in zip(found, posts, strict=True)]
+    return [post.size > 0 and float(post.max(axis=1).mean()) >= CERTAINTY and outside.share(words) >= outside.least
+            for words, post in zip(found, label_words(model, found), strict=True)]
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5) -> DataFrame:
@@ -353,9 +353,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without the rows whose text is in no learned language: null, letterless, of another script or of no words.
 
-    A text stays if its words are labelled with certainty, in whatever mixture of languages, and are like those learned
-    from: the field must choose a learned language for each word, so each word counts by the share of its trigrams that
-    training words have. Each row is judged by its own text, in the pass that carries the whole row, so equal or null
+    The field must choose a learned language for every word and cannot say that it is none. So a text stays if the mean
+    certainty of its labels, in whatever mixture of languages, reaches CERTAINTY, and if its words' trigrams are those of
+    the training words as far as `Outside` asks. Each row is judged by its own text, in the pass that carries the whole row, so equal or null
     ids do not matter. With fewer than 21 training documents only texts without a word go; where nothing can be learned
     from, every text goes. An empty table gives no rows.
     """
