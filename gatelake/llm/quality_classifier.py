@@ -109,7 +109,9 @@ class Model:
 
     def run(self, bags: Bags) -> dict[str, np.ndarray]:
         p = self.parts
-        total = np.add.reduceat(p["words"][bags.buckets], np.minimum(bags.starts, len(bags.buckets) - 1), axis=0)
+        vectors = p["words"][bags.buckets]
+        vectors[-1] = 0  # the row that ends the last passage is no word
+        total = np.add.reduceat(vectors, np.minimum(bags.starts, len(bags.buckets) - 1), axis=0)
         total = np.where(bags.sizes[:, None] > 0, total, 0)
         means = total / np.maximum(bags.sizes, 1)[:, None]
         x = np.concatenate([means, bags.measures], axis=1)

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gatelake.llm import common, language_id, mixing, packing, quality_classifier, token_files
+from gatelake.llm import common, language_id, mixing, packing, quality_classifier
 from test_llm import ENGLISH, check_packing
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -88,3 +88,30 @@ def test_pieces_without_ids_are_spread(spark):
     check_packing(packed, Counter((None, r[1]) for r in rows), 1024)
     tasks = {r.sequence_id >> 33 for r in packed if r.sequence_id < 1 << 60}
     assert common.tasks(spark) == 4 and len(tasks) <= 4
+
+
+def test_attention_by_plain_loops():
+    """Scores of whole texts against a forward pass written out word by word, passage by passage."""
+    import numpy as np
+    rng = random.Random(2)
+    texts = [None, "", " ".join(rng.choices("alpha Beta GAMMA, x1 !! 12 word word".split(), k=200)), "one", " ".join(rng.choices("a bb CC".split(), k=64))]
+    model = quality_classifier.train([t or "" for t in texts], [0, 1, 1, 0, 1])
+    got = model.run(quality_classifier.passages_of(texts, quality_classifier.Encoder()))["score"]
+    p = model.parts
+    for text, score in zip(texts, got, strict=True):
+        words = (text or "").split()
+        hidden, raw = [], []
+        for at in range(0, max(1, len(words)), quality_classifier.PASSAGE):
+            rows = [quality_classifier.word_row(w) for w in words[at:at + quality_classifier.PASSAGE]]
+            n, sums = max(1, len(rows)), [sum(r[k] for r in rows) for k in range(1, 8)]
+            chars = max(1, sums[0])
+            buckets = [r[0] for r in rows]
+            mean = sum((p["words"][b] for b in buckets), np.zeros(quality_classifier.EMBED)) / n
+            shares = [sums[1] / chars, sums[2] / chars, sums[3] / chars, sums[4] / n, sums[5] / n, sums[6] / n, (len(rows) - len(set(buckets))) / n,
+                      sum(a == b for a, b in zip(buckets, buckets[1:], strict=False)) / n, min(sums[0] / n / 10, 3), min(len(rows) / quality_classifier.PASSAGE, 1)]
+            h = np.tanh(np.concatenate([mean, shares]) @ p["mix"] + p["bias"])
+            hidden.append(h)
+            raw.append(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"]))
+        weights = np.exp(np.array(raw) - max(raw))
+        z = (weights / weights.sum()) @ np.array(hidden)
+        assert abs(score - 1 / (1 + np.exp(-(z @ p["o"] + p["b"])))) < 1e-9
