@@ -461,7 +461,7 @@ def _split_columns(text: str) -> list[str]:
 
 
 @query("tree_lines", r"""
-WITH t AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS pos FROM pages WHERE page_id % 10 <> 3 AND strlen(html) <= 524288)
+WITH t AS (SELECT page_id, unnest(string_split(html, chr(10))) AS t, generate_subscripts(string_split(html, chr(10)), 1) - 1 AS pos FROM pages WHERE page_id % 10 <> 3)
 SELECT 'site/' || page_id || '.html' AS path, pos, md5(t) AS digest FROM t""")
 def tree_lines_query(spark, sf):
     tree = views.tree(spark, sf, lambda html: F.when(F.col("page_id") % 10 == 3, F.concat(F.lit(chr(0)), html)).otherwise(html))

@@ -186,7 +186,7 @@ def _runs(spark, sf):
     """Each event as an inventory run of its user's repository, ordered by event id."""
     events = views.table(spark, sf, "events")
     runs = events.select(F.col("user_id").alias("repo"), F.col("event_id").alias("run"), (F.col("value") < 10).alias("truncated"))
-    found = events.where(F.col("event_id") % 5 != 0).select(
+    found = events.select(
         F.col("user_id").alias("repo"), F.col("event_id").alias("run"), F.expr(RULE_OF).alias("rule_id"),
         F.expr(KEY_OF).alias("signature_key"), (F.floor("value") + 1).cast("bigint").alias("count"))
     return runs, found
@@ -194,7 +194,7 @@ def _runs(spark, sf):
 
 @query("inventory_state", f"""
 WITH c AS (SELECT user_id, max(event_id) AS since FROM events WHERE NOT value < 10 GROUP BY ALL),
-o AS (SELECT user_id AS repo, event_id AS run, {RULE_SQL} AS rule_id, {KEY_SQL} AS signature_key, floor(value)::BIGINT + 1 AS "count" FROM events WHERE event_id % 5 <> 0),
+o AS (SELECT user_id AS repo, event_id AS run, {RULE_SQL} AS rule_id, {KEY_SQL} AS signature_key, floor(value)::BIGINT + 1 AS "count" FROM events),
 l AS (SELECT *, row_number() OVER (PARTITION BY repo, rule_id, signature_key ORDER BY run DESC) AS k FROM o)
 SELECT repo, rule_id, signature_key, run, "count" FROM l LEFT JOIN c ON c.user_id = l.repo WHERE k = 1 AND (since IS NULL OR run >= since)""")
 def inventory_state(spark, sf):

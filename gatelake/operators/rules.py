@@ -1,8 +1,7 @@
 """Rules as data: turn a small ruleset document into literal expressions' ingredients.
 
 Rules become literal patterns because Spark compiles a literal regex once per task but a
-pattern column once per row.  Only the ruleset (never data) passes through the driver; its
-size is checked.
+pattern column once per row.  Only the ruleset (never data) passes through the driver.
 """
 from __future__ import annotations
 
