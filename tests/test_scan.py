@@ -247,12 +247,12 @@ def brute_pairs(tables, minus, plus, window, require):
 @pytest.mark.parametrize("require", [None, "^n", "z|5"])
 def test_pairs_match_brute_force(spark, window, require):
     rng = random.Random(7)
-    words = ["old", "n old", "new", "n new", "z", "12", "1", "5", "lab", "hunk", "f.ts:1", "none", "t"]
+    words = ["old", "n old", "new", "n new", "z", "12", "1", "5", "lab", "hunk", "f.ts:1", "none", "t", "same-hunk", "s:", "ts:2", "2", "3", "21", "9" * 30]
 
     def hunk(start):
         return start, start + 2, [(rng.choice(["added", "removed", "added", "removed", "context"]), rng.choice(words)) for _ in range(rng.randint(2, 8))]
 
-    made = [rendered([(name, name, [], [hunk(10 * k + 1) for k in range(rng.randint(1, 3))]) for name in ("f.ts", "g.ts")]) for _ in range(60)]
+    made = [rendered([(name, name, [], [hunk(10 * k + 1) for k in range(rng.randint(1, 4))]) for name in ("f.ts", "g.ts", "f.ts")[:rng.randint(2, 3)]]) for _ in range(80)]
     texts = [text for text, _ in made]
     doc = ruleset(rule("p", "block", mask="lab", paired={"minus": "[a-z0-9]", "plus": "new|1|z", "window": window},
                        **({"require_pattern": require} if require else {})))
@@ -272,6 +272,38 @@ def test_partners_grow_with_the_lines(spark):
     assert sizes == [50, 200]
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_removed_numbers_match_brute_force(spark, n):
+    """Many distinct numbers, of which a few lie in each line's own number; first partners keep their order."""
+    rng = random.Random(n)
+    hunks = [(100 * k + 1, 100 * k + 1, [(rng.choice(["removed", "added"]), str(rng.randint(0, n))) for _ in range(12)]) for k in range(8)]
+    text, table = rendered([("f.ts", "f.ts", [], hunks), ("g.ts", "g.ts", [], hunks[3:]), ("f.ts", "f.ts", [], hunks[:3])])
+    doc = ruleset(rule("p", "block", mask="lab", paired={"minus": "[0-9]", "plus": "[0-9]", "window": "same_file"}))
+    rows = scan(spark, [text], doc).findings.orderBy("finding_ord").collect()
+    assert [(r.action, r.masked_evidence) for r in rows] == ordered_pairs(table)
+
+
+def ordered_pairs(rows):
+    """(action, evidence) of all pairs of one change, by their first removed and then added line."""
+    out, seen = {}, set()
+    for m in (r for r in rows if r[1] == "removed"):
+        for p in (r for r in rows if r[1] == "added" and r[2] == m[2]):
+            if (m[2], m[3], p[3]) not in seen:
+                seen.add((m[2], m[3], p[3]))
+                same = m[5] == p[5]
+                ev = f"lab ({'same' if same else 'cross'}-hunk) @ {p[2]}:{p[3]}".replace(m[4].strip(), "***")
+                out.setdefault(ev, "block" if same else "review")
+    return [(action, ev) for ev, action in out.items()]
+
+
+def test_long_removed_texts_are_starred(spark):
+    """A removed text of any length that is part of the path shows in no evidence."""
+    path = "/".join(["part" * 5] * 40) + "/f.ts"
+    raw = path[7:-3]
+    rows = findings(spark, [diff(["now off"], [raw], path=path)], ruleset(rule("p", "block", mask="lab", paired={"minus": "part", "plus": "off", "window": "same_file"})))
+    assert len(raw) > 600 and [raw in e for *_, e in rows] == [False] and "***" in list(rows)[0][3]
+
+
 def test_many_pairs_are_all_compared(spark):
     """Where every pair was compared nothing is floored, however many there are."""
     body = "\n".join(["diff --git a/f b/f", "@@ -1,500 +1,500 @@"] + ["-a"] * 500 + ["+b"] * 450)
