@@ -30,11 +30,15 @@ def document_scan(spark, sf, rules=SOUND_RULESETS):
     return scan_lines(views.doc_lines(spark, sf), compile_rulesets(spark, rules), sources)
 
 
+def _with_context(changes, contexts, compiled):
+    joined = changes.join(contexts, "change_id", "left")
+    return joined.withColumn("context", context_booleans(F.col("registry"), compiled)).drop("registry")
+
+
 def change_scan(spark, sf, rules=SOUND_RULESETS, keep=(), once=False):
     """``once`` parses the diffs once for hits and coverage, which pays where both are read."""
     compiled = compile_rulesets(spark, rules)
-    changes = views.changes(spark, sf).join(views.contexts(spark, sf), "change_id", "left")
-    changes = changes.withColumn("context", context_booleans(F.col("registry"), compiled)).drop("registry")
+    changes = _with_context(views.changes(spark, sf), views.contexts(spark, sf), compiled)
     return scan_changes(changes, compiled, keep=keep, scratch=shared_folder(spark, "lines") if once else None)
 
 
@@ -295,3 +299,21 @@ def stream_scan_query(spark, sf):
         F.lit(1).alias("pr_number"), F.lit("c0ffee").alias("commit_sha"), F.lit("").alias("diff"), F.col("text").alias("description"))
     stream_scan(changes, compile_rulesets(spark, rules), folder, f"{folder}/checkpoint").awaitTermination()
     return current(spark, folder, "verdicts").select("change_id", "verdict", "n_review")
+
+
+@query("stream_changes", f"""
+WITH {CHANGES}, {sql.VERDICTS}
+SELECT v.change_id, c.commit_sha, framework, ruleset_hash, verdict, n_block, n_review, n_advise, incomplete
+FROM verdicts v JOIN changes c USING (change_id)""")
+def stream_changes(spark, sf):
+    """All changes with their diffs, each sent twice, as a stream under both rulesets and a registry of contexts."""
+    from ..streaming.changes import current, stream_scan
+    folder, compiled = shared_folder(spark, "stream"), compile_rulesets(spark, SOUND_RULESETS)
+    schema = views.table(spark, sf, "documents").schema
+
+    def sent():
+        return views.as_changes(spark.readStream.schema(schema).parquet(f"{sf}/documents.parquet*"))
+
+    changes = _with_context(sent().unionByName(sent()), views.contexts(spark, sf), compiled)
+    stream_scan(changes, compiled, folder, f"{folder}/checkpoint").awaitTermination()
+    return current(spark, folder, "verdicts").select("change_id", "commit_sha", "framework", "ruleset_hash", "verdict", *COUNTS, "incomplete")

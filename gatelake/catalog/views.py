@@ -48,8 +48,12 @@ concat('diff --git a/README.md b/README.md', chr(10), 'index 1..2 100644', chr(1
 
 
 def changes(spark, sf) -> DataFrame:
+    return as_changes(documents(spark, sf))
+
+
+def as_changes(docs: DataFrame) -> DataFrame:
     """One change per document: its whole text as the lines of a diff, its last line as description."""
-    return documents(spark, sf).select(
+    return docs.select(
         F.col("doc_id").alias("change_id"), F.concat(F.lit("org/"), "source").alias("repo"),
         F.lit("github").alias("provider"), (F.col("doc_id") + 1).alias("pr_number"),
         F.sha1(F.col("doc_id").cast("string")).alias("commit_sha"),
