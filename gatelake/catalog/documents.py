@@ -60,6 +60,18 @@ def withheld_rules(spark, sf):
     return ver.withheld_rules(src.load_rulesets(documents(spark, sf))).select("doc_id", "withheld", "server_side", "unsupported")
 
 
+@query("service_warnings", """
+SELECT c_custkey AS doc_id, 'EUAI' || c_nationkey AS framework, 'unserved' AS code, 'EUAI' || c_nationkey || ' was not served in this run (not_served), so it was not scanned.' AS detail, false AS floors
+FROM customer WHERE c_custkey % 9 = 1
+UNION ALL SELECT c_custkey, 'Data Compliance', 'unsupported_rules', '3 rule(s) withheld because a capability they need is not supported here.', false FROM customer WHERE c_custkey % 9 = 2
+UNION ALL SELECT c_custkey, 'Data Compliance', 'withheld_rules', '1 rule(s) withheld: no registry context could be attached (no valid repository).', false FROM customer WHERE c_custkey % 9 = 2
+UNION ALL SELECT c_custkey, 'Data Compliance', 'context_rejected', 'The registry context of Data Compliance could not be used and was ignored; findings keep their declared action.', false FROM customer WHERE c_custkey % 9 = 2
+UNION ALL SELECT c_custkey, NULL, 'no_ruleset', 'Ruleset unavailable: ' || (['missing-version', 'not-json', 'not-object', 'no-rulesets', 'no-known-framework', 'missing-hash'])[c_custkey % 9 - 2], true
+FROM customer WHERE c_custkey % 9 > 2""")
+def service_warnings(spark, sf):
+    return ver.service_warnings(documents(spark, sf))
+
+
 @query("inventory_rules", """
 SELECT c_custkey AS doc_id, 1 AS rule_ord, 'eaa-ci-ai-import' AS rule_id FROM customer WHERE c_custkey % 9 = 1""")
 def inventory_rules(spark, sf):

@@ -11,6 +11,7 @@ from ..operators.diff import diff_lines, side_lines
 from ..operators.rules import compile_rulesets
 from ..plans.workspace import shared_folder
 from ..plans.scan import context_booleans, scan_changes, scan_lines
+from ..sources.changes import cap_diffs
 from ..sources.rulesets import load_rulesets, to_documents
 from . import sql, views
 from .registry import query
@@ -198,6 +199,24 @@ def floored_verdicts(spark, sf):
     return scan_changes(changes, compiled).verdicts.select("change_id", "framework", "verdict", "incomplete")
 
 
+DIFF_CAP = 2000  # the cap itself is what truncated_verdicts shows
+
+
+@query("truncated_verdicts", f"""
+WITH {CHANGES}, {sql.VERDICTS}
+SELECT v.change_id, framework, length(diff) > {DIFF_CAP} AS incomplete, CASE WHEN length(diff) > {DIFF_CAP} THEN 'not passed' ELSE verdict END AS outcome,
+       CASE WHEN length(diff) > {DIFF_CAP} THEN 'Diff exceeded the configured size cap and was truncated; verdict floored to needs_review.' END AS detail
+FROM verdicts v JOIN changes c USING (change_id)""")
+def truncated_verdicts(spark, sf):
+    """A diff longer than a named cap is flagged, and no change with one passes."""
+    compiled = compile_rulesets(spark, SOUND_RULESETS)
+    changes = cap_diffs(_with_context(views.changes(spark, sf), views.contexts(spark, sf), compiled), DIFF_CAP)
+    rows = scan_changes(changes, compiled, scratch=shared_folder(spark, "lines")).verdicts
+    cut = F.filter("warnings", lambda w: w["code"] == "truncated_diff")
+    outcome = F.when(F.col("incomplete") & (F.col("verdict") != "pass"), "not passed").otherwise(F.col("verdict"))
+    return rows.select("change_id", "framework", "incomplete", outcome.alias("outcome"), F.get(cut, F.lit(0))["detail"].alias("detail"))
+
+
 @query("framework_verdicts", f"""
 WITH {CHANGES}, {sql.VERDICTS}
 SELECT framework, ruleset_version::BIGINT AS ruleset_version, ruleset_hash, verdict, count(*) AS changes FROM verdicts GROUP BY ALL""")

@@ -175,4 +175,7 @@ WARNING_TEXT = {
     "suppressed": 'Rule "{rule}" suppressed {n} candidate line(s) via its exclude_pattern/require_pattern gating.',
     "no_diff": "Diff unavailable: {reason}",
     "no_ruleset": "Ruleset unavailable: {reason}",
+    "unserved": "{framework} was not served in this run ({reason}), so it was not scanned.",
+    "unsupported_rules": "{n} rule(s) withheld because a capability they need is not supported here.",
+    "withheld_rules": "{n} rule(s) withheld: no registry context could be attached (no valid repository).",
 }

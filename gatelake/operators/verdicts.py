@@ -1,9 +1,12 @@
 """Verdicts per (change, framework), gate decisions and what was not recorded."""
 from __future__ import annotations
 
+from string import Formatter
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import CONTEXT_CAP, DEFAULT_FRAMEWORK, SUPPORTED_CAPS, WARNING_TEXT
+from ..sources.rulesets import document_errors, load_rulesets, unavailable
 from .rules import Ruleset
 
 
@@ -71,3 +74,31 @@ def withheld_rules(rulesets: DataFrame) -> DataFrame:
     total = F.coalesce(F.array_size("dropped_rules"), F.lit(0))
     server = F.coalesce(F.array_size(server_side), F.lit(0))
     return rulesets.withColumns({"withheld": total, "server_side": server, "unsupported": total - server})
+
+
+def _detail(code: str, **parts: Column) -> Column:
+    """A warning text with columns in the places of its fields."""
+    pieces = [(text, name) for text, name, _, _ in Formatter().parse(WARNING_TEXT[code])]
+    return F.concat(*[c for text, name in pieces for c in (F.lit(text), parts[name].cast("string") if name else F.lit(""))])
+
+
+def service_warnings(docs: DataFrame, key="doc_id", body="json") -> DataFrame:
+    """What ruleset documents did not serve: one row per (document, framework, code, detail, floors).
+
+    A document that cannot be used floors (its framework is null); withheld rules, a rejected context and frameworks the
+    document names as unavailable do not. Documents that served all they hold have no row.
+    """
+    name = F.col("framework")
+    served = withheld_rules(load_rulesets(docs, key, body))
+    kinds = ((F.col("unsupported") > 0, "unsupported_rules", {"n": F.col("unsupported")}),
+             (F.col("server_side") > 0, "withheld_rules", {"n": F.col("server_side")}),
+             (F.col("context_rejected"), "context_rejected", {"framework": name}))
+    raised = F.array_compact(F.array(*[F.when(on, F.struct(F.lit(code).alias("code"), _detail(code, **parts).alias("detail"))) for on, code, parts in kinds]))
+    noted = served.select(key, "framework", F.explode(raised).alias("w")).select(key, "framework", "w.*")
+
+    def rows(df: DataFrame, of: Column, code: str, **parts: Column) -> DataFrame:
+        return df.select(key, of.cast("string").alias("framework"), F.lit(code).alias("code"), _detail(code, **parts).alias("detail"))
+
+    gone = rows(unavailable(docs, key, body), name, "unserved", framework=name, reason=F.col("reason"))
+    failed = rows(document_errors(docs, key, body), F.lit(None), "no_ruleset", reason=F.col("error"))
+    return noted.unionByName(gone).unionByName(failed).withColumn("floors", F.col("code") == "no_ruleset")
