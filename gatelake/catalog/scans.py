@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES
 from ..operators import detect, findings as fnd, pairs, reports, verdicts as ver
 from ..operators.diff import diff_lines, side_lines
-from ..operators.rules import compile_rulesets
+from ..operators.rules import compile_rulesets, scopes
 from ..plans.workspace import shared_folder
 from ..plans.scan import context_booleans, scan_changes, scan_lines
 from ..sources.changes import cap_diffs
 from ..sources.rulesets import load_rulesets, to_documents
 from . import sql, views
 from .registry import query
-from .rulesets import RULESETS, SOUND_RULESETS
+from .rulesets import RULESETS, SOUND_RULESETS, rule
 
 _CARD = sql.card_ok("v", CARD_RANGES, CARD_LENGTHS, CARD_NO_LUHN)
 DOCS, CHANGES, ALL_CHANGES = sql.scan("docs", _CARD), sql.scan("changes", _CARD), sql.scan("changes", _CARD, False)
@@ -28,7 +28,8 @@ def _only(documents, *ids):
 
 def document_scan(spark, sf, rules=SOUND_RULESETS):
     sources = views.table(spark, sf, "documents").select(F.col("doc_id").alias("change_id"), F.col("text").isNull().alias("unreadable"))
-    return scan_lines(views.doc_lines(spark, sf), compile_rulesets(spark, rules), sources)
+    compiled = compile_rulesets(spark, rules)
+    return scan_lines(views.doc_lines(spark, sf, scopes(compiled)), compiled, sources)
 
 
 def _with_context(changes, contexts, compiled):
@@ -50,6 +51,42 @@ def ruleset_scan(spark, sf):
         "change_id", "framework", "finding_ord", "rule_id", "action", "masked_evidence", "file", "line")
 
 
+WATCHED = 300
+WATCHED_SQL = f"""
+w AS (SELECT unnest(regexp_extract_all(text, '[a-z]{{5,}}')) AS word FROM documents),
+ranked AS (SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) - 1 AS ro FROM w GROUP BY word QUALIFY ro < {WATCHED}),
+rules AS (SELECT ro, word, 'watch-' || ro AS rule_id, CASE ro % 4 WHEN 0 THEN '\\b' || word || '\\b' WHEN 1 THEN '(?i)\\b' || word || '[a-z]*'
+  WHEN 2 THEN word || '[.]' ELSE '(?:' || word || ',|' || word || '[.] )' END AS pattern FROM ranked)"""
+
+
+def watch_rules(spark, sf):
+    """One rule for each of the ``WATCHED`` most frequent words of the documents, in four shapes and six scopes."""
+    words = views.documents(spark, sf).select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{5,}"), F.lit(0))).alias("word"))
+    ranked = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(WATCHED).collect()
+    out = []
+    for i, word in enumerate(r.word for r in ranked):
+        pattern = (rf"\b{word}\b", rf"(?i)\b{word}[a-z]*", rf"{word}\.", rf"(?:{word},|{word}\. )")[i % 4]
+        scope = {"file_scope": ["/en/", "**/de/*.md$"]} if i % 3 == 0 else {}
+        scope |= {"exclude_paths": ["^src1/"]} if i % 5 == 0 else {}
+        out.append(rule(f"watch-{i}", "review", 2, pattern=pattern, **scope))
+    return {"framework": "Data Compliance", "ruleset_version": 1, "ruleset_hash": "watch", "rules": out}
+
+
+@query("watchlist_scan", f"""
+WITH {sql.DOC_LINES}, {WATCHED_SQL.strip()},
+hits AS (SELECT change_id, rule_id, len(regexp_extract_all(text, pattern)) AS n FROM lines JOIN rules ON contains(lower(text), word)
+  WHERE (ro % 3 <> 0 OR contains(file, '/en/') OR contains(file, '/de/')) AND (ro % 5 <> 0 OR NOT starts_with(file, 'src1/')))
+SELECT rule_id, sum(n)::BIGINT AS n_matches, count(DISTINCT change_id) AS n_changes FROM hits WHERE n > 0 GROUP BY rule_id""")
+def watchlist_scan(spark, sf):
+    """Three hundred rules over every line in one scan."""
+    compiled = compile_rulesets(spark, [watch_rules(spark, sf)])
+    hits = detect.line_hits(views.doc_lines(spark, sf, scopes(compiled)), compiled)
+    # Per change first, so that a frequent word does not gather its changes.
+    per_change = hits.groupBy("rule_ord", "change_id").agg(F.count("*").alias("n"))
+    return per_change.groupBy("rule_ord").agg(F.sum("n").alias("n_matches"), F.count("*").alias("n_changes")).select(
+        F.concat(F.lit("watch-"), F.col("rule_ord").cast("string")).alias("rule_id"), "n_matches", "n_changes")
+
+
 @query("findings_dedup", f"""
 WITH {CHANGES}
 SELECT change_id, framework, finding_ord, rule_id, action, masked_evidence, file, line FROM findings""")

@@ -29,8 +29,8 @@ def documents(spark, sf) -> DataFrame:
     return spread(spark, sf, "documents")
 
 
-def doc_lines(spark, sf) -> DataFrame:
-    return text_lines(documents(spark, sf), "doc_id", "text", doc_path())
+def doc_lines(spark, sf, scopes=()) -> DataFrame:
+    return text_lines(documents(spark, sf), "doc_id", "text", doc_path(), scopes=scopes)
 
 
 # Paths of the derived diffs: in and out of every scope the demo rules use.

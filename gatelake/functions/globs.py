@@ -56,6 +56,11 @@ def in_scope_sql(path: str, file_scope=None, exclude_paths=None, built_in: str |
     return all_of(tests)
 
 
+def settled(path: Column, scopes) -> Column:
+    """Which of the (file scope, excluded paths) pairs cover a path, beside the built-in exclusion: ARRAY<BOOLEAN>."""
+    return F.array(*[in_scope(path, *scope) for scope in scopes]).cast("array<boolean>")
+
+
 def any_glob(path: Column, globs) -> Column:
     regex = any_glob_regex(globs)
     return path.rlike(regex) if regex else F.lit(False)

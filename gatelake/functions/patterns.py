@@ -37,6 +37,8 @@ _SET_ESCAPES = "dDwWsS"
 _CLASS = re.compile(r"\[\^?(?:\\.|[^\]\\])*\]")
 _REPEAT = re.compile(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})\??")
 _KEPT_ESCAPES = set("dDwW0tnrfcxuk123456789")
+# Length of the grams lines are indexed by, and how many alternative texts of one pattern are of use.
+GRAM, MOST_TEXTS = 3, 64
 
 
 def _boundary(before: str, after: str) -> str:
@@ -219,6 +221,87 @@ def requirements(pattern: str | None) -> tuple[str | None, int]:
     return max([*runs, run], key=len) or None, digits
 
 
+def required_texts(pattern: str | None) -> tuple:
+    """Lower-case ASCII texts of which every match holds at least one, whatever the case; empty where nothing is known.
+
+    Unlike ``requirements`` this looks into groups and alternations. Of the texts that stand one after the other in a
+    pattern the longest serve; texts of fewer than ``GRAM`` characters do not.
+    """
+    parts = split_flags(pattern) if pattern else None
+    if parts is None or ("i" in parts[0] and not parts[1].isascii()):
+        return ()
+    texts, end = _alternatives(parts[1], 0)
+    return tuple(sorted(texts)) if texts and end == len(parts[1]) and len(texts) <= MOST_TEXTS else ()
+
+
+def _better(a: set, b: set) -> set:
+    """Of two sets of texts the one whose shortest is longer, then the smaller."""
+    return max(a, b, key=lambda texts: (min(map(len, texts)), -len(texts)) if texts else (0, 0))
+
+
+def _alternatives(body: str, i: int) -> tuple[set, int]:
+    """Required texts from ``i`` to the end of the enclosing group: one set for all branches, empty if one has none."""
+    every, known = set(), True
+    while True:
+        best, i = _branch(body, i)
+        known = known and bool(best)
+        every |= best
+        if body[i:i + 1] != "|":
+            return (every if known else set()), i
+        i += 1
+
+
+def _branch(body: str, i: int) -> tuple[set, int]:
+    best, run = set(), ""
+    while i < len(body) and body[i] not in "|)":
+        literal, inner, start = "", set(), i
+        if body[i] == "\\":
+            escaped = body[i + 1:i + 2]
+            if escaped.isalnum() and escaped not in "dDwWsSbB":
+                return set(), len(body) + 1
+            literal, i = "" if escaped.isalnum() else escaped, i + 2
+        elif body[i] == "[":
+            end = _CLASS.match(body, i)
+            if not end:
+                return set(), len(body) + 1
+            i = end.end()
+        elif body[i] == "(":
+            opened = _GROUP.match(body, i)
+            inner, i = _alternatives(body, opened.end() if opened else i + 1)
+            if body[i:i + 1] != ")":
+                return set(), len(body) + 1
+            i += 1
+            if re.match(r"\(\?<?[=!]", body[start:]):
+                inner = set()
+        else:
+            literal, i = "" if body[i] in ".^$*+?{}]" else body[i], i + 1
+        repeat = _REPEAT.match(body, i)
+        least = 1 if not repeat else {"*": 0, "?": 0, "+": 1}.get(repeat.group(0)[0], int(repeat.group(1) or 0))
+        i = repeat.end() if repeat else i
+        usable = literal.isascii() and bool(literal) and least > 0
+        run += literal.lower() if usable else ""
+        if inner and least:
+            best = _better(best, inner)
+        if not usable or repeat:
+            best, run = _better(best, {run} if len(run) >= GRAM else set()), ""
+    return _better(best, {run} if len(run) >= GRAM else set()), i
+
+
+def gram_pattern(grams) -> str:
+    """JVM pattern whose first group, taken at every place, is the gram that stands there: one trie for all of them."""
+    trie: dict = {}
+    for gram in sorted(grams):
+        node = trie
+        for ch in gram:
+            node = node.setdefault(ch, {})
+
+    def branches(node) -> str:
+        arms = [f"\\x{{{ord(ch):X}}}{branches(below) if below else ''}" for ch, below in node.items()]
+        return arms[0] if len(arms) == 1 else f"(?:{'|'.join(arms)})"
+
+    return f"(?=({branches(trie)}))"
+
+
 def count_groups(java_pattern: str) -> int:
     """Capturing groups of a JVM pattern."""
     n, i, in_class = 0, 0, False

@@ -6,12 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import DESCRIPTION_LOCATION, SEVERITY
 from ..functions import checksums, globs, masking
 from ..functions.allowlist import is_allowlisted_sql
-from ..functions.text import all_of, applied, found, quoted
+from ..functions.patterns import GRAM, gram_pattern
+from ..functions.text import all_of, any_of, applied, found, quoted
 from .candidates import first_passing_sql, matches_sql, matches_with_cut_sql
-from .rules import Rule, Ruleset
+from .rules import Rule, Ruleset, scopes
 
 HIT = "struct<fw_ord:int,rule_ord:int,match_ord:bigint,severity:int,mask:string,value:string,is_token:boolean>"
 _NONE = f"array<{HIT}>"
+# Rules that share one test on the grams of a line.
+BLOCK_RULES = 16
 
 
 def lower_sql(severity: str) -> str:
@@ -78,10 +81,13 @@ def digit_count_sql(text: str) -> str:
     return f"if({found(text, '[0-9]')}, length({checksums.digits_sql(text)}), 0)"
 
 
+def side_sql(rule: Rule) -> list[str]:
+    return [] if len(rule.sides) == 2 else [f"side = '{rule.sides[0]}'"]
+
+
 def applies_sql(rule: Rule) -> str:
-    """Side and path of a line; cheap tests, before any text is looked at."""
-    side = [] if len(rule.sides) == 2 else [f"side = '{rule.sides[0]}'"]
-    return all_of([*side, rule.scope_sql()])
+    """Side and path of a line."""
+    return all_of([*side_sql(rule), rule.scope_sql()])
 
 
 def found_values_sql(rule: Rule, text: str, allowlist) -> str:
@@ -99,14 +105,21 @@ def found_values_sql(rule: Rule, text: str, allowlist) -> str:
     return f"filter({passed}, m -> {all_of(tests)})"
 
 
-def worth_matching_sql(rule: Rule, text: str, digit_count: str = "digit_count") -> str:
+def worth_matching_sql(rule: Rule, text: str, digit_count: str = "digit_count", folded: str | None = None) -> str:
     """Cheap tests that hold on every text with a hit, so most lines never see the pattern or the gate."""
     tests = [f"{digit_count} >= {rule.min_digits}"] if rule.min_digits else []
     if rule.hint:
         tests.append(f"contains({text}, {quoted(rule.hint)})")
+    elif rule.texts and folded:
+        tests.append(any_of(f"contains({folded}, {quoted(t)})" for t in rule.texts))
     if rule.validators:
         tests.append(checksums.could_be_valid_sql(rule.validators, text, digit_count))
-    return all_of(tests + ([found(text, rule.pattern)] if rule.gated else []))
+    return all_of(tests)
+
+
+def _gate_sql(rule: Rule, text: str) -> list[str]:
+    """The gate, asked only of a text that matches."""
+    return [found(text, rule.pattern), rule.gate_sql(text)] if rule.gated and rule.kind != "signature" else [rule.gate_sql(text)]
 
 
 def first_token_sql(text: str, tokens) -> str:
@@ -130,32 +143,73 @@ def _hits_sql(fw: Ruleset, rule: Rule, conditions, values: str, severity: str) -
     return f"if({all_of(conditions)}, transform({values}, m -> {hit}), cast(array() as {_NONE}))"
 
 
-def _line_sql(fw: Ruleset, rule: Rule) -> str:
+def _line_sql(fw: Ruleset, rule: Rule, scope: str) -> str:
+    """Texts are looked for first, as most lines lack them; then the path, then the gate."""
     text = "text"
     if rule.kind == "signature":
         token = first_token_sql(text, rule.tokens)
         values = f"filter(array(named_struct('value', {token}, 'ord', bigint(0))), m -> m.value is not null)"
-        return _hits_sql(fw, rule, [applies_sql(rule), rule.gate_sql(text)], values, str(rule.severity))
-    return _hits_sql(fw, rule, [applies_sql(rule), worth_matching_sql(rule, text), rule.gate_sql(text)],
-                     found_values_sql(rule, text, fw.allowlist), graded_sql(rule, text))
+        return _hits_sql(fw, rule, [*side_sql(rule), scope, *_gate_sql(rule, text)], values, str(rule.severity))
+    tests = [*side_sql(rule), worth_matching_sql(rule, text, folded="folded"), scope, *_gate_sql(rule, text)]
+    return _hits_sql(fw, rule, tests, found_values_sql(rule, text, fw.allowlist), graded_sql(rule, text))
+
+
+def _scopes_sql(work, lines: DataFrame, rulesets: list[Ruleset]) -> list[str]:
+    """The path condition of each rule: looked up where the table brings settled scopes, else tested on the path."""
+    place = {scope: i for i, scope in enumerate(scopes(rulesets))} if "scopes" in lines.columns else {}
+    return [f"(not excluded and get(scopes, {place[r.scope]}))" if r.scope in place else r.scope_sql() for _, r in work]
+
+
+def chosen_grams(rules: list[Rule]) -> list[tuple]:
+    """For each rule one gram of each of its required texts: the one the fewest texts have (ties: the first)."""
+    def grams_of(text):
+        return [text[i:i + GRAM] for i in range(len(text) - GRAM + 1)]
+
+    users: dict = {}
+    for text in {t for r in rules for t in r.texts}:
+        for gram in set(grams_of(text)):
+            users[gram] = users.get(gram, 0) + 1
+    return [tuple(sorted({min(grams_of(t), key=lambda g: (users[g], g)) for t in r.texts})) for r in rules]
+
+
+def _blocks(work) -> tuple[list, list]:
+    """Rules asked of every line, and blocks of rules with the grams of which a line must have one.
+
+    Rules that share grams stand in one block. A ruleset of few such rules needs no index.
+    """
+    indexed = [(grams, i) for i, grams in enumerate(chosen_grams([r for _, r in work])) if grams]
+    if len(indexed) <= BLOCK_RULES:
+        return list(range(len(work))), []
+    indexed.sort()
+    cut = [indexed[i:i + BLOCK_RULES] for i in range(0, len(indexed), BLOCK_RULES)]
+    blocks = [(sorted({g for grams, _ in block for g in grams}), [i for _, i in block]) for block in cut]
+    return sorted(set(range(len(work))) - {i for _, i in indexed}), blocks
 
 
 def line_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """Every hit of every line and signature rule, masked at the spot.
 
-    ``lines`` carries side, side_ord, pos, file, line_no and text.
+    ``lines`` carries side, side_ord, pos, file, line_no and text. Large rulesets are indexed: each line is read once for
+    the grams of all required texts, and only blocks of rules that have one of them are looked at.
     """
     work = [(fw, r) for fw in rulesets for r in fw.rules if runnable(r)]
-    lines = with_scope(lines)
+    lines = with_scope(lines).withColumn("folded", F.lower("text"))
     # A text holds at most 2**31 bytes, so neither its lines nor the matches of a line pass 2**30.
     order = F.shiftleft(F.col("side_ord").cast("bigint"), 60) + F.shiftleft(F.col("pos").cast("bigint"), 30)
     shown_line = F.when(F.col("side") != "removed", F.col("line_no"))
 
     if not work:
         return _no_hits(lines, key)
-    arrays = ", ".join(_line_sql(fw, r) for fw, r in work)
+    every = [_line_sql(fw, r, scope) for (fw, r), scope in zip(work, _scopes_sql(work, lines, rulesets))]
+    always, blocks = _blocks(work)
+    arrays = [every[i] for i in always]
+    if blocks:
+        trie = gram_pattern(g for grams, _ in blocks for g in grams)
+        lines = lines.withColumn("grams", F.expr(f"array_distinct(regexp_extract_all(folded, {quoted(trie)}, 1))"))
+        arrays += [f"if(arrays_overlap(grams, array({', '.join(map(quoted, grams))})), "
+                   f"flatten(array({', '.join(every[i] for i in members)})), cast(array() as {_NONE}))" for grams, members in blocks]
     hits = lines.select(key, "file", "line_no", shown_line.alias("line"), order.alias("base"),
-                        F.inline_outer(F.expr(f"flatten(array({arrays}))")))
+                        F.inline_outer(F.expr(f"flatten(array({', '.join(arrays)}))")))
     # The outer form keeps Spark from testing the whole array once more in a filter.
     hits = hits.where(F.col("rule_ord").isNotNull())
     return masking.with_evidence(hits).select(key, "fw_ord", "rule_ord", (F.col("base") + F.col("match_ord")).alias("ord"),
@@ -176,7 +230,7 @@ def description_hits(changes: DataFrame, rulesets: list[Ruleset], key="change_id
         return _no_hits(changes, key)
     body = changes.select(key, F.col("description").alias("body"))
     arrays = ", ".join(
-        _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body", digit_count_sql("body")), r.gate_sql("body")],
+        _hits_sql(fw, r, ["body <> ''", worth_matching_sql(r, "body", digit_count_sql("body")), *_gate_sql(r, "body")],
                   found_values_sql(r, "body", fw.allowlist), str(r.severity)) for fw, r in work)
     out = body.select(key, F.lit(None).cast("bigint").alias("line_no"), F.inline_outer(F.expr(f"flatten(array({arrays}))")))
     out = out.where(F.col("rule_ord").isNotNull())

@@ -28,6 +28,7 @@ class Rule:
     sides: tuple = ("added", "removed")
     pattern: str | None = None
     hint: str | None = None
+    texts: tuple = ()
     min_digits: int = 0
     checksum: bool = False
     validators: tuple = ()
@@ -63,6 +64,11 @@ class Rule:
     def scope_sql(self, path: str = "file", built_in: str = "excluded") -> str:
         return globs.in_scope_sql(path, self.file_scope, self.exclude_paths, built_in)
 
+    @property
+    def scope(self) -> tuple:
+        """What the path decides, beside the built-in exclusion."""
+        return self.file_scope, self.exclude_paths
+
     def gate_sql(self, text: str) -> str:
         """Neither suppressed nor short of its precondition."""
         tests = [f"not {found(text, self.exclude)}"] if self.exclude else []
@@ -176,7 +182,7 @@ def _rule(ord_: int, raw, signatures: dict, accepted: set[str]) -> Rule:
         ord=ord_, id=raw["id"], action=raw.get("action"), kind=kind, tier=raw.get("tier"),
         articles=raw.get("articles"), gdpr_article=raw.get("gdpr_article"), mask=detect.get("mask") or "",
         sides={"added": ("added",), "removed": ("removed",)}.get(detect.get("diff_side"), ("added", "removed")),
-        pattern=pattern, hint=hint, min_digits=digits, checksum=detect.get("method") == "checksum", validators=validators,
+        pattern=pattern, hint=hint, texts=_texts(detect, kind, tokens, java), min_digits=digits, checksum=detect.get("method") == "checksum", validators=validators,
         context=java(detect.get("require_context"), "i", False),
         exclude=None if refused else java(detect.get("exclude_pattern"), "", False),
         require=None if refused else java(detect.get("require_pattern"), "", False),
@@ -189,6 +195,19 @@ def _rule(ord_: int, raw, signatures: dict, accepted: set[str]) -> Rule:
         gate_refused=refused, baseline=raw.get("baseline") is True)
 
 
+def _texts(detect: dict, kind: str, tokens, java) -> tuple:
+    """Texts of which every hit needs one: listed tokens as they are, or what the pattern requires."""
+    if kind == "signature":
+        listed = {t.lower() for t in tokens if t}
+        return tuple(sorted(listed)) if all(t.isascii() and len(t) >= patterns.GRAM for t in listed) else ()
+    return patterns.required_texts(detect.get("pattern")) if java(detect.get("pattern")) else ()
+
+
+def scopes(rulesets: list[Ruleset]) -> list[tuple]:
+    """The distinct scopes of all rules, for ``globs.settled``."""
+    return list(dict.fromkeys(r.scope for fw in rulesets for r in fw.rules if any(r.scope)))
+
+
 def compile_rulesets(spark: SparkSession, documents: list[dict]) -> list[Ruleset]:
     """Resolve ruleset dicts (one per framework, in order)."""
     wanted = set()

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from gatelake.functions import allowlist, checksums, globs, masking, patterns
@@ -91,6 +92,34 @@ def test_requirements_hold_for_every_match():
     assert {p: patterns.requirements(p) for p in cases} == cases
 
 
+_ATOMS = st.sampled_from(["a", "b", "c", "B", ".", "[ab]", r"\.", r"\b", r"\w", "(?=a)", "(?!c)"])
+_PATTERNS = st.recursive(_ATOMS, lambda inner: st.one_of(
+    st.lists(inner, min_size=1, max_size=5).map("".join), st.lists(inner, min_size=1, max_size=3).map(lambda p: f"(?:{'|'.join(p)})"),
+    st.tuples(inner, st.sampled_from(["*", "?", "+", "{2}", "{0,2}"])).map(lambda p: f"(?:{p[0]}){p[1]}")), max_leaves=12)
+
+
+@settings(max_examples=400, deadline=None)
+@given(_PATTERNS, st.text("abcB. ", max_size=12), st.booleans())
+def test_every_match_holds_a_required_text(pattern, text, fold):
+    pattern = "(?i)" + pattern if fold else pattern
+    texts = patterns.required_texts(pattern)
+    assert all(len(t) >= patterns.GRAM for t in texts)
+    if texts and re.search(pattern, text, re.ASCII):
+        assert any(t in text.lower() for t in texts)
+
+
+def test_required_texts():
+    cases = {r"(?i)\btoken\w*=": ("token",), r"(?:abc|abcd)\b": ("abc", "abcd"), "abc|de": (), "(?:x|yyy)longer": ("longer",), r"a\x41bcd": (),
+             "abc|": (), "(?=lookahead)abc": ("abc",), "(abc": (), "abc)": (), "(?i)äbcd": (), "äbcd": ("bcd",), "(?:abc)*d": (), "": (), None: ()}
+    assert {p: patterns.required_texts(p) for p in cases} == cases
+
+
+def test_gram_pattern_finds_every_gram(spark):
+    grams, texts = ["abc", "bcd", "b.d", "(a|", "|xx"], ["abcd", "b.d bcd(a|xx", "", "ab.cd"]
+    got = column(spark, texts, lambda v: F.array_sort(F.regexp_extract_all(v, F.lit(patterns.gram_pattern(grams)), F.lit(1))))
+    assert got == [sorted(t[i:i + 3] for i in range(len(t)) if t[i:i + 3] in grams) for t in texts]
+
+
 def test_globs():
     blanket = ["*", "**", "?", "***", "^*", "*$", "**$", "^**$", "^?", "^", "$", "^$"]
     assert {globs.refusal(g) for g in blanket} == {"blanket"}

@@ -1,11 +1,13 @@
+import dataclasses
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from gatelake.operators import detect
 from gatelake.operators.diff import diff_lines
 from gatelake.operators.findings import findings as findings_of
-from gatelake.operators.rules import compile_rulesets
+from gatelake.operators.rules import compile_rulesets, scopes
 from gatelake.sources.text import text_lines
 from gatelake.plans.scan import scan_changes, scan_lines
 
@@ -346,3 +348,27 @@ def test_one_change_with_most_lines(spark):
     found = findings_of(scan(spark, [big, diff(["b@corp.io"])], ruleset(rule("m", pattern=MAIL))).hits,
                         compile_rulesets(spark, [ruleset(rule("m", pattern=MAIL))]))
     assert {r["change_id"]: r["count"] for r in found.groupBy("change_id").count().collect()} == {"0": 3000, "1": 1}
+
+
+def test_large_rulesets_find_what_plain_rules_find(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 6))) for _ in range(90)]
+    shapes = [r"\b{w}\b", r"(?i){w}[a-z]*", r"(?:{w}|{w}x)\.", r"{w}.*", "(?i)[ab]{w}|ee{w}"]
+    some = [rule(f"r{i}", pattern=shapes[i % 5].format(w=w), diff_side="either", **(
+        {"file_scope": ["^src/", "b.ts$"]} if i % 3 == 0 else {"exclude_paths": ["src/a*"]} if i % 3 == 1 else {}),
+        **({"require_pattern": "e"} if i % 4 == 0 else {})) for i, w in enumerate(words)]
+    some += [rule("sig", method="signature", signature="abcd"), rule("iban", method="checksum", validator=["iban"], mask="IBAN")]
+    compiled = compile_rulesets(spark, [ruleset(*some, signatures={"abcd": ["Abcd", "DABA"]})])
+    plain = [dataclasses.replace(compiled[0], rules=tuple(dataclasses.replace(r, texts=()) for r in compiled[0].rules))]
+    assert len(detect._blocks([(compiled[0], r) for r in compiled[0].rules])[1]) > 2
+    texts = [" ".join(rng.choice([w, w.upper(), w + ".", "İ" + w, "DE89370400440532013000"]) for w in rng.sample(words, 4)) for _ in range(60)]
+    rows = [(i, rng.choice(["src/a.ts", "src/b.ts", "lib/b.ts", "dist/x.js"]), t) for i, t in enumerate([*texts, "", "Abcd DABA"])]
+    docs = spark.createDataFrame(rows, "id int, path string, text string")
+
+    def hits(rulesets, settled):
+        lines = text_lines(docs, "id", "text", F.col("path"), scopes=scopes(rulesets) if settled else ())
+        return sorted(map(tuple, detect.line_hits(lines, rulesets).collect()))
+
+    expected = hits(plain, False)
+    assert len({h[2] for h in expected}) > 40
+    assert hits(compiled, True) == expected == hits(compiled, False)
