@@ -121,7 +121,7 @@ files AS (
   SELECT 'org/site' || (page_id % 7) AS repo, (['src/', 'docs/', 'web/', 'dist/', 'lib/'])[page_id % 5 + 1] || page_id || (['.html', '.ts', '.min.js', '.md'])[page_id // 5 % 4 + 1] AS path,
     CASE WHEN page_id % 11 = 4 THEN NULL ELSE html || chr(10) || 'import x from "' || (['@ai-sdk/openai', 'langchain/openai', 'openai', 'cohere', 'llama-index'])[page_id % 5 + 1] || '"' || chr(10) ||
       'call("https://' || (['api.mistral.ai', 'x.openai.azure.com', 'api.anthropic.com', 'api.openai.com'])[page_id % 4 + 1] || '");' END AS content,
-    strlen(html) > 524000 AS big FROM pages),
+    strlen(html) > 524000 AS big, strlen(html) AS html_bytes FROM pages),
 kept AS (SELECT *, NOT regexp_matches(path, '(^|/)dist/|[.]min[.][^/]*$') AS open_, NOT regexp_matches(path, '(^|/)dist/|[.]min[.][^/]*$') AND NOT regexp_matches(path, '^docs/') AS in_import,
          NOT regexp_matches(path, '(^|/)dist/|[.]min[.][^/]*$') AND regexp_matches(path, '[.]html$|[.]ts$') AS in_endpoint FROM files),
 tlines AS (SELECT repo, path, in_import, in_endpoint, open_, unnest(string_split(content, chr(10))) AS t FROM kept WHERE open_ AND content IS NOT NULL),
@@ -179,6 +179,44 @@ def inventory_completeness(spark, sf):
     return stats.select("repo", "truncated", (F.col("files_scanned") + F.col("skipped_binary")).alias("opened"))
 
 
+# Whole files of a page's size are read up to this many bytes in the query below, so each rule meets files it cannot read.
+READ_BYTES = 1200
+_BROKEN = [{**r, "detect": {**r["detect"], "pattern": "("}} if r["id"].endswith("sdk-manifest") else r for r in INVENTORY_RULES]
+_BLANKET = [{**r, "detect": {**r["detect"], "file_scope": ["*", *r["detect"]["file_scope"]]}} if r["id"].endswith("endpoint") else r for r in INVENTORY_RULES]
+# Name, rules, file cap.
+SUMMARY_RUNS = (("plain", INVENTORY_RULES, None), ("capped", INVENTORY_RULES, 12), ("broken", _BROKEN, None), ("blanket", _BLANKET, None))
+
+
+@query("inventory_summary", rf"""
+WITH {TREE}, sized AS (SELECT *, content IS NULL AS nul, coalesce(strlen(content), html_bytes + 1) AS bytes FROM kept),
+runs AS (SELECT * FROM (VALUES ('plain', 1000000000), ('capped', 12), ('broken', 1000000000), ('blanket', 1000000000)) v(run, cap)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY run, repo ORDER BY path) AS k FROM sized, runs WHERE open_),
+op AS (SELECT *, CASE WHEN bytes > {READ_BYTES} THEN 'size' WHEN nul THEN 'binary' ELSE 'scanned' END AS state FROM ranked WHERE k <= cap),
+hit AS (SELECT run, keyed.repo, rule_id, signature_key, count(*) AS n FROM keyed JOIN op ON op.repo = keyed.repo AND op.path = keyed.path AND state = 'scanned' GROUP BY ALL),
+obs AS (SELECT run, repo, string_agg(rule_id || '/' || signature_key || '/' || n, ',' ORDER BY rule_id, signature_key) AS observations FROM hit GROUP BY ALL),
+per AS (SELECT run, repo, count(*) AS opened, count_if(state = 'size') AS skipped_size, count_if(state = 'binary') AS skipped_binary, count_if(state = 'scanned') AS files_scanned,
+  (count_if(state <> 'size') = 0 OR count_if(in_import) > 0 AND count_if(in_import AND state <> 'size') = 0 OR count_if(in_endpoint) > 0 AND count_if(in_endpoint AND state <> 'size') = 0) AS unread
+  FROM op GROUP BY ALL),
+every AS (SELECT run, repo, count(*) AS listed, count_if(NOT open_) AS out_of_scope FROM sized, runs GROUP BY ALL)
+SELECT run, repo, listed, out_of_scope::BIGINT AS out_of_scope, coalesce(skipped_size, 0)::BIGINT AS skipped_size, coalesce(skipped_binary, 0)::BIGINT AS skipped_binary,
+  coalesce(files_scanned, 0)::BIGINT AS files_scanned, concat_ws(',', CASE WHEN run = 'broken' THEN 'rule_not_run' END, CASE WHEN run = 'blanket' THEN 'refused_scope' END,
+    CASE WHEN listed - out_of_scope > coalesce(opened, 0) THEN 'file_cap' END, CASE WHEN unread THEN 'unread_scope' END) AS reasons,
+  coalesce(observations, '') AS observations
+FROM every LEFT JOIN per USING (run, repo) LEFT JOIN obs USING (run, repo)""")
+def inventory_summary(spark, sf):
+    """Counters, reasons and observations in one pass over the content, with a size limit and every way to be incomplete."""
+    tree, out = views.source_tree(spark, sf), None
+    for name, rules, cap in SUMMARY_RUNS:
+        chosen = inv.baseline_rules(compile_rulesets(spark, [{"framework": "EU AI Act", "rules": rules}])[0])
+        files = inv.scoped_files(tree, chosen)
+        run = inv.run_summary(files, inv.opened_files(files, cap), chosen, READ_BYTES).select(
+            F.lit(name).alias("run"), "repo", "listed", "out_of_scope", "skipped_size", "skipped_binary", "files_scanned",
+            F.array_join("reasons", ",").alias("reasons"), F.array_join(F.transform("observations", lambda o: F.concat_ws(
+                "/", o["rule_id"], o["signature_key"], o["count"].cast("string"))), ",").alias("observations"))
+        out = run if out is None else out.unionByName(run)
+    return out
+
+
 RULE_OF = "get(array('eaa-ci-ai-import', 'eaa-ci-ai-endpoint', 'eaa-ci-emotion-biometric', 'custom'), int(event_id % 4))"
 KEY_OF = "get(array('openai', 'cohere', 'emotion-biometric', event_type), int(event_id div 4 % 4))"
 RULE_SQL = "(['eaa-ci-ai-import', 'eaa-ci-ai-endpoint', 'eaa-ci-emotion-biometric', 'custom'])[event_id % 4 + 1]"

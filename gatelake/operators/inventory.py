@@ -11,6 +11,7 @@ from .rules import Rule, Ruleset
 
 REPO = ("repo", "commit_sha")
 SALT = 64
+_PAIRS = "array<struct<rule_id:string,signature_key:string>>"
 
 
 def baseline_rules(ruleset: Ruleset) -> list[Rule]:
@@ -74,15 +75,8 @@ def _lines_of(content: Column) -> Column:
     return F.split(decoded(content), r"\r?\n", -1)
 
 
-def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int | None = None) -> DataFrame:
-    """(repo, commit, path, rule, family, count of matching lines), counted per file before any shuffle."""
-    running = _running(rules)
-    text = F.col("text")
-    lines = (_with_content(opened, max_bytes).where(F.col("state") == "scanned")
-             .select(*REPO, "path", "covering", F.explode_outer(_lines_of(F.col("content"))).alias("line"))
-             .where(F.length("line") > 0)
-             .select(*REPO, "path", "covering", F.col("line").alias("text")))
-
+def _families_found(rules: list[Rule], text: Column) -> Column:
+    """The (rule, family) pairs a line counts for, each once: ARRAY<STRUCT<rule_id, signature_key>>."""
     def found(i: int, r: Rule) -> Column:
         cond = F.array_contains("covering", i) & F.expr(r.gate_sql("text"))
         if r.hint:
@@ -93,9 +87,20 @@ def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int | None =
         else:
             keys = F.array_distinct(F.transform(values, lambda m: family(F.lit(r.id), m)))
         pairs = F.transform(keys, lambda k: F.struct(F.lit(r.id).alias("rule_id"), k.alias("signature_key")))
-        return F.when(cond, pairs).otherwise(F.array().cast("array<struct<rule_id:string,signature_key:string>>"))
+        return F.when(cond, pairs).otherwise(F.array().cast(_PAIRS))
+
+    return F.flatten(F.array(*[found(i, r) for i, r in enumerate(rules)]).cast(f"array<{_PAIRS}>"))
+
+
+def matching_lines(opened: DataFrame, rules: list[Rule], max_bytes: int | None = None) -> DataFrame:
+    """(repo, commit, path, rule, family, count of matching lines), counted per file before any shuffle."""
+    running = _running(rules)
+    lines = (_with_content(opened, max_bytes).where(F.col("state") == "scanned")
+             .select(*REPO, "path", "covering", F.explode_outer(_lines_of(F.col("content"))).alias("line"))
+             .where(F.length("line") > 0)
+             .select(*REPO, "path", "covering", F.col("line").alias("text")))
 
-    hits = lines.select(*REPO, "path", F.inline_outer(F.flatten(F.array(*[found(i, r) for i, r in enumerate(running)]))))
+    hits = lines.select(*REPO, "path", F.inline_outer(_families_found(running, F.col("text"))))
     return hits.where(F.col("rule_id").isNotNull()).groupBy(*REPO, "path", "rule_id", "signature_key") \
         .agg(F.count("*").alias("lines"))
 
@@ -112,6 +117,65 @@ def observations(counted: DataFrame, sample_paths: int = 0) -> DataFrame:
     return totals.join(paths, keys, "left")
 
 
+def _known_gaps(rules: list[Rule]) -> list[str]:
+    """Why a run is incomplete whatever the files: a rule that does not run, or a refused glob in a file scope."""
+    running = _running(rules)
+    refused = any(globs.refusal(g) for r in running for g in r.file_scope)
+    return ["rule_not_run"] * (len(running) < len(rules)) + ["refused_scope"] * refused
+
+
+def run_summary(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes: int | None = None) -> DataFrame:
+    """Counters, reasons for incompleteness and observations, one row per (repo, commit), from one pass over the content.
+
+    Each content is decoded once: files, long lines and matching lines become tagged rows of one aggregate, which is
+    folded in the map tasks. What then meets per repository is one row per state and one per rule and family, all of
+    closed vocabularies. The reasons are rule_not_run, refused_scope, file_cap (covered files that were not opened) and
+    unread_scope (a rule covers files, and none of them could be read; binary ones count as read). ``observations``
+    are sorted by rule and family; repositories without files have no row.
+    """
+    running = _running(rules)
+    seen = _with_content(opened, max_bytes)
+    lines = seen.select(*REPO, "covering", "state", F.posexplode_outer(
+        F.when(F.col("state") == "scanned", _lines_of(F.col("content")))).alias("pos", "text"))
+    kinds = "array<struct<kind:string,rule_id:string,signature_key:string>>"
+
+    def tagged(kind: str, cond: Column) -> Column:
+        row = F.struct(F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("rule_id"), F.lit(None).cast("string").alias("signature_key"))
+        return F.when(cond, F.array(row)).otherwise(F.array().cast(kinds))
+
+    matched = F.transform(_families_found(running, F.col("text")), lambda p: F.struct(
+        F.lit("line").alias("kind"), p["rule_id"].alias("rule_id"), p["signature_key"].alias("signature_key")))
+    rows = lines.select(*REPO, "covering", "state", F.inline(F.concat(
+        tagged("file", F.coalesce("pos", F.lit(0)) == 0), tagged("long", F.length("text") > LONG_LINE_CHARS),
+        F.when(F.length("text") > 0, matched).otherwise(F.array().cast(kinds)))))
+    is_file, state = F.col("kind") == "file", F.col("state")
+    folded = rows.groupBy(*REPO, "kind", "state", "rule_id", "signature_key").agg(F.count("*").alias("n"), *[
+        F.count_if(is_file & F.array_contains("covering", i)).alias(f"covers_{i}") for i, _ in enumerate(running)])
+
+    def total(name: str, cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col(name))), F.lit(0)).cast("bigint")
+
+    read = state.isin("scanned", "binary")
+    unread = [(total(f"covers_{i}", is_file) > 0) & (total(f"covers_{i}", is_file & read) == 0) for i, _ in enumerate(running)]
+    found = F.when(F.col("kind") == "line", F.struct("rule_id", "signature_key", F.col("n").alias("count")))
+    per_run = folded.groupBy(*REPO).agg(
+        total("n", is_file).alias("opened"), total("n", F.col("kind") == "long").alias("long_lines"),
+        *[total("n", is_file & (state == s)).alias(c) for s, c in (
+            ("size", "skipped_size"), ("binary", "skipped_binary"), ("unreadable", "skipped_unreadable"), ("scanned", "files_scanned"))],
+        F.exists(F.array(*unread).cast("array<boolean>"), lambda u: u).alias("unread"),
+        F.array_sort(F.collect_list(found)).alias("observations"))
+    listed = files.groupBy(*REPO).agg(F.count("*").alias("listed"), F.count_if(F.size("covering") == 0).alias("out_of_scope"))
+    counters = ["skipped_size", "skipped_binary", "skipped_unreadable", "long_lines", "files_scanned"]
+    reasons = F.array_compact(F.array(
+        *[F.lit(gap) for gap in _known_gaps(rules)],
+        F.when(F.col("listed") - F.col("out_of_scope") > F.coalesce("opened", F.lit(0)), "file_cap"),
+        F.when(F.col("unread"), "unread_scope")))
+    return listed.join(per_run, list(REPO), "left").select(
+        *REPO, "listed", "out_of_scope", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counters],
+        reasons.alias("reasons"), (F.size(reasons) > 0).alias("truncated"),
+        F.coalesce("observations", F.array().cast("array<struct<rule_id:string,signature_key:string,count:bigint>>")).alias("observations"))
+
+
 def run_stats(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes: int | None = None) -> DataFrame:
     """Counters and completeness per (repo, commit)."""
     running = _running(rules)
@@ -136,7 +200,7 @@ def run_stats(files: DataFrame, opened: DataFrame, rules: list[Rule], max_bytes:
             ("size", "skipped_size"), ("binary", "skipped_binary"), ("unreadable", "skipped_unreadable"),
             ("scanned", "files_scanned"))],
         F.sum("long_lines").alias("long_lines"), any_blind.alias("blind"))
-    static = len(running) < len(rules) or any(globs.refusal(g) for r in running for g in r.file_scope)
+    static = bool(_known_gaps(rules))
     zero = F.lit(0).cast("bigint")
     counters = ["skipped_size", "skipped_binary", "skipped_unreadable", "long_lines", "files_scanned"]
     in_scope = F.col("listed") - F.col("out_of_scope")

@@ -70,6 +70,30 @@ def test_inventory_completeness(spark):
     assert inventory(spark, text, refused)[1].truncated
 
 
+@pytest.mark.parametrize("cap", [None, 2])
+def test_run_summary_is_the_same_in_one_pass(spark, cap):
+    files = [("a.ts", b"api.openai.com api.openai.com\nnothing\napi.openai.com"), ("b.ts", b"api.anthropic.com api.openai.com\r\n\xff"),
+             ("dist/c.ts", b"api.openai.com"), ("bin", b"\x00api.openai.com"), ("empty", b""), ("long", b"y" * 9000 + b"\n" + b"z" * 9000),
+             ("only.big", b"api.openai.com" + b"x" * 20000), ("link", None)]
+    rules = [ENDPOINT, rule("eaa-ci-ai-import", pattern="import", baseline=True, file_scope=[".big$"]), rule("eaa-ci-emotion-biometric", pattern="no", baseline=True)]
+    rows, stats = inventory(spark, files, *rules, cap=cap, max_bytes=19000)
+    chosen = inv.baseline_rules(compile_rulesets(spark, [ruleset(*rules, framework="EU AI Act")])[0])
+    scoped = inv.scoped_files(make_tree(spark, files), chosen)
+    got = inv.run_summary(scoped, inv.opened_files(scoped, cap), chosen, 19000).collect()[0].asDict()
+    assert [(o.rule_id, o.signature_key, o["count"]) for o in got.pop("observations")] == sorted((*k, n) for k, (n, _) in rows.items())
+    assert got.pop("reasons") == (["unread_scope"] if cap is None else ["file_cap"])
+    assert got == stats.asDict()
+
+
+def test_run_summary_without_files_or_rules(spark):
+    none = make_tree(spark, [])
+    chosen = inv.baseline_rules(compile_rulesets(spark, [ruleset(ENDPOINT, framework="EU AI Act")])[0])
+    assert inv.run_summary(inv.scoped_files(none, chosen), inv.opened_files(inv.scoped_files(none, chosen)), chosen).collect() == []
+    tree_ = inv.scoped_files(make_tree(spark, [("a.ts", b"x"), ("a.ts", b"x")]), [])
+    row = inv.run_summary(tree_, inv.opened_files(tree_), []).collect()[0]
+    assert (row.listed, row.out_of_scope, row.files_scanned, row.reasons, row.observations) == (2, 2, 0, [], [])
+
+
 def test_tree_reader(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.ts").write_bytes(b"\xef\xbb\xbfone\r\ntwo")
