@@ -179,3 +179,21 @@ WARNING_TEXT = {
     "unsupported_rules": "{n} rule(s) withheld because a capability they need is not supported here.",
     "withheld_rules": "{n} rule(s) withheld: no registry context could be attached (no valid repository).",
 }
+
+# --- fixed values: check digits inside national account numbers ------------------------------
+# Country -> (first place after the country and check digits, weights, modulus); each weighted sum leaves no remainder.
+BBAN_SUMS = {
+    "CZ": [(5, [10, 5, 8, 4, 2, 1], 11), (11, [6, 3, 7, 9, 10, 5, 8, 4, 2, 1], 11)],
+    "SK": [(5, [10, 5, 8, 4, 2, 1], 11), (11, [6, 3, 7, 9, 10, 5, 8, 4, 2, 1], 11)],
+    "EE": [(3, [7, 1, 3, 7, 1, 3, 7, 1, 3, 7, 1, 3, 7, 1], 10)],
+    "HU": [(1, [9, 7, 3, 1, 9, 7, 3, 1], 10), (9, [9, 7, 3, 1, 9, 7, 3, 1, 9, 7, 3, 1, 9, 7, 3, 1], 10)],
+    "NO": [(1, [5, 4, 3, 2, 7, 6, 5, 4, 3, 2, 1], 11)],
+    "PL": [(1, [3, 9, 7, 1, 3, 9, 7, 1], 10)],
+}
+# Number modulo 97 is 1.
+BBAN_MOD97 = ("BA", "ME", "MK", "PT", "RS", "SI")
+# Number modulo 97 is 0, with letters read as the digits below them.
+BBAN_RIB = ("FR", "MC")
+RIB_LETTERS, RIB_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "12345678912345678923456789"
+ES_BANK_WEIGHTS = [4, 8, 5, 10, 9, 7, 3, 6]
+ES_ACCOUNT_WEIGHTS = [1, 2, 4, 8, 5, 10, 9, 7, 3, 6]

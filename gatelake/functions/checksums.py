@@ -6,9 +6,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..constants import CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, DAYS_IN_MONTH, IBAN_BBAN, SVNR_WEIGHTS
+from ..constants import (BBAN_MOD97, BBAN_RIB, BBAN_SUMS, CARD_LENGTHS, CARD_NO_LUHN, CARD_RANGES, DAYS_IN_MONTH, ES_ACCOUNT_WEIGHTS,
+                         ES_BANK_WEIGHTS, IBAN_BBAN, RIB_DIGITS, RIB_LETTERS, SVNR_WEIGHTS)
 from .patterns import SPACE
-from .text import any_of, applied, found, once, replaced
+from .text import all_of, any_of, applied, found, once, quoted, replaced
 
 
 def digits_sql(value: str) -> str:
@@ -52,14 +53,48 @@ def _over_digits(value: str, test) -> str:
     return f"exists(array({digits_sql(value)}), digits -> {test('digits')})"
 
 
+def _weighted(bban: str, first: int, weights) -> str:
+    """Weighted sum of the digits from a place on."""
+    terms = f"transform(array({', '.join(map(str, weights))}), (weight, i) -> int(substr({bban}, {first} + i, 1)) * weight)"
+    return f"aggregate({terms}, 0, (total, term) -> total + term)"
+
+
+def _modulo_11_10(digits: str) -> str:
+    """ISO 7064 mod 11,10 over a number and its check digit."""
+    step = "if((int(d) + product) % 10 = 0, 10, (int(d) + product) % 10) * 2 % 11"
+    product = f"aggregate(filter(split(left({digits}, length({digits}) - 1), ''), d -> d <> ''), 10, (product, d) -> {step})"
+    return f"(11 - {product}) % 10 = int(right({digits}, 1))"
+
+
+def _spanish(bban: str, first: int, weights, check: int) -> str:
+    rest = f"11 - {_weighted(bban, first, weights)} % 11"
+    return f"exists(array({rest}), rest -> if(rest >= 10, 11 - rest, rest) = int(substr({bban}, {check}, 1)))"
+
+
+def _national_sql(country: str, bban: str) -> str:
+    """Check digits inside the account number, for the countries that define them; others pass."""
+    tests = {cc: all_of(f"{_weighted(bban, first, weights)} % {m} = 0" for first, weights, m in sums) for cc, sums in BBAN_SUMS.items()}
+    numeric = f"coalesce(try_cast({bban} as decimal(38,0)) % 97 = 1, false)"
+    tests |= {cc: numeric for cc in BBAN_MOD97}
+    tests |= {cc: f"cast(translate({bban}, {quoted(RIB_LETTERS)}, {quoted(RIB_DIGITS)}) as decimal(38,0)) % 97 = 0" for cc in BBAN_RIB}
+    tests |= {
+        "BE": f"(cast(left({bban}, 10) as bigint) - 1) % 97 + 1 = int(right({bban}, 2))",
+        "ES": all_of([_spanish(bban, 1, ES_BANK_WEIGHTS, 9), _spanish(bban, 11, ES_ACCOUNT_WEIGHTS, 10)]),
+        "FI": f"luhn_check({bban})",
+        "HR": all_of([_modulo_11_10(f"left({bban}, 7)"), _modulo_11_10(f"right({bban}, 10)")]),
+    }
+    return f"case {country} {' '.join(f'when {quoted(cc)} then {test}' for cc, test in tests.items())} else true end"
+
+
 def _iban_compact(value: str) -> str:
     remainder = ("aggregate(split(concat(substr(norm, 5), substr(norm, 1, 4)), ''), 0, (acc, ch) -> if(ch = '', acc, "
                  "(acc * if(ch between '0' and '9', 10, 100) + int(conv(ch, 36, 10))) % 97))")
-    return f"exists(array(upper({value})), norm -> {found('norm', IBAN_REGEX)} and {remainder} = 1)"
+    national = f"exists(array(substr(norm, 5)), bban -> {_national_sql('left(norm, 2)', 'bban')})"
+    return f"exists(array(upper({value})), norm -> {found('norm', IBAN_REGEX)} and {remainder} = 1 and {national})"
 
 
 def iban_sql(value: str) -> str:
-    """Registry country, length and BBAN structure, then ISO 7064 mod 97."""
+    """Registry country, length and BBAN structure, ISO 7064 mod 97, and check digits inside the account number."""
     return _iban_compact(compact_sql(value))
 
 

@@ -26,6 +26,32 @@ def test_validators(spark, name, good, bad):
     assert column(spark, good + bad, lambda v: checksums.is_valid(name, v)) == [True] * len(good) + [False] * len(bad)
 
 
+# Examples of the public registry.
+NATIONAL = ["BE68539007547034", "BA391290079401028494", "CZ6508000000192000145399", "SK3112000000198742637541", "EE382200221020145685",
+            "ES9121000418450200051332", "FI2112345600000785", "FR1420041010050500013M02606", "MC5811222000010123456789030",
+            "HR1210010051863000160", "HU42117730161111101800000000", "NO9386011117947", "PL61109010140000071219812874",
+            "PT50000201231234567890154", "RS35260005601001611379", "SI56263300012039086", "ME25505000012345678951", "MK07250120000058984"]
+
+
+def _with_check(country, bban):
+    digits = "".join(str(int(c, 36)) for c in bban + country + "00")
+    return f"{country}{98 - int(digits) % 97:02}{bban}"
+
+
+def test_national_check_digits(spark):
+    """Registry examples pass; with a digit of the account changed and the outer check digits made to fit, they do not."""
+    spoiled = []
+    for iban in NATIONAL:
+        country, bban = iban[:2], iban[4:]
+        assert _with_check(country, bban) == iban
+        # The Polish check digit covers the bank alone.
+        at = 7 if country == "PL" else len(bban) - 1
+        spoiled.append(_with_check(country, bban[:at] + str((int(bban[at]) + 1) % 10) + bban[at + 1:]))
+    free = [_with_check("DE", "370400440532013001"), _with_check("GB", "WEST12345698765433"), _with_check("AT", "1904300234573202")]
+    got = column(spark, [*NATIONAL, *spoiled, *free], checksums.iban)
+    assert got == [True] * len(NATIONAL) + [False] * len(spoiled) + [True] * len(free)
+
+
 def test_own_validator(spark):
     checksums.register_validator("even", lambda v: f"({v} rlike '[02468]$')")
     assert column(spark, ["12", "13"], lambda v: checksums.first_valid(["nope", "even"], v)) == ["even", None]
