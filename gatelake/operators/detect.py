@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..constants import DESCRIPTION_LOCATION, SEVERITY
 from ..functions import checksums, globs, masking
 from ..functions.allowlist import is_allowlisted_sql
-from ..functions.patterns import GRAM, gram_pattern
+from ..functions.patterns import gram_pattern
 from ..functions.text import all_of, any_of, applied, found, quoted
 from .candidates import first_passing_sql, matches_sql, matches_with_cut_sql
 from .rules import Rule, Ruleset, scopes
 
 HIT = "struct<fw_ord:int,rule_ord:int,match_ord:bigint,severity:int,mask:string,value:string,is_token:boolean>"
 _NONE = f"array<{HIT}>"
-# Rules that share one test on the grams of a line.
-BLOCK_RULES = 16
+# Rulesets with more rules that require a text are indexed, by at most this much of the text.
+BLOCK_RULES, HEAD = 16, 32
 
 
 def lower_sql(severity: str) -> str:
@@ -143,14 +143,18 @@ def _hits_sql(fw: Ruleset, rule: Rule, conditions, values: str, severity: str) -
     return f"if({all_of(conditions)}, transform({values}, m -> {hit}), cast(array() as {_NONE}))"
 
 
-def _line_sql(fw: Ruleset, rule: Rule, scope: str) -> str:
-    """Texts are looked for first, as most lines lack them; then the path, then the gate."""
+def _line_sql(fw: Ruleset, rule: Rule, scope: str, indexed: bool) -> str:
+    """Texts are looked for first, as most lines lack them; then the path, then the gate.
+
+    Lines come to an ``indexed`` rule by its texts, which are then asked for only where longer than the index.
+    """
     text = "text"
     if rule.kind == "signature":
         token = first_token_sql(text, rule.tokens)
         values = f"filter(array(named_struct('value', {token}, 'ord', bigint(0))), m -> m.value is not null)"
         return _hits_sql(fw, rule, [*side_sql(rule), scope, *_gate_sql(rule, text)], values, str(rule.severity))
-    tests = [*side_sql(rule), worth_matching_sql(rule, text, folded="folded"), scope, *_gate_sql(rule, text)]
+    known = indexed and all(len(t) <= HEAD for t in rule.texts)
+    tests = [*side_sql(rule), worth_matching_sql(rule, text, folded=None if known else "folded"), scope, *_gate_sql(rule, text)]
     return _hits_sql(fw, rule, tests, found_values_sql(rule, text, fw.allowlist), graded_sql(rule, text))
 
 
@@ -160,37 +164,45 @@ def _scopes_sql(work, lines: DataFrame, rulesets: list[Ruleset]) -> list[str]:
     return [f"(not excluded and get(scopes, {place[r.scope]}))" if r.scope in place else r.scope_sql() for _, r in work]
 
 
-def chosen_grams(rules: list[Rule]) -> list[tuple]:
-    """For each rule one gram of each of its required texts: the one the fewest texts have (ties: the first)."""
-    def grams_of(text):
-        return [text[i:i + GRAM] for i in range(len(text) - GRAM + 1)]
-
-    users: dict = {}
-    for text in {t for r in rules for t in r.texts}:
-        for gram in set(grams_of(text)):
-            users[gram] = users.get(gram, 0) + 1
-    return [tuple(sorted({min(grams_of(t), key=lambda g: (users[g], g)) for t in r.texts})) for r in rules]
-
-
 def _blocks(work) -> tuple[list, list]:
-    """Rules asked of every line, and blocks of rules with the grams of which a line must have one.
+    """Rules asked of every line, and for each required text the rules that ask for it, sorted by text.
 
-    Rules that share grams stand in one block. A ruleset of few such rules needs no index.
+    Where one text begins with another its rules hold those of the shorter one. A ruleset of few such rules needs no index.
     """
-    indexed = [(grams, i) for i, grams in enumerate(chosen_grams([r for _, r in work])) if grams]
+    indexed = [i for i, (_, r) in enumerate(work) if r.texts]
     if len(indexed) <= BLOCK_RULES:
         return list(range(len(work))), []
-    indexed.sort()
-    cut = [indexed[i:i + BLOCK_RULES] for i in range(0, len(indexed), BLOCK_RULES)]
-    blocks = [(sorted({g for grams, _ in block for g in grams}), [i for _, i in block]) for block in cut]
-    return sorted(set(range(len(work))) - {i for _, i in indexed}), blocks
+    users: dict = {}
+    for i in indexed:
+        for text in work[i][1].texts:
+            users.setdefault(text[:HEAD], set()).add(i)
+    blocks = [(text, sorted(set().union(*(users.get(text[:n], ()) for n in range(1, len(text) + 1))))) for text in sorted(users)]
+    return sorted(set(range(len(work))) - set(indexed)), blocks
+
+
+def _chosen_sql(name: str, cases: list[tuple[str, str]]) -> str:
+    """The result of the last case whose bound ``name`` reaches, found by halving; ``cases`` are (bound, result) in order."""
+    if len(cases) == 1:
+        return cases[0][1]
+    half = len(cases) // 2
+    return f"if({name} < {cases[half][0]}, {_chosen_sql(name, cases[:half])}, {_chosen_sql(name, cases[half:])})"
+
+
+def _indexed_sql(blocks, every: list[str]) -> str:
+    """Hits of the rules of which a line holds a required text: one pass names the texts, the texts name the rules."""
+    named = f"array_distinct(regexp_extract_all(folded, {quoted(gram_pattern(text for text, _ in blocks))}, 1))"
+    asked = _chosen_sql("text_", [(quoted(text), f"array({', '.join(map(str, members))})") for text, members in blocks])
+    members = sorted({i for _, users in blocks for i in users})
+    hits = _chosen_sql("rule_", [(str(i), every[i]) for i in members])
+    return (f"coalesce(flatten(transform(array_distinct(flatten(transform({named}, text_ -> {asked}))), rule_ -> {hits})), "
+            f"cast(array() as {_NONE}))")
 
 
 def line_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> DataFrame:
     """Every hit of every line and signature rule, masked at the spot.
 
     ``lines`` carries side, side_ord, pos, file, line_no and text. Large rulesets are indexed: each line is read once for
-    the grams of all required texts, and only blocks of rules that have one of them are looked at.
+    all required texts, and only the rules of the texts it holds are looked at.
     """
     work = [(fw, r) for fw in rulesets for r in fw.rules if runnable(r)]
     lines = with_scope(lines).withColumn("folded", F.lower("text"))
@@ -200,14 +212,9 @@ def line_hits(lines: DataFrame, rulesets: list[Ruleset], key="change_id") -> Dat
 
     if not work:
         return _no_hits(lines, key)
-    every = [_line_sql(fw, r, scope) for (fw, r), scope in zip(work, _scopes_sql(work, lines, rulesets))]
     always, blocks = _blocks(work)
-    arrays = [every[i] for i in always]
-    if blocks:
-        trie = gram_pattern(g for grams, _ in blocks for g in grams)
-        lines = lines.withColumn("grams", F.expr(f"array_distinct(regexp_extract_all(folded, {quoted(trie)}, 1))"))
-        arrays += [f"if(arrays_overlap(grams, array({', '.join(map(quoted, grams))})), "
-                   f"flatten(array({', '.join(every[i] for i in members)})), cast(array() as {_NONE}))" for grams, members in blocks]
+    every = [_line_sql(fw, r, scope, bool(blocks)) for (fw, r), scope in zip(work, _scopes_sql(work, lines, rulesets))]
+    arrays = [every[i] for i in always] + ([_indexed_sql(blocks, every)] if blocks else [])
     hits = lines.select(key, "file", "line_no", shown_line.alias("line"), order.alias("base"),
                         F.inline_outer(F.expr(f"flatten(array({', '.join(arrays)}))")))
     # The outer form keeps Spark from testing the whole array once more in a filter.

@@ -372,3 +372,17 @@ def test_large_rulesets_find_what_plain_rules_find(spark):
     expected = hits(plain, False)
     assert len({h[2] for h in expected}) > 40
     assert hits(compiled, True) == expected == hits(compiled, False)
+
+
+def test_a_text_names_only_the_rules_that_ask_for_it(spark):
+    """Rules are reached by whole texts, also where one text begins with another or is longer than the index."""
+    long = "abc" * 20
+    texts = ["the", "therefore", "other", long + "x", long + "y", "a.b|c", *[f"word{i}z" for i in range(30)]]
+    compiled = compile_rulesets(spark, [ruleset(*[rule(f"r{i}", pattern=t.replace(".", r"\.").replace("|", r"\|")) for i, t in enumerate(texts)])])
+    blocks = dict(detect._blocks([(compiled[0], r) for r in compiled[0].rules])[1])
+    assert blocks["the"] == [0] and blocks["therefore"] == [0, 1] and blocks["word7z"] == [13] and blocks[long[:detect.HEAD]] == [3, 4]
+    rows = ["therefore", "otherefore", "bathe", long + "y", "ab" + long + "x", "A.B|C a.b|c", "word3zword4z word", "", None]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "change_id int, text string").selectExpr(
+        "*", "'f' as file", "'added' as side", "0 as side_ord", "0 as pos", "1L as line_no")
+    got = sorted((h.change_id, h.rule_ord) for h in detect.line_hits(lines, compiled).collect())
+    assert got == sorted((i, n) for i, row in enumerate(rows) for n, t in enumerate(texts) if t in (row or ""))
