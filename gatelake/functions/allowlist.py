@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..constants import SYNTHETIC_VALUES
-from .patterns import SPACE, TRIM, js_trim
+from .patterns import SPACE, js_trim, trimmed_sql
 from .text import any_of, found, once, quoted, replaced
 
 
@@ -36,7 +36,7 @@ def _strip(entry: str) -> str:
 def is_allowlisted_sql(value: str, allowlist: dict | None) -> str:
     """Synthetic, or in the rule author's lists (small literals of the compiled ruleset)."""
     lists = allowlist or {}
-    trimmed = replaced(value, TRIM)
+    trimmed = trimmed_sql(value)
     exact = {e.lower() for k in ("emails", "names") for e in lists.get(k) or ()}
     grouped = {_strip(e) for k in ("ibans", "cards") for e in lists.get(k) or ()}
     domains = {e.lower() for e in lists.get("domains") or ()}

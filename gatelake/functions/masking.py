@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import UNSAFE_IN_PATH, UNSAFE_IN_RULE_ID, URL_SCHEME
-from .patterns import SPACE, TRIM, js_trim
+from .patterns import SPACE, js_trim, trimmed_sql
 from .text import quoted, replaced
 
 ELLIPSIS = "…"
@@ -81,7 +81,7 @@ def evidence(label: Column, raw: Column, file: Column, line: Column | None = Non
 
 
 def _flat_sql(value: str) -> str:
-    return replaced(replaced(replaced(value, r"[\r\n\t]+", " "), r"[|`]", " "), TRIM)
+    return trimmed_sql(replaced(replaced(value, r"[\r\n\t]+", " "), r"[|`]", " "))
 
 
 def _bounded_sql(flat: str) -> str:
@@ -97,12 +97,12 @@ def with_evidence(hits: DataFrame, fixed_file: str | None = None) -> DataFrame:
     tld = f"nullif(regexp_extract(substr(value, instr(value, '@') + 1), {quoted(TLD)}, 1), '')"
     mail = f"concat(substr(value, 1, 1), '***@***', coalesce(concat('.', {tld}), ''))"
     masked = (f"case when instr(value, '@') between 2 and length(value) - 1 then {mail} "
-              f"when length({replaced('value', TRIM)}) > 1 then concat(substr({replaced('value', TRIM)}, 1, 1), '***') else '***' end")
+              f"when length({trimmed_sql('value')}) > 1 then concat(substr({trimmed_sql('value')}, 1, 1), '***') else '***' end")
     label = ("case when is_token then concat(mask, ':', value) "
              f"when contains(value, '@') and contains(value, '.') then concat(mask, ' (', {masked}, ')') else mask end")
     label = "mask" if fixed_file is not None else label
     file = quoted(fixed_file) if fixed_file else _flat_sql("file")
-    hits = hits.selectExpr(*kept, "line_no", f"{_flat_sql(label)} as _label", f"{replaced('value', TRIM)} as _needle", f"{file} as _file")
+    hits = hits.selectExpr(*kept, "line_no", f"{_flat_sql(label)} as _label", f"{trimmed_sql('value')} as _needle", f"{file} as _file")
     hits = hits.selectExpr(*kept, "_needle", f"concat({_bounded_sql('_label')}, ' @ ', {_bounded_sql('_file')}, "
                            "coalesce(concat(':', string(line_no)), '')) as _text")
     return hits.selectExpr(*kept, "if(_needle <> '', replace(_text, _needle, '***'), _text) as evidence")
