@@ -213,3 +213,12 @@ def test_dates(spark):
 def test_dialect_in_classes_and_names(spark, pattern, text, found):
     from gatelake.functions.patterns import to_java
     assert column(spark, [text], lambda v: v.rlike(to_java(pattern))) == [found]
+
+
+def test_boundaries_dots_and_trimming_walk_no_ranges(spark):
+    """What every line or hit is asked stays off long class unions, with the same result."""
+    assert "A-Z" not in patterns.to_java(r"\bthe\b.*\b\W\B") and "A-Z" in patterns.to_java(r"(?i)ä\bthe")
+    spaces = "".join(chr(c) for c in range(0x10000) if not 0xD800 <= c < 0xE000 and re.fullmatch(f"[{patterns.SPACE.replace('x{', 'u{')}]".replace("\\u{A0}", "\xa0").replace("\\u{", "\\u").replace("}", ""), chr(c)))
+    assert sorted(spaces) == sorted(patterns.SPACES)
+    texts = [spaces + "a" + spaces + "b" + spaces, spaces, "", "\u200bx\u200b", None, " x"]
+    assert column(spark, texts, patterns.js_trim) == ["a" + spaces + "b", "", "", "\u200bx\u200b", None, "x"]

@@ -386,3 +386,32 @@ def test_a_text_names_only_the_rules_that_ask_for_it(spark):
         "*", "'f' as file", "'added' as side", "0 as side_ord", "0 as pos", "1L as line_no")
     got = sorted((h.change_id, h.rule_ord) for h in detect.line_hits(lines, compiled).collect())
     assert got == sorted((i, n) for i, row in enumerate(rows) for n, t in enumerate(texts) if t in (row or ""))
+
+
+def _parses(spark, make):
+    """How often the plan of the rows that ``make`` gives reads hunk headers; what is written already does not count."""
+    return make()._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(raw#")
+
+
+def test_queries_on_changes_parse_their_diffs_beforehand(spark, tmp_path):
+    from gatelake.catalog import scans
+    docs = [(i, f"un.{i}@corp.io\nthe token = {i}\nMIT of x and y", "en", "src1", 9) for i in range(6)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(3)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("floored_verdicts", "payload_contexts"):
+        assert _parses(spark, lambda: getattr(scans, name)(spark, str(tmp_path))) == 0
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    from gatelake.plans import scan as plans
+    from gatelake.streaming.changes import current, stream_scan
+    sent = [(str(n % 2), "c0", diff([f"un{n % 2}@corp.io"]), "") for n in range(4)]
+    spark.createDataFrame(sent, "change_id string, commit_sha string, diff string, description string").write.parquet(f"{tmp_path}/in")
+    scratch = []
+    plain = plans.side_lines
+    monkeypatch.setattr(plans, "side_lines", lambda lines: (scratch.append(lines.inputFiles()), plain(lines))[1])
+    stream = spark.readStream.schema("change_id string, commit_sha string, diff string, description string").parquet(f"{tmp_path}/in")
+    compiled = compile_rulesets(spark, [ruleset(rule("m", pattern=MAIL))])
+    stream_scan(stream, compiled, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert scratch and all("/out/lines/" in file for files in scratch for file in files)
+    assert sorted((v.change_id, v.n_review) for v in current(spark, f"{tmp_path}/out", "verdicts").collect()) == [("0", 1), ("1", 1)]
